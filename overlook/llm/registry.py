@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from overlook.llm import decontaminate, line_dedup, mixing, warc
+from overlook.llm import ann, chat, decontaminate, line_dedup, mixing, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_mixing": mixing.op7_mixing,
+    "op9_ann": ann.op9_ann,
+    "op10_chat": chat.op10_chat,
 }
 
 #: DuckDB SQL where it can express the query over whole tables.
@@ -16,4 +19,5 @@ SQL = {
     "op1_warc": warc.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op10_chat": chat.SQL,
 }
