@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from overlook.llm import ann, chat, decontaminate, line_dedup, mixing, simhash, warc
+from overlook.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_langid": langid.op2_langid,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_ann": ann.op9_ann,
     "op10_chat": chat.op10_chat,
 }
