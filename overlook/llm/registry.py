@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from overlook.llm import ann, chat, decontaminate, langid, line_dedup, mixing, simhash, toxicity, warc
+from overlook.llm import ann, chat, decontaminate, langid, licenses, line_dedup, mixing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_licenses": licenses.op6_licenses,
     "op7_mixing": mixing.op7_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ann": ann.op9_ann,
