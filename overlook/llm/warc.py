@@ -3,7 +3,8 @@
 Archives are written by Spark's text writer with the record separator as line separator, gzip-compressed, and read back
 as binary files that a parser walks by Content-Length. In the content-addressed archive, payload bytes stand once under
 their SHA-256, verified against the digest that the archive declares, and exact header bytes stand apart; a record is
-headers joined to payload.
+headers joined to payload. Stored payloads are zstandard blocks, so that what the joins move is small; taken out, each is
+verified again.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlook.llm.common import table
+from overlook.llm.common import bounded_batches, table
 from overlook.plans.shared import fresh_path, written
 
 #: Payloads of fewer bytes are never deduplicated.
@@ -140,16 +142,17 @@ def parse_archive(raw: bytes) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         n += 1
 
 
-PARTS = "file string, pos long, header binary, protocol binary, payload binary, sha256 string, sha1 string"
-_PARTS = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("header", pa.binary()), ("protocol", pa.binary()), ("payload", pa.binary()), ("sha256", pa.string()), ("sha1", pa.string())])
+PARTS = "file string, pos long, header binary, protocol binary, block binary, length long, sha256 string, sha1 string"
+_PARTS = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("header", pa.binary()), ("protocol", pa.binary()), ("block", pa.binary()), ("length", pa.int64()), ("sha256", pa.string()), ("sha1", pa.string())])
 
 
 def _parse_files(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for name, raw in zip(batch.column("path"), batch.column("content")):
             rows, size = [], 0
             for n, head, protocol, payload in parse_archive(raw.as_py()):
-                rows.append((name.as_py(), n, head, protocol, payload, hashlib.sha256(payload).hexdigest(), base64.b32encode(hashlib.sha1(payload).digest()).decode()))
+                rows.append((name.as_py(), n, head, protocol, pack(payload), len(payload), hashlib.sha256(payload).hexdigest(), base64.b32encode(hashlib.sha1(payload).digest()).decode()))
                 size += len(payload)
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PARTS.types)], schema=_PARTS)
@@ -159,8 +162,11 @@ def _parse_files(batches):
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The records of all archives below ``path``, plain or gzip, with digests computed from the bytes read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a row is a file here
+    """The records of all archives below ``path``, plain or gzip, with digests computed from the bytes read.
+
+    Payloads are packed as ``block``. A row of the file reader is a file, so Arrow batches hold one until they are reset.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_parse_files, PARTS)
 
@@ -179,17 +185,33 @@ def content_store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     declared = F.regexp_replace(header("WARC-Payload-Digest"), "^sha1:", "")
     parts = written(
-        records.withColumns({"type": header("WARC-Type"), "declared": declared, "length": F.octet_length("payload").cast("long")}).withColumn("verified", (F.col("type") == "revisit") | F.coalesce(F.col("declared") == F.col("sha1"), F.lit(True))),
+        records.withColumns({"type": header("WARC-Type"), "declared": declared}).withColumn("verified", (F.col("type") == "revisit") | F.coalesce(F.col("declared") == F.col("sha1"), F.lit(True))),
         "warc-parts",
     )
+    bounded_batches(records.sparkSession)
     own = F.col("type") != "revisit"
     headers = parts.select("file", "pos", "header", "protocol", "type", "verified", F.coalesce("declared", "sha1").alias("digest"), F.when(own, F.col("sha256")).alias("sha256"))
     # one place for each payload: the first record that holds it, found without moving bytes
     first = parts.where(own & F.col("verified")).groupBy("sha256").agg(F.min(F.struct("file", "pos")).alias("at")).select(F.col("sha256").alias("st_sha256"), "at.file", "at.pos")
-    payloads = parts.where(own & F.col("verified")).join(first, ["file", "pos"]).select("sha256", F.col("sha1").alias("digest"), "length", "payload")
+    payloads = parts.where(own & F.col("verified")).join(first, ["file", "pos"]).select("sha256", F.col("sha1").alias("digest"), "length", "block")
     return headers, payloads
 
 
+def _unpack(names: list[str]):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            out = []
+            for block, want in zip(b.column("block"), b.column("sha256")):
+                payload = None if not block.is_valid else unpack(block.as_py())
+                if payload is not None and hashlib.sha256(payload).hexdigest() != want.as_py():
+                    raise ValueError(f"payload {want.as_py()} is damaged")
+                out.append(payload)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.binary())], [*names, "payload"])
+
+    return run
+
+
 def rebuild(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """Records with ``payload`` again: each header row joined to its payload by digest; none where it is unknown.
 
@@ -198,7 +220,10 @@ def rebuild(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """
     by_sha1 = payloads.groupBy("digest").agg(F.min("sha256").alias("rb_sha256"))
     pointed = headers.join(by_sha1, "digest", "left").withColumn("rb_key", F.coalesce("sha256", "rb_sha256"))
-    return pointed.drop("sha256", "rb_sha256").join(payloads.drop("digest").withColumnRenamed("sha256", "rb_key"), "rb_key", "left").withColumnRenamed("rb_key", "sha256")
+    met = pointed.drop("sha256", "rb_sha256").join(payloads.drop("digest").withColumnRenamed("sha256", "rb_key"), "rb_key", "left").withColumnRenamed("rb_key", "sha256")
+    names = [c for c in met.columns if c != "block"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name != "block")
+    return met.mapInArrow(_unpack(names), f"{kinds}, payload binary")
 
 
 def op1_warc(spark, sf_dir):
