@@ -8,11 +8,13 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from overlook.functions.geo import known
 
 STOPS = 10
 MAPS = "https://www.google.com/maps"
+SPOTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("name", T.StringType())]))
 
 
 def spot_id(lat: Column, lon: Column) -> Column:
@@ -46,7 +48,7 @@ def from_base64url(text: Column) -> Column:
     return F.try_to_binary(F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4)).cast("int"))), F.lit("base64"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def shorter_gzip(data: pd.Series) -> pd.Series:
     """Gzip where it is shorter, the bytes themselves otherwise."""
 
@@ -59,7 +61,7 @@ def shorter_gzip(data: pd.Series) -> pd.Series:
     return data.map(pick)
 
 
-@F.pandas_udf("array<struct<lat:double,lon:double,name:string>>")
+@F.pandas_udf(SPOTS)
 def decode_spots(data: pd.Series) -> pd.Series:
     """Spots from a share code's bytes, gzip or not; a damaged one is an empty list."""
 
