@@ -6,14 +6,15 @@ segments must then agree exactly, and the next ones in all bits but one, so in o
 join key. The rest of the chain prunes candidates before the full Hamming check.
 
 Equal fingerprints collapse before anything is joined. Keys that many different fingerprints share are not joined
-pairwise: there, fingerprints meet in every point up to two bits away, and each links to the smallest fingerprint within
-one bit of that point. Any two that differ in three bits meet in such a point, so no link between components is lost, and
-a point has 2081 neighbours at most, whatever the group.
+pairwise: their fingerprints get finer keys, three of six parts each, since three bits leave three parts as they are. What
+still shares a key with many others meets in every point up to two bits away, and each links to the smallest fingerprint
+within one bit of that point. Any two that differ in three bits meet in such a point, so no link between components is
+lost, and a point has 2081 neighbours at most, whatever the group.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,22 @@ def chain_within(x: Column, key: Column, tau: int = TAU, segments: int = SEGMENT
     return ok
 
 
+def fine_keys(fp: Column, tau: int = TAU) -> Column:
+    """The keys of a fingerprint in a crowd: of 2 * tau parts, each choice of tau; within tau bits one choice agrees."""
+    parts = 2 * tau
+    edges = [64 * i // parts for i in range(parts + 1)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(parts), tau)):
+        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
+        keys.append(F.struct(F.lit(n).cast("short").alias("i"), fp.bitwiseAND(F.lit(_signed(mask))).alias("part")))
+    return F.array(*keys)
+
+
+def _shared(keyed: DataFrame, name: str) -> DataFrame:
+    """``keyed`` (fp, k) with ``n``, the fingerprints of each key, where it is over 1."""
+    return written(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"), name)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -128,16 +145,18 @@ def links(fps: DataFrame, tau: int = TAU, segments: int = SEGMENTS, pairwise: in
     """Links ``(u, v)`` among distinct ``fp``: all of them under keys of few, enough to keep components whole elsewhere."""
     if tau != 3:
         pairwise = 1 << 62  # the points below are for three bits; other thresholds join pairwise throughout
-    keyed = fps.select("fp", F.explode(ring_keys(F.col("fp"), tau, segments)).alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, "k"), "simhash-keys")
-    few = shared.where(F.col("n") <= pairwise)
+    shared = _shared(fps.select("fp", F.explode(ring_keys(F.col("fp"), tau, segments)).alias("k")), "simhash-keys")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & chain_within(x, F.col("a.k"), tau, segments) & (F.bit_count(x) <= tau)
-    pairs = few.alias("a").join(few.alias("b"), near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= tau)
+    few = shared.where(F.col("n") <= pairwise)
+    pairs = few.alias("a").join(few.alias("b"), near & chain_within(x, F.col("a.k"), tau, segments)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     if tau != 3:
         return pairs
-    many = shared.where(F.col("n") > pairwise).select("fp").distinct()
+    crowd = shared.where(F.col("n") > pairwise).select("fp").distinct()
+    fine = _shared(crowd.select("fp", F.explode(fine_keys(F.col("fp"), tau)).alias("k")), "simhash-fine")
+    some = fine.where(F.col("n") <= pairwise)
+    pairs = pairs.union(some.alias("a").join(some.alias("b"), near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")))
+    many = fine.where(F.col("n") > pairwise).select("fp").distinct()
     one = [0, *(1 << i for i in range(64))]
     first = many.select("fp", F.explode(F.lit([_signed(m) for m in one])).alias("m"))
     # a second bit below the first one: each pair of bits comes once; the shuffle deals the fan-out evenly
