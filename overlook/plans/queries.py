@@ -170,10 +170,11 @@ def region_summary(spark, sf_dir):
     return out.withColumns({c: R6(c) for c in rounded})
 
 
-@query(with_fixtures(MEAN + " SELECT valid, eye, count(*) AS n, round(avg(mean_reach), 6) AS mean_reach, round(max(mean_reach), 6) AS max_reach, count(*) FILTER (WHERE water <> 0) AS n_water FROM o WHERE valid GROUP BY CUBE (valid, eye)", "sig_long", "sig_site", "sig_water"))
+@query(with_fixtures(MEAN + " SELECT coalesce(CAST(valid AS VARCHAR), 'all') AS valid, coalesce(eye, -1) AS eye, count(*) AS n, round(avg(mean_reach), 6) AS mean_reach, round(max(mean_reach), 6) AS max_reach, count(*) FILTER (WHERE water <> 0) AS n_water FROM o WHERE valid GROUP BY CUBE (valid, eye)", "sig_long", "sig_site", "sig_water"))
 def summary_cube(spark, sf_dir):
     """Totals by every combination of two dimensions; beyond the reference."""
-    return reports.summary_cube(_observers(spark, sf_dir), ["valid", "eye"]).withColumns({"mean_reach": R6("mean_reach"), "max_reach": R6("max_reach")})
+    out = reports.summary_cube(_observers(spark, sf_dir), ["valid", "eye"]).withColumns({"mean_reach": R6("mean_reach"), "max_reach": R6("max_reach")})
+    return out.withColumns({"valid": F.coalesce(F.col("valid").cast("string"), F.lit("all")), "eye": F.coalesce("eye", F.lit(-1).cast("long"))})
 
 
 COMPASS_SQL = "[" + ", ".join(f"'{c}'" for c in geo.COMPASS) + "]"
