@@ -31,7 +31,7 @@ TEMPLATES = (
     ("AGPL-3.0", ("gnu", "affero", "general", "public", "3"), "This work is licensed under the GNU Affero General Public License, version 3."),
     ("GPL-3.0", ("gnu", "general", "public", "3"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", ("redistribution", "neither"), "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-3-Clause", ("bsd", "3"), "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", ("bsd", "3-clause"), "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", ("mozilla", "2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", ("cc", "by", "4.0"), "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", ("cc", "by-sa", "4.0"), "Licensed under CC BY-SA 4.0."),
@@ -45,7 +45,7 @@ HINT = r"licen[sc]e|\bcc[ -](?:by|zero)|\bcc0\b|copyleft|public domain|redistrib
 _HINT = re.compile(HINT, re.I)
 #: Lines between two candidate lines of one block at most.
 GAP = 2
-#: Characters of a block; longer runs are cut, each piece with an overlap of the longest template.
+#: Characters of a block; of longer runs only what lies around license wording is taken.
 BLOCK = 8192
 #: Templates that are confirmed, best savings first; all of equal savings count.
 RANKED = 4
@@ -69,7 +69,7 @@ class Template:
 def blocks(text: str | None, gap: int = GAP, size: int = BLOCK, overlap: int = 1024):
     """(first character, block) of each run of candidate lines; lines longer than ``size`` are cut too.
 
-    The lines around a run are no part of it. Pieces of a long run overlap, so that a template stands whole in one.
+    The lines around a run are no part of it. Of a run over ``size``, what lies around license wording is taken.
     """
     if not text or not _HINT.search(text):
         return
@@ -85,14 +85,23 @@ def blocks(text: str | None, gap: int = GAP, size: int = BLOCK, overlap: int = 1
             since += 1
         at += len(line) + 1
     for a, b in runs:
-        while True:
-            if b - a <= size:
-                yield a, text[a:b]
-                break
-            piece = text[a : a + size]
-            if _HINT.search(piece):
-                yield a, piece
-            a += size - overlap
+        for c, d in [(a, b)] if b - a <= size else _around(text, a, b, overlap):
+            while d - c > size:  # license wording without end
+                yield c, text[c : c + size]
+                c += size - overlap
+            yield c, text[c:d]
+
+
+def _around(text: str, a: int, b: int, reach: int) -> list[tuple[int, int]]:
+    """The stretches of a long run that lie within ``reach`` of license wording; those that meet are one."""
+    out: list[list[int]] = []
+    for m in _HINT.finditer(text, a, b):
+        c, d = max(a, m.start() - reach), min(b, m.end() + reach)
+        if out and c <= out[-1][1]:
+            out[-1][1] = d
+        else:
+            out.append([c, d])
+    return [(c, d) for c, d in out]
 
 
 class Scanner:
@@ -122,8 +131,8 @@ class Scanner:
         base = len(plain.compress(raw))
         return [base - len(c.compress(raw)) for c in own]
 
-    def confirm(self, template: Template, words: list[str]) -> tuple[list[str], list[str], float, int] | None:
-        """(missing words, inserted words, share of differences, first word) where the template fits best; None if a naming word is missing."""
+    def confirm(self, template: Template, words: list[str]) -> tuple[list[str], list[str], float, int, int] | None:
+        """(missing words, inserted words, share of differences, first word, past the last) where the template fits best; None if a naming word is missing."""
         matcher = SequenceMatcher(None, template.words, words, autojunk=False)
         runs = [m for m in matcher.get_matching_blocks() if m.size]
         if not runs:
@@ -148,7 +157,7 @@ class Scanner:
             if tag != "equal":
                 missing += template.words[i1:i2]
                 inserted += found[j1:j2]
-        return missing, inserted, max(len(missing), len(inserted) - before - after) / len(template.words), start
+        return missing, inserted, max(len(missing), len(inserted) - before - after) / len(template.words), start, start + len(found)
 
     def scan(self, text: str | None) -> list[tuple[int, str | None, int, str | None, str | None, str]]:
         """(first character, license, bytes saved, missing words, inserted words, verdict) of each candidate block.
@@ -163,22 +172,23 @@ class Scanner:
             saved = self.savings(block)
             order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
             least = saved[order[min(self.ranked, len(order)) - 1]] if order else 0
-            best: dict[str, tuple] = {}
+            fits = []
             for i in order:
                 if saved[i] < least or saved[i] <= 0:
                     break
-                t = self.templates[i]
-                got = self.confirm(t, words)
+                got = self.confirm(self.templates[i], words)
                 if got and got[2] <= self.different:
-                    row = (got[2], -saved[i], got)
-                    if t.name not in best or row[:2] < best[t.name][:2]:
-                        best[t.name] = row
-            for name, (_, gain, (missing, inserted, _, start)) in sorted(best.items()):
+                    fits.append((got[2], -saved[i], self.templates[i].name, got))
+            taken: list[tuple[int, int]] = []
+            for _, gain, name, (missing, inserted, _, start, end) in sorted(fits, key=lambda f: f[:3]):
+                if any(start < y and end > x for x, y in taken):
+                    continue  # words that fit another template better
+                taken.append((start, end))
                 place = (name, at + places[start].start())  # overlapping pieces find the same one
                 if place not in seen:
                     seen.add(place)
                     out.append((at, name, -gain, " ".join(missing), " ".join(inserted), "changed" if missing or inserted else "exact"))
-            if not best:
+            if not taken:
                 out.append((at, None, max([0, *saved]), None, None, "unknown"))
         return out
 
