@@ -263,17 +263,17 @@ def visible_water(spark, sf_dir):
 EIGHT = [25.0 * k for k in range(1, 9)]
 
 
-def _full_sql() -> str:
+def _full_sql(last: str, rows: str) -> str:
     fan = ", ".join(f"({a}, {D(d)}, {D(math.cos(2 * math.pi * a / 8) * d / 25)}, {D(math.sin(2 * math.pi * a / 8) * d / 25)})" for a in range(8) for d in EIGHT)
-    return with_fixtures(f""", ray(az, d, dy, dx) AS (VALUES {fan}), ob AS (SELECT iy * 64 + ix AS obs_id, iy, ix, z FROM dem_smooth d WHERE ix < 40 AND iy % 16 = 8 AND EXISTS (SELECT 1 FROM dem_smooth e WHERE e.iy = d.iy + 1)),
+    return with_fixtures(f""", ray(az, d, dy, dx) AS (VALUES {fan}), ob AS (SELECT iy * 64 + ix AS obs_id, iy, ix, z FROM dem_smooth d WHERE ix < 40 AND {rows} AND EXISTS (SELECT 1 FROM dem_smooth e WHERE e.iy = d.iy + 1)),
       p AS MATERIALIZED (SELECT obs_id, ob.z, az, d, iy + dy - floor(iy + dy) AS ty, ix + dx - floor(ix + dx) AS tx, CAST(floor(iy + dy) AS BIGINT) AS ky, CAST(floor(ix + dx) AS BIGINT) AS kx FROM ob, ray),
       sq AS MATERIALIZED (SELECT a.iy, a.ix, a.z AS z00, lead(a.z) OVER (PARTITION BY a.iy ORDER BY a.ix) AS z01, b.z AS z10, lead(b.z) OVER (PARTITION BY a.iy ORDER BY a.ix) AS z11 FROM dem_smooth a JOIN dem_smooth b ON b.iy = a.iy + 1 AND b.ix = a.ix),
       h AS (SELECT obs_id, p.z, az, d, (z00 * (1 - tx) + z01 * tx) * (1 - ty) + (z10 * (1 - tx) + z11 * tx) * ty AS h FROM (SELECT * FROM p) p JOIN sq ON sq.iy = ky AND sq.ix = kx WHERE z01 IS NOT NULL),
       s AS (SELECT obs_id, az, d, (h - d * d / (2 * {D(geo.EFFECTIVE_RADIUS)}) - (z + {D(1.7)})) / d AS t FROM h)
-      SELECT ob.obs_id, az, round(horizon, 6) AS horizon FROM ob JOIN (SELECT obs_id, az, max(t) AS horizon FROM s GROUP BY obs_id, az) USING (obs_id)""", "dem_smooth")
+      {last}""", "dem_smooth")
 
 
-@query(_full_sql())
+@query(_full_sql("SELECT obs_id, az, round(max(t), 6) AS horizon FROM s GROUP BY obs_id, az", "iy % 16 = 8"))
 def viewshed_full(spark, sf_dir):
     """Horizons in eight directions with bilinear samples."""
     cells = fx.dem_smooth(spark, sf_dir)
@@ -282,11 +282,13 @@ def viewshed_full(spark, sf_dir):
     return out.where("horizon IS NOT NULL").select("obs_id", "az", R6("horizon").alias("horizon"))
 
 
-@query()
+@query(_full_sql("""w AS (SELECT *, max(t) OVER (PARTITION BY obs_id, az ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), m AS (SELECT obs_id, az, max(d) AS md FROM w WHERE before IS NULL OR t > before GROUP BY obs_id, az)
+      SELECT ob.obs_id, CAST(a AS INT) AS az, coalesce(md, 0) AS max_dist FROM ob CROSS JOIN range(8) r(a) LEFT JOIN m ON m.obs_id = ob.obs_id AND m.az = a""".replace("w AS", ", w AS", 1), "iy % 16 = 8").replace("FROM h)\n      ,", "FROM h),"))
 def tile_build(spark, sf_dir):
-    """The bulk form over tiles with a halo, by Arrow; the tests hold it against the relational form."""
+    """The bulk form over tiles with a halo, by Arrow."""
     cells = fx.dem_smooth(spark, sf_dir).withColumn("is_water", F.col("z") <= 190)
-    out = viewshed.compute_tiles(_towers(spark, sf_dir), cells, 25.0, 64, 1.7, 8, steps=EIGHT)
+    seen = cells.where("ix < 40 AND iy % 16 = 8").select((F.col("iy") * 64 + F.col("ix")).alias("obs_id"), (F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"))
+    out = viewshed.compute_tiles(seen, cells, 25.0, 64, 1.7, 8, steps=EIGHT)
     return out.select("obs_id", F.posexplode("max_dist").alias("az", "max_dist"))
 
 
