@@ -1,11 +1,15 @@
-"""Writers of region tables, pyramids, byte tiles and contours, and the guard on where they write."""
+"""Writers of region tables, pyramids, byte tiles, images and contours, and the guard on where they write."""
 
 from __future__ import annotations
 
 import shutil
+import struct
+import zlib
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +65,23 @@ def byte_tiles(cells: DataFrame, value: str, width: int = 1, name: str | None =
 def write_contours(lines: DataFrame, path: str, lat0: float, lon0: float) -> None:
     """One GeoJSON feature a line, written in parallel."""
     features(lines, lat0, lon0).write.mode("overwrite").text(path)
+
+
+def _png(rgba) -> bytes:
+    """An 8-bit RGBA image, top row first, as a PNG file."""
+    height, width = rgba.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rgba.reshape(height, width * 4)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def png_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
+    """``(tile_y, tile_x, png)`` of pixels ``py, px, r, g, b, a`` (0 to 255, py down); missing pixels are clear. A task holds one tile."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((tile, tile, 4), np.uint8)
+        image[frame["py"] % tile, frame["px"] % tile] = frame[["r", "g", "b", "a"]].fillna(0).clip(0, 255).astype(np.uint8)
+        return pd.DataFrame({"tile_y": [key[0]], "tile_x": [key[1]], "png": [_png(image)]})
+
+    at = pixels.withColumns({"tile_y": F.floor(F.col("py") / tile).cast("long"), "tile_x": F.floor(F.col("px") / tile).cast("long")})
+    return at.groupBy("tile_y", "tile_x").applyInPandas(run, "tile_y long, tile_x long, png binary")

@@ -143,3 +143,30 @@ def test_spot_stream(spark, tmp_path):
     spark.createDataFrame([("2026-01-01T00:00:00", 55.0, 11.0), ("2026-01-01T00:01:00", 55.0, 11.0), ("2026-01-01T00:02:00", None, 11.0)], "ts string, lat double, lon double").write.json(source)
     stream = spark.readStream.schema("ts timestamp, lat double, lon double").json(source)
     assert jobs.to_the_end(jobs.new_spots(stream), spark, str(tmp_path / "run"), "append").count() == 1
+
+
+def test_png_tiles(spark):
+    import struct
+    import zlib
+
+    pixels = spark.createDataFrame([(0, 0, 255, 0, 0, 255), (1, 2, 0, 9, 300, None), (5, 5, 1, 2, 3, 4)], "py long, px long, r int, g int, b int, a int")
+    got = {(r["tile_y"], r["tile_x"]): bytes(r["png"]) for r in stores.png_tiles(pixels, 4).collect()}
+    assert set(got) == {(0, 0), (1, 1)}
+    raw = got[(0, 0)]
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", raw[16:24]) == (4, 4)
+    size = struct.unpack(">I", raw[33:37])[0]
+    lines = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(4, 17)[:, 1:].reshape(4, 4, 4)
+    assert lines[0, 0].tolist() == [255, 0, 0, 255] and lines[1, 2].tolist() == [0, 9, 255, 0]
+
+
+def test_sun_view(spark):
+    from overlook.operators.sunlight import sun_view
+
+    rows = [(y, x, 150.0 if y == 3 else 10.0, 5.0 if (y, x) == (15, 5) else 0.0, y != 0) for y in range(20) for x in range(12)]
+    cells = spark.createDataFrame(rows, "iy long, ix long, z double, canopy double, valid boolean")
+    day = {(r["iy"], r["ix"]): r["lit"] for r in sun_view(cells, "2026-12-21 11:10:00", 57.0, 0.001, 12.0, 0.002, 100.0).collect()}
+    # low southern sun at midwinter noon: the wall in the south shades what lies north of it
+    assert day[(3, 5)] and not day[(5, 5)] and not day[(15, 5)] and day[(19, 6)] and day[(2, 5)]
+    night = sun_view(cells, "2026-12-21 23:10:00", 57.0, 0.001, 12.0, 0.002, 100.0)
+    assert night.where("lit").count() == 0 and sun_view(cells.limit(0), "2026-12-21 11:10:00", 57.0, 0.001, 12.0, 0.002, 100.0).count() == 0
+    assert sun_view(cells, "2026-06-21 10:10:00", 57.0, 0.001, 12.0, 0.002, 100.0, trees=False, compat=True).where("lit").count() > 200
