@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overlook.llm.common import bounded_batches, table
-from overlook.plans.shared import fresh_path, written
+from overlook.plans.shared import cut, fresh_path, written
 
 #: Payloads of fewer bytes are never deduplicated.
 MIN_BYTES = 0
 #: Records in an archive file at most: bounds what the reader of one file meets.
 RECORDS_PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
+#: Places (about 100 bytes each) of payloads that stand twice, up to which they are broadcast; beyond, payloads are shuffled.
+BROADCAST_ROWS = 100_000
 #: Fixed values of the WARC/1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -176,7 +178,7 @@ def header(name: str, column: str = "header") -> Column:
     return F.when(found != "", found)
 
 
-def content_store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def content_store(records: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads): exact header and protocol bytes a record, and payload bytes once by SHA-256.
 
     A record with a payload of its own points to that payload's SHA-256. A record that revisits another has none: it is
@@ -191,9 +193,14 @@ def content_store(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounded_batches(records.sparkSession)
     own = F.col("type") != "revisit"
     headers = parts.select("file", "pos", "header", "protocol", "type", "verified", F.coalesce("declared", "sha1").alias("digest"), F.when(own, F.col("sha256")).alias("sha256"))
-    # one place for each payload: the first record that holds it, found without moving bytes
-    first = parts.where(own & F.col("verified")).groupBy("sha256").agg(F.min(F.struct("file", "pos")).alias("at")).select(F.col("sha256").alias("st_sha256"), "at.file", "at.pos")
-    payloads = parts.where(own & F.col("verified")).join(first, ["file", "pos"]).select("sha256", F.col("sha1").alias("digest"), "length", "block")
+    # archives that hold a payload twice are rare: the later places go, found without moving payloads
+    kept = parts.where(own & F.col("verified"))
+    places = kept.select("sha256", "file", "pos")
+    first = places.groupBy("sha256").agg(F.min(F.struct("file", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1")
+    later = cut(places.join(first, "sha256").where(F.struct("file", "pos") != F.col("at")).select("file", "pos"))
+    if later.count() <= broadcast_rows:
+        later = F.broadcast(later)
+    payloads = kept.join(later, ["file", "pos"], "left_anti").select("sha256", F.col("sha1").alias("digest"), "length", "block")
     return headers, payloads
 
 
