@@ -35,19 +35,24 @@ def flat_cells(cells: DataFrame, tolerance: float = 0.01, value: str = "z", y: s
 
 
 def land_quartile(cells: DataFrame, value: str, radius: int, rows: int | None = None, cols: int | None = None, share: float = 0.25, y: str = "gy", x: str = "gx") -> DataFrame:
-    """``(y, x, value)``: the floor(n * share)-th smallest value of the land cells around each land cell.
+    """``cells`` with ``value`` made the floor(n * share)-th smallest value of the land cells around each land cell.
 
     ``cells`` holds land only, so water neither scores nor counts. With ``rows`` and ``cols`` the border ring of
     ``radius`` cells gets 0. A radius of 0 leaves values as they are. At most (2 * radius + 1) ** 2 values meet in a cell.
+    A cell's other columns travel with the copy of its value that stays in place: one shuffle, no join.
     """
     if radius < 1:
-        return cells.select(y, x, value)
-    near = spread(cells, radius, value, y, x).groupBy(y, x).agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    got = cells.select(y, x).join(near, [y, x]).select(y, x, F.element_at("vs", (F.floor(F.size("vs") * F.lit(share)) + 1).cast("int")).alias(value))
-    if rows is None or cols is None:
-        return got
-    inner = F.col(y).between(radius, rows - 1 - radius) & F.col(x).between(radius, cols - 1 - radius)
-    return got.withColumn(value, F.when(inner, F.col(value)).otherwise(F.lit(0).cast(got.schema[value].dataType)))
+        return cells
+    rest = [c for c in cells.columns if c not in (y, x)]
+    sent = cells.select(F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(value).alias("v"), F.struct(*rest).alias("own"), _offsets(radius).alias("o"))
+    stays = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
+    sent = sent.select((F.col("_y") + F.col("o.dy")).alias(y), (F.col("_x") + F.col("o.dx")).alias(x), "v", F.when(stays, F.col("own")).alias("own"))
+    near = sent.groupBy(y, x).agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("v")).alias("vs")).where("own IS NOT NULL")
+    low = F.element_at("vs", (F.floor(F.size("vs") * F.lit(share)) + 1).cast("int"))
+    if rows is not None and cols is not None:
+        inner = F.col(y).between(radius, rows - 1 - radius) & F.col(x).between(radius, cols - 1 - radius)
+        low = F.when(inner, low).otherwise(F.lit(0).cast(cells.schema[value].dataType))
+    return near.select(*[low.alias(value) if c == value else F.col(c) if c in (y, x) else F.col(f"own.{c}") for c in cells.columns])
 
 
 def _mirrored(i: Column, n: int) -> Column:

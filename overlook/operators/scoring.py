@@ -41,16 +41,16 @@ class ViewQuery:
         return keep & F.col("lit") if "lit" in df.columns else keep
 
     def score(self, signatures: DataFrame, step: float, rows: int | None = None, cols: int | None = None, max_distance: float = MAX_DISTANCE) -> DataFrame:
-        """Signatures that pass, with ``reach`` held up over a plot: first the neighbourhood quartile, then the filters.
+        """Signatures that pass, without ``dist``, with ``reach`` held up over a plot: first the quartile, then the filters.
 
         ``signatures``: ``gy, gx, valid, dist`` and what the filters name: ``canopy``, ``water`` (bits), ``drop``,
         ``lit``. In that order a failing neighbour cannot take a place down. Where a cell is wider than twice the
         radius, values stay as they are.
         """
-        own = self.reach(signatures, max_distance)
+        own = self.reach(signatures, max_distance).drop("dist")
         radius = int(self.plot_radius_m / step + 0.5)
         if radius >= 1:
-            own = own.drop("reach").join(land_quartile(own, "reach", radius, rows, cols), ["gy", "gx"])
+            own = land_quartile(own, "reach", radius, rows, cols)
         return own.where(self.filters(own))
 
 

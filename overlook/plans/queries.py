@@ -107,7 +107,7 @@ def plot_quartile(spark, sf_dir):
     """The lower quartile of land neighbours; water has no part in it."""
     wide = fx.sig_wide(spark, sf_dir).where("valid")
     total = F.aggregate(wedge.picked(F.col("dist"), EAST), F.lit(0).cast("long"), lambda a, x: a + x)
-    return neighbourhood.land_quartile(wide.withColumn("total", total), "total", 1)
+    return neighbourhood.land_quartile(wide.select("gy", "gx", total.alias("total")), "total", 1)
 
 
 @query(with_fixtures(""", n AS (SELECT CAST(max(gy) AS BIGINT) + 1 AS rows FROM sig_long), g AS (SELECT gy, gx, dist_u8 AS v, rows FROM sig_long, n WHERE az = 0 AND gy < rows),
