@@ -14,16 +14,17 @@ from overlook.llm import chat, warc
 PAGES = "page_id long, url string, html string"
 
 
-def round_trip(spark, tmp_path, rows):
-    path = str(tmp_path / "w")
-    warc.write_archives(warc.page_records(spark.createDataFrame(rows, PAGES)), path, per_file=3)
+def round_trip(spark, tmp_path, rows, limit=warc.BROADCAST_ROWS):
+    path = str(tmp_path / f"w{limit}")
+    warc.write_archives(warc.page_records(spark.createDataFrame(rows, PAGES), broadcast_rows=limit), path, per_file=3)
     return warc.rebuild(*warc.content_store(warc.read_archives(spark, path)))
 
 
-def test_pages_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("limit", [warc.BROADCAST_ROWS, 0])
+def test_pages_round_trip(spark, tmp_path, limit):
     hard = "WARC/1.1\r\n\r\n\r\n<a>\n\r\n\r\nContent-Length: 3\r\n\r\n é  end\r\n"
     rows = [(1, "http://a\r\nX: y", hard), (2, None, hard), (3, "u", None), (4, "u", ""), (5, "v", "x" * 300_000), (6, "v", hard), (7, "w", "one"), (7, "w", "one"), (None, "n", "one")]
-    got = [(r["page"], r["type"], r["to"], bytes(r["payload"]).decode()) for r in round_trip(spark, tmp_path, rows).select(warc.header("WARC-Page").cast("long").alias("page"), "type", warc.header("WARC-Refers-To-Page").cast("long").alias("to"), "payload").collect()]
+    got = [(r["page"], r["type"], r["to"], bytes(r["payload"]).decode()) for r in round_trip(spark, tmp_path, rows, limit).select(warc.header("WARC-Page").cast("long").alias("page"), "type", warc.header("WARC-Refers-To-Page").cast("long").alias("to"), "payload").collect()]
     want = [(1, "revisit", 6, hard), (2, "revisit", 6, hard), (3, "revisit", 4, ""), (4, "response", None, ""), (5, "response", None, "x" * 300_000), (6, "response", None, hard), (7, "response", None, "one"), (7, "response", None, "one"), (None, "revisit", 7, "one")]
     assert sorted(got, key=str) == sorted(want, key=str)
 

@@ -157,3 +157,51 @@ def test_mix_edges(spark):
     got = mixing.mix(d).collect()
     assert {r["doc_id"] for r in got} <= {3, None} and all(r["topic"] == "prose" for r in got)
     assert mixing.mix(d.limit(0)).count() == 0
+
+
+def naive_leaks(docs_rows, items):
+    """The whole operator in plain Python: windows as word tuples, slots in order of their placeholders."""
+    import math
+
+    import regex
+
+    names, numbers, breaks = (regex.compile(p) for p in (decontaminate.NAMES, decontaminate.NUMBERS, decontaminate.BREAKS))
+    name, number = decontaminate.NAME, decontaminate.NUMBER
+
+    def read(text):
+        named = names.sub(lambda m: m[1] + name, text)
+        words = [w for w in breaks.split(numbers.sub(f" {number} ", named).lower()) if w]
+        n = iter([m[2].replace(" ", "").lower() for m in names.finditer(text)])
+        d = iter([m[0].replace(" ", "").lower() for m in numbers.finditer(named)])
+        return words, ["n:" + next(n) if w == name else "#:" + next(d) if w == number else None for w in words]
+
+    out, size = {}, decontaminate.WINDOW
+    read_items = {i: read(t) for i, t in items if t}
+    for doc, text in docs_rows:
+        if text is None:
+            continue
+        words, slots = read(text)
+        at = {}
+        for s in {min(size, len(w)) for w, _ in read_items.values() if len(w) >= decontaminate.MIN_WORDS}:
+            for p in range(len(words) - s + 1):
+                at.setdefault(tuple(words[p : p + s]), []).append(p)
+        for item, (iw, islots) in read_items.items():
+            if len(iw) < decontaminate.MIN_WORDS:
+                continue
+            s = min(size, len(iw))
+            windows = range(len(iw) - s + 1)
+            hits = [(p, q) for p in windows for q in at.get(tuple(iw[p : p + s]), ())]
+            found = len({p for p, _ in hits})
+            if found < max(min(decontaminate.MIN_WINDOWS, len(windows)), math.ceil(len(windows) * decontaminate.COVERAGE)):
+                continue
+            pairs = {(islots[p + k], slots[q + k]) for p, q in hits for k in range(s) if islots[p + k] is not None}
+            if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                out[doc, item] = "reparameterised" if any(a != b for a, b in pairs) else "exact"
+    return out
+
+
+def test_leaks_equal_plain_python(spark, small):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in registry.QUERIES["op5_decontaminate"](spark, small).collect()}
+    assert got and got == naive_leaks(rows, items)
