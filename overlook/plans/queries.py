@@ -478,9 +478,17 @@ def sunset_minute(spark, sf_dir):
     return sun.horizon_crossing(places).withColumn("day", F.col("day").cast("string"))
 
 
-@query()
+_DRIFT = math.sin(math.radians(190)) / abs(math.cos(math.radians(190)))
+
+
+# the light drifts west by less than a cell a row: it crosses the row before between columns j - 1 and j
+@query(with_fixtures(f""", r AS MATERIALIZED (SELECT iy, list(CAST(z AS DOUBLE) ORDER BY ix) AS b FROM dem_smooth GROUP BY iy),
+    s AS (SELECT iy, b, list_transform(b, lambda x: {D(-1e9)}) AS sh FROM r WHERE iy = 0
+      UNION ALL SELECT r.iy, r.b, list_transform(range(1, 65), lambda j: CASE WHEN j = 1 THEN {D(-1e9)} ELSE t.top[j - 1] + (t.top[j] - t.top[j - 1]) * {D(_DRIFT + 1)} - {D(0.2 * 25 * math.hypot(1, _DRIFT))} END)
+        FROM (SELECT iy, list_transform(range(1, 65), lambda j: greatest(b[j], sh[j])) AS top FROM s) t JOIN r ON r.iy = t.iy + 1)
+    SELECT iy, CAST(generate_subscripts(b, 1) - 1 AS BIGINT) AS ix, unnest(list_transform(range(1, 65), lambda j: b[j] + {D(1.7)} >= sh[j])) AS lit FROM s""", "dem_smooth", recursive=True))
 def sunlit_mask(spark, sf_dir):
-    """Cells that see a low southern sun; the tests hold the sweep against marched rays."""
+    """Cells that see a low southern sun, swept in tiles."""
     from overlook.operators.sunlight import sunlit
 
     cells = fx.dem_smooth(spark, sf_dir).select("iy", "ix", F.col("z").cast("double").alias("z"), F.lit(0.0).alias("canopy"), F.lit(1.7).alias("eye_m"), F.lit(0.2).alias("sun_tangent"))
