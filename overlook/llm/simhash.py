@@ -32,6 +32,8 @@ SEGMENTS = 8
 SEED = 42
 #: Different fingerprints with one key up to which they are joined pairwise; larger groups meet in points.
 PAIRWISE = 32
+#: The same for finer keys: with more, a fingerprint's 20 keys have more pairs than it has points.
+PAIRWISE_FINE = 200
 #: Shingles hashed at once.
 CHUNK = 1 << 16
 
@@ -141,8 +143,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, tau: int = TAU, segments: int = SEGMENTS, pairwise: int = PAIRWISE) -> DataFrame:
+def links(fps: DataFrame, tau: int = TAU, segments: int = SEGMENTS, pairwise: int | None = None, pairwise_fine: int | None = None) -> DataFrame:
     """Links ``(u, v)`` among distinct ``fp``: all of them under keys of few, enough to keep components whole elsewhere."""
+    pairwise, pairwise_fine = pairwise or PAIRWISE, pairwise_fine or PAIRWISE_FINE
     if tau != 3:
         pairwise = 1 << 62  # the points below are for three bits; other thresholds join pairwise throughout
     shared = _shared(fps.select("fp", F.explode(ring_keys(F.col("fp"), tau, segments)).alias("k")), "simhash-keys")
@@ -154,9 +157,9 @@ def links(fps: DataFrame, tau: int = TAU, segments: int = SEGMENTS, pairwise: in
         return pairs
     crowd = shared.where(F.col("n") > pairwise).select("fp").distinct()
     fine = _shared(crowd.select("fp", F.explode(fine_keys(F.col("fp"), tau)).alias("k")), "simhash-fine")
-    some = fine.where(F.col("n") <= pairwise)
+    some = fine.where(F.col("n") <= pairwise_fine)
     pairs = pairs.union(some.alias("a").join(some.alias("b"), near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")))
-    many = fine.where(F.col("n") > pairwise).select("fp").distinct()
+    many = fine.where(F.col("n") > pairwise_fine).select("fp").distinct()
     one = [0, *(1 << i for i in range(64))]
     first = many.select("fp", F.explode(F.lit([_signed(m) for m in one])).alias("m"))
     # a second bit below the first one: each pair of bits comes once; the shuffle deals the fan-out evenly
