@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlook.operators.lattice import bilinear, corners
-from overlook.operators.scoring import DROP_SCALE, sustained_descent
+from overlook.operators.scoring import DROP_SCALE
 
 #: Metres at which heights are compared.
 DISTANCES = (250.0, 500.0, 1000.0, 2000.0)
@@ -29,5 +29,3 @@ def descents(spark, observers: DataFrame, terrain: DataFrame, cell: float, azimu
     least = at.groupBy("obs_id", "az").agg(F.min(angle).alias("least"))
     return least.select("obs_id", "az", F.floor(F.greatest(F.least(F.col("least") * DROP_SCALE, F.lit(255.0)), F.lit(0.0))).cast("int").alias("drop"))
 
-
-__all__ = ["DISTANCES", "descents", "sustained_descent"]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from overlook.functions import colour, geo, sun, wedge
-from overlook.functions.spots import decode_share, encode_share, route_url, search_url, spot_id
+from overlook.functions.spots import decode_share, encode_share, route_url, search_url
 from overlook.operators import lattice, neighbourhood, pyramid, relief, reports, scoring, tiles, viewshed, water
 from overlook.operators import spots as spot_lists
 from overlook.plans import fixtures as fx
@@ -675,4 +675,4 @@ def latest_event(spark, sf_dir):
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
 
 
-__all__ = ["QUERIES", "SQL", "spot_id"]
+__all__ = ["QUERIES", "SQL"]
