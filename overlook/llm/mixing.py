@@ -40,7 +40,8 @@ def tempered_targets(cells: DataFrame, temperature: dict[str, float] = TEMPERATU
     out = {}
     for d, power in temperature.items():
         by = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow(F.col("t").cast("double"), F.lit(float(power))))
-        out[d] = by.join(by.agg(F.sum("p").alias("all_p"))).select(d, (F.col("p") / F.col("all_p")).alias("target"))
+        whole = by.agg(F.sum("p")).first()[0] or 1.0
+        out[d] = by.select(d, (F.col("p") / F.lit(whole)).alias("target"))
     return out
 
 
@@ -50,9 +51,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     ``targets[d]`` has ``(d, target)``, shares that sum to 1; a value without a target keeps weight 0. Empty cells keep 0.
     Each step divides by the window sum over one dimension: a shuffle of the cell table, whatever the corpus holds.
     """
-    # a window without a key would gather all cells in one task: the total comes from an aggregate
-    total = cells.agg(F.sum("tokens").cast("double").alias("mx_all"))
-    now = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.when(F.col("mx_all") > 0, F.col("mx_all")))
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for d, t in targets.items():
         now = now.join(t.withColumnRenamed("target", f"mx_{d}"), d, "left").withColumn(f"mx_{d}", F.coalesce(f"mx_{d}", F.lit(0.0)))
     now = cut(now.withColumn("weight", F.coalesce("weight", F.lit(0.0))))
@@ -61,15 +61,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             s = F.sum("weight").over(W.partitionBy(d))
             now = now.withColumn("weight", F.when(s > 0, F.col("weight") * F.col(f"mx_{d}") / s).otherwise(0.0))
         now = cut(now)
-    return now.drop("mx_all", *(f"mx_{d}" for d in targets))
+    return now.drop(*(f"mx_{d}" for d in targets))
 
 
 def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` with ``weight`` and ``probability`` = weight / token share, scaled so that the largest is 1."""
     fitted = rake(cells, targets or tempered_targets(cells), rounds)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    top = fitted.agg(F.max(ratio).alias("mx_top"))
-    return fitted.crossJoin(F.broadcast(top)).withColumn("probability", F.coalesce(ratio / F.col("mx_top"), F.lit(0.0))).drop("mx_top")
+    top = fitted.agg(F.max(ratio)).first()[0] or 1.0
+    return fitted.withColumn("probability", F.coalesce(ratio / F.lit(top), F.lit(0.0)))
 
 
 def uniform(seed: str, id_column: Column) -> Column:
