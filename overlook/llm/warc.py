@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ MIN_BYTES = 0
 #: Records in an archive file at most: bounds what the reader of one file meets.
 RECORDS_PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
-#: Places (about 100 bytes each) of payloads that stand twice, up to which they are broadcast; beyond, payloads are shuffled.
+#: Revisits, and places of payloads that stand twice (about 100 bytes each), up to which they are broadcast; beyond, payloads are shuffled.
 BROADCAST_ROWS = 100_000
 #: Fixed values of the WARC/1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,13 +47,14 @@ def record_uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(record)``: one WARC record a row of ``pages``, as text.
 
     A null html is an empty payload, a null url an empty URI; line breaks in a url are percent-encoded. Of equal payloads
     of ``min_bytes`` at least, the row with the largest page_id is the response and rows with a smaller page_id, or none,
-    revisit it; rows that share that largest page_id are all responses. Only ids and digests are shuffled to find it;
-    payloads then move once, by page_id and digest, so that copies of one payload spread.
+    revisit it; rows that share that largest page_id are all responses. Only ids and digests are shuffled to find it. Up
+    to ``broadcast_rows`` revisits are broadcast; beyond, payloads move once, by page_id and digest, so that copies of
+    one payload spread.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
@@ -64,6 +64,9 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     revisits = (
         ids.join(last, ["digest", "size"]).where(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))).select(F.col("page_id").alias("rv_id"), F.col("digest").alias("rv_digest"), "keeper").distinct()
     )
+    revisits = cut(revisits)
+    if revisits.count() <= broadcast_rows:
+        revisits = F.broadcast(revisits)
     whole = named.join(revisits, F.col("page_id").eqNullSafe(F.col("rv_id")) & (F.col("digest") == F.col("rv_digest")), "left")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
     is_revisit = F.col("keeper").isNotNull()
