@@ -3,7 +3,8 @@
 Only DataFrame operations. A text is canonicalised (runs of names, numbers and a number's unit become one placeholder
 each), split into words, and every window of ``WINDOW`` words is hashed. Windows meet the benchmark's in a hash join;
 where enough of an item's windows are found in a document, slot values are compared: an item value must stand for one
-document value throughout, and the other way round. That also catches questions whose numbers or names were changed.
+document value throughout an occurrence. That also catches questions whose numbers or names were changed. A document may
+hold an item in several versions, so each occurrence is judged by itself, and one that fits is enough.
 """
 
 from __future__ import annotations
@@ -63,12 +64,28 @@ def _slots(words: str, names: str, numbers: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(bm_item, bm_pos, bm_size, bm_hash, bm_windows)``; an item shorter than ``window`` is one window of its length."""
+    """``(bm_item, bm_pos, bm_size, bm_hash, bm_windows, bm_typed)``; an item shorter than ``window`` is one window of its length.
+
+    ``bm_typed`` says whether the item has a placeholder at all.
+    """
     words = benchmark.select(F.col(item).alias("bm_item"), template_words(F.col(text)).alias("bm_words")).where(F.size("bm_words") >= min_words)
     hashes = F.transform("bm_words", lambda w: F.xxhash64(w))
     whole = F.array(F.xxhash64(hashes))
     got = words.withColumn("bm_size", F.least(F.size("bm_words"), F.lit(window))).withColumn("bm_all", F.when(F.size("bm_words") <= window, whole).otherwise(_windows(hashes, window)))
-    return got.select("bm_item", "bm_size", F.size("bm_all").alias("bm_windows"), F.posexplode("bm_all").alias("bm_pos", "bm_hash"))
+    typed = F.exists("bm_words", lambda w: w.isin(NAME, NUMBER))
+    return got.select("bm_item", "bm_size", F.size("bm_all").alias("bm_windows"), typed.alias("bm_typed"), F.posexplode("bm_all").alias("bm_pos", "bm_hash"))
+
+
+def _places(shift: Column, words: Column) -> Column:
+    """The places that a hit is judged in; ``shift`` is its position in the document less that in the item.
+
+    An unchanged occurrence has one shift. In one with words added or left out shifts lie close together, while those of
+    two whole occurrences are ``words`` apart at least: strips of that width, laid twice with half a width between, hold
+    each occurrence whose shifts differ by half its length at most, and never two whole ones. Last, the whole document,
+    for an item that is spread over it.
+    """
+    strip = lambda kind, at: F.struct(F.lit(kind).alias("kind"), F.floor(at).cast("long").alias("at"))
+    return F.array(strip(0, shift), strip(1, shift / words), strip(2, shift / words + 0.5), strip(3, F.lit(0)))
 
 
 def find_leaks(
@@ -77,7 +94,8 @@ def find_leaks(
     """``(doc_id, doc_hash, item_id, windows, item_windows, slots, kind)``: the items that leak into each document.
 
     ``doc_hash`` is xxhash64 of the text, so that rows which repeat a doc_id with another text stay apart; equal rows
-    give one result. ``kind`` is ``exact`` if all slot values agree, else ``reparameterised``. Null or empty texts match
+    give one result. ``kind`` is ``exact`` if all slot values of some occurrence agree, else ``reparameterised``; ``windows`` and
+    ``slots`` are those of the best occurrence. Null or empty texts match
     nothing, as do items of fewer than MIN_WORDS words; a null doc_id is a document like any other. An empty benchmark
     or table gives no rows. An item counts once for each document, however often it is repeated in it.
     """
@@ -98,34 +116,36 @@ def find_leaks(
     met = hits.join(bench, ["bm_hash", "bm_size"])
     need = F.greatest(F.least(F.lit(min_windows), F.col("item_windows")), F.ceil(F.col("item_windows") * F.lit(float(coverage))))
     found = (
-        met.groupBy(*keys, "bm_item").agg(F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows")).where(F.col("windows") >= need)
+        met.groupBy(*keys, "bm_item").agg(F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.max("bm_typed").alias("typed")).where(F.col("windows") >= need)
     )
     found = cut(found)
     # slot values are read only from documents and items that met
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    few = found.select(*keys).distinct().toDF("fk_id", "fk_hash")
+    few = found.where("typed").select(*keys).distinct().toDF("fk_id", "fk_hash")
     texts = ids.withColumn("dc_hash", F.xxhash64("dc_text")).join(few, same("dc_id", "fk_id") & same("dc_hash", "fk_hash"), "left_semi").dropDuplicates(keys)
     dn, dm = slot_values(F.col("dc_text"))
     doc_slots = texts.select(*keys, template_words(F.col("dc_text")).alias("w"), dn.alias("n"), dm.alias("m")).select(F.col("dc_id").alias("sk_id"), F.col("dc_hash").alias("sk_hash"), _slots("w", "n", "m").alias("dc_slots"))
     bn, bm = slot_values(F.col("text"))
-    item_slots = benchmark.select(F.col("item_id").alias("bm_item"), template_words(F.col("text")).alias("w"), bn.alias("n"), bm.alias("m")).select("bm_item", _slots("w", "n", "m").alias("bm_slots"))
+    item_slots = benchmark.select(F.col("item_id").alias("ik_item"), template_words(F.col("text")).alias("w"), bn.alias("n"), bm.alias("m")).select("ik_item", _slots("w", "n", "m").alias("bm_slots"))
     placed = (
-        met.join(found.select(F.col("dc_id").alias("pk_id"), F.col("dc_hash").alias("pk_hash"), F.col("bm_item").alias("pk_item")), same("dc_id", "pk_id") & same("dc_hash", "pk_hash") & (F.col("bm_item") == F.col("pk_item")), "left_semi")
-        .join(item_slots.where(F.exists("bm_slots", lambda x: x.isNotNull())), "bm_item")
-        .join(doc_slots, same("dc_id", "sk_id") & same("dc_hash", "sk_hash"))
+        met.where("bm_typed").join(found.select(F.col("dc_id").alias("pk_id"), F.col("dc_hash").alias("pk_hash"), F.col("bm_item").alias("pk_item")), same("dc_id", "pk_id") & same("dc_hash", "pk_hash") & same("bm_item", "pk_item"), "left_semi")
+        .withColumn("shift", F.col("dc_pos") - F.col("bm_pos"))
     )
-    pairs = placed.select(
-        *keys, "bm_item",
-        F.explode(F.arrays_zip(F.slice("bm_slots", F.col("bm_pos") + 1, F.col("bm_size")).alias("i"), F.slice("dc_slots", F.col("dc_pos") + 1, F.col("bm_size")).alias("d"))).alias("s"),
-    ).where("s.i IS NOT NULL").select(*keys, "bm_item", "s.i", "s.d").distinct()
-    slots = pairs.groupBy(*keys, "bm_item").agg(
-        F.count("*").alias("n"), F.count_distinct("i").alias("n_i"), F.count_distinct("d").alias("n_d"), F.count_if(F.col("i") != F.col("d")).alias("changed")
-    ).select(F.col("dc_id").alias("jk_id"), F.col("dc_hash").alias("jk_hash"), F.col("bm_item").alias("jk_item"), "n", "n_i", "n_d", "changed")
-    out = found.join(slots, same("dc_id", "jk_id") & same("dc_hash", "jk_hash") & (F.col("bm_item") == F.col("jk_item")), "left")
-    consistent = F.col("n").isNull() | ((F.col("n") == F.col("n_i")) & (F.col("n") == F.col("n_d")))
-    return out.where(consistent).select(
-        F.col("dc_id").alias("doc_id"), F.col("dc_hash").alias("doc_hash"), F.col("bm_item").alias("item_id"), F.col("windows").cast("long"), F.col("item_windows").cast("long"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("slots"), F.when(F.coalesce("changed", F.lit(0)) > 0, "reparameterised").otherwise("exact").alias("kind"),
+    of = [*keys, "bm_item", "bm_windows", "bm_size", "shift"]
+    covers = placed.select(*of, "bm_pos", F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("d")).distinct()
+    pairs = placed.join(item_slots, same("bm_item", "ik_item")).join(doc_slots, same("dc_id", "sk_id") & same("dc_hash", "sk_hash")).select(
+        *of, F.explode(F.arrays_zip(F.slice("bm_slots", F.col("bm_pos") + 1, F.col("bm_size")).alias("i"), F.slice("dc_slots", F.col("dc_pos") + 1, F.col("bm_size")).alias("d"))).alias("s"),
+    ).where("s.i IS NOT NULL").select(*of, F.lit(None).cast("int").alias("bm_pos"), "s.i", F.coalesce("s.d", F.lit("")).alias("d")).distinct()
+    places = covers.unionByName(pairs).withColumn("place", F.explode(_places(F.col("shift"), F.col("bm_windows") + F.col("bm_size") - 1)))
+    judged = places.groupBy(*keys, "bm_item", "place").agg(
+        F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.count_distinct("i", "d").alias("n"), F.count_distinct("i").alias("n_i"), F.count_if(F.col("i") != F.col("d")).alias("changed")
+    ).where((F.col("windows") >= need) & (F.col("n") == F.col("n_i")))
+    fits = judged.select(*keys, "bm_item", (F.col("changed") == 0).alias("exact"), "windows", "item_windows", "n")
+    fits = fits.unionByName(found.where("NOT typed").select(*keys, "bm_item", F.lit(True).alias("exact"), "windows", "item_windows", F.lit(0).cast("long").alias("n")))
+    out = fits.groupBy(*keys, "bm_item").agg(F.max(F.struct("exact", "windows", "item_windows", "n")).alias("best"))
+    return out.select(
+        F.col("dc_id").alias("doc_id"), F.col("dc_hash").alias("doc_hash"), F.col("bm_item").alias("item_id"), F.col("best.windows").cast("long").alias("windows"), F.col("best.item_windows").cast("long").alias("item_windows"),
+        F.col("best.n").cast("long").alias("slots"), F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
     )
 
 

@@ -114,6 +114,16 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert leaks(spark, [(1, item), (2, bad)], [(7, item)]) == {(1, 7): "exact"}
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    other = QUESTION.replace("Paris", "Rome").replace("9", "8").replace("120", "95").replace("Lyon", "Bern").replace("4 hours", "7 hours")
+    longer = other.replace("each hour until", "in each single hour until")
+    merged = QUESTION.replace("Lyon", "Paris")  # two values of the item become one
+    rows = [(1, f"{QUESTION}. {other}."), (2, f"{other}. {QUESTION}. {other}."), (3, f"{longer}. {QUESTION.replace('each hour', 'each full hour')}. {longer}."), (4, merged)]
+    assert leaks(spark, rows) == {(1, 1): "exact", (2, 1): "exact", (3, 1): "exact", (4, 1): "reparameterised"}
+    both = leaks(spark, rows[:1], [(1, QUESTION), (2, other)])
+    assert both == {(1, 1): "exact", (1, 2): "exact"}
+
+
 def test_leak_edges(spark):
     short = [(1, "too short"), (2, None), (3, "just four plain words")]
     assert leaks(spark, [(1, "x just four plain words y"), (2, "too short")], short) == {(1, 3): "exact"}
