@@ -63,17 +63,30 @@ def _slots(words: str, names: str, numbers: str) -> Column:
     )
 
 
+def item_readings(benchmark: DataFrame, item: str = "item_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(bm_item, bm_read, bm_text, bm_words)``: an item as it stands and, if that differs, as it reads after a word.
+
+    Its first capitalised words are plain words at the start of a sentence, but a name after a word or comma. The second
+    reading has a word set before the item for that, which ``bm_words`` leaves out.
+    """
+    read = F.explode(F.array(F.struct(F.lit(0).alias("bm_read"), F.col(text).alias("bm_text")), F.struct(F.lit(1).alias("bm_read"), F.concat(F.lit("x "), F.ltrim(F.col(text))).alias("bm_text"))))
+    rows = benchmark.select(F.col(item).alias("bm_item"), template_words(F.col(text)).alias("bm_plain"), read.alias("r")).select("bm_item", "bm_plain", "r.*")
+    words = template_words(F.col("bm_text"))
+    rows = rows.withColumn("bm_words", F.when(F.col("bm_read") == 0, F.col("bm_plain")).otherwise(F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))))
+    return rows.where((F.size("bm_words") >= min_words) & ((F.col("bm_read") == 0) | (F.col("bm_words") != F.col("bm_plain")))).drop("bm_plain")
+
+
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(bm_item, bm_pos, bm_size, bm_hash, bm_windows, bm_typed)``; an item shorter than ``window`` is one window of its length.
+    """``(bm_item, bm_read, bm_pos, bm_size, bm_hash, bm_windows, bm_typed)`` of each reading; an item shorter than ``window`` is one window of its length.
 
-    ``bm_typed`` says whether the item has a placeholder at all.
+    ``bm_typed`` says whether the reading has a placeholder at all.
     """
-    words = benchmark.select(F.col(item).alias("bm_item"), template_words(F.col(text)).alias("bm_words")).where(F.size("bm_words") >= min_words)
+    words = item_readings(benchmark, item, text, min_words)
     hashes = F.transform("bm_words", lambda w: F.xxhash64(w))
     whole = F.array(F.xxhash64(hashes))
     got = words.withColumn("bm_size", F.least(F.size("bm_words"), F.lit(window))).withColumn("bm_all", F.when(F.size("bm_words") <= window, whole).otherwise(_windows(hashes, window)))
     typed = F.exists("bm_words", lambda w: w.isin(NAME, NUMBER))
-    return got.select("bm_item", "bm_size", F.size("bm_all").alias("bm_windows"), typed.alias("bm_typed"), F.posexplode("bm_all").alias("bm_pos", "bm_hash"))
+    return got.select("bm_item", "bm_read", "bm_size", F.size("bm_all").alias("bm_windows"), typed.alias("bm_typed"), F.posexplode("bm_all").alias("bm_pos", "bm_hash"))
 
 
 def _places(shift: Column, words: Column) -> Column:
@@ -116,7 +129,7 @@ def find_leaks(
     met = hits.join(bench, ["bm_hash", "bm_size"])
     need = F.greatest(F.least(F.lit(min_windows), F.col("item_windows")), F.ceil(F.col("item_windows") * F.lit(float(coverage))))
     found = (
-        met.groupBy(*keys, "bm_item").agg(F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.max("bm_typed").alias("typed")).where(F.col("windows") >= need)
+        met.groupBy(*keys, "bm_item", "bm_read").agg(F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.max("bm_typed").alias("typed")).where(F.col("windows") >= need)
     )
     found = cut(found)
     # slot values are read only from documents and items that met
@@ -125,19 +138,19 @@ def find_leaks(
     texts = ids.withColumn("dc_hash", F.xxhash64("dc_text")).join(few, same("dc_id", "fk_id") & same("dc_hash", "fk_hash"), "left_semi").dropDuplicates(keys)
     dn, dm = slot_values(F.col("dc_text"))
     doc_slots = texts.select(*keys, template_words(F.col("dc_text")).alias("w"), dn.alias("n"), dm.alias("m")).select(F.col("dc_id").alias("sk_id"), F.col("dc_hash").alias("sk_hash"), _slots("w", "n", "m").alias("dc_slots"))
-    bn, bm = slot_values(F.col("text"))
-    item_slots = benchmark.select(F.col("item_id").alias("ik_item"), template_words(F.col("text")).alias("w"), bn.alias("n"), bm.alias("m")).select("ik_item", _slots("w", "n", "m").alias("bm_slots"))
+    bn, bm = slot_values(F.col("bm_text"))
+    item_slots = item_readings(benchmark).select(F.col("bm_item").alias("ik_item"), F.col("bm_read").alias("ik_read"), F.col("bm_words").alias("w"), bn.alias("n"), bm.alias("m")).select("ik_item", "ik_read", _slots("w", "n", "m").alias("bm_slots"))
     placed = (
-        met.where("bm_typed").join(found.select(F.col("dc_id").alias("pk_id"), F.col("dc_hash").alias("pk_hash"), F.col("bm_item").alias("pk_item")), same("dc_id", "pk_id") & same("dc_hash", "pk_hash") & same("bm_item", "pk_item"), "left_semi")
+        met.where("bm_typed").join(found.select(F.col("dc_id").alias("pk_id"), F.col("dc_hash").alias("pk_hash"), F.col("bm_item").alias("pk_item"), F.col("bm_read").alias("pk_read")), same("dc_id", "pk_id") & same("dc_hash", "pk_hash") & same("bm_item", "pk_item") & (F.col("bm_read") == F.col("pk_read")), "left_semi")
         .withColumn("shift", F.col("dc_pos") - F.col("bm_pos"))
     )
-    of = [*keys, "bm_item", "bm_windows", "bm_size", "shift"]
+    of = [*keys, "bm_item", "bm_read", "bm_windows", "bm_size", "shift"]
     covers = placed.select(*of, "bm_pos", F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("d")).distinct()
-    pairs = placed.join(item_slots, same("bm_item", "ik_item")).join(doc_slots, same("dc_id", "sk_id") & same("dc_hash", "sk_hash")).select(
+    pairs = placed.join(item_slots, same("bm_item", "ik_item") & (F.col("bm_read") == F.col("ik_read"))).join(doc_slots, same("dc_id", "sk_id") & same("dc_hash", "sk_hash")).select(
         *of, F.explode(F.arrays_zip(F.slice("bm_slots", F.col("bm_pos") + 1, F.col("bm_size")).alias("i"), F.slice("dc_slots", F.col("dc_pos") + 1, F.col("bm_size")).alias("d"))).alias("s"),
     ).where("s.i IS NOT NULL").select(*of, F.lit(None).cast("int").alias("bm_pos"), "s.i", F.coalesce("s.d", F.lit("")).alias("d")).distinct()
     places = covers.unionByName(pairs).withColumn("place", F.explode(_places(F.col("shift"), F.col("bm_windows") + F.col("bm_size") - 1)))
-    judged = places.groupBy(*keys, "bm_item", "place").agg(
+    judged = places.groupBy(*keys, "bm_item", "bm_read", "place").agg(
         F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.count_distinct("i", "d").alias("n"), F.count_distinct("i").alias("n_i"), F.count_if(F.col("i") != F.col("d")).alias("changed")
     ).where((F.col("windows") >= need) & (F.col("n") == F.col("n_i")))
     fits = judged.select(*keys, "bm_item", (F.col("changed") == 0).alias("exact"), "windows", "item_windows", "n")

@@ -124,6 +124,14 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert both == {(1, 1): "exact", (1, 2): "exact"}
 
 
+def test_short_items_after_a_plain_word(spark):
+    items = [(1, "What is the capital of France?"), (2, "Which river runs through the old town of the kings?"), (3, "Tom Smith has how many apples in the two old baskets?"), (4, "Name the largest sea")]
+    rows = [(i, f"and he then asked the class {t} They did not know.") for i, t in items]
+    rows += [(i + 10, f"and he then asked the class: {t} They did not know.") for i, t in items] + [(21, "and so he asked What is the capital of Spain? They knew."), (22, "and then Ann Smith has how many apples in the two old baskets?")]
+    want = {(i + more, i): "exact" for i, _ in items for more in (0, 10)}
+    assert leaks(spark, rows, items) == want | {(21, 1): "reparameterised", (22, 3): "reparameterised"}
+
+
 def test_leak_edges(spark):
     short = [(1, "too short"), (2, None), (3, "just four plain words")]
     assert leaks(spark, [(1, "x just four plain words y"), (2, "too short")], short) == {(1, 3): "exact"}
