@@ -152,6 +152,30 @@ def test_chain_never_drops_a_pair_within_tau():
         assert near_copies.chain_within(a, np.array([b], dtype=np.uint64))[0]
 
 
+def test_repeats_do_not_part_near_copies(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    texts = []
+    for base, line, times in [(200, 12, 30), (200, 12, 10), (300, 60, 8), (100, 30, 5)]:
+        for _ in range(5):
+            a, b = some(base), some(line)
+            texts += [f"{a} {b}", a + f" {b}" * times]
+    for _ in range(40):
+        a = some(9)
+        texts += [a, a.rpartition(" ")[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_groups(df).collect()}
+    same_parting([got[i] for i in range(len(texts))], naive_groups(texts))
+
+
+def test_fingerprints_of_short_near_copies_stay_within_tau():
+    rng = random.Random(12)
+    for _ in range(3000):
+        words = [f"w{rng.randrange(9000)}" for _ in range(9)]
+        a, b = (near_copies.sketch(" ".join(w))[1] for w in (words, words[:-1]))
+        assert bin((a ^ b) & (2**64 - 1)).count("1") <= near_copies.TAU
+
+
 def test_keep_one(spark):
     texts = corpus(2)
     rows = [(i + 10, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(12, " \n ", "en", "s", 3), (None, "short text", "en", "s", 9), (13, "short text", "en", "s", 9)]
