@@ -41,6 +41,9 @@ GAPS = ".-_*~'·,:;/\\ #"
 SIGN_COST, SAME_COST, GAP_COST, DROP_COST = 0.7, 6.0, 0.1, 0.5
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|])){2,}(?![^\W_])")
 TRIPLE = re.compile(r"(.)\1\1")
+LETTERS, SAME = re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"(.)\1{3,}")
+#: Characters of a word up to which its reading is remembered.
+LONG = 80
 WORD = re.compile(r"[^\W\d_]+")
 ENDS = ".,;:!?\"'()[]{}<>*#%&$-_~|/\\"
 SYMBOLS = 64
@@ -110,24 +113,38 @@ def options(word: str, i: int) -> list[tuple[str, float]]:
 
 def restore(word: str, model: np.ndarray) -> str:
     """The likeliest reading of an obfuscated word: Viterbi over pairs of last symbols."""
-    beams = {(0, 0): (0.0, "")}
+    beams = {(0, 0): (0.0, None)}  # paths are chains from the last character back, so that long words take linear time
     for i in range(len(word)):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in beams.items():
             for c, extra in options(word, i):
                 s = code(c) if c else 0
                 state, value = ((b, s), cost + extra - model[a, b, s]) if c else ((a, b), cost + extra)
                 if state not in step or value < step[state][0]:
-                    step[state] = (value, path + c)
+                    step[state] = (value, (path, c) if c else path)
         beams = step
-    return min((cost - model[a, b, 0], path) for (a, b), (cost, path) in beams.items())[1]
+    return min((cost - model[a, b, 0], _spelled(path)) for (a, b), (cost, path) in beams.items())[1]
+
+
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 class Restorer:
     """All words of a text: as they stand and, where they look obfuscated, restored. Remembers some words."""
 
     def __init__(self, model: np.ndarray):
-        self.one = functools.lru_cache(maxsize=50_000)(lambda w: restore(w, model))
+        self.short = functools.lru_cache(maxsize=50_000)(lambda w: restore(w, model))
+        self.long = lambda w: restore(w, model)  # not remembered
+
+    def one(self, word: str) -> str:
+        """The reading of a whole word of any length; of more than three equal letters (in long words, characters) three are read."""
+        word = (LETTERS if len(word) <= LONG else SAME).sub(r"\1\1\1", word)
+        return self.short(word) if len(word) <= LONG else self.long(word)
 
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
@@ -137,11 +154,11 @@ class Restorer:
             if core.isalpha():
                 out.add(core)
                 if TRIPLE.search(core):
-                    out.add(self.one(core[:60]))
+                    out.add(self.one(core))
             elif core:
                 out.update(WORD.findall(core))
             bare = token.strip(".,;:?\"'()[]{}<>*#%&-_~/")  # signs that stand for letters may open or close a word
-            if not bare.isalpha() and 2 < len(bare) <= 60 and sum(c.isalpha() or c in SIGNS for c in bare) > 2 and any(c.isalpha() for c in bare):
+            if not bare.isalpha() and len(bare) > 2 and sum(c.isalpha() or c in SIGNS for c in bare) > 2 and any(c.isalpha() for c in bare):
                 out.add(self.one(bare))
         for m in SPACED.finditer(low):
             for at in range(0, max(1, len(m[0]) - OVERLAP), STRETCH - OVERLAP):

@@ -48,6 +48,13 @@ def test_restores_obfuscated_words(spark):
     assert {"stupid", "idiot"} <= words
 
 
+def test_long_words_are_restored_whole(spark):
+    texts = spark.createDataFrame([("the stupid idiot was here and the garden was green " * 20,)], "text string")
+    model = toxicity.character_model(texts)
+    for word in ("stu" + "u" * 70 + "pid", "stu" + "u" * 5000 + "pid", "$tu" + "u" * 70 + "p1d", ("." * 30).join("stupid"), "s" + "-" * 90 + "tupid"):
+        assert "stupid" in toxicity.Restorer(model).words(f"you are {word} indeed"), word
+
+
 def test_toxicity_held_out(spark, small):
     folder = "/root/testdata/sf0.1"
     got = registry.QUERIES["op8_toxicity"](spark, folder).toPandas()
