@@ -2,8 +2,9 @@
 
 Lines that look like license wording, with the few lines between them, make candidate blocks. Each block is compressed
 with zstandard once plain and once with each template as a raw dictionary; templates are ranked by how many bytes they
-save. Winners are confirmed by the exact differences in wording between the template and the words of the block that it
+save. Those that save any are confirmed by the exact differences in wording between the template and the words of the block that it
 matches best: all words that name the license must stand there, and few others may differ.
+Confirmed wording is taken out of the block, and what is left is ranked again.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ _HINT = re.compile(HINT, re.I)
 GAP = 2
 #: Characters of a block; of longer runs only what lies around license wording is taken.
 BLOCK = 8192
-#: Templates that are confirmed, best savings first; all of equal savings count.
-RANKED = 4
+#: Stands in place of a word that a confirmed license has taken.
+TAKEN = ""
 #: Share of a template's words that may be missing or inserted in a confirmed match.
 DIFFERENT = 0.15
 LEVEL = 9
@@ -107,9 +108,9 @@ def _around(text: str, a: int, b: int, reach: int) -> list[tuple[int, int]]:
 class Scanner:
     """Compressors for each template; made anew in each worker."""
 
-    def __init__(self, templates=TEMPLATES, ranked: int = RANKED, different: float = DIFFERENT, level: int = LEVEL):
+    def __init__(self, templates=TEMPLATES, different: float = DIFFERENT, level: int = LEVEL):
         self.templates = [Template(*t) for t in templates]
-        self.ranked, self.different, self.level, self.made = ranked, different, level, None
+        self.different, self.level, self.made = different, level, None
         self.overlap = max([256, *(2 * len(t.text) for t in self.templates)])
         self.overlap = min(self.overlap, BLOCK // 2)
 
@@ -141,15 +142,21 @@ class Scanner:
         i = max(range(len(runs)), key=lambda j: runs[j].size)
         slack = max(2, int(len(template.words) * self.different))
         first = last = i
-        while first and runs[first].b - runs[first - 1].b - runs[first - 1].size <= slack:
+        free = lambda x, y: TAKEN not in words[x:y]
+        while first and runs[first].b - runs[first - 1].b - runs[first - 1].size <= slack and free(runs[first - 1].b, runs[first].b):
             first -= 1
-        while last + 1 < len(runs) and runs[last + 1].b - runs[last].b - runs[last].size <= slack:
+        while last + 1 < len(runs) and runs[last + 1].b - runs[last].b - runs[last].size <= slack and free(runs[last].b, runs[last + 1].b):
             last += 1
         # where a template's first or last words are changed, the words in their place belong to the comparison
         before = min(runs[first].a, slack, runs[first].b)
         after = min(len(template.words) - runs[last].a - runs[last].size, slack)
+        stop = runs[last].b + runs[last].size
+        while not free(runs[first].b - before, runs[first].b):
+            before -= 1
+        while not free(stop, stop + after):
+            after -= 1
         start = runs[first].b - before
-        found = words[start : runs[last].b + runs[last].size + after]
+        found = words[start : stop + after]
         if not set(template.keys) <= set(found):
             return None
         missing, inserted = [], []
@@ -159,6 +166,29 @@ class Scanner:
                 inserted += found[j1:j2]
         return missing, inserted, max(len(missing), len(inserted) - before - after) / len(template.words), start, start + len(found)
 
+    @staticmethod
+    def rest(block: str, places: list[re.Match], words: list[str]) -> str:
+        """The block without the words that are taken."""
+        keep, last = [], 0
+        for m, w in zip(places, words):
+            if w == TAKEN:
+                keep.append(block[last : m.start()])
+                last = m.end()
+        return "".join([*keep, block[last:]])
+
+    def confirm_any(self, template: Template, words: list[str]):
+        """``confirm`` in the first place that fits: where the best one does not, the next best is tried."""
+        words = list(words)
+        while set(template.keys) <= set(words):
+            got = self.confirm(template, words)
+            if got and got[2] <= self.different:
+                return got
+            run = SequenceMatcher(None, template.words, words, autojunk=False).find_longest_match()
+            if not run.size:
+                return None
+            words[run.b : run.b + run.size] = [TAKEN] * run.size
+        return None
+
     def scan(self, text: str | None) -> list[tuple[int, str | None, int, str | None, str | None, str]]:
         """(first character, license, bytes saved, missing words, inserted words, verdict) of each candidate block.
 
@@ -169,27 +199,35 @@ class Scanner:
         for at, block in blocks(text, overlap=self.overlap):
             places = list(WORD.finditer(block.lower()))
             words = [m[0] for m in places]
-            saved = self.savings(block)
-            order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
-            least = saved[order[min(self.ranked, len(order)) - 1]] if order else 0
-            fits = []
-            for i in order:
-                if saved[i] < least or saved[i] <= 0:
+            saved = best = self.savings(block)
+            found = False
+            while True:  # confirmed wording is taken out and the rest is ranked again, until nothing fits
+                fits = []
+                for i in sorted(range(len(saved)), key=lambda i: (-saved[i], i)):
+                    if saved[i] <= 0:
+                        break
+                    got = self.confirm_any(self.templates[i], words)
+                    if got:
+                        fits.append((got[2], -saved[i], self.templates[i].name, got))
+                taken: list[tuple[int, int]] = []
+                for _, gain, name, (missing, inserted, _, start, end) in sorted(fits, key=lambda f: f[:3]):
+                    if any(start < y and end > x for x, y in taken):
+                        continue  # words that fit another template better
+                    taken.append((start, end))
+                    place = (name, at + places[start].start())  # overlapping pieces find the same one
+                    if place not in seen:
+                        seen.add(place)
+                        out.append((at, name, -gain, " ".join(missing), " ".join(inserted), "changed" if missing or inserted else "exact"))
+                if not taken:
+                    break
+                found = True
+                for start, end in taken:
+                    words[start:end] = [TAKEN] * (end - start)
+                if not any(set(t.keys) <= set(words) for t in self.templates):
                     break
-                got = self.confirm(self.templates[i], words)
-                if got and got[2] <= self.different:
-                    fits.append((got[2], -saved[i], self.templates[i].name, got))
-            taken: list[tuple[int, int]] = []
-            for _, gain, name, (missing, inserted, _, start, end) in sorted(fits, key=lambda f: f[:3]):
-                if any(start < y and end > x for x, y in taken):
-                    continue  # words that fit another template better
-                taken.append((start, end))
-                place = (name, at + places[start].start())  # overlapping pieces find the same one
-                if place not in seen:
-                    seen.add(place)
-                    out.append((at, name, -gain, " ".join(missing), " ".join(inserted), "changed" if missing or inserted else "exact"))
-            if not taken:
-                out.append((at, None, max([0, *saved]), None, None, "unknown"))
+                saved = self.savings(self.rest(block, places, words))
+            if not found:
+                out.append((at, None, max([0, *best]), None, None, "unknown"))
         return out
 
 
@@ -197,7 +235,7 @@ FOUND = "doc_id long, block_at long, license string, saved_bytes long, missing s
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("block_at", pa.int64()), ("license", pa.string()), ("saved_bytes", pa.int64()), ("missing", pa.string()), ("inserted", pa.string()), ("verdict", pa.string())])
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, ranked: int = RANKED, different: float = DIFFERENT) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, different: float = DIFFERENT) -> DataFrame:
     """One row a candidate block and license, see ``Scanner.scan``; texts without license wording give none.
 
     Whole texts are read, nothing is shuffled: ids and texts go through Arrow in bounded batches. Null and empty texts
@@ -205,7 +243,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, ranked: int = RANKED, different:
     templates every candidate block is ``unknown``.
     """
     bounded_batches(docs.sparkSession)
-    scanner = Scanner(templates, ranked, different)
+    scanner = Scanner(templates, different)
     # a built-in filter first, so that only texts with license wording reach Python
     hinted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?i){HINT}"))
 

@@ -47,6 +47,15 @@ def test_two_licenses_and_long_blocks():
     assert [r[1] for r in s.scan(long)] == ["Apache-2.0"]
 
 
+def test_every_license_of_a_block_is_found():
+    s = licenses.Scanner()
+    short = {}
+    for name, _, text in licenses.TEMPLATES:
+        short[name] = min(short.get(name, text), text, key=len)
+    for names in (["GPL-3.0", "MIT"], ["GPL-3.0", "Apache-2.0"], ["GPL-3.0", "CC0-1.0"], ["LGPL-3.0", "CC-BY-4.0"], ["MIT", "Apache-2.0", "GPL-3.0"], ["MIT", "GPL-2.0", "MIT"], list(short)):
+        assert sorted(r[1] for r in s.scan("\n".join(short[n] for n in names))) == sorted(names), names
+
+
 def test_license_scan_equals_plain_loop(spark, small):
     s = licenses.Scanner()
     table = spark.read.parquet(f"{small}/documents.parquet")
