@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, records: int = 1000, nbytes: int = 16 << 20) -> None:
-    """Let Arrow batches hold few rows and few bytes, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", nbytes)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so (Spark does not mind case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"{n}_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def crc_part(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id falls in no part."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
+
+def sliced(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000, nbytes: int = 16 << 20):
+    """``run`` over batches of at most ``rows`` rows and about ``nbytes`` bytes, and its results cut likewise."""
+
+    def pieces(batches):
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                n = min(rows, b.num_rows - at)
+                while n > 1 and b.slice(at, n).get_total_buffer_size() > nbytes:
+                    n //= 2
+                yield b.slice(at, n)
+                at += n
+            if not b.num_rows:
+                yield b
+
+    return lambda batches: run(pieces(batches))

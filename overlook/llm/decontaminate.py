@@ -1,10 +1,12 @@
 """Benchmark decontamination by template: placeholders for names, numbers and units, hashed windows, slot consistency.
 
-Only DataFrame operations. A text is canonicalised (runs of names, numbers and a number's unit become one placeholder
-each), split into words, and every window of ``WINDOW`` words is hashed. Windows meet the benchmark's in a hash join;
-where enough of an item's windows are found in a document, slot values are compared: an item value must stand for one
-document value throughout an occurrence. That also catches questions whose numbers or names were changed. A document may
-hold an item in several versions, so each occurrence is judged by itself, and one that fits is enough.
+Only DataFrame operations. A text is canonicalised (runs of names, numbers, and units after a number become one
+placeholder each), split into words, and every window of ``WINDOW`` words is hashed, in one scan. Windows meet
+the benchmark's in a hash join; where enough of an item's windows are found in a document, slot values are compared: an
+item value must stand for one document value throughout an occurrence. That also catches questions whose numbers or names
+were changed. A document may hold an item in several versions, so each occurrence is judged by itself, and one that fits
+is enough. What counts as a name hangs on the word alone, so an item reads the same wherever it stands; an item is also
+indexed in lower case, for copies that lost their capitals.
 """
 
 from __future__ import annotations
@@ -12,81 +14,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlook.llm.common import table
+from overlook.llm.common import free_names, table
 from overlook.plans.shared import cut
 
 WINDOW = 8
 #: An item leaks if at least this share of its windows is found, and MIN_WINDOWS of them (all, if it has fewer).
 COVERAGE = 0.3
 MIN_WINDOWS = 5
-#: Words that a shorter item must have to be looked for at all.
+#: Words that an item must have to be looked for at all: shorter ones stand in too many texts.
 MIN_WORDS = 3
 #: Benchmark windows (16 bytes each) up to which they are broadcast; beyond, windows are shuffled by hash.
 BROADCAST_WINDOWS = 1_000_000
-
-NAME, NUMBER = "", ""
-NAMES = r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
-NUMBERS = r"(\p{Nd}+(?:[.,:/]\p{Nd}+)*)(?: ?(?:km|kg|cm|mm|ml|mi|ft|lbs?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|met(?:er|re)s?|dollars?|euros?|percent|%|€)\b)?"
-BREAKS = "[^\\p{L}\\p{N}]+"
+#: Documents with hits (16 bytes each) up to which their keys are broadcast; beyond, texts are shuffled by key.
+BROADCAST_DOCS = 500_000
+
+NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: Words that are no names though a sentence may begin with them. Fixed values.
+PLAIN = (
+    "The This That These Those There Then Than And But Or Nor So Yet For If In Into On At By To Of From With Without About After Before Between Through "
+    "During Under Over Up Down Out As Is Are Was Were Be Been Has Have Had Do Does Did Can Could Will Would Shall Should May Might Must Not No Yes "
+    "He She It We You They His Her Its Our Your Their My Me Him Us Them Who Whom Whose Which What When Where Why How All Any Each Every Some Both "
+    "Few Many Much More Most Other Another Such Only Own Same Too Very Just Also Now Here One Two Let Find Given Suppose Name Calculate Compute Determine"
+)
+_EDGE = r"(?![\p{L}\p{N}])"
+_ONE = rf"(?!(?:{PLAIN.replace(' ', '|')}){_EDGE})\p{{Lu}}\p{{Ll}}++{_EDGE}"
+NAMES = rf"(?<![\p{{L}}\p{{N}}]){_ONE}(?: {_ONE})*"
+NUMBERS = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+UNITS = rf"{NUMBER} {{1,2}}(km|kg|cm|mm|ml|mi|ft|m|g|l|lbs?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|met(?:er|re)s?|grams?|lit(?:er|re)s?|dollars?|euros?|percent|%|€|°C|°F){_EDGE}"
+BREAKS = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"
+
+
+def _stages(text: Column) -> tuple[Column, Column, Column]:
+    """The text with names, then numbers, then units replaced."""
+    named = F.regexp_replace(text, NAMES, NAME)
+    numbered = F.regexp_replace(named, NUMBERS, f" {NUMBER} ")
+    return named, numbered, F.regexp_replace(numbered, UNITS, f"{NUMBER} {UNIT} ")
 
 
 def canonical(text: Column) -> Column:
-    """The text with placeholders. A capitalised word counts as a name only after a word, comma or semicolon."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, NAMES, f"$1{NAME}"), NUMBERS, f" {NUMBER} "))
+    """The text in lower case with placeholders. Placeholder characters of the text itself count as breaks."""
+    return F.lower(_stages(F.translate(text, NAME + NUMBER + UNIT, "   "))[2])
 
 
 def template_words(text: Column) -> Column:
     return F.filter(F.split(canonical(text), BREAKS, -1), lambda x: x != "")
 
 
-def slot_values(text: Column) -> tuple[Column, Column]:
-    """The names, and the numbers with their units, in the order of their placeholders."""
-    squeeze = lambda c: F.lower(F.regexp_replace(c, " ", ""))
-    names = F.transform(F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)), squeeze)
-    numbers = F.transform(F.regexp_extract_all(F.regexp_replace(text, NAMES, f"$1{NAME}"), F.lit(NUMBERS), F.lit(0)), squeeze)
-    return names, numbers
-
-
-def _windows(hashes: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words; none if there are fewer."""
-    last = F.size(hashes) - (size - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, size)))
+def slot_rows(rows: DataFrame, keys: list[str], text: str, position: str, value: str) -> DataFrame:
+    """``(*keys, position, value)``: what each placeholder of a text stands for, by the position of its word."""
+    plain = F.translate(F.col(text), NAME + NUMBER + UNIT, "   ")
+    named, numbered, _ = _stages(plain)
+    squeeze = lambda c: F.lower(F.regexp_replace(c, r"[\s]", ""))
+    found = {NAME: (plain, NAMES, 0), NUMBER: (named, NUMBERS, 0), UNIT: (numbered, UNITS, 1)}
+    got = rows.select(*keys, template_words(F.col(text)).alias("sr_words"), *[F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(g)), squeeze).alias(f"sr_{i}") for i, (c, p, g) in enumerate(found.values())])
+    at = lambda kind: F.filter(F.transform("sr_words", lambda w, i: F.when(w == kind, i)), lambda i: i.isNotNull())
+    valued = lambda i: lambda z: F.struct(z["p"].alias("p"), F.concat(F.lit(f"{i}:"), z["v"]).alias("v"))
+    zipped = [F.transform(F.arrays_zip(at(kind).alias("p"), F.col(f"sr_{i}").alias("v")), valued(i)) for i, kind in enumerate(found)]
+    return got.select(*keys, F.explode(F.concat(*zipped)).alias("sr")).select(*keys, F.col("sr.p").alias(position), F.col("sr.v").alias(value)).where(F.col(position).isNotNull())
 
 
-def _slots(words: str, names: str, numbers: str) -> Column:
-    """For each word its slot value, or null: the k-th placeholder of a kind takes the k-th value."""
-    at = lambda kind, i: F.size(F.filter(F.slice(F.col(words), 1, i + 1), lambda x: x == kind))
-    return F.transform(
-        F.col(words),
-        lambda w, i: F.when(w == NAME, F.concat(F.lit("n:"), F.get(F.col(names), at(NAME, i) - 1))).when(w == NUMBER, F.concat(F.lit("#:"), F.get(F.col(numbers), at(NUMBER, i) - 1))),
-    )
+def window_hashes(hashes: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` word hashes in a column; none if there are fewer."""
+    last = F.size(hashes) - size
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(size)]))
 
 
 def item_readings(benchmark: DataFrame, item: str = "item_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(bm_item, bm_read, bm_text, bm_words)``: an item as it stands and, if that differs, as it reads after a word.
-
-    Its first capitalised words are plain words at the start of a sentence, but a name after a word or comma. The second
-    reading has a word set before the item for that, which ``bm_words`` leaves out.
-    """
-    read = F.explode(F.array(F.struct(F.lit(0).alias("bm_read"), F.col(text).alias("bm_text")), F.struct(F.lit(1).alias("bm_read"), F.concat(F.lit("x "), F.ltrim(F.col(text))).alias("bm_text"))))
-    rows = benchmark.select(F.col(item).alias("bm_item"), template_words(F.col(text)).alias("bm_plain"), read.alias("r")).select("bm_item", "bm_plain", "r.*")
-    words = template_words(F.col("bm_text"))
-    rows = rows.withColumn("bm_words", F.when(F.col("bm_read") == 0, F.col("bm_plain")).otherwise(F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))))
-    return rows.where((F.size("bm_words") >= min_words) & ((F.col("bm_read") == 0) | (F.col("bm_words") != F.col("bm_plain")))).drop("bm_plain")
+    """``(bm_item, bm_read, bm_text, bm_words)``: an item as it stands and, if that differs, in lower case."""
+    texts = F.array(F.struct(F.lit(0).alias("bm_read"), F.col(text).alias("bm_text")), F.struct(F.lit(1).alias("bm_read"), F.lower(F.col(text)).alias("bm_text")))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("bm_item"), template_words(F.col(text)).alias("bm_plain"), F.explode(texts).alias("r")).select("bm_item", "bm_plain", "r.*")
+    rows = rows.withColumn("bm_words", template_words(F.col("bm_text")))
+    return rows.where((F.size("bm_words") >= min_words) & ((F.col("bm_read") == 0) | (F.col("bm_words") != F.col("bm_plain")))).drop("bm_plain").dropDuplicates(["bm_item", "bm_read", "bm_text"])
 
 
-def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(bm_item, bm_read, bm_pos, bm_size, bm_hash, bm_windows, bm_typed)`` of each reading; an item shorter than ``window`` is one window of its length.
+def benchmark_windows(readings: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(bm_item, bm_read, bm_length, bm_windows, bm_typed, bm_size, bm_pos, bm_hash)`` of each reading; an item shorter than ``window`` is one window of its length.
 
     ``bm_typed`` says whether the reading has a placeholder at all.
     """
-    words = item_readings(benchmark, item, text, min_words)
-    hashes = F.transform("bm_words", lambda w: F.xxhash64(w))
-    whole = F.array(F.xxhash64(hashes))
-    got = words.withColumn("bm_size", F.least(F.size("bm_words"), F.lit(window))).withColumn("bm_all", F.when(F.size("bm_words") <= window, whole).otherwise(_windows(hashes, window)))
-    typed = F.exists("bm_words", lambda w: w.isin(NAME, NUMBER))
-    return got.select("bm_item", "bm_read", "bm_size", F.size("bm_all").alias("bm_windows"), typed.alias("bm_typed"), F.posexplode("bm_all").alias("bm_pos", "bm_hash"))
+    typed = F.exists("bm_words", lambda w: w.isin(NAME, NUMBER, UNIT))
+    length = F.size("bm_words")
+    rows = readings.select("bm_item", "bm_read", length.alias("bm_length"), F.greatest(length - window + 1, F.lit(1)).alias("bm_windows"), typed.alias("bm_typed"), F.least(length, F.lit(window)).alias("bm_size"), F.transform("bm_words", lambda w: F.xxhash64(w)).alias("bm_h"))
+    every = F.coalesce(*[F.when(F.col("bm_size") == s, window_hashes("bm_h", s)) for s in range(1, window + 1)])
+    return rows.select("bm_item", "bm_read", "bm_length", "bm_windows", "bm_typed", "bm_size", F.posexplode(every).alias("bm_pos", "bm_hash"))
 
 
 def _places(shift: Column, words: Column) -> Column:
@@ -102,70 +113,77 @@ def _places(shift: Column, words: Column) -> Column:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, min_windows: int = MIN_WINDOWS, broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, min_windows: int = MIN_WINDOWS, min_words: int = MIN_WORDS,
+    broadcast_windows: int = BROADCAST_WINDOWS, broadcast_docs: int = BROADCAST_DOCS,
 ) -> DataFrame:
     """``(doc_id, doc_hash, item_id, windows, item_windows, slots, kind)``: the items that leak into each document.
 
     ``doc_hash`` is xxhash64 of the text, so that rows which repeat a doc_id with another text stay apart; equal rows
-    give one result. ``kind`` is ``exact`` if all slot values of some occurrence agree, else ``reparameterised``; ``windows`` and
-    ``slots`` are those of the best occurrence. Null or empty texts match
-    nothing, as do items of fewer than MIN_WORDS words; a null doc_id is a document like any other. An empty benchmark
-    or table gives no rows. An item counts once for each document, however often it is repeated in it.
+    give one result. ``windows``, ``slots`` and ``kind`` are those of the occurrence with most
+    windows: ``exact`` if all its slot values agree (where that ties, any that does), else ``reparameterised``. Null or empty texts match nothing, as do items of fewer than ``min_words``
+    words; a null doc_id is a document like any other. An empty benchmark or table gives no rows. An item counts once for
+    each document, however often it is repeated in it; of items that repeat an id each text is looked for. Only
+    ``doc_id`` and ``text``, ``item_id`` and ``text`` are read, so other columns may have any name.
     """
-    bench = cut(benchmark_windows(benchmark, window=window))
+    readings = cut(item_readings(benchmark, min_words=min_words))
+    bench = cut(benchmark_windows(readings, window=window))
     sizes = sorted(r[0] for r in bench.select("bm_size").distinct().collect())  # at most `window` numbers
-    probe = bench.select("bm_hash", "bm_size").distinct()
+    probe = bench.select("bm_hash").distinct()
     small = probe.count() <= broadcast_windows
+    held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     ids = docs.select(F.col("doc_id").alias("dc_id"), F.col("text").alias("dc_text")).where("dc_text IS NOT NULL")
-    hashed = ids.select("dc_id", F.xxhash64("dc_text").alias("dc_hash"), F.transform(template_words(F.col("dc_text")), lambda w: F.xxhash64(w)).alias("dc_h"))
     keys = ["dc_id", "dc_hash"]
-    every = [hashed.select(*keys, F.lit(s).alias("bm_size"), F.posexplode(_windows(F.col("dc_h"), s)).alias("dc_pos", "bm_hash")) for s in sizes]
-    if not every:
-        every = [hashed.select(*keys, F.lit(0).alias("bm_size"), F.posexplode(F.array().cast("array<bigint>")).alias("dc_pos", "bm_hash"))]
-    windows = every[0]
-    for more in every[1:]:
-        windows = windows.union(more)
-    hits = cut(windows.join(F.broadcast(probe) if small else probe, ["bm_hash", "bm_size"], "left_semi"))
-    met = hits.join(bench, ["bm_hash", "bm_size"])
+    hashed = ids.select("dc_id", F.xxhash64("dc_text").alias("dc_hash"), F.transform(template_words(F.col("dc_text")), lambda w: F.xxhash64(w)).alias("dc_h"))
+    if len(sizes) == 1:
+        windows = hashed.select(*keys, F.lit(sizes[0]).alias("dc_size"), F.posexplode(window_hashes("dc_h", sizes[0])).alias("dc_pos", "bm_hash"))
+    else:  # all sizes in one scan
+        sized = lambda s: lambda h, i: F.struct(F.lit(s).alias("dc_size"), i.alias("dc_pos"), h.alias("bm_hash"))
+        every = [F.transform(window_hashes("dc_h", s), sized(s)) for s in sizes] or [F.array().cast("array<struct<dc_size:int,dc_pos:int,bm_hash:bigint>>")]
+        windows = hashed.select(*keys, F.explode(F.concat(*every)).alias("w")).select(*keys, "w.*")
+    hits = cut(windows.join(held(probe), "bm_hash", "left_semi"))
+    met = hits.join(held(bench), (hits["bm_hash"] == bench["bm_hash"]) & (F.col("dc_size") == F.col("bm_size"))).drop("bm_hash", "dc_size")
     need = F.greatest(F.least(F.lit(min_windows), F.col("item_windows")), F.ceil(F.col("item_windows") * F.lit(float(coverage))))
-    found = (
-        met.groupBy(*keys, "bm_item", "bm_read").agg(F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.max("bm_typed").alias("typed")).where(F.col("windows") >= need)
-    )
-    found = cut(found)
-    # slot values are read only from documents and items that met
+    by = [*keys, "bm_item", "bm_read", "bm_length", "bm_windows", "bm_size"]  # readings of one id with two texts differ in length, or share a fate
+    found = cut(met.groupBy(*by).agg(F.count_distinct("bm_pos").alias("windows"), F.max("bm_typed").alias("typed")).withColumn("item_windows", F.col("bm_windows")).where(F.col("windows") >= need))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    few = found.where("typed").select(*keys).distinct().toDF("fk_id", "fk_hash")
+    # slot values are read only from documents and items that met
+    few = cut(found.where("typed").select(*keys).distinct().toDF("fk_id", "fk_hash"))
+    few = F.broadcast(few) if few.count() <= broadcast_docs else few
     texts = ids.withColumn("dc_hash", F.xxhash64("dc_text")).join(few, same("dc_id", "fk_id") & same("dc_hash", "fk_hash"), "left_semi").dropDuplicates(keys)
-    dn, dm = slot_values(F.col("dc_text"))
-    doc_slots = texts.select(*keys, template_words(F.col("dc_text")).alias("w"), dn.alias("n"), dm.alias("m")).select(F.col("dc_id").alias("sk_id"), F.col("dc_hash").alias("sk_hash"), _slots("w", "n", "m").alias("dc_slots"))
-    bn, bm = slot_values(F.col("bm_text"))
-    item_slots = item_readings(benchmark).select(F.col("bm_item").alias("ik_item"), F.col("bm_read").alias("ik_read"), F.col("bm_words").alias("w"), bn.alias("n"), bm.alias("m")).select("ik_item", "ik_read", _slots("w", "n", "m").alias("bm_slots"))
-    placed = (
-        met.where("bm_typed").join(found.select(F.col("dc_id").alias("pk_id"), F.col("dc_hash").alias("pk_hash"), F.col("bm_item").alias("pk_item"), F.col("bm_read").alias("pk_read")), same("dc_id", "pk_id") & same("dc_hash", "pk_hash") & same("bm_item", "pk_item") & (F.col("bm_read") == F.col("pk_read")), "left_semi")
-        .withColumn("shift", F.col("dc_pos") - F.col("bm_pos"))
-    )
-    of = [*keys, "bm_item", "bm_read", "bm_windows", "bm_size", "shift"]
-    covers = placed.select(*of, "bm_pos", F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("d")).distinct()
-    pairs = placed.join(item_slots, same("bm_item", "ik_item") & (F.col("bm_read") == F.col("ik_read"))).join(doc_slots, same("dc_id", "sk_id") & same("dc_hash", "sk_hash")).select(
-        *of, F.explode(F.arrays_zip(F.slice("bm_slots", F.col("bm_pos") + 1, F.col("bm_size")).alias("i"), F.slice("dc_slots", F.col("dc_pos") + 1, F.col("bm_size")).alias("d"))).alias("s"),
-    ).where("s.i IS NOT NULL").select(*of, F.lit(None).cast("int").alias("bm_pos"), "s.i", F.coalesce("s.d", F.lit("")).alias("d")).distinct()
+    doc_slots = cut(slot_rows(texts, keys, "dc_text", "d_pos", "d_value").withColumnsRenamed({"dc_id": "sk_id", "dc_hash": "sk_hash"}))
+    item_slots = slot_rows(readings.withColumn("bm_length", F.size("bm_words")), ["bm_item", "bm_read", "bm_length"], "bm_text", "i_pos", "i_value").distinct().toDF("ik_item", "ik_read", "ik_length", "i_pos", "i_value")
+    candidates = found.where("typed").select(*[F.col(c).alias(f"pk_{c}") for c in by])
+    placed = cut(met.where("bm_typed").join(candidates, [same(c, f"pk_{c}") for c in by], "left_semi").withColumn("shift", F.col("dc_pos") - F.col("bm_pos")))
+    of = [*by, "shift"]
+    none = lambda kind: F.lit(None).cast(kind)
+    covers = placed.select(*of, "bm_pos", none("string").alias("i"), none("string").alias("d")).distinct()
+    inside = F.col("i_pos").between(F.col("bm_pos"), F.col("bm_pos") + F.col("bm_size") - 1)
+    asked = placed.join(held(item_slots), same("bm_item", "ik_item") & (F.col("bm_read") == F.col("ik_read")) & (F.col("bm_length") == F.col("ik_length")) & inside)
+    asked = asked.select(*of, "i_pos", "i_value", (F.col("dc_pos") + F.col("i_pos") - F.col("bm_pos")).alias("at")).distinct()
+    valued = asked.join(doc_slots, same("dc_id", "sk_id") & same("dc_hash", "sk_hash") & (F.col("at") == F.col("d_pos")), "left").withColumn("d_value", F.coalesce("d_value", F.lit("")))
+    # at an item's ends a run of names may go on into the text around it
+    bare = F.substring(F.col("i_value"), 3, 1 << 30)
+    spill = (F.col("i_pos") == 0) & F.endswith(F.col("d_value"), bare) | (F.col("i_pos") == F.col("bm_length") - 1) & F.startswith(F.col("d_value"), F.col("i_value"))
+    pairs = valued.select(*of, none("int").alias("bm_pos"), F.col("i_value").alias("i"), F.when(spill, F.col("i_value")).otherwise(F.col("d_value")).alias("d")).distinct()
     places = covers.unionByName(pairs).withColumn("place", F.explode(_places(F.col("shift"), F.col("bm_windows") + F.col("bm_size") - 1)))
-    judged = places.groupBy(*keys, "bm_item", "bm_read", "place").agg(
-        F.count_distinct("bm_pos").alias("windows"), F.max("bm_windows").alias("item_windows"), F.count_distinct("i", "d").alias("n"), F.count_distinct("i").alias("n_i"), F.count_if(F.col("i") != F.col("d")).alias("changed")
-    ).where((F.col("windows") >= need) & (F.col("n") == F.col("n_i")))
+    judged = places.groupBy(*by, "place").agg(
+        F.count_distinct("bm_pos").alias("windows"), F.count_distinct("i", "d").alias("n"), F.count_distinct("i").alias("n_i"), F.count_if(F.col("i") != F.col("d")).alias("changed")
+    ).withColumn("item_windows", F.col("bm_windows")).where((F.col("windows") >= need) & (F.col("n") == F.col("n_i")))
     fits = judged.select(*keys, "bm_item", (F.col("changed") == 0).alias("exact"), "windows", "item_windows", "n")
     fits = fits.unionByName(found.where("NOT typed").select(*keys, "bm_item", F.lit(True).alias("exact"), "windows", "item_windows", F.lit(0).cast("long").alias("n")))
-    out = fits.groupBy(*keys, "bm_item").agg(F.max(F.struct("exact", "windows", "item_windows", "n")).alias("best"))
+    out = fits.groupBy(*keys, "bm_item").agg(F.max(F.struct("windows", "exact", "item_windows", "n")).alias("best"))
     return out.select(
         F.col("dc_id").alias("doc_id"), F.col("dc_hash").alias("doc_hash"), F.col("bm_item").alias("item_id"), F.col("best.windows").cast("long").alias("windows"), F.col("best.item_windows").cast("long").alias("item_windows"),
         F.col("best.n").cast("long").alias("slots"), F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all other rows stay as they are, null texts too."""
-    bad = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("lk_id"), F.col("doc_hash").alias("lk_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("lk_id")) & (F.xxhash64("text") == F.col("lk_hash")) & F.col("text").isNotNull(), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_docs: int = BROADCAST_DOCS, **options) -> DataFrame:
+    """``docs`` without those that hold a benchmark item; all other rows and all columns stay as they are, null texts too."""
+    gone_id, gone_hash = free_names(docs, "gone_id", "gone_hash")
+    bad = cut(find_leaks(docs, benchmark, broadcast_docs=broadcast_docs, **options).select(F.col("doc_id").alias(gone_id), F.col("doc_hash").alias(gone_hash)).distinct())
+    bad = F.broadcast(bad) if bad.count() <= broadcast_docs else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_hash)) & F.col("text").isNotNull(), "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir):

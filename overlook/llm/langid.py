@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from overlook.llm.common import bounded_batches, crc_part, table
+from overlook.llm.common import crc_part, free_names, sliced, table
 from overlook.plans.shared import cut
 
 N = 3
@@ -88,8 +88,7 @@ def _count_batches(batches):
 
 def gram_counts(rows: DataFrame) -> DataFrame:
     """``(lang, gram, n)`` over all rows with a language."""
-    bounded_batches(rows.sparkSession)
-    parts = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count_batches, "lang string, gram long, n long")
+    parts = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(sliced(_count_batches), "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -169,7 +168,6 @@ def learn(rows: DataFrame) -> Filters:
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """``docs`` columns other than text, with ``lang_pred`` and ``score``; ``und`` where a text is null or has no letter."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     others = [c for c in docs.columns if c != "text"]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlook.llm.common import bounded_batches, table
+from overlook.llm.common import sliced, table
 
 #: License templates: id, words that name it, wording. Fixed values; ``templates`` takes others.
 TEMPLATES = (
@@ -242,7 +242,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, different: float = DIFFERENT) ->
     give no rows; repeated rows give repeated results; a null doc_id stays null; other columns are not read. Without
     templates every candidate block is ``unknown``.
     """
-    bounded_batches(docs.sparkSession)
     scanner = Scanner(templates, different)
     # a built-in filter first, so that only texts with license wording reach Python
     hinted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?i){HINT}"))
@@ -253,7 +252,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, different: float = DIFFERENT) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
-    return hinted.mapInArrow(run, FOUND)
+    return hinted.mapInArrow(sliced(run), FOUND)
 
 
 def op6_licenses(spark, sf_dir):

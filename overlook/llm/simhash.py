@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from overlook.llm.common import bounded_batches, table
+from overlook.llm.common import sliced, table
 from overlook.operators.graph import connected_components
 from overlook.plans.shared import written
 
@@ -84,8 +84,7 @@ def _fingerprints(size: int, seed: int):
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
     """``(doc_id, fp)`` for each row; null, empty and blank texts have fingerprint 0."""
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sliced(_fingerprints(size, seed)), "doc_id long, fp long")
 
 
 def _rotated(x: Column, bits: int) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlook.llm.common import bounded_batches, crc_part, table
+from overlook.llm.common import crc_part, sliced, table
 
 THRESHOLD = 0.7
 #: Labelled rows that the rules are fitted on at most, drawn by hash of the id.
@@ -83,8 +83,7 @@ def _trigram_batches(batches):
 
 def character_model(texts: DataFrame) -> np.ndarray:
     """log P(c | a, b), counted over all ``texts``; the driver gets 64 ** 3 counts at most."""
-    bounded_batches(texts.sparkSession)
-    got = texts.select("text").mapInArrow(_trigram_batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    got = texts.select("text").mapInArrow(sliced(_trigram_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(SYMBOLS**3)
     for r in got:
         n[r[0]] = r[1]
@@ -268,7 +267,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     model = character_model(docs)
     shared = context.broadcast(model)
     rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("tx_id")).select(F.col("text"), F.when(F.col("tx_toxic") > 0, 1).otherwise(0).alias("toxic"))
-    bounded_batches(spark)
     counts = rows.mapInArrow(_count_rules(shared), "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # toxic texts in the sample are at most fit_rows: so are the rules that hold MIN_TOXIC of them, times features a text
     strong = counts.where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "f").limit(CANDIDATES).collect()
@@ -282,7 +280,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
 
 def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """``docs`` with ``column`` added: the toxicity of each whole text, 0 to 1; null and empty texts get the rest share."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     plain = docs.drop(column)
 

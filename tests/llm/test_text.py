@@ -186,45 +186,94 @@ def test_mix_edges(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
-def naive_leaks(docs_rows, items):
-    """The whole operator in plain Python: windows as word tuples, slots in order of their placeholders."""
+UNITS = "km kg cm mm ml mi ft m g l lb lbs hour hours minute minutes second seconds day days week weeks month months year years mile miles meter meters metre metres gram grams liter liters litre litres dollar dollars euro euros percent % € °C °F".split()
+
+
+def read(text):
+    """(words, slots) by a scanner of its own: placeholders are <n>, <#> and <u>."""
+    import unicodedata
+
+    kind = [unicodedata.category(c) for c in text] + ["Zs"]
+    wordy = lambda i: kind[i][0] in "LN"
+    words, slots, i, name_end = [], [], 0, None
+    while i < len(text):
+        j = i
+        if kind[i] == "Nd":
+            while True:
+                while kind[j] == "Nd":
+                    j += 1
+                if j + 1 < len(text) and text[j] in ".,:/" and kind[j + 1] == "Nd":
+                    j += 1
+                else:
+                    break
+            words.append("<#>")
+            slots.append("#" + text[i:j])
+            k = j + (text[j : j + 1] == " ")
+            for u in UNITS:
+                if text.startswith(u, k) and not wordy(k + len(u)):
+                    words.append("<u>")
+                    slots.append("u" + u.lower())
+                    j = k + len(u)
+        elif wordy(i):
+            while wordy(j) and kind[j] != "Nd":
+                j += 1
+            word = text[i:j]
+            if (i == 0 or not wordy(i - 1)) and not wordy(j) and len(word) > 1 and kind[i] == "Lu" and set(kind[i + 1 : j]) == {"Ll"} and word not in decontaminate.PLAIN.split():
+                if name_end == i - 1 and text[i - 1] == " ":
+                    slots[-1] += word.lower()
+                else:
+                    words.append("<n>")
+                    slots.append("n" + word.lower())
+                name_end = j
+            else:
+                words.append(word.lower())
+                slots.append(None)
+        else:
+            j += 1
+        i = j
+    return words, slots
+
+
+def naive_leaks(docs_rows, items, window=8, coverage=0.3, least=5):
+    """The whole operator by its definition, window by window and place by place."""
     import math
 
-    import regex
-
-    names, numbers, breaks = (regex.compile(p) for p in (decontaminate.NAMES, decontaminate.NUMBERS, decontaminate.BREAKS))
-    name, number = decontaminate.NAME, decontaminate.NUMBER
-
-    def read(text):
-        named = names.sub(lambda m: m[1] + name, text)
-        words = [w for w in breaks.split(numbers.sub(f" {number} ", named).lower()) if w]
-        n = iter([m[2].replace(" ", "").lower() for m in names.finditer(text)])
-        d = iter([m[0].replace(" ", "").lower() for m in numbers.finditer(named)])
-        return words, ["n:" + next(n) if w == name else "#:" + next(d) if w == number else None for w in words]
-
-    out, size = {}, decontaminate.WINDOW
-    read_items = {i: read(t) for i, t in items if t}
+    out = {}
+    readings = [(i, *read(t)) for i, text in items if text for t in dict.fromkeys([text, text.lower()])]
     for doc, text in docs_rows:
         if text is None:
             continue
         words, slots = read(text)
         at = {}
-        for s in {min(size, len(w)) for w, _ in read_items.values() if len(w) >= decontaminate.MIN_WORDS}:
+        for s in {min(window, len(w)) for _, w, _ in readings if len(w) >= decontaminate.MIN_WORDS}:
             for p in range(len(words) - s + 1):
                 at.setdefault(tuple(words[p : p + s]), []).append(p)
-        for item, (iw, islots) in read_items.items():
+        for item, iw, islots in readings:
             if len(iw) < decontaminate.MIN_WORDS:
                 continue
-            s = min(size, len(iw))
-            windows = range(len(iw) - s + 1)
-            hits = [(p, q) for p in windows for q in at.get(tuple(iw[p : p + s]), ())]
-            found = len({p for p, _ in hits})
-            if found < max(min(decontaminate.MIN_WINDOWS, len(windows)), math.ceil(len(windows) * decontaminate.COVERAGE)):
+            s = min(window, len(iw))
+            n = len(iw) - s + 1
+            need = max(min(least, n), math.ceil(n * coverage))
+            hits = [(p, q) for p in range(n) for q in at.get(tuple(iw[p : p + s]), ())]
+            if len({p for p, _ in hits}) < need:
                 continue
-            pairs = {(islots[p + k], slots[q + k]) for p, q in hits for k in range(s) if islots[p + k] is not None}
-            if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
-                out[doc, item] = "reparameterised" if any(a != b for a, b in pairs) else "exact"
-    return out
+            places = {}
+            for p, q in hits:
+                shift = q - p
+                for place in ((0, shift), (1, shift // len(iw)), (2, math.floor(shift / len(iw) + 0.5)), (3, 0)):
+                    places.setdefault(place, []).append((p, q))
+            for own in places.values():
+                pairs = set()
+                for p, q in own:
+                    for k in range(s):
+                        i, d = islots[p + k], slots[q + k]
+                        if i is not None:
+                            ends = p + k == 0 and d.endswith(i[1:]) or p + k == len(iw) - 1 and d.startswith(i)
+                            pairs.add((i, i if ends else d))
+                if len({p for p, _ in own}) >= need and len(pairs) == len({a for a, _ in pairs}):
+                    best = len({p for p, _ in own}), all(a == b for a, b in pairs)
+                    out[doc, item] = max(best, out.get((doc, item), best))
+    return {k: "exact" if exact else "reparameterised" for k, (_, exact) in out.items()}
 
 
 def test_leaks_equal_plain_python(spark, small):
@@ -232,3 +281,37 @@ def test_leaks_equal_plain_python(spark, small):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in registry.QUERIES["op5_decontaminate"](spark, small).collect()}
     assert got and got == naive_leaks(rows, items)
+
+
+def test_hard_leaks_equal_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    items = [(1, QUESTION), (2, "Alice has 3 apples and 5 pears?"), (3, "What is the capital of France?"), (4, "Tom Smith runs 5km, then 2.5 km and 10 miles with Ann before Tom Smith rests for 30 minutes, so how far did Tom Smith run that day?"), (5, None), (6, "too short")]
+    swap = ["Paris", "Rome", "Bob", "Ann", "Tom Smith", "120", "7", "3", "apples", "km", "hours", "The"]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = (items[rng.randrange(4)][1]).split(" ")
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = rng.choice(swap)
+            text = " ".join(words)
+            parts.append(rng.choice([text, text, text.lower(), text.upper(), "said Carl " + text]))
+        rows.append((i, rng.choice([" ", ". ", "\n"]).join(parts)))
+    want = naive_leaks(rows, items)
+    assert leaks(spark, rows, items) == want and len(set(want.values())) == 2
+    assert leaks(spark, rows, items, broadcast_windows=0, broadcast_docs=0) == want
+
+
+def test_leaks_by_definition(spark):
+    item = "The farm sells 12 eggs to Mary, 30 eggs to John and 7 eggs to the shop, so how many eggs does the farm sell in one day?"
+    other = item.replace("12", "9").replace("30", "41").replace("Mary", "Rose")
+    rows = [
+        (1, f"{item} {other}"), (2, f"{item} Then 99 eggs to Mary, 31 eggs to Fred and 7 eggs to no one."), (3, item.replace("12", "5").replace("30", "5")), (4, item.lower()), (5, item.upper()),
+        (6, "Bob has 4 apples and 7 pears?"), (7, "alice has 3 apples and 5 pears?"), (8, item.replace("eggs", "nuts").replace("farm", "shop")), (9, "He covers 5 miles at 9 o'clock, and 120 kg each hour."), (10, "one yes"),
+    ]
+    items = [(1, item), (2, "Alice has 3 apples and 5 pears?"), (3, "He covers 5 km at 9 o'clock, and 120 kg each hour."), (4, "yes")]
+    want = {(1, 1): "exact", (2, 1): "exact", (3, 1): "reparameterised", (4, 1): "exact", (5, 1): "exact", (6, 2): "reparameterised", (7, 2): "exact", (9, 3): "reparameterised"}
+    assert leaks(spark, rows, items) == want
+    assert leaks(spark, rows, items, min_words=1) == want | {(10, 4): "exact"}
