@@ -1,18 +1,23 @@
 """License scans by conditional compression.
 
-Lines that look like license wording, with the few lines between them, make candidate blocks. Each block is compressed
-with zstandard once plain and once with each template as a raw dictionary; templates are ranked by how many bytes they
-save. Those that save any are confirmed by the exact differences in wording between the template and the words of the block that it
-matches best: all words that name the license must stand there, and few others may differ.
-Confirmed wording is taken out of the block, and what is left is ranked again.
+Around wording that looks like a license, as far as a template may reach, the text is a candidate block: short templates
+have short blocks, full license texts long ones. Each block is compressed with zstandard once plain and once with each
+template whose naming words stand in it as a raw dictionary; templates are ranked by how many bytes they save. Those that
+save any are confirmed by the exact differences in wording between the template and the words of the block that it matches
+best: all words that name the license must stand there, and few others may differ. Confirmed wording is taken out of the
+block, and what is left is ranked again, until nothing fits.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import product
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +25,12 @@ from pyspark.sql import functions as F
 
 from overlook.llm.common import sliced, table
 
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NEITHER = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 #: License templates: id, words that name it, wording. Fixed values; ``templates`` takes others.
 TEMPLATES = (
     ("MIT", ("mit",), "Released under the MIT License."),
@@ -40,20 +51,69 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", ("cc", "by-nc-sa", "4.0"), "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", ("cc0", "1.0"), "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", ("unencumbered", "public", "domain"), "This is free and unencumbered software released into the public domain."),
+    ("MIT", ("permission", "noninfringement"), f"{_MIT} {_WARRANTY}"),
+    ("MIT", ("mit",), "MIT License"),
+    ("BSD-2-Clause", ("redistribution", "disclaimer"), f"{_BSD} {_DISCLAIMER}"),
+    ("BSD-3-Clause", ("redistribution", "neither", "endorse"), f"{_BSD} {_NEITHER} {_DISCLAIMER}"),
+    ("BSD-2-Clause", ("bsd", "2-clause"), "Licensed under the BSD 2-Clause License."),
+    ("ISC", ("permission", "fee", "purpose"), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.1", ("gnu", "lesser", "general", "public", "2.1"), "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("GPL-2.0", ("gnu", "general", "public", "2"), "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", ("gnu", "affero", "general", "public", "3"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", ("apache", "2.0"), "Apache License, Version 2.0"),
+    ("MPL-2.0", ("mozilla", "2.0"), "Mozilla Public License 2.0"),
 )
-#: What makes a line a candidate.
-HINT = r"licen[sc]e|\bcc[ -](?:by|zero)|\bcc0\b|copyleft|public domain|redistribut|hereby granted|free software"
+#: Names of the four-point-nought Creative Commons licenses, by their elements. Fixed values.
+_ELEMENTS = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+
+
+def _by_rule():
+    """Creative Commons references and SPDX lines, made from the names of licenses."""
+    for nc, end in product(("", "nc"), ("", "sa", "nd")):
+        parts = [p for p in ("by", nc, end) if p]
+        title = "-".join(_ELEMENTS[p] for p in parts)
+        name = f"CC-{'-'.join(parts).upper()}-4.0"
+        yield name, ("creative", "commons", title.lower(), "4.0"), f"This work is licensed under a Creative Commons {title} 4.0 International License."
+        if end == "nd":
+            yield name, ("cc", "-".join(parts), "4.0"), f"Licensed under CC {'-'.join(parts).upper()} 4.0."
+        yield name, ("spdx-license-identifier", name.lower()), f"SPDX-License-Identifier: {name}"
+    for name in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "ISC", "Unlicense"):
+        yield name, ("spdx-license-identifier", name.lower()), f"SPDX-License-Identifier: {name}"
+
+
+#: Words that a full license text is named by; the texts stand in ``wording``. Fixed values.
+FULL = {
+    "Apache-2.0": ("apache", "2.0", "contributor"), "GPL-2.0": ("gnu", "general", "public", "derivative"), "GPL-3.0": ("gnu", "general", "public", "affero"), "LGPL-2.1": ("gnu", "lesser", "library"),
+    "LGPL-3.0": ("gnu", "lesser", "linked"), "MPL-2.0": ("mozilla", "contributor", "covered"), "CC0-1.0": ("cc0", "1.0", "affirmer"),
+}
+
+
+def full_texts(folder: str | Path = Path(__file__).with_name("wording")):
+    """(id, naming words, wording) of the license texts in a folder, read where the job is started."""
+    return tuple((name, keys, (Path(folder) / f"{name}.txt").read_text(encoding="utf-8")) for name, keys in FULL.items())
+
+
+def all_templates():
+    return (*TEMPLATES, *_by_rule(), *full_texts())
+
+
+#: What makes wording a candidate.
+HINT = r"licen[sc]e|\bcc[ -](?:by|zero)|\bcc0\b|copyleft|public domain|redistribut|hereby granted|free software|permission to use"
 _HINT = re.compile(HINT, re.I)
-#: Lines between two candidate lines of one block at most.
+#: Lines between two candidate lines of one stretch of unknown wording at most.
 GAP = 2
-#: Characters of a block; of longer runs only what lies around license wording is taken.
-BLOCK = 8192
+#: Characters of a template up to which it belongs to a class; each class has blocks of its own reach.
+CLASSES = (320, 4096)
+#: A wrapped and commented copy is at most this many times as long as the template.
+STRETCH = 1.6
 #: Stands in place of a word that a confirmed license has taken.
 TAKEN = ""
 #: Share of a template's words that may be missing or inserted in a confirmed match.
 DIFFERENT = 0.15
 LEVEL = 9
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-'][A-Za-z0-9]+)*")
+#: Words of a template beyond which its place is found by runs of SHINGLE words before words are compared.
+SHORT, SHINGLE = 40, 4
 
 
 @dataclass(frozen=True)
@@ -66,14 +126,16 @@ class Template:
     def words(self) -> list[str]:
         return WORD.findall(self.text.lower())
 
+    @functools.cached_property
+    def places(self) -> dict[tuple[str, ...], int]:
+        """Where each run of SHINGLE words stands that the template holds once."""
+        runs = [tuple(self.words[i : i + SHINGLE]) for i in range(len(self.words) - SHINGLE + 1)]
+        once = Counter(runs)
+        return {r: i for i, r in enumerate(runs) if once[r] == 1}
 
-def blocks(text: str | None, gap: int = GAP, size: int = BLOCK, overlap: int = 1024):
-    """(first character, block) of each run of candidate lines; lines longer than ``size`` are cut too.
 
-    The lines around a run are no part of it. Of a run over ``size``, what lies around license wording is taken.
-    """
-    if not text or not _HINT.search(text):
-        return
+def unknown_runs(text: str, gap: int = GAP) -> list[tuple[int, int]]:
+    """(first, past the last character) of each run of candidate lines."""
     runs, at, since = [], 0, 0
     for line in text.split("\n"):
         if _HINT.search(line):
@@ -85,34 +147,81 @@ def blocks(text: str | None, gap: int = GAP, size: int = BLOCK, overlap: int = 1
         else:
             since += 1
         at += len(line) + 1
-    for a, b in runs:
-        for c, d in [(a, b)] if b - a <= size else _around(text, a, b, overlap):
-            while d - c > size:  # license wording without end
-                yield c, text[c : c + size]
-                c += size - overlap
-            yield c, text[c:d]
-
-
-def _around(text: str, a: int, b: int, reach: int) -> list[tuple[int, int]]:
-    """The stretches of a long run that lie within ``reach`` of license wording; those that meet are one."""
-    out: list[list[int]] = []
-    for m in _HINT.finditer(text, a, b):
-        c, d = max(a, m.start() - reach), min(b, m.end() + reach)
-        if out and c <= out[-1][1]:
-            out[-1][1] = d
+    return [(a, b) for a, b in runs]
+
+
+def blocks(hints: list[tuple[int, int]], reach: int, end: int):
+    """(first, past the last character) of the stretches within ``reach`` of a hint; long ones in pieces that overlap by twice the reach."""
+    merged: list[list[int]] = []
+    for a, b in hints:
+        c, d = max(0, a - reach), min(end, b + reach)
+        if merged and c <= merged[-1][1]:
+            merged[-1][1] = d
         else:
-            out.append([c, d])
-    return [(c, d) for c, d in out]
+            merged.append([c, d])
+    for c, d in merged:
+        while d - c > 8 * reach:
+            yield c, c + 4 * reach
+            c += 2 * reach
+        yield c, d
+
+
+def matching(a: list[str], b: list[str], small: int = 60_000) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of equal runs in order: between runs that both hold once, pairwise comparison."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) <= small:
+        return [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    for n in (SHINGLE, 2, 1):
+        ra, rb = ([tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in (a, b))
+        ca, cb = Counter(ra), Counter(rb)
+        at = {r: j for j, r in enumerate(rb) if cb[r] == 1}
+        pairs = [(i, at[r]) for i, r in enumerate(ra) if ca[r] == 1 and r in at]
+        if not pairs:
+            continue
+        # the longest chain that rises in both
+        ends, chain, back = [], [], []
+        for k, (_, j) in enumerate(pairs):
+            p = bisect_left(ends, j)
+            back.append(chain[p - 1] if p else -1)
+            ends[p : p + 1], chain[p : p + 1] = [j], [k]
+        k, rising = chain[-1], []
+        while k >= 0:
+            rising.append(pairs[k])
+            k = back[k]
+        runs: list[list[int]] = []
+        for i, j in reversed(rising):
+            if runs and i - runs[-1][0] == j - runs[-1][1] and i <= runs[-1][0] + runs[-1][2]:
+                runs[-1][2] = i + n - runs[-1][0]
+            elif not runs or (i >= runs[-1][0] + runs[-1][2] and j >= runs[-1][1] + runs[-1][2]):
+                runs.append([i, j, n])
+        out, x, y = [], 0, 0
+        for i, j, size in [*runs, [len(a), len(b), 0]]:
+            out += [(x + p, y + q, m) for p, q, m in matching(a[x:i], b[y:j], small)]
+            if size:
+                out.append((i, j, size))
+            x, y = i + size, j + size
+        joined: list[tuple[int, int, int]] = []
+        for i, j, size in out:
+            if joined and joined[-1][0] + joined[-1][2] == i and joined[-1][1] + joined[-1][2] == j:
+                joined[-1] = (*joined[-1][:2], joined[-1][2] + size)
+            else:
+                joined.append((i, j, size))
+        return joined
+    return []
 
 
 class Scanner:
     """Compressors for each template; made anew in each worker."""
 
-    def __init__(self, templates=TEMPLATES, different: float = DIFFERENT, level: int = LEVEL):
-        self.templates = [Template(*t) for t in templates]
+    def __init__(self, templates=None, different: float = DIFFERENT, level: int = LEVEL):
+        self.templates = [Template(*t) for t in (all_templates() if templates is None else templates)]
         self.different, self.level, self.made = different, level, None
-        self.overlap = max([256, *(2 * len(t.text) for t in self.templates)])
-        self.overlap = min(self.overlap, BLOCK // 2)
+        kinds: dict[int, list[int]] = {}
+        for i, t in enumerate(self.templates):
+            kinds.setdefault(sum(len(t.text) > c for c in CLASSES), []).append(i)
+        #: (reach, templates) of each class, the longest first
+        self.classes = [(int(STRETCH * max(len(self.templates[i].text) for i in own)) + 64, own) for _, own in sorted(kinds.items(), reverse=True)]
 
     def __getstate__(self):
         return {**self.__dict__, "made": None}
@@ -122,60 +231,71 @@ class Scanner:
             import zstandard as z
 
             plain = z.ZstdCompressor(level=self.level, write_content_size=False)
-            self.made = plain, [z.ZstdCompressor(level=self.level, write_content_size=False, dict_data=z.ZstdCompressionDict(t.text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for t in self.templates]
+            own = []
+            for t in self.templates:
+                d = z.ZstdCompressionDict(t.text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=self.level)
+                own.append(z.ZstdCompressor(level=self.level, write_content_size=False, dict_data=d))
+            self.made = plain, own
         return self.made
 
-    def savings(self, block: str) -> list[int]:
+    def savings(self, block: str, templates: list[int]) -> dict[int, int]:
         """Bytes that each template saves as a dictionary of the block."""
         plain, own = self.compressors()
         raw = block.encode("utf-8", "surrogatepass")
         base = len(plain.compress(raw))
-        return [base - len(c.compress(raw)) for c in own]
+        return {i: base - len(own[i].compress(raw)) for i in templates}
+
+    def locate(self, template: Template, words: list[str]) -> tuple[int, int] | None:
+        """The stretch of words in which most runs of a long template stand in their order."""
+        n, slack = len(template.words), max(2, int(len(template.words) * self.different))
+        shifts = sorted(j - i for j in range(len(words) - SHINGLE + 1) if (i := template.places.get(tuple(words[j : j + SHINGLE]))) is not None)
+        if not shifts:
+            return None
+        best = max(range(len(shifts)), key=lambda k: (bisect_right(shifts, shifts[k] + slack) - k, -k))
+        first, last = shifts[best], shifts[bisect_right(shifts, shifts[best] + slack) - 1]
+        return max(0, first - slack), min(len(words), last + n + slack)
 
     def confirm(self, template: Template, words: list[str]) -> tuple[list[str], list[str], float, int, int] | None:
         """(missing words, inserted words, share of differences, first word, past the last) where the template fits best; None if a naming word is missing."""
-        matcher = SequenceMatcher(None, template.words, words, autojunk=False)
-        runs = [m for m in matcher.get_matching_blocks() if m.size]
+        lo, hi = 0, len(words)
+        if len(template.words) > SHORT:
+            if not (place := self.locate(template, words)):
+                return None
+            lo, hi = place
+        words = words[lo:hi]
+        runs = matching(template.words, words)
         if not runs:
             return None
         # the longest run is in the best place; it is widened while the gaps stay small
-        i = max(range(len(runs)), key=lambda j: runs[j].size)
+        i = max(range(len(runs)), key=lambda j: runs[j][2])
         slack = max(2, int(len(template.words) * self.different))
         first = last = i
+        past = lambda r: r[1] + r[2]
         free = lambda x, y: TAKEN not in words[x:y]
-        while first and runs[first].b - runs[first - 1].b - runs[first - 1].size <= slack and free(runs[first - 1].b, runs[first].b):
+        while first and runs[first][1] - past(runs[first - 1]) <= slack and free(past(runs[first - 1]), runs[first][1]):
             first -= 1
-        while last + 1 < len(runs) and runs[last + 1].b - runs[last].b - runs[last].size <= slack and free(runs[last].b, runs[last + 1].b):
+        while last + 1 < len(runs) and runs[last + 1][1] - past(runs[last]) <= slack and free(past(runs[last]), runs[last + 1][1]):
             last += 1
         # where a template's first or last words are changed, the words in their place belong to the comparison
-        before = min(runs[first].a, slack, runs[first].b)
-        after = min(len(template.words) - runs[last].a - runs[last].size, slack)
-        stop = runs[last].b + runs[last].size
-        while not free(runs[first].b - before, runs[first].b):
+        begin, stop = runs[first][1], past(runs[last])
+        before = min(runs[first][0], slack, begin)
+        after = min(len(template.words) - runs[last][0] - runs[last][2], slack, len(words) - stop)
+        while not free(begin - before, begin):
             before -= 1
         while not free(stop, stop + after):
             after -= 1
-        start = runs[first].b - before
-        found = words[start : stop + after]
+        found = words[begin - before : stop + after]
         if not set(template.keys) <= set(found):
             return None
-        missing, inserted = [], []
-        for tag, i1, i2, j1, j2 in SequenceMatcher(None, template.words, found, autojunk=False).get_opcodes():
-            if tag != "equal":
-                missing += template.words[i1:i2]
-                inserted += found[j1:j2]
+        missing, inserted, x, y = [], [], 0, 0
+        for a, b, size in [*matching(template.words, found), (len(template.words), len(found), 0)]:
+            missing += template.words[x:a]
+            inserted += found[y:b]
+            x, y = a + size, b + size
+        start = lo + begin - before
         return missing, inserted, max(len(missing), len(inserted) - before - after) / len(template.words), start, start + len(found)
 
-    @staticmethod
-    def rest(block: str, places: list[re.Match], words: list[str]) -> str:
-        """The block without the words that are taken."""
-        keep, last = [], 0
-        for m, w in zip(places, words):
-            if w == TAKEN:
-                keep.append(block[last : m.start()])
-                last = m.end()
-        return "".join([*keep, block[last:]])
-
     def confirm_any(self, template: Template, words: list[str]):
         """``confirm`` in the first place that fits: where the best one does not, the next best is tried."""
         words = list(words)
@@ -183,6 +303,13 @@ class Scanner:
             got = self.confirm(template, words)
             if got and got[2] <= self.different:
                 return got
+            if len(template.words) > SHORT:
+                if not (place := self.locate(template, words)):
+                    return None
+                for j in range(place[0], min(place[1], len(words) - SHINGLE + 1)):  # these runs have been tried
+                    if tuple(words[j : j + SHINGLE]) in template.places:
+                        words[j] = TAKEN
+                continue
             run = SequenceMatcher(None, template.words, words, autojunk=False).find_longest_match()
             if not run.size:
                 return None
@@ -190,57 +317,68 @@ class Scanner:
         return None
 
     def scan(self, text: str | None) -> list[tuple[int, str | None, int, str | None, str | None, str]]:
-        """(first character, license, bytes saved, missing words, inserted words, verdict) of each candidate block.
+        """(first character, license, bytes saved, missing words, inserted words, verdict) of each license found.
 
-        A block may hold several licenses: each confirmed one is a row. ``verdict`` is ``exact``, ``changed`` (small
-        differences) or ``unknown`` (license wording that fits no template; license is null).
+        Every occurrence is a row. ``verdict`` is ``exact``, ``changed`` (small differences) or ``unknown``: a run of
+        lines with license wording in which nothing is found; its license is null.
         """
-        out, seen = [], set()
-        for at, block in blocks(text, overlap=self.overlap):
-            places = list(WORD.finditer(block.lower()))
-            words = [m[0] for m in places]
-            saved = best = self.savings(block)
-            found = False
-            while True:  # confirmed wording is taken out and the rest is ranked again, until nothing fits
-                fits = []
-                for i in sorted(range(len(saved)), key=lambda i: (-saved[i], i)):
-                    if saved[i] <= 0:
+        hints = [m.span() for m in _HINT.finditer(text or "")]
+        if not hints:
+            return []
+        places = [m.span() for m in WORD.finditer(text)]
+        starts = [a for a, _ in places]
+        words = [text[a:b].lower() for a, b in places]
+        out, best = [], []
+        for reach, own in self.classes:
+            for c, d in blocks(hints, reach, len(text)):
+                lo, hi = bisect_left(starts, c), bisect_left(starts, d)
+                while True:  # confirmed wording is taken out and the rest is ranked again, until nothing fits
+                    here = words[lo:hi]
+                    named = set(here)
+                    tried = [i for i in own if named.issuperset(self.templates[i].keys)]
+                    if not tried:
+                        break
+                    saved = self.savings(self.rest(text, c, d, places, words, lo, hi), tried)
+                    best.append((c, d, max(saved.values())))
+                    fits = []
+                    for i in sorted(tried, key=lambda i: (-saved[i], i)):
+                        if saved[i] > 0 and (got := self.confirm_any(self.templates[i], here)):
+                            fits.append((len(got[0]) - len(self.templates[i].words), got[2], -saved[i], self.templates[i].name, got))
+                    taken: list[tuple[int, int]] = []
+                    for _, _, gain, name, (missing, inserted, _, start, end) in sorted(fits, key=lambda f: f[:4]):
+                        if any(start < y and end > x for x, y in taken):
+                            continue  # words that another template explains more of
+                        taken.append((start, end))
+                        out.append((places[lo + start][0], name, -gain, " ".join(missing), " ".join(inserted), "changed" if missing or inserted else "exact", places[lo + end - 1][1]))
+                        words[lo + start : lo + end] = [TAKEN] * (end - start)
+                    if not taken:
                         break
-                    got = self.confirm_any(self.templates[i], words)
-                    if got:
-                        fits.append((got[2], -saved[i], self.templates[i].name, got))
-                taken: list[tuple[int, int]] = []
-                for _, gain, name, (missing, inserted, _, start, end) in sorted(fits, key=lambda f: f[:3]):
-                    if any(start < y and end > x for x, y in taken):
-                        continue  # words that fit another template better
-                    taken.append((start, end))
-                    place = (name, at + places[start].start())  # overlapping pieces find the same one
-                    if place not in seen:
-                        seen.add(place)
-                        out.append((at, name, -gain, " ".join(missing), " ".join(inserted), "changed" if missing or inserted else "exact"))
-                if not taken:
-                    break
-                found = True
-                for start, end in taken:
-                    words[start:end] = [TAKEN] * (end - start)
-                if not any(set(t.keys) <= set(words) for t in self.templates):
-                    break
-                saved = self.savings(self.rest(block, places, words))
-            if not found:
-                out.append((at, None, max([0, *best]), None, None, "unknown"))
-        return out
+        for a, b in unknown_runs(text):
+            if not any(r[0] < b and r[6] > a for r in out):
+                out.append((a, None, max([0, *(s for c, d, s in best if c < b and d > a)]), None, None, "unknown", b))
+        return [r[:6] for r in sorted(out, key=lambda r: (r[0], r[6]))]
+
+    @staticmethod
+    def rest(text: str, c: int, d: int, places: list[tuple[int, int]], words: list[str], lo: int, hi: int) -> str:
+        """A block without the words that are taken."""
+        keep, last = [], c
+        for (a, b), w in zip(places[lo:hi], words[lo:hi]):
+            if w == TAKEN:
+                keep.append(text[last:a])
+                last = b
+        return "".join([*keep, text[last:d]])
 
 
 FOUND = "doc_id long, block_at long, license string, saved_bytes long, missing string, inserted string, verdict string"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("block_at", pa.int64()), ("license", pa.string()), ("saved_bytes", pa.int64()), ("missing", pa.string()), ("inserted", pa.string()), ("verdict", pa.string())])
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, different: float = DIFFERENT) -> DataFrame:
-    """One row a candidate block and license, see ``Scanner.scan``; texts without license wording give none.
+def scan(docs: DataFrame, templates=None, different: float = DIFFERENT) -> DataFrame:
+    """One row a license found, see ``Scanner.scan``; texts without license wording give none.
 
     Whole texts are read, nothing is shuffled: ids and texts go through Arrow in bounded batches. Null and empty texts
     give no rows; repeated rows give repeated results; a null doc_id stays null; other columns are not read. Without
-    templates every candidate block is ``unknown``.
+    templates all license wording is ``unknown``; None takes all that are built in.
     """
     scanner = Scanner(templates, different)
     # a built-in filter first, so that only texts with license wording reach Python

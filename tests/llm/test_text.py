@@ -56,6 +56,51 @@ def test_every_license_of_a_block_is_found():
         assert sorted(r[1] for r in s.scan("\n".join(short[n] for n in names))) == sorted(names), names
 
 
+@pytest.mark.parametrize("width, lead", [(40, ""), (72, "# "), (120, "    "), (60, " * ")])
+def test_wrapped_indented_and_commented_texts(width, lead):
+    import textwrap
+
+    s = licenses.Scanner()
+    for name, _, text in licenses.all_templates():
+        if len(text) < 200:
+            continue
+        body = "\n".join(lead + line for line in textwrap.wrap(" ".join(text.split()), width, break_long_words=False, break_on_hyphens=False))
+        got = s.scan(f"int x = 1;\n{body}\nint main() {{ return x; }}")
+        assert [r[1] for r in got] == [name], (name, [r[:2] for r in got])
+
+
+def test_full_texts_changed_repeated_and_side_by_side():
+    s = licenses.Scanner()
+    full = {name: text for name, _, text in licenses.full_texts()}
+    mit = next(t for n, k, t in licenses.TEMPLATES if "noninfringement" in k)
+    got = s.scan(mit.replace("sell", "trade") + "\n\n" + mit)
+    assert [(r[1], r[3], r[5]) for r in got] == [("MIT", "sell", "changed"), ("MIT", "", "exact")]
+    got = s.scan(full["Apache-2.0"] + "\n\n" + full["LGPL-3.0"] + "\n\n" + mit + "\n\n" + full["Apache-2.0"])
+    assert [r[1] for r in got] == ["Apache-2.0", "LGPL-3.0", "MIT", "Apache-2.0"]
+    words = full["GPL-2.0"].split()
+    changed = " ".join(w for i, w in enumerate(words) if i % 100)  # one word of a hundred is gone
+    (_, name, _, missing, _, verdict), = s.scan("x " * 5000 + changed)
+    assert (name, verdict) == ("GPL-2.0", "changed") and len(missing.split()) >= len(words) // 100 - 5
+    assert [r[1] for r in s.scan("\n".join(["MIT License"] * 7))] == ["MIT"] * 7
+
+
+def test_exact_wording_by_brute_force(spark, small):
+    """A document that holds all words of a template in a row is found under its name, or under a longer one that holds it."""
+    import re
+
+    plain = lambda t: " " + " ".join(w.lower() for w in re.findall(r"[A-Za-z0-9]+(?:[.\-'][A-Za-z0-9]+)*", t)) + " "
+    got = {}
+    for r in registry.QUERIES["op6_licenses"](spark, small).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    seen = 0
+    for doc, text in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
+        held = [(n, plain(t)) for n, _, t in licenses.all_templates() if plain(t) in plain(text or "")]
+        for n, t in held:
+            seen += 1
+            assert n in got[doc] or any(t in u and m in got[doc] for m, u in held), (doc, n)
+    assert seen
+
+
 def test_license_scan_equals_plain_loop(spark, small):
     s = licenses.Scanner()
     table = spark.read.parquet(f"{small}/documents.parquet")
