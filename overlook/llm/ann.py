@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample and holds centroids only; every row is then assigned to a leaf. A query walks the
-tree through a priority queue, nearest branch first, and yields leaves in that order. How many leaves are visited is
+The tree is fitted on a bounded sample, deeper for larger tables, and holds centroids only; every row is then assigned to a
+leaf. A query walks the tree through a priority queue, nearest branch first, and yields leaves in that order. How many leaves are visited is
 widened until a calibration set, searched by brute force over all rows, reaches the wanted recall.
 
 Nearness is the inner product. The tree measures distance after the usual reduction: each vector gets one more component
@@ -20,16 +20,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from overlook.llm.common import table
-from overlook.plans.shared import written
+from overlook.plans.shared import cut, written
 
 K = 20
-#: Rows that the tree is fitted on at most; the sample is by hash of the id, so it does not hang on partitioning.
-FIT_ROWS = 20_000
+#: Rows that a tree is fitted on at most; the sample is by hash of the row, so it does not hang on partitioning.
+FIT_ROWS = 100_000
 BRANCH = 8
-LEAF_ROWS = 64
-#: Queries that calibrate the visits at most.
+#: Rows of the table that a leaf holds, as long as the sample allows: the tree deepens with the table. A node of fewer than
+#: LEAF_SAMPLE sample rows is not split.
+LEAF_ROWS, LEAF_SAMPLE = 512, 6
+#: Leaves that a query visits first; its k-th score there bounds what the others may add.
+FIRST = 2
+#: Queries that calibrate the visits at most, for each length of vectors.
 CALIBRATE = 100
-RECALL = 0.97
+RECALL = 0.95
 #: Vectors of a leaf, and queries that visit it, that one task compares at once.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
@@ -84,7 +88,7 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 10) -> np.ndarray:
     return centers
 
 
-def fit_tree(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf_rows: int = LEAF_ROWS, seed: int = 7) -> Tree:
+def fit_tree(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf_rows: int = LEAF_SAMPLE, seed: int = 7) -> Tree:
     """Split by k-means until a node has ``leaf_rows`` sample rows at most, or rows that no split parts."""
     rng = np.random.default_rng(seed)
     tree = Tree(np.zeros((1, sample.shape[1] + 1)), np.zeros(1, np.int64), np.zeros(1, np.int64), longest)
@@ -113,121 +117,161 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def sound(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``(id, v)`` of the rows that take part: an id, and a vector neither null, empty or zero, of finite components.
-
-    Vectors of fewer components than the longest take no part either.
-    """
+    """``(id, v)`` of the rows that take part: an id, and a vector neither null, empty or zero, of finite components."""
     v = F.col(column).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL").where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).where(F.size(v) == (vectors.agg(F.max(F.size(column))).first()[0] or 0))
+    return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL").where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+
+
+FOUND = "qid long, qh long, id long, score double"
+_COLUMNS = ["qid", "qh", "id", "score"]
 
 
 def _compare(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows for each query; scores are summed the same way wherever the rows stand, so equal vectors tie."""
-    out = []
-    ids, v = rows["id"].to_numpy(), _matrix(rows["v"])
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
-    for qid, q in zip(queries["qid"], _matrix(queries["q"])):
-        rough = v @ q
-        if len(rough) > k + 1:
-            least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-            pick = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least)))
-        else:
-            pick = np.arange(len(rough))
-        pick = pick[ids[pick] != qid]
-        exact = (v[pick] * q).sum(axis=1)
-        best = np.lexsort((ids[pick], -exact))[:k]
-        out.append(pd.DataFrame({"qid": qid, "id": ids[pick][best], "score": exact[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-
-FOUND = "qid long, id long, score double"
+    """The k best rows for each query (``qid, qh, q`` and, if present, ``least``, a score that they must reach).
+
+    One product of matrices picks candidates; scores are then summed the same way wherever the rows stand, so that equal
+    vectors tie. A row of the query's own id and vector is the query itself.
+    """
+    if not len(queries) or not len(rows):
+        return pd.DataFrame({"qid": pd.Series(dtype="int64"), "qh": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    ids, v, q, qids = rows["id"].to_numpy(), _matrix(rows["v"]), _matrix(queries["q"]), queries["qid"].to_numpy()
+    rough = q @ v.T
+    least = np.full(len(q), -np.inf)
+    if len(ids) > k + 1:
+        least = np.partition(rough, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+    if "least" in queries:
+        least = np.maximum(least, queries["least"].to_numpy(dtype=np.float64))
+    with np.errstate(invalid="ignore"):
+        at, pick = np.nonzero(rough >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
+    other = (ids[pick] != qids[at]) | (v[pick] != q[at]).any(axis=1)
+    at, pick = at[other], pick[other]
+    exact = (v[pick] * q[at]).sum(axis=1)
+    order = np.lexsort((ids[pick], -exact, at))
+    at, pick, exact = at[order], pick[order], exact[order]
+    first = np.r_[0, np.flatnonzero(np.diff(at)) + 1] if len(at) else np.zeros(0, np.int64)
+    keep = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
+    return pd.DataFrame({"qid": qids[at[keep]], "qh": queries["qh"].to_numpy()[at[keep]], "id": ids[pick[keep]], "score": exact[keep]})
 
 
 def brute_force(rows: DataFrame, queries: pd.DataFrame, k: int = K) -> DataFrame:
-    """Exact neighbours of a few queries (``qid``, ``q``): each block of rows gives its k best, and those meet."""
+    """Exact neighbours of a few queries (``qid, qh, q``) among rows of their length: each block of rows gives its k best, and those meet."""
 
     def run(frames):
         for frame in frames:
-            yield _compare(queries, frame, k)[["qid", "id", "score"]]
+            for at in range(0, len(frame), BLOCK_ROWS):
+                yield _compare(queries, frame.iloc[at : at + BLOCK_ROWS], k)
 
-    return best(rows.mapInPandas(run, FOUND), k)
+    return best(rows.select("id", "v").mapInPandas(run, FOUND), k)
 
 
 def best(found: DataFrame, k: int = K) -> DataFrame:
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = W.partitionBy("qid", "qh").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _assigned(tree: Tree):
+#: A leaf's number: the length of its vectors, then its node in their tree (0 where they are too few for one).
+NODES = 1 << 32
+
+
+def _assigned(trees: dict[int, Tree]):
     def run(frames):
         for frame in frames:
-            frame["leaf"] = tree.assign(tree.lift(_matrix(frame["v"]))) if len(frame) else pd.Series(dtype="int64")
+            leaf = np.zeros(len(frame), dtype=np.int64)
+            length = frame["v"].map(len).to_numpy()
+            for n in np.unique(length):
+                own = length == n
+                node = trees[n].assign(trees[n].lift(_matrix(frame["v"][own]))) if n in trees else 0
+                leaf[own] = n * NODES + node
+            frame["leaf"] = leaf
             yield frame
 
     return run
 
 
-def _visits(tree: Tree, most: int):
+def _visits(trees: dict[int, Tree], most: dict[int, int]):
     def run(frames):
         for frame in frames:
-            q = _matrix(frame["q"]) if len(frame) else np.zeros((0, 1))
-            ways = [tree.best_first(np.append(x, 0.0), most) for x in q]
-            yield pd.DataFrame({"qid": np.repeat(frame["qid"].to_numpy(), [len(w) for w in ways]), "leaf": np.array([y for w in ways for y in w], dtype="int64")})
+            ways = [[n * NODES + x for x in trees[n].best_first(np.append(q, 0.0), most[n])] if (n := len(q)) in trees else [n * NODES] for q in frame["q"]]
+            sizes = [len(w) for w in ways]
+            yield pd.DataFrame({
+                "qid": np.repeat(frame["qid"].to_numpy(), sizes), "qh": np.repeat(frame["qh"].to_numpy(), sizes),
+                "leaf": np.array([y for w in ways for y in w], dtype="int64"), "turn": np.array([i for w in ways for i in range(len(w))], dtype="int32"),
+            })
 
     return run
 
 
-def calibrate(tree: Tree, queries: pd.DataFrame, exact: pd.DataFrame, leaf_of: dict[int, int], recall: float = RECALL) -> int:
-    """Widen the visits until ``recall`` of the exact neighbours' leaves are reached."""
-    ways = {q: {leaf: i for i, leaf in enumerate(tree.best_first(np.append(x, 0.0), len(tree.centers)))} for q, x in zip(queries["qid"], _matrix(queries["q"]))}
-    need = np.sort([ways[q][leaf_of[i]] + 1 for q, i in zip(exact["qid"], exact["id"])])
+def calibrate(tree: Tree, queries: pd.DataFrame, leaves: pd.DataFrame, recall: float = RECALL) -> int:
+    """Widen the visits until ``recall`` of the exact neighbours' ``leaves`` (``qid, qh, node``) are reached."""
+    ways = {(i, h): {leaf: n for n, leaf in enumerate(tree.best_first(np.append(q, 0.0), len(tree.centers)))} for i, h, q in zip(queries["qid"], queries["qh"], queries["q"])}
+    need = np.sort([ways[i, h][node] + 1 for i, h, node in zip(leaves["qid"], leaves["qh"], leaves["node"])])
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) if len(need) else len(tree.leaves())
 
 
-def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest found among all rows but its own id.
-
-    ``is_query`` is a condition on ``id``. Rows that cannot take part (see ``sound``) are neither queries nor
-    candidates; rows that repeat an id count once. Copies of a vector tie on every query, so that all but the k + 1 of
-    smallest id can never be among the k nearest: they are left out exactly, which bounds any leaf of copies. Large
-    leaves are cut in blocks, and so are the queries that visit them.
-    """
-    spark = vectors.sparkSession
-    rows = sound(vectors, id_column, column)
-    # copies: the first k + 1 ids of each vector; the window limit works map-side
-    copies = W.partitionBy("v").orderBy("id")
-    part = written(rows.groupBy("id").agg(F.min("v").alias("v")), "ann-rows")
-    kept = part.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n")
-    total = part.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest = part.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    share = min(1.0, fit_rows / total)
-    drawn = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = kept.where(drawn).select("v").limit(2 * fit_rows).toPandas()
-    tree = fit_tree(_matrix(sample["v"]), float(longest))
-    indexed = written(kept.mapInPandas(_assigned(tree), "id long, v array<double>, leaf long"), "ann-leaves")
-    asked = part.where(is_query).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    probes = asked.orderBy(F.xxhash64("qid", F.lit("calibrate"))).limit(calibrate_rows).toPandas()
-    exact = brute_force(indexed.select("id", "v"), probes, k).join(indexed.select("id", "leaf"), "id").toPandas()
-    visits = calibrate(tree, probes, exact, dict(zip(exact["id"], exact["leaf"])), recall)
-    pairs = asked.mapInPandas(_visits(tree, visits), "qid long, leaf long")
+def _meet(asks: DataFrame, indexed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Queries (``asks``: ``qid, qh, leaf`` and perhaps ``least``) meet the rows of the leaves they visit, block by block."""
+    extra = [c for c in ("least",) if c in asks.columns]
     sizes = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"))
-    asks = pairs.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
-    # both tables have a row for each leaf of a tree whose sample is bounded
-    cuts = F.broadcast(sizes.join(asks, "leaf"))
-    spread = lambda n, i: F.pmod(F.xxhash64(i, F.lit("block")), F.col(n)).cast("int")
+    visitors = asks.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
+    cuts = cut(sizes.join(visitors, "leaf"))
+    # a row a leaf: a small share of the table, but it grows with it, so it is broadcast only when counted
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LEAVES else cuts
+    spread = lambda n, *of: F.pmod(F.xxhash64(*of, F.lit("block")), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = pairs.join(cuts, "leaf").withColumn("cq", spread("nq", "qid")).withColumn("cb", each("nb")).join(asked, "qid").select("leaf", "cq", "cb", "qid", "q")
-    right = indexed.join(cuts, "leaf").withColumn("cb", spread("nb", "id")).withColumn("cq", each("nq")).select("leaf", "cq", "cb", "id", "v")
+    left = asks.join(cuts, "leaf").withColumn("cq", spread("nq", "qid", "qh")).withColumn("cb", each("nb")).join(asked, ["qid", "qh"]).select("leaf", "cq", "cb", "qid", "qh", "q", *extra)
+    right = indexed.join(cuts, "leaf").withColumn("cb", spread("nb", "id", "v")).withColumn("cq", each("nq")).select("leaf", "cq", "cb", "id", "v")
 
     def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return _compare(queries, block, k)[["qid", "id", "score"]]
+        return _compare(queries, block, k)
+
+    return left.groupBy("leaf", "cq", "cb").cogroup(right.groupBy("leaf", "cq", "cb")).applyInPandas(meet, FOUND)
+
+
+#: Leaves (24 bytes each) up to which their block counts are broadcast.
+BROADCAST_LEAVES = 500_000
+RESULT = "query_id long, rank int, vec_id long, score double, leaves_visited int, leaves int"
 
-    found = left.groupBy("leaf", "cq", "cb").cogroup(right.groupBy("leaf", "cq", "cb")).applyInPandas(meet, FOUND)
-    return best(found, k).select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE, leaf_rows: int = LEAF_ROWS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """``(query_id, rank, vec_id, score, leaves_visited, leaves)``: each query's ``k`` nearest found among all rows but its own.
+
+    ``is_query`` is a condition on ``id``. Rows that cannot take part (see ``sound``) are neither queries nor candidates;
+    a query meets vectors of its own length only, so an odd vector changes nothing for the rest. Rows that repeat an id
+    and a vector count once; an id with several vectors has a row for each, and each is a query if its id is. Copies of a vector tie
+    on every query, so that all but the k + 1 of smallest id can never be among the k nearest: they are left out exactly,
+    which bounds any leaf of copies. Large leaves are cut in blocks, and so are the queries that visit them. A query's k-th
+    score in its first leaves bounds the others: rows below it are not sent on.
+    """
+    spark = vectors.sparkSession
+    part = written(sound(vectors, id_column, column).distinct().withColumn("n", F.size("v")), "ann-rows")
+    lengths = {r[0]: (r[1], r[2]) for r in part.groupBy("n").agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).where(F.col("count(1)") > BRANCH * LEAF_SAMPLE * 4).collect()}
+    copies = W.partitionBy("v").orderBy("id")
+    kept = part.withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1).drop("c")
+    trees: dict[int, Tree] = {}
+    for n, (total, longest) in lengths.items():
+        share = min(1.0, fit_rows / total)
+        drawn = F.pmod(F.xxhash64("id", "v", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+        sample = kept.where((F.col("n") == n) & drawn).select("v").limit(2 * fit_rows).toPandas()
+        trees[n] = fit_tree(_matrix(sample["v"]), float(longest), leaf_rows=max(LEAF_SAMPLE, int(leaf_rows * share)))
+    indexed = written(kept.select("id", "v").mapInPandas(_assigned(trees), "id long, v array<double>, leaf long"), "ann-leaves")
+    asked = part.where(is_query).select(F.col("id").alias("qid"), F.xxhash64("v").alias("qh"), F.col("v").alias("q"))
+    visits: dict[int, int] = {}
+    for n, tree in trees.items():
+        probes = asked.where(F.size("q") == n).orderBy(F.xxhash64("qid", "qh", F.lit("calibrate"))).limit(calibrate_rows).toPandas()
+        own = indexed.where(F.col("leaf").between(n * NODES, n * NODES + NODES - 1))
+        # copies of a neighbour share its leaf, so any row of its id and score stands for it
+        exact = brute_force(own, probes, k).join(own.select("id", (F.col("leaf") % NODES).alias("node")).dropDuplicates(["id"]), "id").select("qid", "qh", "node").toPandas()
+        visits[n] = calibrate(tree, probes, exact, recall)
+    pairs = written(asked.mapInPandas(_visits(trees, visits), "qid long, qh long, leaf long, turn int"), "ann-visits")
+    first = written(best(_meet(pairs.where(F.col("turn") < FIRST), indexed, asked, k), k), "ann-first")
+    bound = first.where(F.col("rank") == k).select("qid", "qh", F.col("score").alias("least"))
+    rest = pairs.where(F.col("turn") >= FIRST).join(bound, ["qid", "qh"], "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = first.drop("rank").unionByName(_meet(rest.drop("turn"), indexed, asked, k))
+    counts = pairs.groupBy("qid", "qh").agg(F.count("*").cast("int").alias("leaves_visited"), (F.max("leaf") / NODES).cast("int").alias("n"))
+    whole = F.coalesce(*[F.when(F.col("n") == n, len(t.leaves())) for n, t in trees.items()], F.lit(1))
+    out = best(found, k).join(counts, ["qid", "qh"])
+    return out.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score", "leaves_visited", whole.alias("leaves"))
 
 
 def op9_ann(spark, sf_dir):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,6 +207,36 @@ def test_neighbours_edges(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_odd_and_repeated_rows_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(500)]
+    rows += [(i, rng.normal(size=6).tolist()) for i in (1, 2, 3, 20, 40)]  # ids with two vectors
+    odd = [(900, [float("nan")] * 9), (901, [1.0] * 9), (920, [2.0] * 9), (940, [3.0]), (20, rows[20][1])]
+    schema = "vec_id long, embedding array<double>"
+    got = ann.search(spark.createDataFrame(rows + odd, schema), F.col("id") % 20 == 0, k=5).toPandas()
+    assert got[got.query_id == 920][["rank", "vec_id"]].values.tolist() == [[1, 901]] and not (got.query_id == 940).any()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hits = total = 0
+    for a, (i, x) in enumerate(rows):
+        if i % 20 == 0:
+            score = (v * np.array(x)).sum(1)
+            score[a] = -np.inf
+            order = np.lexsort((ids, -score))[:5]
+            own = set(zip(got[got.query_id == i].vec_id, got[got.query_id == i].score))
+            hits, total = hits + len({(ids[o], score[o]) for o in order} & own), total + 5
+    assert hits / total >= 0.9 and len(got[got.query_id == 20]) == 10
+
+
+def test_the_tree_deepens_with_the_table(spark):
+    rng = np.random.default_rng(5)
+    sizes = {}
+    for n in (2000, 8000):
+        rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": rng.normal(size=(n, 4)).tolist()}))
+        got = ann.search(rows, F.col("id") % 400 == 0, leaf_rows=50, fit_rows=1500)
+        sizes[n] = got.select("leaves", "leaves_visited").first()
+    assert sizes[8000]["leaves"] > 2 * sizes[2000]["leaves"] and sizes[8000]["leaves_visited"] < sizes[8000]["leaves"] / 2
+
+
 def test_recall(spark, small):
     table = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
     v = np.array(table.embedding.tolist(), dtype=np.float64)
