@@ -209,7 +209,7 @@ def test_benchmark_passages_in_documents_are_found(spark, small):
 def test_raking_meets_the_marginals(spark):
     cells = spark.createDataFrame([("a", "x", 60), ("a", "y", 20), ("b", "x", 5), ("b", "y", 15)], "source string, lang string, tokens long")
     targets = {d: spark.createDataFrame(rows, f"{d} string, target double") for d, rows in (("source", [("a", 0.5), ("b", 0.5)]), ("lang", [("x", 0.4), ("y", 0.6)]))}
-    got = mixing.rake(cells, targets, 30).toPandas()
+    got = mixing.rake(cells, targets).toPandas()
     assert got.groupby("source").weight.sum().tolist() == pytest.approx([0.5, 0.5]) and got.groupby("lang").weight.sum().tolist() == pytest.approx([0.4, 0.6])
 
 
@@ -220,14 +220,55 @@ def test_sample_by_hash(spark):
         u = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
         assert u < r["probability"]
     assert 0 < len(got) < 300
-    salted = mixing.mix(d, broadcast_cells=0)
+    salted = mixing.mix(d, small_cells=0, tolerance=1e-6)
     assert sorted(r["doc_id"] for r in salted.collect()) == sorted(r["doc_id"] for r in got)
 
 
+def test_random_tables_are_fitted_to_the_marginals(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", rng.choice([0, 1, 20, 5000])) for i in range(6) for j in range(4) for k in range(3)] + [("tiny", "l0", "t0", 1)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    got = mixing.calibrated(cells, rate=0.4).toPandas()
+    for d, target in mixing.tempered_targets(cells).items():
+        want = target.toPandas().set_index(d).target
+        assert (got.groupby(d).weight.sum() - want).abs().max() < 1e-6
+    assert got.residual.max() < 1e-6
+    assert (got.tokens * got.probability).sum() == pytest.approx(0.4 * got.tokens.sum(), rel=1e-6) and got.probability.between(0, 1).all()
+    kept = got.tokens * got.probability * got.factor  # with factors the sample meets the targets
+    assert (kept.groupby(got.source).sum() / kept.sum() - got.groupby("source").weight.sum()).abs().max() < 1e-6
+    # the grouped form agrees
+    big = mixing.calibrated(cells, rate=0.4, small_cells=0, tolerance=1e-5).toPandas()
+    keys = ["source", "lang", "topic"]
+    both = got.merge(big, on=keys)
+    assert len(both) == len(rows) and (both.probability_x - both.probability_y).abs().max() < 1e-2
+    # two targets that no table with these zeros can meet
+    odd = spark.createDataFrame([("a", "x", 5), ("b", "y", 5)], "source string, lang string, tokens long")
+    goals = {d: spark.createDataFrame(r, f"{d} string, target double") for d, r in (("source", [("a", 0.9), ("b", 0.1)]), ("lang", [("x", 0.1), ("y", 0.9)]))}
+    assert mixing.rake(odd, goals, max_rounds=20).first()["residual"] > 0.5
+
+
+def test_targets_and_tiny_cells(spark):
+    rows = [(i, "word " * 1000, "en" if i % 3 else "de", f"s{i % 4}") for i in range(400)] + [(1000, "one", "en", "lone")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert 130 < len(got) < 270 and any(r["doc_id"] == 1000 for r in got)
+    even = mixing.mix(docs(spark, rows), targets={"lang": {"en": 0.5, "de": 0.5}}, topic=F.col("source")).collect()
+    share = sum(r["factor"] for r in even if r["lang"] == "de") / sum(r["factor"] for r in even)
+    assert 0.4 < share < 0.6 and {f"s{i}" for i in range(4)} <= {r["topic"] for r in even}
+    only = mixing.mix(docs(spark, rows), targets={"lang": {"de": 1.0}}, rate=0.1).collect()
+    assert only and {r["lang"] for r in only} == {"de"}
+
+
 def test_mix_edges(spark):
     d = docs(spark, [(1, None, None, None), (2, "", "en", "s"), (3, "word", None, "s"), (3, "word", None, "s"), (None, "word", "en", None)]).withColumn("topic", F.lit("mine"))
     got = mixing.mix(d).collect()
     assert {r["doc_id"] for r in got} <= {3, None} and all(r["topic"] == "prose" for r in got)
+    long = mixing.mix(d.limit(0).union(docs(spark, [(i, "word " * 300_000, "en", "s") for i in range(3)]).withColumn("topic", F.lit("mine"))), rate=1.0)
+    assert [r["tokens"] for r in long.collect()] == [300_000] * 3
+    names = docs(spark, [(i, "word", "en", "s") for i in range(9)]).withColumns({"mx_source": F.lit("mine"), "mx_lang": F.lit("mine"), "mx_salt": F.lit("mine"), "weight": F.lit("mine")})
+    got = mixing.mix(names, rate=1.0)
+    assert {tuple(r[c] for c in ("mx_source", "mx_lang", "mx_salt", "weight")) for r in got.collect()} == {("mine",) * 4} and got.count() == 9
     assert mixing.mix(d.limit(0)).count() == 0
 
 
