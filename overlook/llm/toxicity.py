@@ -2,8 +2,8 @@
 
 Words that look obfuscated (digits or signs among letters, letters set apart, letters repeated) become a lattice of what
 each character may stand for. A character trigram model, counted over the corpus, finds the likeliest path by Viterbi.
-The restored words, beside the words as they stand, are scored by rules learned from labels: whole words, and how many
-different words with one beginning stand in a text.
+The restored words, beside the words as they stand, are evidence: whole words, and how many different words with one
+beginning stand in a text. Evidence that labels bear out is weighed by logistic regression, and its log-odds add up.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlook.llm.common import crc_part, sliced, table
+from overlook.plans.shared import cut, written
 
 THRESHOLD = 0.7
-#: Labelled rows that the rules are fitted on at most, drawn by hash of the id.
+#: Labelled rows that the weights are fitted on at most, drawn by hash of the id.
 FIT_ROWS = 20_000
-#: A rule holds if it stands in MIN_TOXIC toxic texts and, at the 95 % lower bound, in toxic ones in this share of cases.
-MIN_TOXIC = 5
-PURITY = 0.7
-#: A rule must explain this many toxic texts that better rules do not.
-MIN_NEW = 3
-#: Candidate rules at most, those in most toxic texts of the sample first.
-CANDIDATES = 20_000
+#: Evidence counts if it stands in MIN_TOXIC toxic texts at least, in toxic ones in PURITY of its texts, and if its excess
+#: over the share of toxic texts would come by chance in fewer than CHANCE of all features as frequent as it.
+MIN_TOXIC = 3
+PURITY = 0.6
+CHANCE = 0.1
+#: Pull of the weights towards zero.
+RIDGE = 0.05
 PREFIXES = (3, 4, 5, 6, 7)
 #: Different words with one beginning, counted up to.
 COUNTED = 4
@@ -38,7 +39,7 @@ STRETCH, OVERLAP = 80, 24
 #: What a sign may stand for, fixed.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 GAPS = ".-_*~'·,:;/\\ #"
-SIGN_COST, SAME_COST, GAP_COST, DROP_COST = 0.7, 6.0, 0.1, 0.5
+SIGN_COST, SAME_COST, GAP_COST, DROP_COST, BREAK_COST = 0.7, 6.0, 0.1, 0.5, 0.4
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|])){2,}(?![^\W_])")
 TRIPLE = re.compile(r"(.)\1\1")
 LETTERS, SAME = re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"(.)\1{3,}")
@@ -47,6 +48,8 @@ LONG = 80
 WORD = re.compile(r"[^\W\d_]+")
 ENDS = ".,;:!?\"'()[]{}<>*#%&$-_~|/\\"
 SYMBOLS = 64
+#: Letters of a word that is looked for inside letters set apart, where words have no ends.
+SURE = 5
 
 
 @functools.cache
@@ -94,8 +97,8 @@ def character_model(texts: DataFrame) -> np.ndarray:
     return np.log((n + 5 * p2) / (n.sum(2, keepdims=True) + 5))
 
 
-def options(word: str, i: int) -> list[tuple[str, float]]:
-    """What character ``i`` may stand for, with costs; the empty string drops it."""
+def options(word: str, i: int, spaced: bool = False) -> list[tuple[str, float]]:
+    """What character ``i`` may stand for, with costs; the empty string drops it. Among spaced letters a gap may end a word."""
     c = word[i]
     if c.isalpha():
         out = [(c, 0.0)]
@@ -105,18 +108,20 @@ def options(word: str, i: int) -> list[tuple[str, float]]:
     out = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
     if c in GAPS or c in ENDS:
         out.append(("", GAP_COST))
+        if spaced:
+            out.append((" ", BREAK_COST))
     elif i and word[i - 1] == c:
         out.append(("", DROP_COST))
     return out or [(c, SAME_COST)]
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest reading of an obfuscated word: Viterbi over pairs of last symbols."""
+def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest reading of an obfuscated word: Viterbi over pairs of last symbols. Spaced letters may be several words."""
     beams = {(0, 0): (0.0, None)}  # paths are chains from the last character back, so that long words take linear time
     for i in range(len(word)):
         step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in beams.items():
-            for c, extra in options(word, i):
+            for c, extra in options(word, i, spaced):
                 s = code(c) if c else 0
                 state, value = ((b, s), cost + extra - model[a, b, s]) if c else ((a, b), cost + extra)
                 if state not in step or value < step[state][0]:
@@ -139,13 +144,15 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.short = functools.lru_cache(maxsize=50_000)(lambda w: restore(w, model))
         self.long = lambda w: restore(w, model)  # not remembered
+        self.spaced = lambda w: restore(w, model, True)
 
     def one(self, word: str) -> str:
         """The reading of a whole word of any length; of more than three equal letters (in long words, characters) three are read."""
         word = (LETTERS if len(word) <= LONG else SAME).sub(r"\1\1\1", word)
         return self.short(word) if len(word) <= LONG else self.long(word)
 
-    def words(self, text: str | None) -> set[str]:
+    def words(self, text: str | None, known: tuple[str, ...] = ()) -> set[str]:
+        """The words of a text; of ``known`` ones also those inside letters set apart, wherever they begin and end."""
         low = (text or "").lower()
         out: set[str] = set()
         for token in set(low.split()):
@@ -162,7 +169,9 @@ class Restorer:
         for m in SPACED.finditer(low):
             for at in range(0, max(1, len(m[0]) - OVERLAP), STRETCH - OVERLAP):
                 joined = self.one(m[0][at : at + STRETCH])
-                out.update(joined[i:] for i in range(len(joined)))  # where one word ends and the next begins is unknown
+                out.update(joined[i:] for i in range(len(joined)))  # read as one word, its beginning unknown
+                out.update(w for w in known if w in joined)
+                out.update(w for w in self.spaced(m[0][at : at + STRETCH]).split() if w.isalpha())  # and as a sentence
         return out
 
 
@@ -174,112 +183,105 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
-def lower_bound(k: int, n: int, z: float = 1.96) -> float:
-    """Wilson's lower bound of k in n."""
-    p = k / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def log_tail(k: int, n: int, p: float) -> float:
+    """Chernoff's bound on the log of the chance that k or more of n come at a rate of p."""
+    q = k / n
+    if q <= p:
+        return 0.0
+    return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
+
+def borne_out(counts: list[tuple[str, int, int]], as_frequent: dict[int, int], toxic_share: float) -> list[str]:
+    """Features (name, toxic, clean) whose excess of toxic texts is no chance among all features of their number of texts."""
+    p = min(0.999, max(1e-6, toxic_share))
+    return [f for f, k, c in counts if k >= PURITY * (k + c) and log_tail(k, k + c, p) + math.log(as_frequent[k + c]) < math.log(CHANCE)]
+
+
+def weigh(found: list[tuple[int, int, list[str]]], names: list[str], ridge: float = RIDGE, rounds: int = 60) -> tuple[dict[str, float], float]:
+    """Logistic regression by Newton's steps on the diagonal: (log-odds of each feature, of none), never below zero for a feature.
+
+    ``found`` has (rows, toxic rows, features) for each different set of features.
+    """
+    at = {f: i for i, f in enumerate(names)}
+    n, k = (np.array([f[i] for f in found], dtype=np.float64) for i in (0, 1))
+    row = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
+    col = np.array([at[f] for _, _, fs in found for f in fs], dtype=np.int64)
+    w, b = np.zeros(len(names)), 0.0
+    if not len(found):
+        return {}, math.log(0.01)
+    for _ in range(rounds):
+        z = b + np.bincount(row, w[col], len(found))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        gap, curve = k - n * p, n * p * (1 - p)
+        b = min(max(b + 0.5 * gap.sum() / (curve.sum() + 1e-6), -12.0), math.log(THRESHOLD / (1 - THRESHOLD)) - 0.05)
+        step = (np.bincount(col, gap[row], len(names)) - ridge * w) / (np.bincount(col, curve[row], len(names)) * 2 + ridge)
+        w = np.maximum(0.0, w + 0.5 * np.clip(step, -2, 2))
+    return dict(zip(names, w)), b
 
 
 class Scorer:
-    """Rules, the share of toxic texts among those that no rule finds, and the words' restorer; made anew in each worker."""
+    """Log-odds of features and of a text without any; the words' restorer is made anew in each worker."""
 
-    def __init__(self, model: np.ndarray, rules: dict[str, float], rest: float):
-        self.model, self.rules, self.rest, self.restorer = model.astype(np.float32), rules, rest, None
-        self.begins = {f.rpartition("@")[0] for f in rules if "@" in f}
+    def __init__(self, model: np.ndarray, weights: dict[str, float], base: float):
+        self.model, self.weights, self.base, self.restorer = model.astype(np.float32), {f: w for f, w in weights.items() if w > 0}, base, None
+        self.begins = {f.rpartition("@")[0] for f in self.weights if "@" in f}
+        self.known = tuple(w for f in self.weights if f.endswith("$") and len(w := f[:-1]) >= SURE)
 
     def __getstate__(self):
         return {**self.__dict__, "restorer": None}
 
     def score(self, text: str | None) -> float:
-        """The share of toxic texts under the best rule that the text meets; without one, the rest share."""
+        """The chance that a text is toxic by the sum of its evidence; without any, the chance of such texts."""
         self.restorer = self.restorer or Restorer(self.model)
-        words = self.restorer.words(text)
+        words = self.restorer.words(text, self.known)
+        total = self.base + sum(self.weights.get(f"{w}$", 0.0) for w in sorted(words))
         begin = Counter(b for w in words for n in PREFIXES if len(w) >= n and (b := w[:n]) in self.begins)
-        met = [self.rules[f] for w in words if (f := f"{w}$") in self.rules]
-        met += [self.rules[f] for b, n in begin.items() for i in range(1, min(n, COUNTED) + 1) if (f := f"{b}@{i}") in self.rules]
-        return max(met, default=self.rest)
-
-
-def _count_rules(restorer_model):
-    def run(batches):
-        restorer, seen = Restorer(restorer_model.value), {0: Counter(), 1: Counter()}
+        total += sum(self.weights.get(f"{b}@{i}", 0.0) for b, n in sorted(begin.items()) for i in range(1, min(n, COUNTED) + 1))
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
 
-        def flush():
-            keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["f", "toxic", "clean"])
-            seen[0].clear()
-            seen[1].clear()
 
-        for b in batches:
-            for text, toxic in zip(b.column("text"), b.column("toxic")):
-                seen[toxic.as_py()].update(features(restorer.words(text.as_py())))
-                if len(seen[0]) + len(seen[1]) > 300_000:
-                    yield from flush()
-        yield from flush()
-
-    return run
-
-
-def _find_rules(model, names):
+def _features_of(restorer_model):
     def run(batches):
-        restorer = Restorer(model.value)
+        restorer = Restorer(restorer_model.value)
         for b in batches:
-            for text, toxic in zip(b.column("text"), b.column("toxic")):
-                found = sorted(features(restorer.words(text.as_py())) & names.value)
-                yield pa.RecordBatch.from_arrays([pa.array([toxic.as_py()], pa.int32()), pa.array([found], pa.list_(pa.string()))], ["toxic", "found"])
+            found = [sorted(features(restorer.words(t.as_py()))) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "f"])
 
     return run
 
 
-def choose_rules(found: list[tuple[int, list[str]]], toxic_total: int, total: int) -> tuple[dict[str, float], float]:
-    """Greedy cover: the rule that explains most toxic texts not yet explained, less for impure ones; each with its purity."""
-    holds: dict[str, set[int]] = {}
-    for i, (toxic, fs) in enumerate(found):
-        if toxic:
-            for f in fs:
-                holds.setdefault(f, set()).add(i)
-    seen = Counter(f for _, fs in found for f in set(fs))
-    purity = {f: (len(holds.get(f, ())) + 0.5) / (n + 1) for f, n in seen.items()}
-    rules: dict[str, float] = {}
-    left = set().union(*holds.values()) if holds else set()
-    while holds:
-        best = max(holds, key=lambda f: (len(holds[f] & left) * purity[f] ** 4, -len(f), f))
-        if len(holds[best] & left) < MIN_NEW:
-            break
-        rules[best] = min(0.995, purity[best])
-        left -= holds.pop(best)
-    explained = sum(1 for _, fs in found if any(f in rules for f in fs))
-    toxic_explained = sum(1 for t, fs in found if t and any(f in rules for f in fs))
-    rest = (toxic_total - toxic_explained + 0.5) / (total - explained + 1)
-    return rules, min(rest, THRESHOLD - 0.01)
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     """A scorer from labels of rows whose crc32(doc_id) mod 3 is not 1, and characters of all texts.
 
-    ``fit_rows`` labelled ids at most are drawn by hash and broadcast, so that texts are not shuffled. Labels that
-    disagree on a doc_id count as toxic. Without a label the rules are empty and all texts score alike, below the threshold.
+    ``fit_rows`` labelled ids at most are drawn by hash and broadcast, so that texts are not shuffled; their texts are read
+    and restored once. Labels that disagree on a doc_id count as toxic. Rows that repeat an id are examples each. Without a
+    label there is no evidence and all texts score alike, below the threshold.
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
+    context = docs.sparkSession.sparkContext
     known = labels.where((crc_part("doc_id", 3) != 1) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("tx_id")).agg(F.max("toxic").cast("int").alias("tx_toxic"))
     drawn = known.orderBy(F.xxhash64("tx_id", F.lit("fit")), "tx_id").limit(fit_rows)
-    model = character_model(docs)
-    shared = context.broadcast(model)
-    rows = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("tx_id")).select(F.col("text"), F.when(F.col("tx_toxic") > 0, 1).otherwise(0).alias("toxic"))
-    counts = rows.mapInArrow(_count_rules(shared), "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # toxic texts in the sample are at most fit_rows: so are the rules that hold MIN_TOXIC of them, times features a text
-    strong = counts.where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "f").limit(CANDIDATES).collect()
-    names = {r["f"] for r in strong if lower_bound(r["toxic"], r["toxic"] + r["clean"]) >= PURITY or r["clean"] == 0}
-    found = [(r[0], r[1]) for r in rows.mapInArrow(_find_rules(shared, context.broadcast(names)), "toxic int, found array<string>").where(F.size("found") > 0).collect()]
-    tally = rows.groupBy("toxic").count().collect()
-    by = {r[0]: r[1] for r in tally}
-    rules, rest = choose_rules(found, by.get(1, 0), sum(by.values()))
-    return Scorer(model, rules, rest)
+    texts = docs.select(F.col("doc_id").alias("tx_doc"), "text")
+    model = character_model(texts)
+    rows = texts.join(F.broadcast(drawn), F.col("tx_doc") == F.col("tx_id")).select(F.col("text"), F.when(F.col("tx_toxic") > 0, 1).otherwise(0).alias("toxic"))
+    read = written(rows.mapInArrow(sliced(_features_of(context.broadcast(model)), 200), "toxic int, f array<string>"), "toxicity-features")
+    tally = {r[0]: r[1] for r in read.groupBy("toxic").count().collect()}
+    share = tally.get(1, 0) / max(1, sum(tally.values()))
+    counts = cut(read.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")))
+    as_frequent = {r[0]: r[1] for r in counts.groupBy("n").count().collect()}  # a row for each number of texts, of the drawn ones
+    # features that stand in MIN_TOXIC toxic texts of the drawn ones, mostly in toxic ones
+    strong = counts.where((F.col("k") >= MIN_TOXIC) & (F.col("k") >= PURITY * F.col("n"))).collect()
+    names = sorted(borne_out([(r["f"], r["k"], r["n"] - r["k"]) for r in strong], as_frequent, share))
+    held = F.array_intersect("f", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))
+    found = read.select("toxic", held.alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()  # at most a row for each drawn text
+    weights, base = weigh([(r["n"], r["k"], r["f"]) for r in found], names)
+    return Scorer(model, weights, base)
 
 
 def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
-    """``docs`` with ``column`` added: the toxicity of each whole text, 0 to 1; null and empty texts get the rest share."""
+    """``docs`` with ``column`` added (replaced, if it is there): the toxicity of each whole text, 0 to 1.
+
+    Null and empty texts get the chance of texts without evidence; rows that repeat get equal scores; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     plain = docs.drop(column)
 
@@ -289,7 +291,7 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{schema}, `{column}` double")
+    return plain.mapInArrow(sliced(run), f"{schema}, `{column}` double")
 
 
 def op8_toxicity(spark, sf_dir):

@@ -55,6 +55,56 @@ def test_long_words_are_restored_whole(spark):
         assert "stupid" in toxicity.Restorer(model).words(f"you are {word} indeed"), word
 
 
+def test_viterbi_finds_the_cheapest_of_all_readings(spark):
+    import itertools
+    import random
+
+    texts = spark.createDataFrame([("the stupid idiot was here and all of it is said at last " * 20,)], "text string")
+    model = toxicity.character_model(texts)
+    rng = random.Random(3)
+
+    def cost(reading, extra):
+        s = [0, 0, *(toxicity.code(c) for c in reading if c), 0]
+        return extra - sum(model[s[i], s[i + 1], s[i + 2]] for i in range(len(s) - 2))
+
+    for spaced in (False, True):
+        for _ in range(150):
+            word = "".join(rng.choice("stpidoa1!0$-. aa") for _ in range(rng.randrange(1, 8)))
+            ways = itertools.product(*(toxicity.options(word, i, spaced) for i in range(len(word))))
+            best = min(cost([c for c, _ in w], sum(e for _, e in w)) for w in ways)
+            got = toxicity.restore(word, model, spaced)
+            same = [cost([c for c, _ in w], sum(e for _, e in w)) for w in itertools.product(*(toxicity.options(word, i, spaced) for i in range(len(word)))) if "".join(c for c, _ in w) == got]
+            assert min(same) == pytest.approx(best), word
+
+
+def test_a_sentence_of_spaced_letters(spark):
+    texts = spark.createDataFrame([("you are stupid now and what the idiot said was here " * 30,)], "text string")
+    model = toxicity.character_model(texts)
+    words = toxicity.Restorer(model).words("so " + " ".join("youarestupidnow") + ". indeed")
+    assert {"you", "are", "stupid", "now"} <= words
+    scorer = toxicity.Scorer(model, {"idiot$": 5.0}, -3.0)
+    assert scorer.score(" ".join("xqzidiotvvk")) > 0.7 > scorer.score(" ".join("xqzidoitvvk"))
+
+
+def test_evidence_adds_up():
+    found = [(40, 0, []), (10, 6, ["a$"]), (10, 6, ["b$"]), (5, 5, ["a$", "b$"])]
+    weights, base = toxicity.weigh(found, ["a$", "b$"])
+    scorer = toxicity.Scorer(toxicity.np.zeros((64, 64, 64)), weights, base)
+    none, one, two = (scorer.score(t) for t in ("x", "a x", "a b"))
+    assert none < 0.1 < one < two and two > 0.8
+    assert toxicity.borne_out([("w$", 3, 0)], {3: 5000}, 0.1) == [] and toxicity.borne_out([("w$", 3, 0)], {3: 20}, 0.1) == ["w$"]
+
+
+def test_toxicity_where_labels_are_few(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scorer = toxicity.fit(docs, labels)
+    got = toxicity.score(docs.join(labels.select("doc_id", "toxic"), "doc_id"), scorer).toPandas()
+    held = got[[part(i, 3) == 1 for i in got.doc_id]]
+    assert (held.score[held.toxic == 1] >= 0.7).mean() > 0.75 and (held.score[held.toxic == 0] >= 0.7).mean() < 0.02
+
+
 def test_toxicity_held_out(spark, small):
     folder = "/root/testdata/sf0.1"
     got = registry.QUERIES["op8_toxicity"](spark, folder).toPandas()
@@ -72,6 +122,9 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score(d, toxicity.fit(d, labels)).collect()
     assert len(got) == 34 and all(0 <= r["score"] < 0.7 for r in got)
+    long = d.limit(0).union(spark.createDataFrame([(7, "word " * 200_000)], d.schema)).withColumns({"tx_id": F.lit("mine"), "tx_toxic": F.lit("mine"), "toxic": F.lit("mine"), "score": F.lit("mine")})
+    (one,) = toxicity.score(long, toxicity.fit(long, labels)).collect()
+    assert one["tx_id"] == one["toxic"] == "mine" and 0 <= one["score"] < 0.7
     empty = labels.limit(0)
     assert all(r["score"] < 0.7 for r in toxicity.score(d, toxicity.fit(d, empty)).collect())
     assert toxicity.score(d.limit(0), toxicity.fit(d.limit(0), empty)).count() == 0
