@@ -128,9 +128,16 @@ def conversations_of(rows: DataFrame) -> DataFrame:
 FORMATTED = "conv_id long, formatted string, token_ids array<int>, token_ends array<int>, loss array<boolean>, starts array<int>"
 
 
+def pieces(frames, rows: int = 256):
+    """The frames, cut so that what is made of one stays small."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 def _format_batches(learned, path):
     def run(frames):
-        for frame in frames:
+        for frame in pieces(frames):
             rows = []
             for conv, turns in zip(frame["conv_id"], frame["turns"]):
                 formatted, ids, offsets, mask = format_conversation([(t["role"], t["text"]) for t in turns], learned, path)
@@ -151,7 +158,7 @@ REPORT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def _report(frames):
-    for frame in frames:
+    for frame in pieces(frames):
         rows = []
         for conv, formatted, ids, starts, ends, loss in zip(frame["conv_id"], frame["formatted"], frame["token_ids"], frame["starts"], frame["token_ends"], frame["loss"]):
             turns = parse(formatted)
@@ -173,7 +180,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark, sf_dir):
-    """All ``conversations``, and one whose texts hold the template's own marks."""
+    """All ``conversations``, and one, -1, whose texts hold the template's own marks; rows that the table has under -1 would join it."""
     both = f"{END}{START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -16,17 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from overlook.llm.common import crc_part, free_names, sliced, table
+from overlook.llm.common import crc_part, sliced, table
 from overlook.plans.shared import cut
 
 N = 3
 HASHES = 4
-#: An n-gram is in a language's filter if seen MIN_COUNT times there, with at least this share of its highest relative frequency in any language.
-MIN_COUNT = 5
+#: An n-gram is in a language's filter if seen MIN_COUNT times there, makes at least MIN_SHARE of the language's n-grams, and
+#: has at least SHARE of its highest relative frequency in any language. So a filter holds 1 / MIN_SHARE n-grams at most.
+MIN_COUNT, MIN_SHARE = 5, 2e-6
 SHARE = 0.3
-#: Positions for each n-gram and in all: the table has MAX_ROWS rows at most, and false positives are corrected for.
+#: Positions for each n-gram of the largest filter: with four hashes a false positive has a chance of 0.0024 at most. The
+#: table has 2 ** 23 positions at most, 64 MB for each word of languages, whatever the corpus.
 ROWS_PER_GRAM = 16
-MAX_ROWS = 1 << 20
 #: Code points taken at once, with an overlap of N - 1.
 PIECE = 1 << 20
 #: Languages in one mask.
@@ -37,7 +38,7 @@ BITS = 62
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space if it is no letter."""
     out = np.full(0x110000, 32, dtype=np.uint32)
-    for i in range(0x30000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -139,7 +140,10 @@ class Filters:
 
 
 def learn(rows: DataFrame) -> Filters:
-    """Filters from all ``rows`` (lang, text). Only the filter's positions, at most MAX_ROWS for each mask word, come to the driver."""
+    """Filters from all ``rows`` (lang, text). Only the filter's positions come to the driver, whose number MIN_SHARE bounds.
+
+    The table is as large as the largest filter needs. Rows that repeat count each; rows without language or text teach nothing.
+    """
     counts = cut(gram_counts(rows))
     by_lang = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     totals = {r[0]: r[1] for r in by_lang.collect()}  # a row a language
@@ -147,13 +151,13 @@ def learn(rows: DataFrame) -> Filters:
     if not langs:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), "und")
     freq = counts.join(F.broadcast(by_lang), "lang").withColumn("p", F.col("n") / F.col("total"))
-    kept = freq.withColumn("top", F.max("p").over(W.partitionBy("gram"))).where((F.col("n") >= MIN_COUNT) & (F.col("p") >= F.col("top") * SHARE))
+    kept = freq.withColumn("top", F.max("p").over(W.partitionBy("gram"))).where((F.col("n") >= MIN_COUNT) & (F.col("p") >= MIN_SHARE) & (F.col("p") >= F.col("top") * SHARE))
     kept = cut(kept.select("lang", "gram", "p"))
     index = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
     coded = kept.select("gram", "p", index.cast("int").alias("i"))
     coverage = {r[0]: r[1] for r in coded.groupBy("i").agg(F.sum("p")).collect()}
-    grams_in = kept.select("gram").distinct().count()
-    size = min(MAX_ROWS, 1 << max(10, (grams_in * ROWS_PER_GRAM - 1).bit_length()))
+    largest = coded.groupBy("i").count().agg(F.max("count")).first()[0] or 0
+    size = 1 << max(10, (largest * ROWS_PER_GRAM - 1).bit_length())
 
     def place(frames):
         for f in frames:
@@ -167,7 +171,13 @@ def learn(rows: DataFrame) -> Filters:
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` columns other than text, with ``lang_pred`` and ``score``; ``und`` where a text is null or has no letter."""
+    """``docs`` columns other than text, with ``lang_pred`` and ``score`` (replaced, if they are there).
+
+    ``und`` where a text is null or has no letter, or if nothing was learned; of languages that tie the first by name; where
+    no n-gram is known, the language of most n-grams. Whole texts are read, in pieces; each row is predicted by itself, so repeated rows
+    get equal results and an empty table none.
+    """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     others = [c for c in docs.columns if c != "text"]
 
@@ -177,7 +187,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*others, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(sliced(run), f"{schema + ', ' if schema else ''}lang_pred string, score double")
 
 
 def op2_langid(spark, sf_dir):

@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from overlook.llm.common import table
+from overlook.llm.common import free_names, table
 from overlook.plans.shared import cut
 
 RATIO = 0.1
 MIN_PAGES = 5
 #: Rows (about 40 bytes each) up to which the boilerplate table is broadcast; beyond, texts meet it in a salted join.
 BROADCAST_ROWS = 200_000
-SALTS = 16
+
+
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without ``www.``; null where there is none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
 
 
 def _trimmed(line: Column) -> Column:
@@ -42,38 +47,41 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str = "text", ratio: flo
     return pages.join(totals, "ld_host").where(F.col("ld_pages") > F.col("ld_total") * F.lit(float(ratio)))
 
 
-def drop_boilerplate(
-    docs: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS
-) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, and ``lines_in`` and ``lines_dropped`` added.
 
     Every row stays. A null text stays null with 0 lines; a null host counts as the host ``''``; an empty text is one
     blank line; a text whose lines all go becomes empty. Copies of a page count as pages of their own. Existing columns
-    called ``lines_in`` or ``lines_dropped`` are replaced.
+    called ``lines_in`` or ``lines_dropped`` are replaced; all other columns stay, whatever they are called.
 
     A host has at most (lines a page) / ratio boilerplate lines, kept as one array a host. If the whole table has no
     more than ``broadcast_rows`` rows it is broadcast, and texts are not shuffled at all; otherwise hosts are salted, so
-    that a host with a third of all pages is spread over ``salts`` partitions.
+    that a host with a third of all pages is spread over as many parts as there are partitions. A page's lines meet its
+    host's by hash; exact keys are compared only where some hash is shared.
     """
     found = cut(boilerplate_lines(docs, host, text, ratio, min_pages))
     rows = found.count()
-    by_host = found.groupBy("ld_host").agg(F.collect_list("ld_key").alias("ld_keys"))
-    keyed = docs.drop("lines_in", "lines_dropped").withColumn("ld_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    base = docs.drop("lines_in", "lines_dropped")
+    own_host, keys, hashes, lines, hit, kept, salt = free_names(base, "ld_host", "ld_keys", "ld_hashes", "ld_lines", "ld_hit", "ld_kept", "ld_salt")
+    by_host = found.groupBy(F.col("ld_host").alias(own_host)).agg(F.collect_list("ld_key").alias(keys)).withColumn(hashes, F.transform(keys, lambda k: k["a"]))
+    keyed = base.withColumn(own_host, F.coalesce(F.col(host).cast("string"), F.lit("")))
     if rows <= broadcast_rows:
-        met = keyed.join(F.broadcast(by_host), "ld_host", "left")
+        met = keyed.join(F.broadcast(by_host), own_host, "left")
     else:
-        spread = by_host.withColumn("ld_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = keyed.withColumn("ld_salt", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")).join(spread, ["ld_host", "ld_salt"], "left").drop("ld_salt")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.when(
-        F.col("ld_keys").isNull(), split
-    ).otherwise(F.filter(split, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("ld_keys"), _key(x))))
-    met = met.withColumn("ld_kept", kept)
+        salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        plain = [f.name for f in base.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+        spread = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = keyed.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")).join(spread, [own_host, salt], "left").drop(salt)
+    met = met.withColumn(lines, F.split(F.col(text), "\n", -1))
+    met = met.withColumn(hit, F.array_intersect(F.transform(lines, lambda x: F.xxhash64(_trimmed(x))), F.col(hashes)))
+    some = F.coalesce(F.size(hit) > 0, F.lit(False))
+    suspects = F.filter(keys, lambda k: F.array_contains(F.col(hit), k["a"]))
+    met = met.withColumn(kept, F.when(some, F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(suspects, _key(x)))))
+    gone = F.when(some, F.size(lines) - F.size(kept)).otherwise(0)
     return (
-        met.withColumn("lines_in", F.coalesce(F.size(split), F.lit(0)).cast("long") * F.col(text).isNotNull().cast("long"))
-        .withColumn("lines_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size(split) - F.size("ld_kept")).cast("long"))
-        .withColumn(text, F.when(F.col("ld_keys").isNull(), F.col(text)).otherwise(F.array_join("ld_kept", "\n")))
-        .drop("ld_host", "ld_keys", "ld_kept")
+        met.withColumns({"lines_in": F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"), "lines_dropped": gone.cast("long")})
+        .withColumn(text, F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)))
+        .drop(own_host, keys, hashes, lines, hit, kept)
     )
 
 

@@ -25,8 +25,8 @@ from overlook.plans.shared import cut, fresh_path, written
 
 #: Payloads of fewer bytes are never deduplicated.
 MIN_BYTES = 0
-#: Records in an archive file at most: bounds what the reader of one file meets.
-RECORDS_PER_FILE = 2000
+#: (bytes of a record at most, records in an archive file at most): what the reader of one file meets is bounded in bytes.
+FILES = ((128 << 10, 2000), (4 << 20, 64), (1 << 62, 1))
 DATE = "2024-01-01T00:00:00Z"
 #: Revisits, and places of payloads that stand twice (about 100 bytes each), up to which they are broadcast; beyond, payloads are shuffled.
 BROADCAST_ROWS = 100_000
@@ -47,7 +47,18 @@ def record_uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _named(pages: DataFrame) -> DataFrame:
+    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    return rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
+
+
+def page_digests(pages: DataFrame) -> DataFrame:
+    """``(page_id, digest, size)``: all that is needed to tell which page revisits which, read in one scan."""
+    return cut(_named(pages).select("page_id", "digest", "size"))
+
+
+def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: int = BROADCAST_ROWS, digests: DataFrame | None = None) -> DataFrame:
     """``(record)``: one WARC record a row of ``pages``, as text.
 
     A null html is an empty payload, a null url an empty URI; line breaks in a url are percent-encoded. Of equal payloads
@@ -56,10 +67,8 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: i
     to ``broadcast_rows`` revisits are broadcast; beyond, payloads move once, by page_id and digest, so that copies of
     one payload spread.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
-    named = named.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
-    ids = named.select("page_id", "digest", "size")
+    named = _named(pages)
+    ids = page_digests(pages) if digests is None else digests
     last = ids.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
     revisits = (
         ids.join(last, ["digest", "size"]).where(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))).select(F.col("page_id").alias("rv_id"), F.col("digest").alias("rv_digest"), "keeper").distinct()
@@ -87,9 +96,19 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: i
     return whole.select(F.concat(head, F.lit(CRLF), block).alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``record`` (text or bytes cast to text) as gzip WARC files: a record ends with two line breaks."""
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(records: DataFrame, path: str, per_file: int | None = None, largest: int | None = None) -> None:
+    """Write ``record`` (text or bytes cast to text) as gzip WARC files: a record ends with two line breaks.
+
+    Records of each size class go to files of their own, fewer to a file the larger they are. ``largest``, the bytes of
+    the largest record if known, saves the passes over classes that have none.
+    """
+    size, least = F.octet_length("record"), -1
+    for most, count in FILES:
+        if largest is not None and largest <= least:
+            break
+        own = records.where((size > least) & (size <= most))
+        own.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file or count).text(path)
+        least = most
 
 
 class _Stream:
@@ -99,6 +118,7 @@ class _Stream:
         self.raw, self.at, self.zipped = memoryview(raw), 0, raw[:2] == b"\x1f\x8b"
         self.z = zlib.decompressobj(31)
         self.buffer = bytearray()
+        self.broken = False
 
     def _more(self) -> bool:
         if self.at >= len(self.raw):
@@ -108,7 +128,11 @@ class _Stream:
             self.at += len(piece)
             self.buffer += piece
             return True
-        self.buffer += self.z.decompress(piece)
+        try:
+            self.buffer += self.z.decompress(piece)
+        except zlib.error:
+            self.at, self.broken = len(self.raw), True
+            return False
         self.at += len(piece)
         if self.z.eof:  # the next gzip member
             self.at -= len(self.z.unused_data)
@@ -126,29 +150,51 @@ class _Stream:
         return out
 
     def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, or as many as there are."""
         while len(self.buffer) < n and self._more():
             pass
-        if len(self.buffer) < n:
-            raise ValueError("archive ends inside a record")
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
         return out
 
+    def rest(self) -> bytes:
+        return self.take(1 << 62)
+
 
-def parse_archive(raw: bytes) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(position, header bytes, protocol bytes, payload bytes) of each record; lengths come from Content-Length alone."""
+def parse_archive(raw: bytes) -> Iterator[tuple[int, bytes, bytes, bytes, str | None]]:
+    """(position, header bytes, protocol bytes, payload bytes, error) of each record; lengths come from Content-Length alone.
+
+    A record that is damaged still gives a row, with what there is of it and an error: ``no length`` (reading goes on at the next
+    record mark), ``ends in header``, ``ends in block``, or ``not gzip`` where compressed bytes are broken.
+    """
     stream, n = _Stream(raw), 0
-    while head := stream.until(b"\r\n\r\n"):
-        length = int(re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)[1])
-        block = stream.take(length)
-        stream.take(4)
-        split = block.find(b"\r\n\r\n") + 4 if re.search(rb"(?im)^content-type:[ \t]*application/http", head) else 0
-        yield n, head, block[:split], block[split:]
+    while True:
+        head = stream.until(b"\r\n\r\n")
+        if head is None:
+            left = stream.rest()
+            if left.strip() or stream.broken:
+                yield n, left, b"", b"", "not gzip" if stream.broken else "ends in header"
+            return
+        found = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", head)
+        if not found:
+            yield n, head, b"", b"", "no length"
+            if stream.until(b"\r\nWARC/") is None:
+                return
+            stream.buffer[:0] = b"WARC/"
+        else:
+            length = int(found[1])
+            block = stream.take(length)
+            error = None if len(block) == length else "not gzip" if stream.broken else "ends in block"
+            split = block.find(b"\r\n\r\n") + 4 if re.search(rb"(?im)^content-type:[ \t]*application/http", head) and b"\r\n\r\n" in block else 0
+            yield n, head, block[:split], block[split:], error
+            if error:
+                return
+            stream.take(4)
         n += 1
 
 
-PARTS = "file string, pos long, header binary, protocol binary, block binary, length long, sha256 string, sha1 string"
-_PARTS = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("header", pa.binary()), ("protocol", pa.binary()), ("block", pa.binary()), ("length", pa.int64()), ("sha256", pa.string()), ("sha1", pa.string())])
+PARTS = "file string, pos long, header binary, protocol binary, block binary, length long, sha256 string, sha1 string, error string"
+_PARTS = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("header", pa.binary()), ("protocol", pa.binary()), ("block", pa.binary()), ("length", pa.int64()), ("sha256", pa.string()), ("sha1", pa.string()), ("error", pa.string())])
 
 
 def _parse_files(batches):
@@ -156,8 +202,8 @@ def _parse_files(batches):
     for batch in batches:
         for name, raw in zip(batch.column("path"), batch.column("content")):
             rows, size = [], 0
-            for n, head, protocol, payload in parse_archive(raw.as_py()):
-                rows.append((name.as_py(), n, head, protocol, pack(payload), len(payload), hashlib.sha256(payload).hexdigest(), base64.b32encode(hashlib.sha1(payload).digest()).decode()))
+            for n, head, protocol, payload, error in parse_archive(raw.as_py()):
+                rows.append((name.as_py(), n, head, protocol, pack(payload), len(payload), hashlib.sha256(payload).hexdigest(), base64.b32encode(hashlib.sha1(payload).digest()).decode(), error))
                 size += len(payload)
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PARTS.types)], schema=_PARTS)
@@ -169,15 +215,16 @@ def _parse_files(batches):
 def read_archives(spark, path: str) -> DataFrame:
     """The records of all archives below ``path``, plain or gzip, with digests computed from the bytes read.
 
-    Payloads are packed as ``block``. A row of the file reader is a file, so Arrow batches hold one until they are reset.
+    Payloads are packed as ``block``. A row of the file reader is a file; Arrow batches are bounded in bytes. What is wrong
+    with a damaged record stands in ``error`` (see ``parse_archive``).
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_parse_files, PARTS)
 
 
 def header(name: str, column: str = "header") -> Column:
-    found = F.regexp_extract(F.decode(F.col(column), "UTF-8"), rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
+    """A header's value, read one character a byte, so that bytes of any encoding can be read; null where there is none."""
+    found = F.regexp_extract(F.decode(F.col(column), "ISO-8859-1"), rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 
@@ -186,15 +233,15 @@ def content_store(records: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> t
 
     A record with a payload of its own points to that payload's SHA-256. A record that revisits another has none: it is
     resolved by the payload digest that it declares. A payload whose SHA-1 differs from the declared one is a damaged
-    record: its ``verified`` is false and it never stands for another record.
+    record, as is one with an ``error``: its ``verified`` is false and it never stands for another record.
     """
     declared = F.regexp_replace(header("WARC-Payload-Digest"), "^sha1:", "")
     parts = written(
-        records.withColumns({"type": header("WARC-Type"), "declared": declared}).withColumn("verified", (F.col("type") == "revisit") | F.coalesce(F.col("declared") == F.col("sha1"), F.lit(True))),
+        records.withColumns({"type": header("WARC-Type"), "declared": declared}).withColumn("verified", F.col("error").isNull() & ((F.col("type") == "revisit") | F.coalesce(F.col("declared") == F.col("sha1"), F.lit(True)))),
         "warc-parts",
     )
-    own = F.col("type") != "revisit"
-    headers = parts.select("file", "pos", "header", "protocol", "type", "verified", F.coalesce("declared", "sha1").alias("digest"), F.when(own, F.col("sha256")).alias("sha256"))
+    own = F.coalesce(F.col("type") != "revisit", F.lit(True))
+    headers = parts.select("file", "pos", "header", "protocol", "type", "verified", "error", F.coalesce("declared", "sha1").alias("digest"), F.when(own, F.col("sha256")).alias("sha256"))
     # archives that hold a payload twice are rare: the later places go, found without moving payloads
     kept = parts.where(own & F.col("verified"))
     places = kept.select("sha256", "file", "pos")
@@ -238,7 +285,11 @@ def rebuild(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 def op1_warc(spark, sf_dir):
     """Write a record for each row of ``pages``, read the archives back, store and rebuild, report each page."""
     path = fresh_path(spark, "warc")
-    write_archives(page_records(table(spark, sf_dir, "pages")), path)
+    pages = table(spark, sf_dir, "pages")
+    digests = page_digests(pages)
+    largest = (digests.agg(F.max("size")).first()[0] or 0) + 16_384  # what headers may add, url aside
+    urls = pages.agg(F.max(F.octet_length("url"))).first()[0] or 0
+    write_archives(page_records(pages, digests=digests), path, largest=largest + 3 * urls)
     out = rebuild(*content_store(read_archives(spark, path)))
     revisit = F.col("type") == "revisit"
     return out.select(

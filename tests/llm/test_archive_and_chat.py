@@ -48,6 +48,42 @@ def test_payload_bytes_stand_once_and_damage_shows(spark, tmp_path):
         assert [bytes(back[k]) for k in "123"] == [b"same"] * 3 and bytes(back["5"]) == b"\xff\x00\x80" and back["4"] is None
 
 
+def test_damaged_and_odd_archives(spark, tmp_path):
+    def record(payload, length=None, uri=b"http://a/\xe9"):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        size = b"" if length == "none" else b"Content-Length: %d\r\n" % (length or len(block))
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: " + uri + b"\r\nContent-Type: application/http\r\n" + size + b"\r\n" + block + b"\r\n\r\n"
+
+    def write(name, data):
+        (tmp_path / name).write_bytes(data)
+
+    write("a.warc", record(b"one") + record(b"two", "none") + record(b"three"))
+    write("b.warc", record(b"four") + record(b"five")[:40])
+    write("c.warc", record(b"six") + record(b"seven", 9000))
+    write("d.warc.gz", gzip.compress(record(b"eight" * 50_000))[:-60])
+    write("e.warc", b"")
+    write("f.warc.gz", gzip.compress(record(b"nine")) + b"\x1f\x8bnothing of the kind")
+    parts = warc.read_archives(spark, str(tmp_path))
+    got = sorted((r["file"].rsplit("/", 1)[1], r["pos"], r["error"]) for r in parts.select("file", "pos", "error").collect())
+    assert got[:9] == [("a.warc", 0, None), ("a.warc", 1, "no length"), ("a.warc", 2, None), ("b.warc", 0, None), ("b.warc", 1, "ends in header"), ("c.warc", 0, None), ("c.warc", 1, "ends in block"), ("d.warc.gz", 0, "ends in block"), ("f.warc.gz", 0, None)]
+    assert all(e for *_, e in got[9:])
+    headers, payloads = warc.content_store(parts)
+    back = warc.rebuild(headers, payloads).where("error IS NULL")
+    assert sorted(bytes(r["payload"]) for r in back.select("payload").collect()) == [b"four", b"nine", b"one", b"six", b"three"]
+    assert headers.where("verified").count() == 5 and {r[0] for r in back.select(warc.header("WARC-Target-URI")).collect()} == {"http://a/é"}
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILES", ((600, 4), (5000, 2), (1 << 62, 1)))
+    rows = [(i, "u", "x" * n + str(i)) for i, n in enumerate([10] * 9 + [2000] * 5 + [20_000] * 3)]
+    digests = warc.page_digests(spark.createDataFrame(rows, PAGES).coalesce(1))
+    for largest in (None, 30_000):
+        path = str(tmp_path / f"w{largest}")
+        warc.write_archives(warc.page_records(spark.createDataFrame(rows, PAGES).coalesce(1), digests=digests), path, largest=largest)
+        per = warc.read_archives(spark, path).groupBy("file").agg(F.count("*").alias("n"), F.max("length").alias("most")).collect()
+        assert sum(r["n"] for r in per) == 17 and all(r["n"] <= (4 if r["most"] < 600 else 2 if r["most"] < 5000 else 1) for r in per)
+
+
 def test_base32(spark):
     for data in (b"", b"abc", bytes(range(256))):
         assert spark.range(1).select(warc.base32_sha1(F.lit(data))).first()[0] == base64.b32encode(hashlib.sha1(data).digest()).decode()

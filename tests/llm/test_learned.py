@@ -37,6 +37,53 @@ def test_filter_masks_hold_all_learned_ngrams(spark):
     assert filters.langs == ["en", "fr"] and total >= 2 and found[0] > found[1]
 
 
+def test_filters_against_plain_sets(spark, small):
+    """Masks, counts and corrected popcounts against sets of n-grams made by hand."""
+    import numpy as np
+
+    def plain_grams(text):
+        low = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+        return [w[i : i + 3] for w in (f" {x} " for x in low.split()) for i in range(len(w) - 2)]
+
+    def unpack(g):
+        return "".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0))
+
+    table = spark.read.parquet(f"{small}/documents.parquet").select("lang", "text").where("lang IS NOT NULL")
+    counted = {}
+    for lang, text in table.collect():
+        for g in plain_grams(text):
+            counted.setdefault(lang, {}).setdefault(g, 0)
+            counted[lang][g] += 1
+    got = {}
+    for r in langid.gram_counts(table).collect():
+        got.setdefault(r["lang"], {})[unpack(r["gram"])] = r["n"]
+    assert got == counted
+    total = {x: sum(c.values()) for x, c in counted.items()}
+    top = {}
+    for x, c in counted.items():
+        for g, n in c.items():
+            top[g] = max(top.get(g, 0), n / total[x])
+    kept = {x: {g for g, n in c.items() if n >= langid.MIN_COUNT and n / total[x] >= max(langid.MIN_SHARE, langid.SHARE * top[g] * (1 - 1e-12))} for x, c in counted.items()}
+    filters = langid.learn(table)
+    assert filters.table.shape[1] >= langid.ROWS_PER_GRAM * max(map(len, kept.values())) and filters.false.max() < 0.0024
+    for _, text in table.limit(40).collect():
+        n, found = filters.counts(text)
+        own = plain_grams(text)
+        assert n == len(own)
+        for i, x in enumerate(filters.langs):
+            true = sum(g in kept[x] for g in own)
+            assert true <= found[i] <= true + max(5, 0.02 * n)
+            corrected = (found[i] - n * filters.false[i]) / (1 - filters.false[i])
+            assert abs(corrected - true) <= max(5, 0.02 * n)
+
+
+def test_all_letters_count(spark):
+    assert langid.has_letter("\U00030000") and langid.has_letter("\U00031350") and not langid.has_letter("1 \U0001f600")
+    d = spark.createDataFrame([(1, "the dog", "mine")], "doc_id long, text string, lang_pred string").withColumn("score", F.lit("mine"))
+    filters = langid.learn(spark.createDataFrame([("en", "the cat and the dog " * 5)], "lang string, text string"))
+    assert [(r["lang_pred"], r["score"] > 0) for r in langid.predict(d, filters).collect()] == [("en", True)]
+
+
 # toxicity
 
 

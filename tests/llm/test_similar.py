@@ -188,6 +188,9 @@ def test_keep_one(spark):
             best[g] = min(best.get(g, 10**9), r[0])
     assert sorted(r["doc_id"] for r in left) == sorted(best.values())
     assert near_copies.keep_one(df.limit(0)).count() == 0
+    names = df.withColumns({n: F.lit("mine") for n in ("gone_id", "GONE_TH", "nc_text", "th", "node", "component", "lead")})
+    again = near_copies.keep_one(names)
+    assert again.columns == names.columns and sorted(r["doc_id"] for r in again.collect()) == sorted(r["doc_id"] for r in left)
 
 
 def test_near_groups_on_documents(spark, small):

@@ -135,6 +135,16 @@ def test_broadcast_and_salted_join_agree(spark):
     assert a == b
 
 
+def test_clashing_names_and_hosts(spark):
+    rows = [(i, f"menu\nown {i}", "en", "http://www.A.org/x") for i in range(9)]
+    names = ("ld_host", "ld_keys", "ld_kept", "ld_salt", "ld_hit", "LD_LINES", "ld_hashes")
+    d = docs(spark, rows).withColumn("site", line_dedup.host_of(F.col("source"))).withColumns({n: F.lit("mine") for n in names})
+    for limit in (10**6, 0):
+        got = line_dedup.drop_boilerplate(d, "site", broadcast_rows=limit)
+        assert got.columns == [*d.columns, "lines_in", "lines_dropped"]
+        assert {(r["site"], r["text"], *(r[n] for n in names)) for r in got.collect()} == {("a.org", f"own {i}", *["mine"] * 7) for i in range(9)}
+
+
 def test_line_edges(spark):
     d = docs(spark, [(1, None, "en", None), (2, "", "en", None), (None, "z", None, "s"), (4, "z", "en", "s"), (4, "z", "en", "s")]).withColumn("lines_in", F.lit("old"))
     got = line_dedup.drop_boilerplate(d, "source", min_pages=2).orderBy(F.col("doc_id")).collect()
@@ -193,6 +203,11 @@ def test_leak_edges(spark):
     d = docs(spark, [(None, QUESTION, "en", "s"), (2, None, "en", "s"), (3, "fine text", "en", "s"), (3, QUESTION, "en", "s"), (4, QUESTION, "en", "s"), (4, QUESTION, "en", "s")])
     left = decontaminate.drop_leaks(d, spark.createDataFrame([(1, QUESTION)], ITEMS))
     assert left.columns == d.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+    names = d.withColumns({n: F.lit("mine") for n in ("lk_id", "gone_id", "GONE_HASH", "dc_id", "bm_item", "item_id", "kind")})
+    kept = decontaminate.drop_leaks(names, spark.createDataFrame([(1, QUESTION)], ITEMS).withColumn("bm_words", F.lit("mine")))
+    assert kept.columns == names.columns and kept.count() == 2
+    long = docs(spark, [(1, "word " * 200_000 + QUESTION, "en", "s"), (2, "word " * 200_000, "en", "s")])
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(long, spark.createDataFrame([(1, QUESTION)], ITEMS)).collect()] == [2]
 
 
 def test_benchmark_passages_in_documents_are_found(spark, small):
