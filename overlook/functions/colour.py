@@ -37,11 +37,11 @@ def byte(x: Column) -> Column:
 
 
 def colour_limits(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98, positive: bool = True) -> tuple[float, float]:
-    """Two exact percentiles of the known (positive) values; (0, 1) if there are none."""
+    """Two exact percentiles of the known (positive) values, at least a billionth apart; (0, 1) if there are none."""
     x = F.col(column).cast("double")
     good = df.where(x.isNotNull() & ~F.isnan(x) & (x > 0 if positive else F.lit(True)))
     got = good.agg(F.percentile(x, F.array(F.lit(low), F.lit(high)))).first()[0]
-    return (got[0], got[1]) if got else (0.0, 1.0)
+    return (got[0], max(got[1], got[0] + 1e-9)) if got else (0.0, 1.0)
 
 
 def blend(score_t: Column, shade: Column, dead: Column, water: Column, alpha: float = 0.78) -> tuple[Column, Column, Column]:
@@ -56,6 +56,6 @@ def blend(score_t: Column, shade: Column, dead: Column, water: Column, alpha: fl
 
 def reach_pixel(metres: Column, low: float, high: float) -> tuple[Column, Column, Column, Column]:
     """Red, green, blue and opacity, 0 to 255, of a reach on the square-root ramp; nothing where it is not above 0."""
-    t = F.sqrt(clip((metres - low) / (high - low), 0.0, 1.0))
+    t = F.sqrt(clip((metres - low) / max(high - low, 1e-9), 0.0, 1.0))
     colour = [F.floor(c * 255 + 0.5).cast("int") for c in ramp(t, REACH)]
     return *colour, F.when(metres > 0, F.floor((0.22 + 0.72 * t) * 255 + 0.5).cast("int")).otherwise(0)

@@ -43,23 +43,30 @@ def segments(cells: DataFrame, interval: float = 10.0) -> DataFrame:
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points stay: each stretch between two kept points keeps its farthest one, if that is over ``tolerance`` off."""
-    keep = np.zeros(len(points), dtype=bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(points) - 1)]
-    while spans:
-        first, last = spans.pop()
-        inner = points[first + 1 : last] - points[first]
-        if not len(inner):
-            continue
-        chord = points[last] - points[first]
-        length = float(np.hypot(chord[0], chord[1]))
-        off = np.abs(inner @ np.array([chord[1], -chord[0]])) / length if length > 1e-9 else np.hypot(inner[:, 0], inner[:, 1])
-        far = int(off.argmax())
-        if off[far] > tolerance:
-            keep[first + 1 + far] = True
-            spans += [(first, first + 1 + far), (first + 1 + far, last)]
-    return keep
+    """Which points stay, by the rule of Douglas and Peucker: between two kept points the farthest from their chord stays, if it is over ``tolerance`` off.
+
+    All open spans are treated together, a level at a time: each point knows its span, distances are taken for all at
+    once, and a grouped maximum splits the spans that need it. Where both ends are one place, distance is from that place.
+    """
+    n = len(points)
+    keep = np.zeros(n, dtype=bool)
+    keep[[0, n - 1]] = True
+    while True:
+        ends = np.flatnonzero(keep)
+        span = np.searchsorted(ends, np.arange(n), side="right") - 1
+        span = np.minimum(span, len(ends) - 2) if n > 1 else span
+        a, b = points[ends[span]], points[ends[np.minimum(span + 1, len(ends) - 1)]]
+        chord, arm = b - a, points - a
+        length = np.hypot(*chord.T)
+        flat = length <= 1e-9
+        off = np.where(flat, np.hypot(*arm.T), np.abs(chord[:, 0] * arm[:, 1] - chord[:, 1] * arm[:, 0]) / np.where(flat, 1.0, length))
+        off[keep] = -1.0
+        most = np.full(max(1, len(ends) - 1), -1.0)
+        np.maximum.at(most, span, off)
+        far = np.flatnonzero((off == most[span]) & (off > tolerance))
+        if not len(far):
+            return keep
+        keep[far[np.unique(span[far], return_index=True)[1]]] = True  # the first of equals in each span
 
 
 def chain(a: np.ndarray, b: np.ndarray) -> list[list[int]]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +34,13 @@ def sites(observers: DataFrame, ground: DataFrame, cell: float = CELL) -> DataFr
 
 
 def signatures(observers: DataFrame, ground: DataFrame, tile_cells: int, cell: float = CELL, eyes: Sequence[float] = EYES, vegetation: Sequence[str] = VEGETATION, azimuths: int = 32, reach: float = geo.MAX_DISTANCE, steps: Sequence[float] | None = None) -> DataFrame:
-    """``(veg, eye_cm, obs_id, dist, water)`` for every set: distances in bytes, water in bits."""
-
-    def one(veg: str, eye: float) -> DataFrame:
-        top = ground.withColumn("top", F.col("z") + (F.col("obstruction") if veg == "trees" else F.lit(0.0)))
-        seen = viewshed.compute_tiles(observers, top.select("iy", "ix", "z", "top", "is_water"), cell, tile_cells, eye, azimuths, reach, steps)
-        return seen.select(
-            F.lit(veg).alias("veg"), F.lit(round(eye * 100)).alias("eye_cm"), "obs_id",
-            F.transform("max_dist", lambda d: geo.quantise_distance(d, reach).cast("short")).alias("dist"), geo.pack_bits(F.transform("water_far", lambda d: d > 0)).alias("water"),
-        )
-
-    return reduce(DataFrame.unionByName, [one(v, e) for v in vegetation for e in eyes])
+    """``(veg, eye_cm, obs_id, dist, water)`` for every set, all in one pass over the terrain: distances in bytes, water in bits."""
+    tops = ground.withColumns({"trees": F.col("z") + F.col("obstruction"), "bare": F.col("z")})
+    seen = viewshed.compute_tiles(observers, tops.select("iy", "ix", "z", "trees", "bare", "is_water"), cell, tile_cells, eyes, azimuths, reach, steps, vegetation)
+    return seen.select(
+        F.col("surface").alias("veg"), F.rint(F.col("eye") * 100).cast("int").alias("eye_cm"), "obs_id",
+        F.transform("max_dist", lambda d: geo.quantise_distance(d, reach).cast("short")).alias("dist"), geo.pack_bits(F.transform("water_far", lambda d: d > 0)).alias("water"),
+    )
 
 
 def build_region(ground: DataFrame, observers: DataFrame, out: str, tile_cells: int = 512, cell: float = CELL, done: DataFrame | None = None, **options) -> None:

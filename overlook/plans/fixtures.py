@@ -53,6 +53,23 @@ def dem_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dem_cells(spark, sf_dir).select("iy", "ix", F.floor(F.sum("z").over(w) / F.count("*").over(w).cast("double")).cast("long").alias("z"))
 
 
+def raster_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the stand-in raster; it has 64 columns."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(obs_id, gy, gx, y, x)``: the observers of the stand-in raster, every 100 m over its cells of 25 m."""
+    from overlook.operators.lattice import lattice
+
+    return lattice(spark, -(-raster_rows(spark, sf_dir) // 4), 16, 0.0, 0.0, 100.0, 100.0).withColumnsRenamed({"iy": "gy", "ix": "gx"})
+
+
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(iy, ix, z, canopy, land_class)`` of the smooth raster."""
+    return dem_smooth(spark, sf_dir).withColumns({"canopy": F.col("z") % 4 * 3, "land_class": F.when(F.col("iy") % 9 == 0, 20).when(F.col("ix") % 11 == 0, 50).otherwise(10)})
+
+
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")

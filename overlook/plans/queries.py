@@ -96,6 +96,11 @@ def filters_apply(spark, sf_dir):
 
 # neighbourhoods and best spots
 
+
+def _total(dist):
+    return F.aggregate(wedge.picked(dist, EAST), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 QUARTILE = REACH + """, land AS (SELECT r.* FROM reach r JOIN sig_site s USING (obs_id) WHERE s.valid),
   nb AS (SELECT a.obs_id, b.total, row_number() OVER (PARTITION BY a.obs_id ORDER BY b.total) AS rn, count(*) OVER (PARTITION BY a.obs_id) AS n
          FROM land a JOIN land b ON b.gy BETWEEN a.gy - 1 AND a.gy + 1 AND b.gx BETWEEN a.gx - 1 AND a.gx + 1),
@@ -106,18 +111,17 @@ QUARTILE = REACH + """, land AS (SELECT r.* FROM reach r JOIN sig_site s USING (
 def plot_quartile(spark, sf_dir):
     """The lower quartile of land neighbours; water has no part in it."""
     wide = fx.sig_wide(spark, sf_dir).where("valid")
-    total = F.aggregate(wedge.picked(F.col("dist"), EAST), F.lit(0).cast("long"), lambda a, x: a + x)
-    return neighbourhood.land_quartile(wide.select("gy", "gx", total.alias("total")), "total", 1)
+    return neighbourhood.land_quartile(wide.select("gy", "gx", _total(F.col("dist")).alias("total")), "total", 1)
 
 
-@query(with_fixtures(""", n AS (SELECT CAST(max(gy) AS BIGINT) + 1 AS rows FROM sig_long), g AS (SELECT gy, gx, dist_u8 AS v, rows FROM sig_long, n WHERE az = 0 AND gy < rows),
+@query(with_fixtures(REACH + """, n AS (SELECT CAST(max(gy) AS BIGINT) + 1 AS rows FROM sig_long), g AS (SELECT gy, gx, total AS v, rows FROM reach, n WHERE gy < rows),
   o AS (SELECT a.gy, a.gx, a.rows, y.dy + a.gy AS sy, x.dx + a.gx AS sx FROM g a, (SELECT unnest([-1, 0, 1]) AS dy) y, (SELECT unnest([-1, 0, 1]) AS dx) x),
   m AS (SELECT gy, gx, CASE WHEN sy < 0 THEN 0 WHEN sy >= rows THEN rows - 1 ELSE sy END AS sy, CASE WHEN sx < 0 THEN 0 WHEN sx > 24 THEN 24 ELSE sx END AS sx FROM o),
   k AS (SELECT m.gy, m.gx, g.v, row_number() OVER (PARTITION BY m.gy, m.gx ORDER BY g.v) AS rn FROM m JOIN g ON g.gy = m.sy AND g.gx = m.sx)
   SELECT gy, gx, v FROM k WHERE rn = 3""", "sig_long"))
 def plot_percentile(spark, sf_dir):
     """The reflecting percentile: all nine cells count."""
-    wide = fx.sig_wide(spark, sf_dir).select("gy", "gx", F.get("dist", F.lit(0)).alias("v"))
+    wide = fx.sig_wide(spark, sf_dir).select("gy", "gx", _total(F.col("dist")).alias("v"))
     rows = (wide.agg(F.max("gy")).first()[0] or 0) + 1
     return neighbourhood.plot_percentile(wide, "v", rows, fx.COLS, 100.0)
 
@@ -140,8 +144,8 @@ def best_viewpoints(spark, sf_dir):
     return scoring.top_spots(q.score(own, step=50.0), 10, 3).withColumn("score", R6("score"))
 
 
-QUERIES["top_spots"] = lambda spark, sf_dir: scoring.top_spots(fx.sig_wide(spark, sf_dir).select("obs_id", "gy", "gx", F.get("dist", F.lit(0)).alias("v")), 20, scoring.separation(1000.0), "v")
-SQL["top_spots"] = with_fixtures(""", cand AS (SELECT obs_id, gy AS y, gx AS x, dist_u8 AS v, row_number() OVER (ORDER BY dist_u8 DESC, obs_id) AS rn FROM sig_long WHERE az = 0 AND dist_u8 > 0),
+QUERIES["top_spots"] = lambda spark, sf_dir: scoring.top_spots(fx.sig_wide(spark, sf_dir).select("obs_id", "gy", "gx", _total(F.col("dist")).alias("v")), 20, scoring.separation(1000.0), "v")
+SQL["top_spots"] = with_fixtures(REACH + """, cand AS (SELECT obs_id, gy AS y, gx AS x, total AS v, row_number() OVER (ORDER BY total DESC, obs_id) AS rn FROM reach WHERE total > 0),
   fold AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, y BIGINT, x BIGINT, v BIGINT)[]) AS acc
     UNION ALL SELECT f.rn + 1, CASE WHEN len(f.acc) < 20 AND len(list_filter(f.acc, lambda q: abs(q.y - c.y) <= 3 AND abs(q.x - c.x) <= 3)) = 0
       THEN list_append(f.acc, {'id': c.obs_id, 'y': c.y, 'x': c.x, 'v': c.v}) ELSE f.acc END FROM fold f JOIN cand c ON c.rn = f.rn + 1 WHERE len(f.acc) < 20),
@@ -195,13 +199,13 @@ def descent_percentiles(spark, sf_dir):
     return reports.descent_percentiles(fx.sig_wide(spark, sf_dir).withColumn("drop_max", F.array_max("dist")))
 
 
-@query(with_fixtures(""", p AS (SELECT vec_id AS point_id, vec_id AS py, vec_id % 64 AS px FROM embeddings WHERE vec_id % 50 = 0)
+@query(with_fixtures(""", p AS (SELECT vec_id AS point_id, vec_id AS py, vec_id % 64 AS px FROM embeddings)
     SELECT point_id, CAST(min(z) AS BIGINT) AS lowest, CAST(max(z) AS BIGINT) AS highest, max(z) FILTER (WHERE iy = py AND ix = px) - median(z) AS above_median
-    FROM p JOIN dem_cells ON iy BETWEEN py - 5 AND py + 5 AND ix BETWEEN px - 5 AND px + 5 GROUP BY point_id""", "dem_cells"))
+    FROM p JOIN dem_cells ON iy BETWEEN py - 40 AND py + 40 AND ix BETWEEN px - 40 AND px + 40 GROUP BY point_id""", "dem_cells"))
 def local_relief(spark, sf_dir):
-    """Height above the median around chosen points."""
-    points = fx.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("point_id"), F.col("vec_id").alias("py"), (F.col("vec_id") % 64).alias("px"))
-    return reports.local_relief(fx.dem_cells(spark, sf_dir), points, 5)
+    """Height above the median within a kilometre of each point."""
+    points = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("vec_id").alias("py"), (F.col("vec_id") % 64).alias("px"))
+    return reports.local_relief(fx.dem_cells(spark, sf_dir), points, 40)
 
 
 @query(with_fixtures(""", l AS (SELECT s_suppkey, s_suppkey * 7 % 60 AS iy, s_suppkey % 64 AS ix, CAST(200 AS DOUBLE) AS expected_m, CAST(s_suppkey % 40 AS DOUBLE) AS tolerance_m FROM supplier)
@@ -214,10 +218,9 @@ def verify_landmarks(spark, sf_dir):
     return reports.verify_landmarks(marks, heights).select("s_suppkey", "difference", "ok")
 
 
-# viewshed
+# viewshed: 32 bearings, 257 samples to 20 km
 
-STEPS = [25.0 * k for k in range(1, 13)]
-RAYS_SQL = ", ray AS (SELECT unnest([" + ", ".join(D(d) for d in STEPS) + "]) AS d)"
+STEPS_SQL = "(SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()) + "]) AS d)"
 
 
 @query("SELECT CAST(i AS INT) AS step, d FROM (SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()) + "]) AS d, generate_subscripts([" + ", ".join("0" for _ in viewshed.radial_steps()) + "], 1) - 1 AS i)")
@@ -226,83 +229,87 @@ def ray_schedule(spark, sf_dir):
     return viewshed.rays(spark, azimuths=1).select("step", "d")
 
 
-def _towers(spark, sf_dir, cells=fx.dem_smooth):
-    return cells(spark, sf_dir).where("ix < 40 AND iy % 4 = 0").select((F.col("iy") * 64 + F.col("ix")).alias("obs_id"), (F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"))
+def _seen_sql(last: str, eyes: list[float], bearings: str = "range(32)", tops: str = "SELECT 'top' AS surface, iy, ix, CAST(z AS DOUBLE) AS z FROM dem_smooth", every: int = 4, wet: bool = False) -> str:
+    """Table expressions ``ob`` (observers) and ``w`` (all samples inside the raster, with the largest tangent before each)."""
+    water = ", coalesce((SELECT z <= 190 FROM dem_smooth q WHERE q.iy = CAST(round_even(fy, 0) AS BIGINT) AND q.ix = CAST(round_even(fx, 0) AS BIGINT)), false) AS wet" if wet else ""
+    return with_fixtures(f""", ray AS MATERIALIZED (SELECT CAST(a AS INT) AS az, d, cos(2 * pi() * a / 32) * d AS dy, sin(2 * pi() * a / 32) * d AS dx FROM {bearings} b(a), {STEPS_SQL}),
+      tops AS ({tops}), n AS (SELECT max(iy) AS last FROM dem_smooth),
+      sq AS MATERIALIZED (SELECT a.surface, a.iy, a.ix, a.z AS z00, b.z AS z01, c.z AS z10, e.z AS z11 FROM tops a JOIN tops b ON b.surface = a.surface AND b.iy = a.iy AND b.ix = a.ix + 1
+        JOIN tops c ON c.surface = a.surface AND c.iy = a.iy + 1 AND c.ix = a.ix JOIN tops e ON e.surface = a.surface AND e.iy = a.iy + 1 AND e.ix = a.ix + 1),
+      ob AS MATERIALIZED (SELECT iy // {every} * {64 // every} + ix // {every} AS obs_id, iy, ix, z FROM dem_smooth, n WHERE iy % {every} = 0 AND ix % {every} = 0 AND iy < last AND ix < 63),
+      p0 AS MATERIALIZED (SELECT obs_id, z, az, d, (iy * 25 + dy) / 25 AS fy, (ix * 25 + dx) / 25 AS fx FROM ob, ray),
+      p AS MATERIALIZED (SELECT p0.*, CAST(floor(fy) AS BIGINT) AS ky, CAST(floor(fx) AS BIGINT) AS kx FROM p0, n WHERE fy >= 0 AND fy < last AND fx >= 0 AND fx < 63),
+      h AS (SELECT obs_id, surface, z, az, d, (z00 * (1 - (fx - floor(fx))) + z01 * (fx - floor(fx))) * (1 - (fy - floor(fy))) + (z10 * (1 - (fx - floor(fx))) + z11 * (fx - floor(fx))) * (fy - floor(fy)) AS h{water}
+        FROM (SELECT * FROM p) p JOIN sq ON sq.iy = ky AND sq.ix = kx),
+      s AS (SELECT h.*, eye, (h - d * d / (2 * {D(geo.EFFECTIVE_RADIUS)}) - (z + eye)) / d AS t FROM h, (SELECT unnest([{", ".join(map(D, eyes))}]) AS eye)),
+      w AS (SELECT *, max(t) OVER (PARTITION BY obs_id, surface, eye, az ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+      g AS MATERIALIZED (SELECT obs_id AS o, surface AS v, eye AS e, az AS a, max(t) AS horizon, max(d) FILTER (WHERE before IS NULL OR t > before) AS far{", min(d) FILTER (WHERE wet AND (before IS NULL OR t > before)) AS wet_near, max(d) FILTER (WHERE wet AND (before IS NULL OR t > before)) AS wet_far" if wet else ""} FROM w GROUP BY ALL),
+      every AS (SELECT obs_id, CAST(a AS INT) AS az, eye, surface FROM ob CROSS JOIN {bearings} b(a) CROSS JOIN (SELECT unnest([{", ".join(map(D, eyes))}]) AS eye) x CROSS JOIN (SELECT DISTINCT surface FROM tops) y),
+      found AS (SELECT * FROM every LEFT JOIN g ON o = obs_id AND a = az AND e = eye AND v = surface)
+      {last} FROM found""", "dem_smooth")
+
+
+
+@query(_seen_sql("SELECT obs_id, round(horizon, 6) AS horizon, coalesce(far, 0) AS max_dist", [1.7], "(SELECT 8)", every=1))
+def viewshed_axis(spark, sf_dir):
+    """Horizon and reach to the east from every cell: the relational form, against a running maximum in the oracle."""
+    cells = fx.dem_smooth(spark, sf_dir)
+    seen = cells.select((F.col("iy") * 64 + F.col("ix")).alias("obs_id"), (F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"))
+    return viewshed.compute(spark, seen, cells, 25.0, (1.7,), [8]).select("obs_id", R6("horizon").alias("horizon"), "max_dist")
 
 
-# straight east along a row a bilinear sample is the cell itself: any row but the last has a neighbour
-AXIS = RAYS_SQL + """, ob AS (SELECT iy * 64 + ix AS obs_id, iy, ix, z FROM dem_smooth d WHERE ix < 40 AND iy % 4 = 0 AND EXISTS (SELECT 1 FROM dem_smooth e WHERE e.iy = d.iy + 1)),
-  s AS (SELECT obs_id, eye, d, (c.z - d * d / (2 * {r}) - (ob.z + eye)) / d AS t FROM ob, ray, (SELECT unnest([{eyes}]) AS eye) e, dem_smooth c WHERE c.iy = ob.iy AND c.ix = ob.ix + CAST(d / 25 AS BIGINT) AND c.ix < 63)"""
-AXIS = AXIS.replace("{r}", D(geo.EFFECTIVE_RADIUS))
+def _bulk(spark, sf_dir, eyes, cells=None):
+    return viewshed.compute_tiles(fx.observers(spark, sf_dir), fx.dem_smooth(spark, sf_dir) if cells is None else cells, 25.0, 512, eyes)
 
 
-@query(with_fixtures(AXIS.replace("{eyes}", D(1.7)) + """, w AS (SELECT *, max(t) OVER (PARTITION BY obs_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
-    SELECT obs_id, round(max(t), 6) AS horizon, max(d) FILTER (WHERE before IS NULL OR t > before) AS max_dist FROM w GROUP BY obs_id""", "dem_smooth"))
-def viewshed_axis(spark, sf_dir):
-    """Horizon and reach to the east: a grouped minimum against a running maximum in the oracle."""
-    out = viewshed.compute(spark, _towers(spark, sf_dir), fx.dem_smooth(spark, sf_dir), 25.0, (1.7,), [8], steps=STEPS)
-    return out.select("obs_id", R6("horizon").alias("horizon"), "max_dist")
+@query(_seen_sql("SELECT obs_id, az, round(horizon, 6) AS horizon, coalesce(far, 0) AS max_dist", [1.7]))
+def viewshed_full(spark, sf_dir):
+    """Horizon and reach in all directions, in bulk."""
+    out = _bulk(spark, sf_dir, 1.7).select("obs_id", F.posexplode(F.arrays_zip("horizon", "max_dist")).alias("az", "s"))
+    return out.select("obs_id", "az", F.round("s.horizon", 6).alias("horizon"), "s.max_dist")
 
 
-@query(with_fixtures(AXIS.replace("{eyes}", f"{D(0.0)}, {D(1.7)}, {D(5.0)}") + """, w AS (SELECT *, max(t) OVER (PARTITION BY obs_id, eye ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
-    SELECT obs_id, eye, max(d) FILTER (WHERE before IS NULL OR t > before) AS max_dist FROM w GROUP BY obs_id, eye""", "dem_smooth"))
+@query(_seen_sql("SELECT obs_id, eye, az, coalesce(far, 0) AS max_dist", [0.0, 1.7, 5.0]))
 def viewshed_multi_eye(spark, sf_dir):
-    """Three eye heights after one gather."""
-    return viewshed.compute(spark, _towers(spark, sf_dir), fx.dem_smooth(spark, sf_dir), 25.0, (0.0, 1.7, 5.0), [8], steps=STEPS).select("obs_id", "eye", "max_dist")
+    """Three eye heights in one pass."""
+    return _bulk(spark, sf_dir, (0.0, 1.7, 5.0)).select("obs_id", "eye", F.posexplode("max_dist").alias("az", "max_dist"))
 
 
-@query(with_fixtures(AXIS.replace("{eyes}", D(5.0)).replace("SELECT obs_id, eye, d, (c.z", "SELECT obs_id, eye, d, c.z <= 190 AS wet, (c.z") + """, w AS (SELECT *, max(t) OVER (PARTITION BY obs_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
-    SELECT obs_id, min(d) FILTER (WHERE wet AND (before IS NULL OR t > before)) AS water_near, coalesce(max(d) FILTER (WHERE wet AND (before IS NULL OR t > before)), 0) AS water_far FROM w GROUP BY obs_id""", "dem_smooth"))
+@query(_seen_sql("SELECT obs_id, az, wet_near AS water_near, coalesce(wet_far, 0) AS water_far", [5.0], wet=True))
 def visible_water(spark, sf_dir):
-    """Nearest and farthest water in view to the east."""
-    cells = fx.dem_smooth(spark, sf_dir)
-    wet = cells.select("iy", "ix", (F.col("z") <= 190).alias("is_water"))
-    return viewshed.compute(spark, _towers(spark, sf_dir), cells, 25.0, (5.0,), [8], steps=STEPS, water=wet).select("obs_id", "water_near", "water_far")
-
-
-EIGHT = [25.0 * k for k in range(1, 9)]
-
-
-def _full_sql(last: str, rows: str) -> str:
-    fan = ", ".join(f"({a}, {D(d)}, {D(math.cos(2 * math.pi * a / 8) * d / 25)}, {D(math.sin(2 * math.pi * a / 8) * d / 25)})" for a in range(8) for d in EIGHT)
-    return with_fixtures(f""", ray(az, d, dy, dx) AS (VALUES {fan}), ob AS (SELECT iy * 64 + ix AS obs_id, iy, ix, z FROM dem_smooth d WHERE ix < 40 AND {rows} AND EXISTS (SELECT 1 FROM dem_smooth e WHERE e.iy = d.iy + 1)),
-      p AS MATERIALIZED (SELECT obs_id, ob.z, az, d, iy + dy - floor(iy + dy) AS ty, ix + dx - floor(ix + dx) AS tx, CAST(floor(iy + dy) AS BIGINT) AS ky, CAST(floor(ix + dx) AS BIGINT) AS kx FROM ob, ray),
-      sq AS MATERIALIZED (SELECT a.iy, a.ix, a.z AS z00, lead(a.z) OVER (PARTITION BY a.iy ORDER BY a.ix) AS z01, b.z AS z10, lead(b.z) OVER (PARTITION BY a.iy ORDER BY a.ix) AS z11 FROM dem_smooth a JOIN dem_smooth b ON b.iy = a.iy + 1 AND b.ix = a.ix),
-      h AS (SELECT obs_id, p.z, az, d, (z00 * (1 - tx) + z01 * tx) * (1 - ty) + (z10 * (1 - tx) + z11 * tx) * ty AS h FROM (SELECT * FROM p) p JOIN sq ON sq.iy = ky AND sq.ix = kx WHERE z01 IS NOT NULL),
-      s AS (SELECT obs_id, az, d, (h - d * d / (2 * {D(geo.EFFECTIVE_RADIUS)}) - (z + {D(1.7)})) / d AS t FROM h)
-      {last}""", "dem_smooth")
+    """Nearest and farthest water in view in all directions."""
+    cells = fx.dem_smooth(spark, sf_dir).withColumn("is_water", F.col("z") <= 190)
+    out = _bulk(spark, sf_dir, 5.0, cells).select("obs_id", F.posexplode(F.arrays_zip("water_near", "water_far")).alias("az", "s"))
+    return out.select("obs_id", "az", "s.water_near", "s.water_far")
 
 
-@query(_full_sql("SELECT obs_id, az, round(max(t), 6) AS horizon FROM s GROUP BY obs_id, az", "iy % 16 = 8"))
-def viewshed_full(spark, sf_dir):
-    """Horizons in eight directions with bilinear samples."""
-    cells = fx.dem_smooth(spark, sf_dir)
-    seen = cells.where("ix < 40 AND iy % 16 = 8").select((F.col("iy") * 64 + F.col("ix")).alias("obs_id"), (F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"))
-    out = viewshed.compute(spark, seen, cells, 25.0, (1.7,), 8, steps=EIGHT, of=8)
-    return out.where("horizon IS NOT NULL").select("obs_id", "az", R6("horizon").alias("horizon"))
+TREES = """SELECT 'bare' AS surface, iy, ix, CAST(z AS DOUBLE) AS z FROM dem_smooth UNION ALL SELECT 'trees', iy, ix, z + CASE WHEN iy % 9 = 0 THEN greatest(z % 4 * 3, 2) WHEN ix % 11 = 0 THEN greatest(z % 4 * 3, 6) ELSE z % 4 * 3 END FROM dem_smooth"""
 
 
-@query(_full_sql("""w AS (SELECT *, max(t) OVER (PARTITION BY obs_id, az ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), m AS (SELECT obs_id, az, max(d) AS md FROM w WHERE before IS NULL OR t > before GROUP BY obs_id, az)
-      SELECT ob.obs_id, CAST(a AS INT) AS az, coalesce(md, 0) AS max_dist FROM ob CROSS JOIN range(8) r(a) LEFT JOIN m ON m.obs_id = ob.obs_id AND m.az = a""".replace("w AS", ", w AS", 1), "iy % 16 = 8").replace("FROM h)\n      ,", "FROM h),"))
+@query(_seen_sql("SELECT surface AS veg, CAST(round(eye * 100) AS INT) AS eye_cm, obs_id, az, CAST(floor(greatest(least(coalesce(far, 0) / 20000 * 255, 255), 0)) AS SMALLINT) AS dist, wet_far IS NOT NULL AS water", [0.0, 1.7, 5.0], tops=TREES, wet=True))
 def tile_build(spark, sf_dir):
-    """The bulk form over tiles with a halo, by Arrow."""
-    cells = fx.dem_smooth(spark, sf_dir).withColumn("is_water", F.col("z") <= 190)
-    seen = cells.where("ix < 40 AND iy % 16 = 8").select((F.col("iy") * 64 + F.col("ix")).alias("obs_id"), (F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"))
-    out = viewshed.compute_tiles(seen, cells, 25.0, 64, 1.7, 8, steps=EIGHT)
-    return out.select("obs_id", F.posexplode("max_dist").alias("az", "max_dist"))
+    """The region build's six signature sets, two surfaces by three eyes, in one pass: bytes and bits."""
+    from overlook.plans import builds
+
+    ground = fx.terrain(spark, sf_dir).withColumns({"obstruction": geo.obstruction(F.col("canopy"), F.col("land_class")), "is_water": F.col("z") <= 190})
+    sets = builds.signatures(fx.observers(spark, sf_dir), ground, 512)
+    out = sets.select("veg", "eye_cm", "obs_id", "water", F.posexplode("dist").alias("az", "dist"))
+    return out.withColumn("water", F.call_function("shiftright", F.col("water"), F.col("az")).bitwiseAND(F.lit(1)) == 1)
 
 
 # relief, neighbourhoods of terrain
 
-@query(with_fixtures(""", o AS (SELECT iy, ix, z FROM dem_smooth WHERE iy < (SELECT max(iy) FROM dem_smooth) AND ix < 63),
-    p AS (SELECT iy * 64 + ix AS obs_id, o.z, d, CASE WHEN ix + d / 25 < 63 THEN (SELECT any_value(c.z) FROM dem_smooth c WHERE c.iy = o.iy AND c.ix = o.ix + CAST(d / 25 AS BIGINT)) END AS zd FROM o, (SELECT unnest([CAST(50 AS DOUBLE), 100, 150, 200]) AS d)),
-    a AS (SELECT obs_id, min(coalesce(degrees(atan2(z - zd, d)), 0)) AS least FROM p GROUP BY obs_id)
-    SELECT obs_id, CAST(floor(greatest(least(least * 4, 255), 0)) AS INT) AS drop FROM a""", "dem_smooth"))
+@query(with_fixtures(f""", n AS (SELECT max(iy) AS last FROM dem_smooth), o AS MATERIALIZED (SELECT iy // 4 * 16 + ix // 4 AS obs_id, iy, ix, z FROM dem_smooth, n WHERE iy % 4 = 0 AND ix % 4 = 0 AND iy < last AND ix < 63),
+    p AS MATERIALIZED (SELECT obs_id, z, CAST(a AS INT) AS az, d, (iy * 25 + cos(2 * pi() * a / 32) * d) / 25 AS fy, (ix * 25 + sin(2 * pi() * a / 32) * d) / 25 AS fx FROM o, range(32) r(a), (SELECT unnest([CAST(250 AS DOUBLE), 500, 1000, 2000]) AS d)),
+    k AS (SELECT p.*, (a.z * (1 - (fx - floor(fx))) + b.z * (fx - floor(fx))) * (1 - (fy - floor(fy))) + (c.z * (1 - (fx - floor(fx))) + e.z * (fx - floor(fx))) * (fy - floor(fy)) AS h FROM p
+      LEFT JOIN dem_smooth a ON a.iy = floor(fy) AND a.ix = floor(fx) LEFT JOIN dem_smooth b ON b.iy = floor(fy) AND b.ix = floor(fx) + 1 LEFT JOIN dem_smooth c ON c.iy = floor(fy) + 1 AND c.ix = floor(fx) LEFT JOIN dem_smooth e ON e.iy = floor(fy) + 1 AND e.ix = floor(fx) + 1),
+    l AS (SELECT obs_id, az, min(coalesce(degrees(atan2(z - h, d)), 0)) AS least FROM k GROUP BY obs_id, az)
+    SELECT obs_id, az, CAST(floor(greatest(least(least * 4, 255), 0)) AS SMALLINT) AS drop FROM l""", "dem_smooth"))
 def sustained_descent(spark, sf_dir):
-    """Least angle down at four distances to the east, in quarter degrees."""
-    cells = fx.dem_smooth(spark, sf_dir)
-    seen = cells.select((F.col("iy") * 64 + F.col("ix")).alias("obs_id"), (F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"))
-    return relief.descents(spark, seen, cells, 25.0, 4, (50.0, 100.0, 150.0, 200.0)).where("az = 1").select("obs_id", "drop")
+    """Least angle down at 250 m to 2 km in all directions, in quarter degrees."""
+    from overlook.plans import builds
+
+    return builds.build_relief(spark, fx.observers(spark, sf_dir), fx.dem_smooth(spark, sf_dir)).select("obs_id", F.posexplode("drop").alias("az", "drop"))
 
 
 NB = """, nb AS (SELECT a.iy, a.ix, min(b.z) AS low, max(b.z) AS high FROM dem_smooth a, (SELECT unnest([-1, 0, 1]) AS dy) y, (SELECT unnest([-1, 0, 1]) AS dx) x, dem_smooth b
@@ -315,26 +322,25 @@ def flat_mask(spark, sf_dir):
     return neighbourhood.flat_cells(fx.dem_smooth(spark, sf_dir), 12)
 
 
-@query(with_fixtures(""", c AS (SELECT iy, ix FROM dem_smooth WHERE z <= 190 AND iy < 60),
+@query(with_fixtures(""", c AS (SELECT iy, ix FROM dem_smooth WHERE z <= 190),
     r AS (SELECT iy, ix, iy AS sy, ix AS sx FROM c UNION SELECT c.iy, c.ix, r.sy, r.sx FROM r JOIN c ON abs(c.iy - r.iy) + abs(c.ix - r.ix) = 1),
     l AS (SELECT iy, ix, min(sy * 64 + sx) AS patch FROM r GROUP BY iy, ix)
     SELECT iy, ix, patch, count(*) OVER (PARTITION BY patch) AS n FROM l""", "dem_smooth", recursive=True))
 def water_components(spark, sf_dir):
     """4-connected patches of low cells, named by their first cell."""
-    low = fx.dem_smooth(spark, sf_dir).where("z <= 190 AND iy < 60").select("iy", "ix")
+    low = fx.dem_smooth(spark, sf_dir).where("z <= 190").select("iy", "ix")
     named = water.patches(low)
     sizes = named.groupBy("patch").agg(F.count("*").alias("n"))
     return named.join(sizes, "patch").select("iy", "ix", (F.col("patch.ry") * 64 + F.col("patch.rx")).alias("patch"), "n")
 
 
-@query(with_fixtures(NB + """, c AS (SELECT nb.iy, nb.ix FROM nb JOIN dem_smooth d ON d.iy = nb.iy AND d.ix = nb.ix WHERE nb.iy < 60 AND (high - low <= 12 OR z <= 185)),
+@query(with_fixtures(NB + """, c AS (SELECT nb.iy, nb.ix FROM nb JOIN dem_smooth d ON d.iy = nb.iy AND d.ix = nb.ix WHERE high - low <= 12 OR z <= 185),
     r AS (SELECT iy, ix, iy * 64 + ix AS s FROM c UNION SELECT c.iy, c.ix, r.s FROM r JOIN c ON abs(c.iy - r.iy) + abs(c.ix - r.ix) = 1),
     l AS (SELECT iy, ix, min(s) AS patch FROM r GROUP BY iy, ix), k AS (SELECT iy, ix, count(*) OVER (PARTITION BY patch) AS n FROM l)
-    SELECT d.iy, d.ix, coalesce(k.n >= 6, false) AS is_water FROM dem_smooth d LEFT JOIN k ON k.iy = d.iy AND k.ix = d.ix WHERE d.iy < 59""", "dem_smooth", recursive=True).replace("FROM dem_smooth a, (SELECT", "FROM (SELECT * FROM dem_smooth WHERE iy < 60) a, (SELECT").replace("dem_smooth b\n", "(SELECT * FROM dem_smooth WHERE iy < 60) b\n"))
+    SELECT d.iy, d.ix, coalesce(k.n >= 6, false) AS is_water FROM dem_smooth d LEFT JOIN k ON k.iy = d.iy AND k.ix = d.ix""", "dem_smooth", recursive=True))
 def detect_water(spark, sf_dir):
     """Flat or low patches of six cells at least."""
-    cells = fx.dem_smooth(spark, sf_dir).where("iy < 60")
-    return water.detect_water(cells, 100.0, 12, 6.0, 185).where("iy < 59").select("iy", "ix", "is_water")
+    return water.detect_water(fx.dem_smooth(spark, sf_dir), 100.0, 12, 6.0, 185).select("iy", "ix", "is_water")
 
 
 @query("SELECT p_partkey, greatest(CASE WHEN c = 50 THEN greatest(h, 6) ELSE h END, CASE WHEN c = 20 THEN 2 ELSE 0 END) AS obstruction FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) / 5 AS h, CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 50 END AS c FROM part)")
