@@ -66,6 +66,12 @@ def mercator_metres(lon: Column, lat: Column) -> tuple[Column, Column]:
     return lon / 180 * (math.pi * MERCATOR_RADIUS), mercator_y(lat) * MERCATOR_RADIUS
 
 
+def bearing(i: int, of: int) -> tuple[float, float]:
+    """(east, north) of the i-th of ``of`` bearings, clockwise from north; due east is due east, without a trace of north."""
+    turn = 2 * math.pi * i / of
+    return round(math.sin(turn), 15) + 0.0, round(math.cos(turn), 15) + 0.0
+
+
 def curvature_drop(d: Column) -> Column:
     """How far the refracted earth falls away over ``d`` metres."""
     return d * d / (2 * EFFECTIVE_RADIUS)

@@ -223,6 +223,9 @@ def verify_landmarks(spark, sf_dir):
 STEPS_SQL = "(SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()) + "]) AS d)"
 
 
+BEARINGS_SQL = "(VALUES " + ", ".join(f"({a}, {D(e)}, {D(n)})" for a in range(32) for e, n in [geo.bearing(a, 32)]) + ") v(a, east, north)"
+
+
 @query("SELECT CAST(i AS INT) AS step, d FROM (SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()) + "]) AS d, generate_subscripts([" + ", ".join("0" for _ in viewshed.radial_steps()) + "], 1) - 1 AS i)")
 def ray_schedule(spark, sf_dir):
     """The 257 sample distances of a ray."""
@@ -232,7 +235,7 @@ def ray_schedule(spark, sf_dir):
 def _seen_sql(last: str, eyes: list[float], bearings: str = "range(32)", tops: str = "SELECT 'top' AS surface, iy, ix, CAST(z AS DOUBLE) AS z FROM dem_smooth", every: int = 4, wet: bool = False) -> str:
     """Table expressions ``ob`` (observers) and ``w`` (all samples inside the raster, with the largest tangent before each)."""
     water = ", coalesce((SELECT z <= 190 FROM dem_smooth q WHERE q.iy = CAST(round_even(fy, 0) AS BIGINT) AND q.ix = CAST(round_even(fx, 0) AS BIGINT)), false) AS wet" if wet else ""
-    return with_fixtures(f""", ray AS MATERIALIZED (SELECT CAST(a AS INT) AS az, d, cos(2 * pi() * a / 32) * d AS dy, sin(2 * pi() * a / 32) * d AS dx FROM {bearings} b(a), {STEPS_SQL}),
+    return with_fixtures(f""", ray AS MATERIALIZED (SELECT CAST(a AS INT) AS az, d, north * d AS dy, east * d AS dx FROM {BEARINGS_SQL} JOIN {bearings} b(a) USING (a), {STEPS_SQL}),
       tops AS ({tops}), n AS (SELECT max(iy) AS last FROM dem_smooth),
       sq AS MATERIALIZED (SELECT a.surface, a.iy, a.ix, a.z AS z00, b.z AS z01, c.z AS z10, e.z AS z11 FROM tops a JOIN tops b ON b.surface = a.surface AND b.iy = a.iy AND b.ix = a.ix + 1
         JOIN tops c ON c.surface = a.surface AND c.iy = a.iy + 1 AND c.ix = a.ix JOIN tops e ON e.surface = a.surface AND e.iy = a.iy + 1 AND e.ix = a.ix + 1),
