@@ -26,9 +26,9 @@ K = 20
 #: Rows that a tree is fitted on at most; the sample is by hash of the row, so it does not hang on partitioning.
 FIT_ROWS = 100_000
 BRANCH = 8
-#: Rows of the table that a leaf holds, as long as the sample allows: the tree deepens with the table. A node of fewer than
-#: LEAF_SAMPLE sample rows is not split.
-LEAF_ROWS, LEAF_SAMPLE = 512, 6
+#: A leaf holds about LEAF_ROOTS times the square root of the table's rows, so that leaves and their rows grow alike: the
+#: tree deepens with the table. A node of LEAF_SAMPLE sample rows or fewer is not split: FIT_ROWS do for a billion rows.
+LEAF_ROOTS, LEAF_SAMPLE = 2.0, 6
 #: Leaves that a query visits first; its k-th score there bounds what the others may add.
 FIRST = 2
 #: Queries that calibrate the visits at most, for each length of vectors.
@@ -98,7 +98,7 @@ def fit_tree(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf_rows
         node, rows = todo.pop(0)
         if len(rows) <= leaf_rows:
             continue
-        own = _kmeans(x[rows], branch, rng)
+        own = _kmeans(x[rows], min(branch, -(-len(rows) // leaf_rows)), rng)
         near = ((own * own).sum(1) - 2 * x[rows] @ own.T).argmin(1)
         kinds = np.unique(near)
         if len(kinds) < 2:
@@ -233,7 +233,7 @@ BROADCAST_LEAVES = 500_000
 RESULT = "query_id long, rank int, vec_id long, score double, leaves_visited int, leaves int"
 
 
-def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE, leaf_rows: int = LEAF_ROWS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE, leaf_roots: float = LEAF_ROOTS, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score, leaves_visited, leaves)``: each query's ``k`` nearest found among all rows but its own.
 
     ``is_query`` is a condition on ``id``. Rows that cannot take part (see ``sound``) are neither queries nor candidates;
@@ -253,7 +253,7 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
         share = min(1.0, fit_rows / total)
         drawn = F.pmod(F.xxhash64("id", "v", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
         sample = kept.where((F.col("n") == n) & drawn).select("v").limit(2 * fit_rows).toPandas()
-        trees[n] = fit_tree(_matrix(sample["v"]), float(longest), leaf_rows=max(LEAF_SAMPLE, int(leaf_rows * share)))
+        trees[n] = fit_tree(_matrix(sample["v"]), float(longest), leaf_rows=max(LEAF_SAMPLE, int(leaf_roots * total**0.5 * share)))
     indexed = written(kept.select("id", "v").mapInPandas(_assigned(trees), "id long, v array<double>, leaf long"), "ann-leaves")
     asked = part.where(is_query).select(F.col("id").alias("qid"), F.xxhash64("v").alias("qh"), F.col("v").alias("q"))
     visits: dict[int, int] = {}
