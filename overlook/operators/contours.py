@@ -1,4 +1,4 @@
-"""Contour lines: marching squares by a grouped pass over cell corners, lines chained and simplified tile by tile."""
+"""Contour lines: marching squares by a grouped pass over cell corners, pieces traced tile by tile, joined and simplified."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from overlook.operators.graph import connected_components
 from overlook.operators.lattice import corners
+from overlook.plans.shared import written
 
 
 def segments(cells: DataFrame, interval: float = 10.0) -> DataFrame:
@@ -88,25 +90,78 @@ def chain(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
     return lines
 
 
-LINES = "e long, major boolean, ty long, tx long, line int, n_raw int, ys array<double>, xs array<double>"
+def ordered(line: list[int]) -> list[int]:
+    """A line in an order of its own, wherever it was begun: open ones from the smaller end, closed ones from the smallest edge towards its smaller neighbour."""
+    if line[0] != line[-1]:
+        return line if line[0] < line[-1] else line[::-1]
+    ring = line[:-1]
+    at = ring.index(min(ring))
+    ring = ring[at:] + ring[:at]
+    if len(ring) > 2 and ring[-1] < ring[1]:
+        ring = [ring[0], *ring[:0:-1]]
+    return [*ring, ring[0]]
 
 
-def contours(cells: DataFrame, interval: float = 10.0, major_every: int = 5, cell: float = 50.0, tolerance: float = 18.0, tile_cells: int = 1024) -> DataFrame:
-    """Contour lines in metres, cut at tile borders, so that a task holds the segments of one level in one tile."""
+PIECES = "level double, first long, last long, edges array<long>, ys array<double>, xs array<double>"
+LINES = "e long, major boolean, line long, n_raw int, ys array<double>, xs array<double>"
+
+
+def pieces(cells: DataFrame, interval: float, tile_cells: int) -> DataFrame:
+    """Lines as far as they go within a tile: a task holds the segments of one level in one tile."""
     tile = lambda c: F.floor(F.col(c) / tile_cells).cast("long")
     parts = segments(cells, interval).withColumns({"ty": tile("iy"), "tx": tile("ix")})
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        place = dict(zip(np.r_[frame["a"], frame["b"]].tolist(), np.c_[np.r_[frame["ay"], frame["by"]], np.r_[frame["ax"], frame["bx"]]] * cell))
+        place = dict(zip(np.r_[frame["a"], frame["b"]].tolist(), zip(np.r_[frame["ay"], frame["by"]].tolist(), np.r_[frame["ax"], frame["bx"]].tolist())))
+        rows = [(key[0], line[0], line[-1], line, [place[e][0] for e in line], [place[e][1] for e in line]) for line in chain(frame["a"].to_numpy(), frame["b"].to_numpy())]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    return parts.groupBy("level", "ty", "tx").applyInPandas(run, PIECES)
+
+
+def contours(cells: DataFrame, interval: float = 10.0, major_every: int = 5, cell: float = 50.0, tolerance: float = 18.0, tile_cells: int = 1024) -> DataFrame:
+    """Whole contour lines in metres, whatever the tiles.
+
+    Pieces are traced tile by tile; those that end on a shared edge are joined by the components of their ends, and a task
+    holds one line. ``line`` is the number of the line's smallest edge, so a line has one name and one order of points.
+    """
+    found = written(pieces(cells, interval, tile_cells), "contour-pieces")
+    end = lambda c: F.struct("level", F.col(c).alias("e"))
+    open_ = found.where("first <> last").select(end("first").alias("u"), end("last").alias("v"))
+    whole = connected_components(open_).select(F.col("node.level").alias("level"), F.col("node.e").alias("first"), F.col("component.e").alias("own"))
+    named = found.join(whole, ["level", "first"], "left").withColumn("own", F.coalesce("own", F.array_min("edges")))
+
+    def line_rows(level: float, parts: list[tuple]) -> list[tuple]:
+        place, a, b = {}, [], []
+        for edges, ys, xs in parts:
+            edges = list(map(int, edges))
+            place.update(zip(edges, zip(ys, xs)))
+            a += edges[:-1]
+            b += edges[1:]
         rows = []
-        for i, line in enumerate(chain(frame["a"].to_numpy(), frame["b"].to_numpy())):
-            points = np.array([place[e] for e in line])
+        for line in map(ordered, chain(np.array(a), np.array(b))):
+            points = np.array([place[e] for e in line]) * cell
             kept = points[simplify(points, tolerance)]
             if len(kept) > 1:
-                rows.append((int(key[0]), int(key[0]) % int(interval * major_every) == 0, key[1], key[2], i, len(points), kept[:, 0].tolist(), kept[:, 1].tolist()))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
-
-    return parts.groupBy("level", "ty", "tx").applyInPandas(run, LINES)
+                rows.append((int(level), float(level) % (interval * major_every) == 0, min(line), len(points), kept[:, 0].tolist(), kept[:, 1].tolist()))
+        return rows
+
+    names = [c.split()[0] for c in LINES.split(", ")]
+
+    def run(frames):
+        """Pieces come sorted by line: each line is made as its last piece is read."""
+        held, now, rows = [], None, []
+        for frame in frames:
+            for level, own, *part in frame[["level", "own", "edges", "ys", "xs"]].itertuples(index=False, name=None):
+                if (level, own) != now:
+                    rows += line_rows(now[0], held) if held else []
+                    held, now = [], (level, own)
+                held.append(part)
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
+        yield pd.DataFrame(line_rows(now[0], held) if held else [], columns=names)
+
+    return named.repartition("level", "own").sortWithinPartitions("level", "own").mapInPandas(run, LINES)
 
 
 def totals(lines: DataFrame) -> DataFrame:

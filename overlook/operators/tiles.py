@@ -22,6 +22,12 @@ def work_list(spark: SparkSession, lat0: float, lat1: float, lon0: float, lon1:
     return box.withColumn("key", F.format_string("%.2f_%.2f", "south", "west"))
 
 
+def chosen(tiles: DataFrame, only: list[str] | None = None, limit: int | None = None, key: str = "key") -> DataFrame:
+    """The named tiles, and the first ``limit`` of those in order of their keys."""
+    named = tiles if only is None else tiles.where(F.col(key).isin(only))
+    return named if limit is None else named.orderBy(key).limit(limit)
+
+
 def pending(tiles: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     """All tiles except those done."""
     return tiles.join(done.select(key).distinct(), key, "left_anti")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlook.functions import geo
+from overlook.functions.spots import search_url
 from overlook.operators import contours, lattice, neighbourhood, pyramid, relief, reports, scoring, tiles, viewshed, water
 from overlook.sources import stores
+from overlook.sources.rasters import REGION
 
 EYES = (0.0, 1.7, 5.0)
 VEGETATION = ("trees", "bare")
@@ -43,11 +45,20 @@ def signatures(observers: DataFrame, ground: DataFrame, tile_cells: int, cell: f
     )
 
 
-def build_region(ground: DataFrame, observers: DataFrame, out: str, tile_cells: int = 512, cell: float = CELL, done: DataFrame | None = None, **options) -> None:
+def region_meta(spark: SparkSession, bounds: tuple[float, float, float, float], rows: int, cols: int, azimuths: int = 32, obs_m: float = OBSERVER, max_dist_km: float = geo.MAX_DISTANCE / 1000, eyes: Sequence[float] = EYES, vegetation: Sequence[str] = VEGETATION) -> DataFrame:
+    """A region's metadata, one row; ``bounds`` are south, north, west, east."""
+    row = (*map(float, bounds), rows, cols, azimuths, float(obs_m), float(max_dist_km), [(round(e * 100), float(e)) for e in eyes], list(vegetation))
+    return spark.createDataFrame([row], REGION)
+
+
+def build_region(ground: DataFrame, observers: DataFrame, out: str, tile_cells: int = 512, cell: float = CELL, done: DataFrame | None = None, meta: DataFrame | None = None, **options) -> None:
     """Write ``terrain`` and ``signature`` tables, partitioned by tile; tiles in ``done`` (ty, tx) are left alone.
 
-    A tile's partitions are replaced as a whole, so a run that failed can be run again.
+    ``meta`` is written before any tile, so that a region can be read while it is built. A tile's partitions are replaced
+    as a whole, so a run that failed can be run again.
     """
+    if meta is not None:
+        stores.write_region(meta, f"{out}/region.json")
     tile = {"ty": F.floor(F.col("y") / cell / tile_cells).cast("int"), "tx": F.floor(F.col("x") / cell / tile_cells).cast("int")}
     todo = observers.withColumns(tile)
     if done is not None:
@@ -69,17 +80,59 @@ def build_relief(spark: SparkSession, observers: DataFrame, ground: DataFrame, c
     return long.groupBy("obs_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("az", "drop"))), lambda s: s["drop"].cast("short")).alias("drop"))
 
 
-def pack_region(region: DataFrame, rows: int, cols: int, level: pyramid.Level, out: str, factor: int = 4, overview_only: bool = False) -> None:
-    """Write the overview and, unless ``overview_only``, the native level of one signature set, by tile."""
+def pack_region(region: DataFrame, rows: int, cols: int, bounds: tuple[float, float, float, float], out: str, step: float = OBSERVER, factor: int = 4, tile: int = 256, overview_only: bool = False) -> list[pyramid.Level]:
+    """Write the overview and, unless ``overview_only``, the native level of one signature set by tile, and their ``meta.json``.
+
+    ``bounds`` (south, north, west, east) are the centres of the outer cells; levels carry their own georeference. Both
+    levels are cut in tiles of ``tile`` cells. Without the native level no zoom asks for detail (``detail_min_zoom`` 99).
+    """
+    over_level, native = pyramid.levels(rows, cols, step, *bounds, factor, tile)
+    over_level.tile = tile
+    chosen = [over_level] if overview_only else [over_level, native]
+    spark = region.sparkSession
+    kinds = "id int, step_m double, rows int, cols int, tile_rows int, tile_cols int, tiles_y int, tiles_x int, lat0 double, dlat double, lon0 double, dlon double"
+    about = [(v.id, float(v.step_m), v.rows, v.cols, tile, tile, *v.tiles, v.lat0, v.dlat, v.lon0, v.dlon) for v in chosen]
+    meta = spark.createDataFrame([(99.0 if overview_only else 10.5, about)], f"detail_min_zoom double, levels array<struct<{', '.join(k.replace(' ', ':') for k in kinds.split(', '))}>>")
+    stores.write_region(meta, f"{out}/meta.json")
     cells = region.select("gy", "gx", "valid", "canopy_m", "elev_m", "water", "dist")
     long = cells.select("gy", "gx", "valid", F.posexplode("dist").alias("az", "dist_u8"))
     dist = pyramid.overview_mean(long, factor, rows, cols).groupBy("by", "bx").agg(F.transform(F.array_sort(F.collect_list(F.struct("az", "dist_u8"))), lambda s: s["dist_u8"]).alias("dist"))
     over = pyramid.overview_terrain(cells, factor, rows, cols).join(pyramid.overview_water(cells, factor, rows, cols), ["by", "bx"]).join(dist, ["by", "bx"])
     over = over.select(F.col("by").alias("gy"), F.col("bx").alias("gx"), "valid", F.col("canopy").alias("canopy_m"), F.col("elev").alias("elev_m"), "water", "dist")
-    whole = pyramid.Level(0, level.step_m * factor, rows // factor, cols // factor, max(rows, cols), 0.0, 1.0, 0.0, 1.0)
-    stores.write_pyramid(pyramid.tiled(over, whole), out)
+    stores.write_pyramid(pyramid.tiled(over, over_level), f"{out}/tiles")
     if not overview_only:
-        stores.write_pyramid(pyramid.tiled(cells.withColumn("dist", F.transform("dist", lambda d: d.cast("long"))), level), out)
+        stores.write_pyramid(pyramid.tiled(cells.withColumn("dist", F.transform("dist", lambda d: d.cast("long"))), native), f"{out}/tiles")
+    return chosen
+
+
+def export_box(region: DataFrame, level: pyramid.Level, out: str, name: str) -> None:
+    """A single box of one signature set as byte tiles: land, water bits and each bearing's distance, one row a tile and layer."""
+    placed = pyramid.tiled(region, level)
+    layers = [stores.byte_tiles(placed, "valid", 1, "valid"), stores.byte_tiles(placed, "water", 4, f"water_{name}")]
+    by_bearing = placed.select("level", "tile_y", "tile_x", "row", "col", F.posexplode("dist").alias("az", "q"))
+    # bearings of a cell stand side by side
+    layers.append(stores.byte_tiles(by_bearing.withColumn("col", F.col("col") * F.lit(1000) + F.col("az")), "q", 1, f"dist_{name}"))
+    every = layers[0].unionByName(layers[1]).unionByName(layers[2])
+    every.write.mode("overwrite").partitionBy("name").parquet(out)
+
+
+def write_pilot(seen: DataFrame, meta: DataFrame, out: str) -> None:
+    """The pilot's signatures and what they were made with: two tables of one archive."""
+    stores.write_region(meta, f"{out}/meta.json")
+    seen.write.mode("overwrite").parquet(f"{out}/signatures")
+
+
+def spots_over(spots: DataFrame, wide: DataFrame, step: float, lat0: float, lon0: float, score: str = "score") -> DataFrame:
+    """Fine ``spots`` (``rank, y, x``, metres from the centre) over a wide map (``y, x`` on a lattice of ``step``): distance, bearing, link and the map's own score.
+
+    The nearest cell of the map is met by its key; a spot beyond the map has none.
+    """
+    north, east = geo.metres_per_degree_at(lat0)
+    key = lambda c: F.rint(F.col(c) / step).cast("long")
+    side = wide.select(key("y").alias("_ky"), key("x").alias("_kx"), F.col(score).alias("wide_score"))
+    at = spots.withColumns({"_ky": key("y"), "_kx": key("x")}).join(side, ["_ky", "_kx"], "left").drop("_ky", "_kx")
+    bearing = F.pmod(F.degrees(F.atan2("x", "y")), F.lit(360.0))
+    return at.withColumns({"km": F.hypot("x", "y") / 1000, "name": geo.compass(bearing), "url": search_url(lat0 + F.col("y") / north, lon0 + F.col("x") / east)})
 
 
 def core(df: DataFrame, half: float, y: str = "y", x: str = "x") -> DataFrame:

@@ -11,22 +11,9 @@ from overlook.functions.spots import decode_share, encode_share, route_url, sear
 from overlook.operators import lattice, neighbourhood, pyramid, relief, reports, scoring, tiles, viewshed, water
 from overlook.operators import spots as spot_lists
 from overlook.plans import fixtures as fx
+from overlook.plans.catalog import QUERIES, SQL, query
 from overlook.plans.fixtures import with_fixtures
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 D = lambda x: f"CAST({x!r} AS DOUBLE)"
 R6 = lambda x: F.round(x, 6)
 EAST = wedge.bins_between(45, 135)
@@ -504,12 +491,20 @@ def sunlit_mask(spark, sf_dir):
     return sunlit(cells, 190.0, 25.0, 128, 800.0)
 
 
-@query()
+#: Where each level crosses the lines between neighbouring cells.
+CROSSINGS = """, g AS (SELECT a.iy, a.ix, a.z AS za, b.z AS zb, b.iy - a.iy AS up FROM dem_smooth a JOIN dem_smooth b ON (b.iy = a.iy AND b.ix = a.ix + 1) OR (b.iy = a.iy + 1 AND b.ix = a.ix)),
+    x AS (SELECT CAST(l AS BIGINT) AS e, l % 50 = 0 AS major, (iy + CASE WHEN up = 1 THEN (l - za) / CAST(zb - za AS DOUBLE) ELSE 0 END) * 25 AS y, (ix + CASE WHEN up = 0 THEN (l - za) / CAST(zb - za AS DOUBLE) ELSE 0 END) * 25 AS x
+      FROM g, range(0, 1000, 10) r(l) WHERE least(za, zb) <= l AND greatest(za, zb) > l)"""
+
+
+@query(with_fixtures(CROSSINGS + " SELECT DISTINCT e, major, round(y, 6) AS y, round(x, 6) AS x FROM x", "dem_smooth"))
 def contour_lines(spark, sf_dir):
-    """Contours every 10 m, cut at tile borders."""
+    """All points of the contour lines every 10 m, not simplified: each crossing of a level stands in a line."""
     from overlook.operators.contours import contours
 
-    return contours(fx.dem_smooth(spark, sf_dir), 10.0, 5, 25.0, 18.0, 128).select("e", "major", "ty", "tx", F.size("ys").alias("n"), "n_raw")
+    lines = contours(fx.dem_smooth(spark, sf_dir), 10.0, 5, 25.0, -1.0, 128)
+    points = lines.select("e", "major", F.explode(F.arrays_zip("ys", "xs")).alias("p"))
+    return points.select("e", "major", R6("p.ys").alias("y"), R6("p.xs").alias("x")).distinct()
 
 
 @query(with_fixtures(""", c AS (SELECT a.iy, a.ix, least(a.z, b.z, d.z, e.z) AS low, greatest(a.z, b.z, d.z, e.z) AS high FROM dem_smooth a JOIN dem_smooth b ON b.iy = a.iy AND b.ix = a.ix + 1 JOIN dem_smooth d ON d.iy = a.iy + 1 AND d.ix = a.ix JOIN dem_smooth e ON e.iy = a.iy + 1 AND e.ix = a.ix + 1)
@@ -652,7 +647,7 @@ def event_windows(spark, sf_dir):
     """Tumbling windows, run as a stream."""
     from overlook.streaming import jobs
 
-    out = jobs.to_the_end(jobs.tumbling(jobs.read_events(spark, sf_dir)), spark, _stream(spark, "tumbling"))
+    out = jobs.to_the_end(jobs.tumbling(jobs.read_events(spark, sf_dir)), spark, _stream(spark, "tumbling"), key=["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -661,7 +656,7 @@ def event_sliding(spark, sf_dir):
     """Sliding windows, run as a stream."""
     from overlook.streaming import jobs
 
-    out = jobs.to_the_end(jobs.sliding(jobs.read_events(spark, sf_dir)), spark, _stream(spark, "sliding"))
+    out = jobs.to_the_end(jobs.sliding(jobs.read_events(spark, sf_dir)), spark, _stream(spark, "sliding"), key=["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -671,7 +666,7 @@ def event_sessions(spark, sf_dir):
     """Sessions by user, run as a stream."""
     from overlook.streaming import jobs
 
-    out = jobs.to_the_end(jobs.sessions(jobs.read_events(spark, sf_dir)), spark, _stream(spark, "sessions"))
+    out = jobs.to_the_end(jobs.sessions(jobs.read_events(spark, sf_dir)), spark, _stream(spark, "sessions"), "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
@@ -680,8 +675,10 @@ def latest_event(spark, sf_dir):
     """The newest row of each key, run as a stream."""
     from overlook.streaming import jobs
 
-    out = jobs.to_the_end(jobs.latest(jobs.read_events(spark, sf_dir).select("user_id", "ts", "event_id"), "user_id", "ts"), spark, _stream(spark, "latest"))
+    out = jobs.to_the_end(jobs.latest(jobs.read_events(spark, sf_dir).select("user_id", "ts", "event_id"), "user_id", "ts"), spark, _stream(spark, "latest"), key=["user_id"])
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
 
 
-__all__ = ["QUERIES", "SQL"]
+from overlook.plans import job_queries  # noqa: E402  registers the rest
+
+__all__ = ["QUERIES", "SQL", "job_queries"]

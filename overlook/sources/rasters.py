@@ -45,8 +45,11 @@ def read_elevation(spark: SparkSession, path: str, rows: int = ROWS) -> DataFram
 def mosaic(tiles: DataFrame, lat_high: int, lon_low: int, rows: int = ROWS) -> DataFrame:
     """``(iy, ix, z)`` of tiles set side by side, row 0 in the north; missing tiles are missing rows.
 
-    Tiles of one mosaic must have one column count; tiles of several raise an error.
+    Tiles of one mosaic must have one column count; tiles of several raise an error, as does a mosaic whose first tile,
+    in the north-west, is missing.
     """
+    if tiles.where((F.col("lat_i") == lat_high) & (F.col("lon_i") == lon_low)).isEmpty():
+        raise FileNotFoundError(f"tile {lat_high}_{lon_low} is missing")
     bands = [r[0] for r in tiles.select("ncols").distinct().limit(2).collect()]
     if len(bands) > 1:
         raise ValueError("tiles of several latitude bands do not fit one mosaic")
@@ -70,6 +73,14 @@ def read_region(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGION).json(path, multiLine=True)
 
 
+CANOPY = "cell double, col0 double, row0 double, cols int, rows int, half double, r_earth double"
+
+
+def read_canopy(spark: SparkSession, path: str) -> DataFrame:
+    """The affine values of a canopy raster, one row."""
+    return spark.read.schema(CANOPY).json(path, multiLine=True)
+
+
 def variants(region: DataFrame) -> DataFrame:
     """``(veg, eye_cm)``: every signature set that the metadata names."""
     return region.select(F.explode("veg").alias("veg"), "eyes").select("veg", F.explode("eyes.cm").alias("eye_cm"))

@@ -57,7 +57,7 @@ def _hex(value: Column, width: int) -> Column:
 
 def byte_tiles(cells: DataFrame, value: str, width: int = 1, name: str | None = None) -> DataFrame:
     """``(name, level, tile_y, tile_x, data)``: a tile's values in row order as raw little-endian bytes. A tile is bounded by its side."""
-    at = F.struct("row", "col", F.coalesce(F.col(value).cast("long"), F.lit(NODATA if width == 2 else 0)).alias("v"))
+    at = F.struct("row", "col", F.coalesce(F.col(value).cast("int").cast("long") if value == "valid" else F.col(value).cast("long"), F.lit(NODATA if width == 2 else 0)).alias("v"))
     line = F.transform(F.array_sort(F.collect_list(at)), lambda s: _hex(s["v"], width))
     return cells.groupBy("level", "tile_y", "tile_x").agg(F.unhex(F.array_join(line, "")).alias("data")).select(F.lit(name or value).alias("name"), "level", "tile_y", "tile_x", "data")
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from overlook.functions.spots import is_spot, spot_id
 
@@ -26,7 +27,7 @@ def run_tiles(jobs: DataFrame, build: Callable[[DataFrame], DataFrame], out: str
 
 
 def latest(updates: DataFrame, key: str, version: str) -> DataFrame:
-    """The newest row of each key, by ``version``; run in complete or update mode."""
+    """The newest row of each key, by ``version``; run in update mode."""
     rest = [c for c in updates.columns if c != key]
     return updates.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("s")).select(key, "s.*")
 
@@ -59,12 +60,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return events.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def to_the_end(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is, into a table in ``folder``, and read that."""
+def to_the_end(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "update", key: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is, into a table in ``folder``, and read that.
+
+    In update mode a batch holds the rows that changed, state behind the watermark is freed, and of the versions of a
+    ``key`` the last one counts; a batch that runs again replaces its own part. In append mode rows are final as they
+    come. Complete mode, whose state is never freed, is for sessions over a bounded input: the engine has no updates of them.
+    """
     out, marks = f"{folder}/out", f"{folder}/marks"
 
-    def batch(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def batch(df: DataFrame, number: int) -> None:
+        part = 0 if mode == "complete" else number
+        df.withColumn("_batch", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(out)
 
     stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(out)
+    if mode != "update":
+        return rows.drop("_batch")
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("s")).select(*key, "s.*")

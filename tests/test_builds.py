@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from overlook.functions.wedge import Band, Wheel
-from overlook.operators import lattice, pyramid, scoring, viewshed
+from overlook.operators import lattice, scoring, viewshed
 from overlook.plans import builds
 
 STEPS = [25.0, 50.0, 75.0, 100.0, 150.0, 200.0]
@@ -45,8 +45,11 @@ def test_region_to_best_spots(spark, ground, observers, tmp_path):
 def test_pack(spark, ground, observers, tmp_path):
     out, packed = str(tmp_path / "r"), str(tmp_path / "p")
     builds.build_region(ground, observers, out, 32, 25.0, eyes=(1.7,), vegetation=("bare",), azimuths=8, reach=200.0, steps=STEPS)
-    builds.pack_region(builds.read_region(spark, out, "bare", 170), 10, 10, pyramid.Level(1, 100.0, 10, 10, 4, 0.0, 1.0, 0.0, 1.0), packed)
-    back = spark.read.parquet(packed)
+    over, native = builds.pack_region(builds.read_region(spark, out, "bare", 170), 10, 10, (55.0, 55.9, 11.0, 11.9), packed, tile=4)
+    assert (over.rows, over.lat0, over.dlat) == (2, pytest.approx(55.15), pytest.approx(0.4)) and native.tiles == (3, 3)
+    meta = spark.read.json(f"{packed}/meta.json").first()
+    assert meta["detail_min_zoom"] == 10.5 and [v["rows"] for v in meta["levels"]] == [2, 10]
+    back = spark.read.parquet(f"{packed}/tiles")
     assert back.where("level = 1").count() == 100 and back.where("level = 0").count() == 4
     assert back.select(F.size("dist")).distinct().collect() == [(8,)]
 

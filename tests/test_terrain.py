@@ -175,6 +175,55 @@ def test_contour_of_a_cone(spark):
     assert len(ys) < lines.n_raw[0]
 
 
+def test_lines_do_not_hang_on_tiles(spark):
+    y, x = np.mgrid[0:37, 0:37]
+    z = 60 + 30 * np.sin(y / 5.0) * np.cos(x / 6.0) + (x * 7 + y * 3) % 5
+    cells = raster(spark, z)
+    want = None
+    for tile in (1024, 16, 5):
+        got = {(r["e"], r["line"]): (r["n_raw"], tuple(r["ys"]), tuple(r["xs"])) for r in contours.contours(cells, 10.0, 5, 25.0, 12.0, tile).collect()}
+        want = want or got
+        assert got == want and len(got) > 5
+    # by hand: segments joined at shared points, for each level
+    parts = contours.segments(cells, 10.0).toPandas()
+    lines = 0
+    for _, own in parts.groupby("level"):
+        near, left = {}, set()
+        for a, b in zip(own["a"], own["b"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        left = set(near)
+        while left:
+            todo = [left.pop()]
+            lines += 1
+            while todo:
+                for k in near[todo.pop()] & left:
+                    left.remove(k)
+                    todo.append(k)
+    assert lines == len(want)
+
+
+def test_simplify_by_the_recursive_rule():
+    rng = np.random.default_rng(6)
+
+    def rule(points, tolerance):
+        if len(points) < 3:
+            return [True] * len(points)
+        a, b = points[0], points[-1]
+        size = math.dist(a, b)
+        off = [abs((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) / size if size > 1e-9 else math.dist(a, p) for p in points[1:-1]]
+        i = 1 + int(np.argmax(off))
+        if off[i - 1] <= tolerance:
+            return [True, *[False] * (len(points) - 2), True]
+        return rule(points[: i + 1], tolerance)[:-1] + rule(points[i:], tolerance)
+
+    for n in (2, 3, 10, 60):
+        for closed in (False, True):
+            points = rng.random((n, 2)).cumsum(axis=0)
+            points = np.vstack([points, points[:1]]) if closed else points
+            assert contours.simplify(points, 0.3).tolist() == rule(points.tolist(), 0.3)
+
+
 def test_simplify_keeps_corners():
     points = np.array([[0, 0], [1, 0.1], [2, 0], [2, 5], [2.1, 7], [2, 9]], dtype=float)
     assert contours.simplify(points, 0.5).tolist() == [True, False, True, False, False, True]
