@@ -11,14 +11,15 @@ from overlook.plans.shared import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # cut: joined with the aggregate itself, both would keep its partitions, and a hub's edges could not be split
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -27,8 +28,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """Nodes that have an edge, as ``(node, component)``; component is the smallest node of each component.
 
     Alternating large-star and small-star rounds. A round aggregates by node before it joins, so a node with very many
-    edges is combined map-side, and the joins are plain equi-joins that adaptive execution may split. Lineage is cut by
-    a reliable checkpoint after each round. Self-loops and null ends are ignored; an empty graph gives no rows.
+    edges is combined map-side, and the joins are plain equi-joins of tables of their own, which adaptive execution may
+    split or broadcast. Lineage is cut by reliable checkpoints in each round. Self-loops and null ends are ignored; an empty graph gives no rows.
     """
     now = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
     mark = None

@@ -35,6 +35,13 @@ def overview_mean(values: DataFrame, factor: int, rows: int, cols: int, value: s
     return _blocks(values, factor, rows, cols, y, x).groupBy("by", "bx", "az").agg(F.coalesce(F.rint(mean), F.lit(0.0)).cast("long").alias(value))
 
 
+def overview_distances(cells: DataFrame, factor: int, rows: int, cols: int, azimuths: int = 32, values: str = "dist", y: str = "gy", x: str = "gx") -> DataFrame:
+    """``(by, bx, dist)``: the same means as arrays, one aggregate a bearing in one pass, without a row a bearing."""
+    mean = [F.avg(F.when(F.col("valid"), F.get(F.col(values), F.lit(a)).cast("double"))).alias(f"m{a}") for a in range(azimuths)]
+    got = _blocks(cells, factor, rows, cols, y, x).groupBy("by", "bx").agg(*mean)
+    return got.select("by", "bx", F.array(*[F.coalesce(F.rint(f"m{a}"), F.lit(0.0)).cast("long") for a in range(azimuths)]).alias(values))
+
+
 def overview_water(cells: DataFrame, factor: int, rows: int, cols: int, compat: bool = False, y: str = "gy", x: str = "gx") -> DataFrame:
     """``(by, bx, water)``: directions in which any land cell of the block sees water; ``compat`` takes the largest number instead, which loses directions."""
     own = F.when(F.col("valid"), F.col("water")).otherwise(F.lit(0)).cast("long")

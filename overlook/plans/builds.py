@@ -37,10 +37,11 @@ def sites(observers: DataFrame, ground: DataFrame, cell: float = CELL) -> DataFr
 
 def signatures(observers: DataFrame, ground: DataFrame, tile_cells: int, cell: float = CELL, eyes: Sequence[float] = EYES, vegetation: Sequence[str] = VEGETATION, azimuths: int = 32, reach: float = geo.MAX_DISTANCE, steps: Sequence[float] | None = None) -> DataFrame:
     """``(veg, eye_cm, obs_id, dist, water)`` for every set, all in one pass over the terrain: distances in bytes, water in bits."""
-    tops = ground.withColumns({"trees": F.col("z") + F.col("obstruction"), "bare": F.col("z")})
-    seen = viewshed.compute_tiles(observers, tops.select("iy", "ix", "z", "trees", "bare", "is_water"), cell, tile_cells, eyes, azimuths, reach, steps, vegetation)
+    tops = ground.withColumn("trees", F.col("z") + F.col("obstruction"))
+    surfaces = ["z" if v == "bare" else v for v in vegetation]
+    seen = viewshed.compute_tiles(observers, tops.select("iy", "ix", "z", "trees", "is_water"), cell, tile_cells, eyes, azimuths, reach, steps, surfaces)
     return seen.select(
-        F.col("surface").alias("veg"), F.rint(F.col("eye") * 100).cast("int").alias("eye_cm"), "obs_id",
+        F.when(F.col("surface") == "z", "bare").otherwise(F.col("surface")).alias("veg"), F.rint(F.col("eye") * 100).cast("int").alias("eye_cm"), "obs_id",
         F.transform("max_dist", lambda d: geo.quantise_distance(d, reach).cast("short")).alias("dist"), geo.pack_bits(F.transform("water_far", lambda d: d > 0)).alias("water"),
     )
 
@@ -74,10 +75,9 @@ def read_region(spark: SparkSession, out: str, veg: str, eye_cm: int) -> DataFra
     return spark.read.parquet(f"{out}/terrain").join(own, "obs_id").withColumn("canopy", F.col("canopy_m"))
 
 
-def build_relief(spark: SparkSession, observers: DataFrame, ground: DataFrame, cell: float = CELL, azimuths: int = 32) -> DataFrame:
+def build_relief(observers: DataFrame, ground: DataFrame, cell: float = CELL, azimuths: int = 32, tile_cells: int = 512) -> DataFrame:
     """``(obs_id, drop)``: sustained descent in quarter degrees by azimuth."""
-    long = relief.descents(spark, observers, ground, cell, azimuths)
-    return long.groupBy("obs_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("az", "drop"))), lambda s: s["drop"].cast("short")).alias("drop"))
+    return relief.descents_tiles(observers, ground.select("iy", "ix", "z"), cell, tile_cells, azimuths)
 
 
 def pack_region(region: DataFrame, rows: int, cols: int, bounds: tuple[float, float, float, float], out: str, step: float = OBSERVER, factor: int = 4, tile: int = 256, overview_only: bool = False) -> list[pyramid.Level]:
@@ -95,8 +95,8 @@ def pack_region(region: DataFrame, rows: int, cols: int, bounds: tuple[float, fl
     meta = spark.createDataFrame([(99.0 if overview_only else 10.5, about)], f"detail_min_zoom double, levels array<struct<{', '.join(k.replace(' ', ':') for k in kinds.split(', '))}>>")
     stores.write_region(meta, f"{out}/meta.json")
     cells = region.select("gy", "gx", "valid", "canopy_m", "elev_m", "water", "dist")
-    long = cells.select("gy", "gx", "valid", F.posexplode("dist").alias("az", "dist_u8"))
-    dist = pyramid.overview_mean(long, factor, rows, cols).groupBy("by", "bx").agg(F.transform(F.array_sort(F.collect_list(F.struct("az", "dist_u8"))), lambda s: s["dist_u8"]).alias("dist"))
+    azimuths = cells.select(F.size("dist")).limit(1).collect()
+    dist = pyramid.overview_distances(cells, factor, rows, cols, azimuths[0][0] if azimuths else 0)
     over = pyramid.overview_terrain(cells, factor, rows, cols).join(pyramid.overview_water(cells, factor, rows, cols), ["by", "bx"]).join(dist, ["by", "bx"])
     over = over.select(F.col("by").alias("gy"), F.col("bx").alias("gx"), "valid", F.col("canopy").alias("canopy_m"), F.col("elev").alias("elev_m"), "water", "dist")
     stores.write_pyramid(pyramid.tiled(over, over_level), f"{out}/tiles")

@@ -299,7 +299,7 @@ def sustained_descent(spark, sf_dir):
     """Least angle down at 250 m to 2 km in all directions, in quarter degrees."""
     from overlook.plans import builds
 
-    return builds.build_relief(spark, fx.observers(spark, sf_dir), fx.dem_smooth(spark, sf_dir)).select("obs_id", F.posexplode("drop").alias("az", "drop"))
+    return builds.build_relief(fx.observers(spark, sf_dir), fx.dem_smooth(spark, sf_dir)).select("obs_id", F.posexplode("drop").alias("az", "drop"))
 
 
 NB = """, nb AS (SELECT a.iy, a.ix, min(b.z) AS low, max(b.z) AS high FROM dem_smooth a, (SELECT unnest([-1, 0, 1]) AS dy) y, (SELECT unnest([-1, 0, 1]) AS dx) x, dem_smooth b

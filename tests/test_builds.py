@@ -55,7 +55,7 @@ def test_pack(spark, ground, observers, tmp_path):
 
 
 def test_relief_point_and_contours(spark, ground, observers, tmp_path):
-    drops = builds.build_relief(spark, observers, ground, 25.0, 4)
+    drops = builds.build_relief(observers, ground, 25.0, 4)
     assert drops.count() == 100 and drops.select(F.size("drop")).distinct().collect() == [(4,)]
     directions, summary = builds.inspect_point(spark, ground, 500.0, 500.0, 25.0, azimuths=8, steps=STEPS)
     assert directions.count() == 16 and summary.count() == 2 and {"name", "water_below", "horizon_degrees"} <= set(directions.columns)

@@ -32,6 +32,16 @@ def test_descent_goldens(spark, falls, stored):
     assert spark.range(1).select(scoring.sustained_descent(F.lit(100.0), heights)).first()[0] == stored
 
 
+def test_bulk_relief_equals_relational(spark):
+    z = np.random.default_rng(7).integers(0, 300, (60, 50)).astype(float)
+    z[10:14, 20:24] = np.nan
+    cells = raster(spark, z)
+    seen = lattice.lattice(spark, 9, 8, 40.0, 30.0, 150.0, 140.0)
+    a = relief.descents(spark, seen, cells, 25.0, 8, (100.0, 250.0)).toPandas().sort_values(["obs_id", "az"])
+    b = relief.descents_tiles(seen, cells, 25.0, 16, 8, (100.0, 250.0)).select("obs_id", F.posexplode("drop").alias("az", "drop")).toPandas().sort_values(["obs_id", "az"])
+    assert len(a) == len(b) > 400 and (a["drop"].to_numpy() == b["drop"].to_numpy()).mean() > 0.999
+
+
 def test_unknown_height_is_level(spark):
     assert spark.range(1).select(scoring.sustained_descent(F.lit(100.0), [(250.0, F.lit(None).cast("double"))])).first()[0] == 0
 
