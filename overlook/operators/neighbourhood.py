@@ -90,10 +90,10 @@ def gradient(cells: DataFrame, value: str = "z", step: float = 1.0, y: str = "iy
 def hillshade(cells: DataFrame, value: str = "z", step: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 2.0, y: str = "iy", x: str = "ix") -> DataFrame:
     """Adds ``shade``, 0 to 1: light from ``azimuth`` at ``altitude`` on exaggerated slopes."""
     g = gradient(cells.withColumn("_h", F.col(value) * float(exaggeration)), "_h", step, y, x)
-    slope = F.atan(F.hypot("gx", "gy"))
-    aspect = F.atan2(-F.col("gx"), F.col("gy"))
-    sun, up = math.radians(360.0 - azimuth + 90.0), math.radians(altitude)
-    light = F.lit(math.sin(up)) * F.cos(slope) + F.lit(math.cos(up)) * F.sin(slope) * F.cos(F.lit(sun) - aspect)
+    turn, up = math.radians(azimuth), math.radians(altitude)
+    # the light's level part along the ground's fall, against its upright part, over the length of the ground's normal
+    level = F.col("gy") * math.sin(turn) - F.col("gx") * math.cos(turn)
+    light = (level * math.cos(up) + math.sin(up)) / F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1)
     return g.withColumn("shade", F.greatest(F.least(light, F.lit(1.0)), F.lit(0.0))).drop("_h", "gx", "gy")
 
 
