@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,20 @@ def crc_part(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+@contextmanager
+def bounded(spark: SparkSession, records: int = 1000, nbytes: int = 16 << 20):
+    """Smaller Arrow batches for the actions inside; the session's own settings hold again afterwards."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records), "spark.sql.execution.arrow.maxBytesPerBatch": str(nbytes)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sliced(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000, nbytes: int = 16 << 20):
     """``run`` over batches of at most ``rows`` rows and about ``nbytes`` bytes, and its results cut likewise."""
 

@@ -141,8 +141,8 @@ def mix(
     left out gets none. Dimensions without targets keep their tempered shares. ``topic`` is a column of the caller's; without one
     the look of the text serves. Poisson sampling: a document stays if its hash number is under its cell's probability,
     so equal ids stay or go together, whatever the partitioning; rows without an id go by their text. Null source or
-    language is a value of its own (``''``). Documents without a word have no token weight to rake: they have no part in
-    the mixture and go. Columns of ``docs`` with the added names are replaced; all others stay. An empty table gives no rows.
+    language is a value of its own (``''``). Documents without a word weigh nothing and go by their cell's probability; a
+    cell without words has none and goes. Columns of ``docs`` with the added names are replaced; all others stay. An empty table gives no rows.
     """
     base = docs.drop("tokens", "probability", "factor") if topic is not None else docs.drop("topic", "tokens", "probability", "factor")
     keys = dict(zip(DIMENSIONS, free_names(base, "mx_source", "mx_lang", "mx_topic")))
@@ -177,7 +177,8 @@ def _sql() -> str:
     return rf"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l,
   CASE WHEN text IS NULL THEN 'none' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'icense') THEN 'licence' WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic,
-  coalesce(len(regexp_extract_all(text, '[^	- ]+')), 0) AS tokens FROM documents),
+  coalesce(len(regexp_extract_all(text, '[^	-
+ ]+')), 0) AS tokens FROM documents),
 c AS MATERIALIZED (SELECT s AS source, l AS lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
 r AS (SELECT 0 AS n, c.*, {', '.join(f't_{d}' for d in DIMENSIONS)}, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS w FROM c {share}
   UNION ALL SELECT n + 1, source, lang, topic, tokens, {', '.join(f't_{d}' for d in DIMENSIONS)}, w FROM {step} WHERE n < 200),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from overlook.llm.common import sliced, table
+from overlook.llm.common import bounded, sliced, table
 from overlook.operators.graph import connected_components
 from overlook.plans.shared import written
 
@@ -184,5 +184,6 @@ def components(prints: DataFrame, tau: int = TAU) -> DataFrame:
 
 def op4_simhash(spark, sf_dir):
     """Fingerprints and components of ``documents``, three-word shingles, three bits."""
-    prints = written(fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
+    with bounded(spark):
+        prints = written(fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
     return components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlook.llm.common import crc_part, sliced, table
+from overlook.llm.common import bounded, crc_part, sliced, table
 from overlook.plans.shared import cut, written
 
 THRESHOLD = 0.7
@@ -86,7 +86,8 @@ def _trigram_batches(batches):
 
 def character_model(texts: DataFrame) -> np.ndarray:
     """log P(c | a, b), counted over all ``texts``; the driver gets 64 ** 3 counts at most."""
-    got = texts.select("text").mapInArrow(sliced(_trigram_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    with bounded(texts.sparkSession):
+        got = texts.select("text").mapInArrow(sliced(_trigram_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(SYMBOLS**3)
     for r in got:
         n[r[0]] = r[1]
@@ -263,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     texts = docs.select(F.col("doc_id").alias("tx_doc"), "text")
     model = character_model(texts)
     rows = texts.join(F.broadcast(drawn), F.col("tx_doc") == F.col("tx_id")).select(F.col("text"), F.when(F.col("tx_toxic") > 0, 1).otherwise(0).alias("toxic"))
-    read = written(rows.mapInArrow(sliced(_features_of(context.broadcast(model)), 200), "toxic int, f array<string>"), "toxicity-features")
+    with bounded(docs.sparkSession):
+        read = written(rows.mapInArrow(sliced(_features_of(context.broadcast(model)), 200), "toxic int, f array<string>"), "toxicity-features")
     tally = {r[0]: r[1] for r in read.groupBy("toxic").count().collect()}
     share = tally.get(1, 0) / max(1, sum(tally.values()))
     counts = cut(read.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")))

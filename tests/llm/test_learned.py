@@ -197,7 +197,55 @@ def test_pipeline_stages(spark, small):
     for r, g in zip(rows, naive_groups([r["text"] for r in rows])):
         best[g] = min(best.get(g, 10**9), r["doc_id"])
     assert sorted(r["doc_id"] for r in three.collect()) == sorted(best.values())
+    from test_text import naive_leaks
+
     four = stage["decontamination"](spark, three, small)
-    assert four.columns == docs.columns
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    rows = three.collect()
+    leaks = {d for d, _ in naive_leaks([(r["doc_id"], r["text"]) for r in rows], items)}
+    assert four.columns == docs.columns and leaks and sorted(r["doc_id"] for r in four.collect()) == sorted(r["doc_id"] for r in rows if r["doc_id"] not in leaks)
     five = pipeline.run(spark, small)
-    assert 0 < five.count() <= four.count() and set(docs.columns) <= set(five.columns)
+    assert set(docs.columns) <= set(five.columns)
+    assert {r["doc_id"]: round(r["probability"], 6) for r in five.collect()} == naive_mix([r for r in rows if r["doc_id"] not in leaks])
+
+
+def naive_mix(rows):
+    """Raking and sampling of few rows, by loops: the probability of each that stays."""
+    import hashlib
+    import re
+
+    from overlook.llm import mixing
+
+    def topic(t):
+        return "none" if t is None else "table" if " | " in t else "licence" if "icense" in t else "contact" if "@" in t else "prose"
+
+    cell = {r["doc_id"]: (r["source"] or "", r["lang"] or "", topic(r["text"])) for r in rows}
+    size = {r["doc_id"]: len(re.findall(r"[^\t-\r ]+", r["text"] or "")) for r in rows}
+    tokens = {}
+    for i, c in cell.items():
+        tokens[c] = tokens.get(c, 0) + size[i]
+    whole = sum(tokens.values())
+    targets = []
+    for d, power in enumerate(mixing.TEMPERATURE.values()):
+        sums = {}
+        for c, n in tokens.items():
+            sums[c[d]] = sums.get(c[d], 0) + n
+        lifted = {v: n**power for v, n in sums.items() if n}
+        targets.append({v: x / sum(lifted.values()) for v, x in lifted.items()})
+    w = {c: n / whole for c, n in tokens.items()}
+    for _ in range(400):
+        for d, want in enumerate(targets):
+            sums = {}
+            for c, x in w.items():
+                sums[c[d]] = sums.get(c[d], 0) + x
+            w = {c: x * want.get(c[d], 0) / sums[c[d]] if sums[c[d]] else 0.0 for c, x in w.items()}
+    low, high = 0.0, 1e12
+    for _ in range(300):  # the scale by halving
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(n, mid * w[c]) for c, n in tokens.items()) < mixing.RATE * whole else (low, mid)
+    out = {}
+    for i, c in cell.items():
+        p = min(1.0, low * w[c] / tokens[c]) if tokens[c] else 0.0
+        if int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52 < p:
+            out[i] = round(p, 6)
+    return out
