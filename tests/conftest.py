@@ -54,7 +54,9 @@ def same():
     def plain(value):
         if value is None or (isinstance(value, float) and value != value):
             return None
-        return round(float(value), 9) if isinstance(value, float) else str(value)
+        if isinstance(value, float):  # whole numbers beside nulls come as floats from one side
+            return str(int(value)) if value.is_integer() else round(float(value), 9)
+        return str(value)
 
     def rows(frame):
         frame = frame[sorted(frame.columns)]
