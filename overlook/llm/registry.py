@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from overlook.llm import ann, chat, decontaminate, fim, langid, licenses, line_dedup, mixing, simhash, toxicity, warc
+from overlook.llm import ann, chat, collocations, decontaminate, fim, langid, licenses, line_dedup, mixing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ann": ann.op9_ann,
     "op10_chat": chat.op10_chat,
+    "op11_collocations": collocations.op11_collocations,
     "op13_fim": fim.op13_fim,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op10_chat": chat.SQL,
+    "op11_collocations": collocations.SQL,
     "op13_fim": fim.SQL,
 }
