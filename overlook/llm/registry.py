@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from overlook.llm import ann, chat, collocations, decontaminate, fim, langid, licenses, line_dedup, mixing, simhash, toxicity, warc
+from overlook.llm import ann, chat, collocations, decontaminate, fim, langid, licenses, line_dedup, mixing, pii, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_chat": chat.op10_chat,
     "op11_collocations": collocations.op11_collocations,
+    "op12_pii": pii.op12_pii,
     "op13_fim": fim.op13_fim,
 }
 
