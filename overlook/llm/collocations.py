@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from overlook.llm.common import table
+from overlook.llm.common import bounded, table
 from overlook.plans.shared import fresh_path, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -26,7 +26,7 @@ SENT_WORDS, SENT_BYTES = 1_000_000, 64 << 20
 #: Frequent phrases of one length whose marks go to every worker (8 MB); beyond, the next length is counted without them.
 MARKED, BITS = 8_000_000, 26
 #: Keys that a task sorts at once, and that a range is made for.
-BLOCK, RANGE = 1 << 21, 1 << 21
+BLOCK, RANGE = 1 << 19, 1 << 20
 #: Numbers of a chunk where words meet their numbers in a join.
 CHUNK = 4096
 
@@ -62,7 +62,7 @@ def _count_words(batches):
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary())):
             counts.setdefault(lang, Counter()).update(words_of(text.as_py()))
-        if sum(map(len, counts.values())) > 1_000_000:
+        if sum(map(len, counts.values())) > 300_000:
             yield rows(counts)
             counts = {}
     if counts:
@@ -121,7 +121,7 @@ def encode(texts: DataFrame, known: DataFrame, sent_words: int = SENT_WORDS) ->
                 found = [get(w, 0) for w in words_of(text.as_py()) if w]
                 blobs.append(_runs(np.array(found, np.uint32)))
                 held += len(blobs[-1])
-                if held > 4 * BLOCK:
+                if held > 2 * BLOCK:
                     yield _packed(blobs)
                     held, blobs = 0, []
             yield _packed(blobs)
@@ -296,7 +296,7 @@ def _counted(k: int, least: int):
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
         size = 0
         merge = lambda: _run_lengths([np.concatenate(c) for c in zip(*[x[0] for x in held])], np.concatenate([x[1] for x in held]))
-        enough = 2 * RANGE
+        enough = RANGE
         for b in batches:
             for counts, cols in zip(b.column("counts"), b.column("cols")):
                 n = np.frombuffer(counts.as_py(), np.int64)
@@ -305,7 +305,7 @@ def _counted(k: int, least: int):
                 if size > enough:
                     held = [merge()]
                     size = len(held[0][1])
-                    enough = max(2 * RANGE, 2 * size)
+                    enough = max(RANGE, 2 * size)
         if not held:
             return
         columns, counts = merge()
@@ -347,7 +347,8 @@ def phrase_counts(spark: SparkSession, runs: DataFrame, least: int = LEAST, long
     out, marks = None, None
     for k in range(2, longest + 1):
         blocks = runs.mapInArrow(_windows(k, ranges_log, marks, marks is not None), "part bigint, counts binary, cols binary")
-        found = written(blocks.repartition(tasks, "part").mapInArrow(_counted(k, least), "key binary, f bigint"), f"phrases-{k}")
+        with bounded(spark, 64):  # a row is a megabyte
+            found = written(blocks.repartition(tasks, "part").mapInArrow(_counted(k, least), "key binary, f bigint"), f"phrases-{k}")
         marks = _marks(found, k)
         found = found.select(F.lit(k).alias("k"), "key", "f")
         out = found if out is None else out.unionByName(found)
