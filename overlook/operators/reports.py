@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlook.functions.geo import compass, dequantise_distance, known
+from overlook.operators.viewshed import by_tile
 
 
 def region_summary(observers: DataFrame, by: list[str] | None = None, every: int = 7, y: str = "gy") -> DataFrame:
@@ -51,16 +54,26 @@ def descent_percentiles(cells: DataFrame, every: int = 11, y: str = "gy", x: str
     return chosen.agg(*[F.percentile("v", F.lit(p / 100)).alias(f"p{p}") for p in (50, 75, 90, 99)], F.max("v").alias("most"))
 
 
-def local_relief(cells: DataFrame, points: DataFrame, half: int, y: str = "iy", x: str = "ix") -> DataFrame:
-    """Each point's height above the median within ``half`` cells: points are sent to the blocks that their window meets."""
-    side = 2 * half + 1
-    block = lambda c: F.floor(c / side).cast("long")
-    near = points.select("point_id", F.col("py"), F.col("px"), F.explode(F.sequence(block(F.col("py") - half), block(F.col("py") + half))).alias("_by"))
-    near = near.withColumn("_bx", F.explode(F.sequence(block(F.col("px") - half), block(F.col("px") + half))))
-    met = cells.withColumns({"_by": block(F.col(y)), "_bx": block(F.col(x))}).join(near, ["_by", "_bx"])
-    inside = met.where((F.abs(F.col(y) - F.col("py")) <= half) & (F.abs(F.col(x) - F.col("px")) <= half))
-    own = F.max(F.when((F.col(y) == F.col("py")) & (F.col(x) == F.col("px")), F.col("z")))
-    return inside.groupBy("point_id").agg(F.min("z").alias("lowest"), F.max("z").alias("highest"), (own - F.median("z")).alias("above_median"))
+def local_relief(cells: DataFrame, points: DataFrame, half: int, y: str = "iy", x: str = "ix", tile_cells: int = 128) -> DataFrame:
+    """Each point's height above the median within ``half`` cells, tile by tile with a halo; a point without a known cell has no row."""
+    kind = cells.schema["z"].dataType.simpleString()
+
+    def work(ids, py, px, grids):
+        z = grids["z"]
+        r, c = np.rint(py).astype(np.int64), np.rint(px).astype(np.int64)
+        for i in range(0, len(ids), 512):
+            found = []
+            for p, a, b in zip(ids[i : i + 512].tolist(), r[i : i + 512].tolist(), c[i : i + 512].tolist()):
+                near = z[max(0, a - half) : a + half + 1, max(0, b - half) : b + half + 1]
+                near = near[~np.isnan(near)]
+                if len(near):
+                    own = z[a, b]
+                    found.append((p, near.min(), near.max(), None if np.isnan(own) else own - np.median(near)))
+            yield pa.table({n: pa.array([f[j] for f in found], pa.int64() if j == 0 else pa.float64()) for j, n in enumerate(("point_id", "lowest", "highest", "above_median"))})
+
+    at = points.select(F.col("point_id").cast("long").alias("obs_id"), F.col("py").alias("y"), F.col("px").alias("x"))
+    got = by_tile(at, cells.select(F.col(y).alias("iy"), F.col(x).alias("ix"), "z"), ["z"], 1.0, tile_cells, float(half), work, "point_id long, lowest double, highest double, above_median double")
+    return got.select("point_id", F.col("lowest").cast(kind).alias("lowest"), F.col("highest").cast(kind).alias("highest"), "above_median")
 
 
 def verify_landmarks(landmarks: DataFrame, heights: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ class Filters:
         """Adds ``openness, best, best_direction, water_far_best, keep`` to rows of arrays ``max_dist`` and ``water_far``."""
         bins = self.bins(azimuths)
         near = F.transform(picked(F.col("max_dist"), bins), lambda d: F.when(d >= self.min_distance, d).otherwise(0.0))
-        total = F.aggregate("_reach", F.lit(0.0), lambda a, x: a + x)
+        # whole nanometres, so that equal distances in another order add up to the same score and tie
+        total = F.aggregate(F.transform("_reach", lambda d: F.round(d * 1e9).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(1e9)
         df = signatures.withColumn("_reach", near).withColumn("_water", picked(F.col("water_far"), bins))
         step = 360.0 / azimuths
         df = df.withColumns({"openness": total / F.lit(float(len(bins))), "best": F.array_max("_reach"), "water_far_best": F.array_max("_water")})

@@ -342,8 +342,8 @@ def obstruction_height(spark, sf_dir):
 
 @query(with_fixtures(f""", g AS (SELECT iy, ix, z * 2 AS h, lag(z * 2) OVER r AS w, lead(z * 2) OVER r AS e, lag(z * 2) OVER c AS s, lead(z * 2) OVER c AS n FROM dem_smooth WINDOW r AS (PARTITION BY iy ORDER BY ix), c AS (PARTITION BY ix ORDER BY iy)),
     k AS (SELECT iy, ix, CASE WHEN w IS NULL THEN e - h WHEN e IS NULL THEN h - w ELSE (e - w) / CAST(2 AS DOUBLE) END / CAST(25 AS DOUBLE) AS gx, CASE WHEN s IS NULL THEN n - h WHEN n IS NULL THEN h - s ELSE (n - s) / CAST(2 AS DOUBLE) END / CAST(25 AS DOUBLE) AS gy FROM g),
-    t AS (SELECT iy, ix, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(-gx, gy) AS aspect FROM k)
-    SELECT iy, ix, round(greatest(least({D(math.sin(math.radians(45)))} * cos(slope) + {D(math.cos(math.radians(45)))} * sin(slope) * cos({D(math.radians(135))} - aspect), 1), 0), 6) AS shade FROM t""", "dem_smooth"))
+    t AS (SELECT iy, ix, atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(-gx, -gy) AS falls FROM k)
+    SELECT iy, ix, round(greatest(least({D(math.sin(math.radians(45)))} * cos(slope) + {D(math.cos(math.radians(45)))} * sin(slope) * cos({D(math.radians(315))} - falls), 1), 0), 6) AS shade FROM t""", "dem_smooth"))
 def hillshade(spark, sf_dir):
     """Light on slopes from the north-west."""
     return neighbourhood.hillshade(fx.dem_smooth(spark, sf_dir), "z", 25.0).select("iy", "ix", R6("shade").alias("shade"))
