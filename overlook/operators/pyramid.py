@@ -126,6 +126,34 @@ def view_window(all_levels: list[Level], west: float, east: float, south: float,
         return Window(g, x0, x1, y0, y1)
 
 
+def viewports(views: DataFrame, all_levels: list[Level], detail_zoom: float = 10.5, budget: int = 700 * 700) -> DataFrame:
+    """``views`` (``west, east, south, north, zoom``, degrees) with the level and cells that each reads: ``level, tile, x0, x1, y0, y1``.
+
+    The same rule as ``view_window``, in columns: the finest level that the zoom asks for and the budget of cells allows;
+    views that miss the region go.
+    """
+    native = all_levels[-1]
+    west, east = F.greatest("west", F.lit(native.lon0)), F.least("east", F.lit(native.lon0 + (native.cols - 1) * native.dlon))
+    south, north = F.greatest("south", F.lit(native.lat0)), F.least("north", F.lit(native.lat0 + (native.rows - 1) * native.dlat))
+    hold = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), v)).cast("long")
+    chosen = None
+    for g in all_levels:
+        cells = {"x0": hold(F.floor((west - g.lon0) / g.dlon), g.cols), "x1": hold(F.ceil((east - g.lon0) / g.dlon), g.cols), "y0": hold(F.floor((south - g.lat0) / g.dlat), g.rows), "y1": hold(F.ceil((north - g.lat0) / g.dlat), g.rows)}
+        own = F.struct(F.lit(g.id).alias("level"), F.lit(g.tile).alias("tile"), *[v.alias(k) for k, v in cells.items()])
+        fits = (F.col("zoom") >= detail_zoom) & ((cells["x1"] - cells["x0"] + 1) * (cells["y1"] - cells["y0"] + 1) <= budget)
+        chosen = own if chosen is None else F.when(fits, own).otherwise(chosen)
+    return views.where((east > west) & (north > south)).withColumn("_w", chosen).select("*", "_w.*").drop("_w")
+
+
+def scan_viewports(pyramid: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cells of each view of ``viewports``: an equi-join on the store's partitions, so that files of other tiles are pruned while the plan runs."""
+    spread = wanted.withColumn("tile_y", F.explode(F.expr("sequence(y0 div tile, y1 div tile)"))).withColumn("tile_x", F.explode(F.expr("sequence(x0 div tile, x1 div tile)")))
+    cy, cx = F.col("tile_y") * F.col("tile") + F.col("row"), F.col("tile_x") * F.col("tile") + F.col("col")
+    at = [F.col(c).cast("int").alias(c) for c in ("level", "tile_y", "tile_x")]
+    met = pyramid.join(spread.select(*[c for c in spread.columns if c not in ("level", "tile_y", "tile_x")], *at), ["level", "tile_y", "tile_x"])
+    return met.where(cy.between(F.col("y0"), F.col("y1")) & cx.between(F.col("x0"), F.col("x1")))
+
+
 def canopy_blocks(pixels: DataFrame, factor: int = 32, y: str = "r", x: str = "c", value: str = "h") -> DataFrame:
     """``(r, c, h_max, h_mean)`` of factor x factor source pixels, the mean rounded half to even."""
     return pixels.groupBy(F.floor(F.col(y) / factor).cast("long").alias("r"), F.floor(F.col(x) / factor).cast("long").alias("c")).agg(F.max(value).cast("long").alias("h_max"), F.rint(F.avg(value)).cast("long").alias("h_mean"))

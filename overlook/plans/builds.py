@@ -105,6 +105,23 @@ def pack_region(region: DataFrame, rows: int, cols: int, bounds: tuple[float, fl
     return chosen
 
 
+def read_pyramid(spark: SparkSession, out: str) -> tuple[list[pyramid.Level], float]:
+    """(levels, coarsest to finest; the zoom from which the native one is asked for) of a packed region's ``meta.json``."""
+    kinds = "id int, step_m double, rows int, cols int, tile_rows int, tile_cols int, tiles_y int, tiles_x int, lat0 double, dlat double, lon0 double, dlon double"
+    told = spark.read.schema(f"detail_min_zoom double, levels array<struct<{', '.join(k.replace(' ', ':') for k in kinds.split(', '))}>>").json(f"{out}/meta.json").first()
+    rows = sorted(told["levels"], key=lambda v: v["id"])
+    return [pyramid.Level(v["id"], v["step_m"], v["rows"], v["cols"], v["tile_rows"], v["lat0"], v["dlat"], v["lon0"], v["dlon"]) for v in rows], told["detail_min_zoom"]
+
+
+def read_viewports(spark: SparkSession, out: str, views: DataFrame, budget: int = 700 * 700) -> DataFrame:
+    """The cells that each of ``views`` (``west, east, south, north, zoom`` and what names them) shows of a packed region.
+
+    What the region's metadata says decides levels and tiles; partitions that no view touches are not read.
+    """
+    levels, zoom = read_pyramid(spark, out)
+    return pyramid.scan_viewports(spark.read.parquet(f"{out}/tiles"), pyramid.viewports(views, levels, zoom, budget))
+
+
 def export_box(region: DataFrame, level: pyramid.Level, out: str, name: str) -> None:
     """A single box of one signature set as byte tiles: land, water bits and each bearing's distance, one row a tile and layer."""
     placed = pyramid.tiled(region, level)

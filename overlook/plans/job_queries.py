@@ -11,7 +11,7 @@ from overlook.operators import lattice, pyramid, scoring, tiles
 from overlook.operators import spots as spot_lists
 from overlook.plans import builds
 from overlook.plans import fixtures as fx
-from overlook.plans.catalog import query
+from overlook.plans.catalog import SQL, query
 from overlook.plans.fixtures import with_fixtures
 from overlook.plans.queries import COMPASS_SQL, CROSSINGS, EAST, ID_SQL, R6, UNIT, D, _seen_sql, _sun_ctes
 from overlook.plans.shared import fresh_path
@@ -94,10 +94,11 @@ def observer_sites(spark, sf_dir):
     top = ground.select((F.col("iy") * 25.0).alias("y"), (F.col("ix") * 25.0).alias("x"), (F.col("z") + geo.obstruction(F.col("canopy"), F.col("land_class"))).alias("surface"))
     return own.join(top, ["y", "x"], "left").select("obs_id", "valid", "elev_m", "canopy_m", "surface")
 
-@query("SELECT r * 41 + c AS obs_id, -2000 + r * CAST(100 AS DOUBLE) AS y, -2000 + c * CAST(100 AS DOUBLE) AS x FROM range(41) t(r), range(41) u(c) WHERE abs(-2000 + r * 100) <= 1500 AND abs(-2000 + c * 100) <= 1500")
+@query(with_fixtures(""" SELECT obs_id, gy * CAST(100 AS DOUBLE) - 1000 AS y, gx * CAST(100 AS DOUBLE) - 1200 AS x FROM sig_site WHERE abs(gy * 100 - 1000) <= 700 AND abs(gx * 100 - 1200) <= 700""", "sig_site"))
 def core_crop(spark, sf_dir):
-    """A lattice around a centre, and its core."""
-    return builds.core(lattice.metric_lattice(spark, 2.0, 100.0), 1500.0).select("obs_id", "y", "x")
+    """The observers of a box's core, edges included."""
+    own = fx.sig_wide(spark, sf_dir).select("obs_id", (F.col("gy") * 100.0 - 1000).alias("y"), (F.col("gx") * 100.0 - 1200).alias("x"))
+    return builds.core(own, 700.0)
 
 @query(with_fixtures(f""", m AS (SELECT obs_id, avg(dist_u8) FILTER (WHERE az BETWEEN {EAST[0]} AND {EAST[-1]}) * {D(UNIT)} AS reach, avg(dist_u8 // 8) FILTER (WHERE az BETWEEN {EAST[0]} AND {EAST[-1]}) / 4 AS descent FROM sig_long GROUP BY obs_id)
   SELECT obs_id, round(reach, 6) AS reach FROM m JOIN sig_site USING (obs_id) WHERE valid AND obs_id % 3 <> 0 AND reach > 0 AND descent >= CAST(3.9 AS DOUBLE)""", "sig_long", "sig_site"))
@@ -167,24 +168,33 @@ def mercator_pixels(spark, sf_dir):
 
 # viewports
 
-VIEWS = [(w, w + s, 55 + w / 10, 55 + w / 10 + s, z) for w in (10.5, 11.2, 12.7, 14.4, 20.0) for s in (0.3, 2.0) for z in (9.0, 11.0)]
+_VIEW = "SELECT c_custkey AS view, {w} AS w, {w} + {s} AS e, {y} AS s, {y} + {s} AS n, CASE WHEN c_custkey % 3 = 0 THEN 9 ELSE 11 END AS z FROM customer"
+_WINDOWS = """c AS (SELECT view, greatest(w, lon0) AS w, least(e, lon0 + (cols - 1) * dlon) AS e, greatest(s, lat0) AS s, least(n, lat0 + (rows - 1) * dlat) AS n, z FROM v, l WHERE id = 1),
+  k AS (SELECT view, z, id, CAST(greatest(0, least(cols - 1, floor((w - lon0) / dlon))) AS BIGINT) AS x0, CAST(greatest(0, least(cols - 1, ceil((e - lon0) / dlon))) AS BIGINT) AS x1,
+    CAST(greatest(0, least(rows - 1, floor((s - lat0) / dlat))) AS BIGINT) AS y0, CAST(greatest(0, least(rows - 1, ceil((n - lat0) / dlat))) AS BIGINT) AS y1 FROM c, l WHERE e > w AND n > s),
+  q AS (SELECT CAST(view AS BIGINT) AS view, CAST(max_by(id, id) AS BIGINT) AS level, max_by(x0, id) AS x0, max_by(x1, id) AS x1, max_by(y0, id) AS y0, max_by(y1, id) AS y1 FROM k WHERE id = 0 OR (z >= 10.5 AND (x1 - x0 + 1) * (y1 - y0 + 1) <= {budget}) GROUP BY view)"""
 
-def _views_sql() -> str:
+
+def _view_sql() -> str:
+    return _VIEW.format(w=f"{D(10.5)} + c_custkey % 43 / CAST(10 AS DOUBLE)", s=f"{D(0.3)} + c_custkey % 7 / CAST(5 AS DOUBLE)", y=f"55 + c_custkey % 41 / CAST(10 AS DOUBLE)")
+
+
+def _views(spark, sf_dir):
+    key = F.col("c_custkey")
+    w, side, y = 10.5 + key % 43 / F.lit(10.0), 0.3 + key % 7 / F.lit(5.0), 55 + key % 41 / F.lit(10.0)
+    return fx.table(spark, sf_dir, "customer").select(key.cast("long").alias("view"), w.alias("west"), (w + side).alias("east"), y.alias("south"), (y + side).alias("north"), F.when(key % 3 == 0, 9.0).otherwise(11.0).alias("zoom"))
+
+
+def _levels_sql() -> str:
     over, native = pyramid.levels(4344, 2113, 100.0, 55.3, 59.2, 11.1, 14.6)
-    rows = ", ".join(f"({i}, {D(w)}, {D(e)}, {D(s)}, {D(n)}, {D(z)})" for i, (w, e, s, n, z) in enumerate(VIEWS))
-    sides = ", ".join(f"({v.id}, {v.rows}, {v.cols}, {D(v.lat0)}, {D(v.dlat)}, {D(v.lon0)}, {D(v.dlon)})" for v in (over, native))
-    hold = lambda v, n: f"CAST(greatest(0, least({n} - 1, {v})) AS BIGINT)"
-    return f"""WITH v(view, w, e, s, n, z) AS (VALUES {rows}), l(id, rows, cols, lat0, dlat, lon0, dlon) AS (VALUES {sides}),
-      c AS (SELECT view, greatest(w, {D(native.lon0)}) AS w, least(e, {D(native.lon0 + (native.cols - 1) * native.dlon)}) AS e, greatest(s, {D(native.lat0)}) AS s, least(n, {D(native.lat0 + (native.rows - 1) * native.dlat)}) AS n, z FROM v),
-      k AS (SELECT view, z, id, {hold('floor((w - lon0) / dlon)', 'cols')} AS x0, {hold('ceil((e - lon0) / dlon)', 'cols')} AS x1, {hold('floor((s - lat0) / dlat)', 'rows')} AS y0, {hold('ceil((n - lat0) / dlat)', 'rows')} AS y1 FROM c, l WHERE e > w AND n > s)
-      SELECT CAST(view AS BIGINT) AS view, CAST(max_by(id, id) AS BIGINT) AS level, max_by(x0, id) AS x0, max_by(x1, id) AS x1, max_by(y0, id) AS y0, max_by(y1, id) AS y1 FROM k WHERE id = 0 OR (z >= 10.5 AND (x1 - x0 + 1) * (y1 - y0 + 1) <= 490000) GROUP BY view"""
-
-@query(_views_sql())
+    return "(VALUES " + ", ".join(f"({v.id}, {v.rows}, {v.cols}, {D(v.lat0)}, {D(v.dlat)}, {D(v.lon0)}, {D(v.dlon)})" for v in (over, native)) + ")"
+
+
+@query(f"WITH v AS ({_view_sql()}), l(id, rows, cols, lat0, dlat, lon0, dlon) AS {_levels_sql()}, {_WINDOWS.format(budget=490000)} SELECT * FROM q")
 def viewport_levels(spark, sf_dir):
-    """The level and cells of several viewports over a region: planned where the query is laid out."""
+    """The level and cells of each of many viewports over a region."""
     native = pyramid.levels(4344, 2113, 100.0, 55.3, 59.2, 11.1, 14.6)
-    found = [(i, v.level.id, v.x0, v.x1, v.y0, v.y1) for i, view in enumerate(VIEWS) if (v := pyramid.view_window(native, *view))]
-    return spark.createDataFrame(found, "view long, level long, x0 long, x1 long, y0 long, y1 long")
+    return pyramid.viewports(_views(spark, sf_dir), native).select("view", F.col("level").cast("long").alias("level"), "x0", "x1", "y0", "y1")
 
 # jobs that write and are read again
 
@@ -214,6 +224,21 @@ def pyramid_store(spark, sf_dir):
     back = spark.read.parquet(f"{out}/tiles")
     return back.select("level", "tile_y", "tile_x", "row", "col", "valid", "canopy_m", "elev_m", "water", F.posexplode("dist").alias("az", "dist"))
 
+_PACKED = SQL["pyramid_store"].rsplit("SELECT level, CAST", 1)[0]
+
+@query(_PACKED + f""", v AS ({_view_sql()}), g AS (SELECT rows, CAST({D(3.9)} AS DOUBLE) / (rows - 1) AS dy, {D(3.5)} / 24 AS dx FROM m),
+  l AS (SELECT 0 AS id, rows // 4 AS rows, 6 AS cols, {D(55.3)} + {D(1.5)} * dy AS lat0, 4 * dy AS dlat, {D(11.1)} + {D(1.5)} * dx AS lon0, 4 * dx AS dlon FROM g UNION ALL SELECT 1, rows, 25, {D(55.3)}, dy, {D(11.1)}, dx FROM g),
+  {_WINDOWS.format(budget=60)} SELECT view, level, CAST(count(*) // 32 AS BIGINT) AS cells, CAST(sum(elev) // 32 AS BIGINT) AS elev, CAST(sum(dist) AS BIGINT) AS dist FROM q JOIN u USING (level) WHERE u.y BETWEEN y0 AND y1 AND u.x BETWEEN x0 AND x1 GROUP BY view, level""")
+def viewport_cells(spark, sf_dir):
+    """What each of many viewports shows of a packed region: its cells, their heights and distances added up."""
+    out = fresh_path(spark, "pyramid")
+    wide = fx.sig_wide(spark, sf_dir)
+    rows = (wide.agg(F.max("gy")).first()[0] or 0) + 1
+    builds.pack_region(wide, rows, fx.COLS, (55.3, 59.2, 11.1, 14.6), out, tile=8)
+    shown = builds.read_viewports(spark, out, _views(spark, sf_dir), 60)
+    total = F.aggregate("dist", F.lit(0).cast("long"), lambda a, x: a + x)
+    return shown.groupBy("view", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("cells"), F.sum("elev_m").alias("elev"), F.sum(total).alias("dist"))
+
 @query(with_fixtures(""", c AS (SELECT gy // 8 AS ty, gx // 8 AS tx, gy % 8 AS r, gx % 8 AS c, elev_m, valid, water, obs_id FROM sig_site JOIN sig_water USING (obs_id)),
   b AS (SELECT 'elev' AS name, ty, tx, string_agg(printf('%02X%02X', elev_m % 256, elev_m // 256), '' ORDER BY r, c) AS data FROM c GROUP BY ALL
     UNION ALL SELECT 'valid', ty, tx, string_agg(CASE WHEN valid THEN '01' ELSE '00' END, '' ORDER BY r, c) FROM c GROUP BY ALL
@@ -253,11 +278,14 @@ def tile_index(spark, sf_dir):
     fx.table(spark, sf_dir, "supplier").agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).write.text(out)
     return rasters.read_tile_index(spark, out)
 
-@query("SELECT printf('%.2f_%.2f', 55.3 + r * CAST(0.45 AS DOUBLE), 11.1 + c * CAST(0.75 AS DOUBLE)) AS key, 'first' AS why FROM (SELECT a.x AS r, b.x AS c FROM range(9) a(x), range(5) b(x) ORDER BY r, c LIMIT 7) UNION ALL SELECT unnest(['56.20_12.60', '58.90_14.10']), 'only'")
+_KEY = "printf('%.2f_%.2f', 55 + c_custkey % 40 * CAST(0.45 AS DOUBLE), 11 + c_custkey % 9 * CAST(0.75 AS DOUBLE))"
+
+@query(f"WITH t AS (SELECT DISTINCT {_KEY} AS key FROM customer) (SELECT key, 'first' AS why FROM t ORDER BY key LIMIT 7) UNION ALL SELECT key, 'only' FROM t WHERE key IN ('56.80_14.00', '55.45_11.75', 'none')")
 def chosen_tiles(spark, sf_dir):
-    """The first tiles of a region, and two by name."""
-    work = tiles.work_list(spark, 55.3, 59.2, 11.1, 14.6)
-    named = tiles.chosen(work, only=["56.20_12.60", "58.90_14.10", "none"]).select("key", F.lit("only").alias("why"))
+    """The first tiles of a table of places by key, and those of a list of names."""
+    key = F.col("c_custkey")
+    work = fx.table(spark, sf_dir, "customer").select(F.format_string("%.2f_%.2f", 55 + key % 40 * F.lit(0.45), 11 + key % 9 * F.lit(0.75)).alias("key")).distinct()
+    named = tiles.chosen(work, only=["56.80_14.00", "55.45_11.75", "none"]).select("key", F.lit("only").alias("why"))
     return tiles.chosen(work, limit=7).select("key", F.lit("first").alias("why")).unionByName(named)
 
 

@@ -679,6 +679,6 @@ def latest_event(spark, sf_dir):
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
 
 
-from overlook.plans import job_queries  # noqa: E402  registers the rest
+from overlook.plans import job_queries, source_queries  # noqa: E402  registers the rest
 
-__all__ = ["QUERIES", "SQL", "job_queries"]
+__all__ = ["QUERIES", "SQL", "job_queries", "source_queries"]

@@ -2,44 +2,36 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlook.functions.geo import NODATA
+from overlook.sources import ranged
 
 #: Rows of a one-degree tile; the columns follow from the file's size. Fixed value of the format.
 ROWS = 3600
-CELLS = "lat_i int, lon_i int, row int, col int, ncols int, z short"
 
 
 def read_elevation(spark: SparkSession, path: str, rows: int = ROWS) -> DataFrame:
-    """``(lat_i, lon_i, row, col, ncols, z)`` of raw little-endian int16 tiles called ``<lat>_<lon>``; row 0 is north.
+    """``(lat_i, lon_i, row, col, ncols, z)`` of raw little-endian int16 tiles called ``<lat>_<lon>``; row 0 is north, the nodata number is null."""
+    return ranged.read_raw(spark, path, rows)
+
+
+def read_mosaic(spark: SparkSession, path: str, lat_high: int, lon_low: int, rows: int = ROWS) -> DataFrame:
+    """``(iy, ix, z)`` of a folder of tiles set side by side, row 0 in the north; what must hold is asked of the files' names and sizes alone.
 
-    Files are listed and read by Spark, so any store will do; a tile is one row of its binary reader and is decoded in
-    batches of raster rows. The nodata number becomes null.
+    Tiles of several latitude bands are an error, as is a mosaic whose first tile, in the north-west, is missing; other
+    missing tiles are missing rows. Conditions on ``iy`` and ``ix`` are not pushed: put them on the tiles.
     """
-    named = re.compile(r"(-?\d+)_(-?\d+)(?:\.\w+)?$")
-
-    def run(batches):
-        for b in batches:
-            for name, raw in zip(b.column("path"), b.column("content")):
-                if not (m := named.search(name.as_py())):
-                    continue
-                grid = np.frombuffer(raw.as_py(), dtype="<i2")
-                cols = len(grid) // rows
-                grid = grid.reshape(rows, cols)
-                for at in range(0, rows, 128):
-                    part = grid[at : at + 128]
-                    n, z = part.size, part.ravel()
-                    const = lambda v: pa.array(np.full(n, v, np.int32))
-                    r, c = np.repeat(np.arange(at, at + len(part), dtype=np.int32), cols), np.tile(np.arange(cols, dtype=np.int32), len(part))
-                    yield pa.RecordBatch.from_arrays([const(int(m[1])), const(int(m[2])), pa.array(r), pa.array(c), const(cols), pa.array(z, mask=z == NODATA)], ["lat_i", "lon_i", "row", "col", "ncols", "z"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CELLS)
+    found = ranged.tile_list(path, rows)
+    if not any((lat, lon) == (lat_high, lon_low) for _, lat, lon, _ in found):
+        raise FileNotFoundError(f"tile {lat_high}_{lon_low} is missing")
+    if len({cols for *_, cols in found}) > 1:
+        raise ValueError("tiles of several latitude bands do not fit one mosaic")
+    return _placed(ranged.read_raw(spark, path, rows), lat_high, lon_low, rows, found[0][3])
+
+
+def _placed(tiles: DataFrame, lat_high: int, lon_low: int, rows: int, cols: int) -> DataFrame:
+    return tiles.select(((lat_high - F.col("lat_i")) * rows + F.col("row")).cast("long").alias("iy"), ((F.col("lon_i") - lon_low) * cols + F.col("col")).cast("long").alias("ix"), "z")
 
 
 def mosaic(tiles: DataFrame, lat_high: int, lon_low: int, rows: int = ROWS) -> DataFrame:
@@ -53,8 +45,7 @@ def mosaic(tiles: DataFrame, lat_high: int, lon_low: int, rows: int = ROWS) -> D
     bands = [r[0] for r in tiles.select("ncols").distinct().limit(2).collect()]
     if len(bands) > 1:
         raise ValueError("tiles of several latitude bands do not fit one mosaic")
-    cols = bands[0] if bands else 0
-    return tiles.select(((lat_high - F.col("lat_i")) * rows + F.col("row")).cast("long").alias("iy"), ((F.col("lon_i") - lon_low) * cols + F.col("col")).cast("long").alias("ix"), "z")
+    return _placed(tiles, lat_high, lon_low, rows, bands[0] if bands else 0)
 
 
 def read_tile_index(spark: SparkSession, path: str) -> DataFrame:
