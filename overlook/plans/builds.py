@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from overlook.functions import geo
 from overlook.functions.spots import search_url
 from overlook.operators import contours, lattice, neighbourhood, pyramid, relief, reports, scoring, tiles, viewshed, water
-from overlook.sources import stores
+from overlook.sources import ledger, stores
 from overlook.sources.rasters import REGION
 
 EYES = (0.0, 1.7, 5.0)
@@ -52,9 +52,11 @@ def region_meta(spark: SparkSession, bounds: tuple[float, float, float, float],
     return spark.createDataFrame([row], REGION)
 
 
-def build_region(ground: DataFrame, observers: DataFrame, out: str, tile_cells: int = 512, cell: float = CELL, done: DataFrame | None = None, meta: DataFrame | None = None, **options) -> None:
+def build_region(ground: DataFrame, observers: DataFrame, out: str, tile_cells: int = 512, cell: float = CELL, done: DataFrame | None = None, meta: DataFrame | None = None, version: str | None = None, **options) -> None:
     """Write ``terrain`` and ``signature`` tables, partitioned by tile; tiles in ``done`` (ty, tx) are left alone.
 
+    With ``version`` (of the inputs), so are tiles that the region's own ledger names for it, and those built are entered.
+
     ``meta`` is written before any tile, so that a region can be read while it is built. A tile's partitions are replaced
     as a whole, so a run that failed can be run again.
     """
@@ -64,9 +66,17 @@ def build_region(ground: DataFrame, observers: DataFrame, out: str, tile_cells:
     todo = observers.withColumns(tile)
     if done is not None:
         todo = todo.join(done.select("ty", "tx").distinct(), ["ty", "tx"], "left_anti")
-    stores.write_tiles(sites(todo, ground, cell), f"{out}/terrain", ["ty", "tx"])
-    rows = signatures(todo, ground, tile_cells, cell, **options).join(todo.select("obs_id", "ty", "tx"), "obs_id")
-    stores.write_tiles(rows, f"{out}/signature", ["veg", "eye_cm", "ty", "tx"])
+
+    def make(chosen: DataFrame) -> DataFrame:
+        stores.write_tiles(sites(chosen, ground, cell), f"{out}/terrain", ["ty", "tx"])
+        return signatures(chosen, ground, tile_cells, cell, **options).join(chosen.select("obs_id", "ty", "tx"), "obs_id")
+
+    if version is None:
+        stores.write_tiles(make(todo), f"{out}/signature", ["veg", "eye_cm", "ty", "tx"])
+        return
+    key = F.format_string("%d_%d", "ty", "tx")
+    by_key = lambda keys: todo.withColumn("key", key).join(keys, "key", "left_semi")
+    ledger.build(todo.select(key.alias("key")), lambda keys: make(by_key(keys).drop("key")).withColumn("key", key), f"{out}/signature", f"{out}/ledger", version)
 
 
 def read_region(spark: SparkSession, out: str, veg: str, eye_cm: int) -> DataFrame:

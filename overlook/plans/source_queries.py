@@ -10,7 +10,7 @@ from overlook.plans.catalog import query
 from overlook.plans.fixtures import with_fixtures
 from overlook.plans.queries import D
 from overlook.plans.shared import fresh_path
-from overlook.sources import ranged, rasters
+from overlook.sources import ledger, ranged, rasters
 
 # raw tiles of 100 x 32 cells: one of them is missing, and so are some cells
 
@@ -81,3 +81,17 @@ def canopy_strips(spark, sf_dir):
     path = fresh_path(spark, "canopy")
     ranged.write_tiffs(cells, path, 512, 64, "u1", (40, 0), nodata=255, tiled=False)
     return ranged.read_reduced(spark, path, 32, 4096)
+
+
+# the ledger
+
+@query("SELECT event_type AS key, count(*) AS rows, CASE WHEN event_type < 'm' THEN 'first' ELSE 'second' END AS run, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
+def ledgered_tiles(spark, sf_dir):
+    """Tiles built in two runs, the second of which is asked for all and builds what the ledger lacks; entries beside what was built."""
+    events = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "event_id", "user_id")
+    out = fresh_path(spark, "ledgered")
+    make = lambda keys: events.join(keys, "key")
+    ledger.build(events.where("key < 'm'"), make, out, f"{out}-ledger", run="first")
+    ledger.build(events, make, out, f"{out}-ledger", run="second")
+    built = spark.read.parquet(out).groupBy(F.col("key").cast("string").alias("key")).agg(F.sum("user_id").alias("users"))
+    return ledger.entries(spark, f"{out}-ledger").join(built, "key").select("key", "rows", "run", "users")

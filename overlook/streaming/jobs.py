@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from overlook.functions.spots import is_spot, spot_id
+from overlook.sources import ledger
 
 
-def run_tiles(jobs: DataFrame, build: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, by: str = "key"):
-    """Run a stream of tile jobs to its end: each micro-batch is built and replaces its own partitions.
+def run_tiles(jobs: DataFrame, build: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, by: str = "key", version: str = "1"):
+    """Run a stream of tile jobs to its end: each micro-batch builds what no earlier one has finished.
 
-    The checkpoint holds which jobs are done. A batch that runs again after a failure overwrites the same partitions, so
-    results are exact; a job that arrives twice within the stream is built once a batch.
+    A ledger beside the data names finished tiles, so that a job that comes again, in this stream or another, is skipped;
+    a batch that runs again after a failure builds only what has no entry, over the same partitions.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        build(df.dropDuplicates([by])).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(out)
+    def batch(df: DataFrame, number: int) -> None:
+        ledger.build(df, build, out, f"{out}-ledger", version, by, f"{number:020d}")
 
     query = jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -248,3 +248,60 @@ def test_viewports_prune_the_store(spark, small, tmp_path):
     assert shown.select("level", "tile_y", "tile_x").distinct().count() == 1 and shown.count() == 16
     assert "dynamicpruning" in plan(shown).lower()
     assert builds.read_pyramid(spark, out)[1] == 10.5
+
+
+# the ledger
+
+
+def test_ledger_builds_what_it_lacks(spark, tmp_path):
+    from overlook.sources import ledger
+
+    out, book = str(tmp_path / "data"), str(tmp_path / "book")
+    asked = []
+
+    def make(keys):
+        asked.append(sorted(r["key"] for r in keys.collect()))
+        return keys.where("key <> 'empty'").select("key", F.length("key").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
+
+    jobs = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    ledger.build(jobs("a", "b", "a", "empty", None), make, out, book, run="1")
+    ledger.build(jobs("b", "c"), make, out, book, run="2")
+    ledger.build(jobs("a", "b", "c", "empty"), make, out, book, run="3")
+    assert asked == [["a", "b", "empty"], ["c"]]
+    assert {(r["key"], r["rows"], r["run"]) for r in ledger.entries(spark, book).collect()} == {("a", 2, "1"), ("b", 2, "1"), ("empty", 0, "1"), ("c", 2, "2")}
+    ledger.build(jobs("a"), make, out, book, version="2", run="4")
+    assert asked[-1] == ["a"] and ledger.damaged(spark, out, book).count() == 0
+    jobs("b").select(F.lit(9).alias("n"), F.lit(1).alias("i"), "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(out)
+    assert [(r["key"], r["rows"], r["found"]) for r in ledger.damaged(spark, out, book).collect()] == [("b", 2, 1)]
+
+
+def test_a_run_killed_before_its_entry_repeats_its_tile(spark, tmp_path, monkeypatch):
+    from overlook.sources import ledger
+
+    out, book = str(tmp_path / "data"), str(tmp_path / "book")
+    jobs = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    make = lambda keys: keys.withColumn("n", F.lit(1))
+    ledger.build(jobs("a"), make, out, book, run="1")
+    monkeypatch.setattr(ledger, "_told", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ledger.build(jobs("a", "b"), make, out, book, run="2")
+    monkeypatch.undo()
+    assert spark.read.parquet(out).count() == 2 and ledger.done(spark, book).count() == 1
+    seen = []
+    ledger.build(jobs("a", "b"), lambda keys: (seen.append([r[0] for r in keys.collect()]), make(keys))[1], out, book, run="3")
+    assert seen == [["b"]] and spark.read.parquet(out).count() == 2
+
+
+def test_a_region_is_resumed_from_its_ledger(spark, tmp_path):
+    r = np.random.default_rng(6)
+    ground = frame(spark, r.integers(0, 40, (24, 24)) * 1.0).withColumns({"canopy": F.lit(None).cast("double"), "obstruction": F.lit(0.0), "is_water": F.lit(False)})
+    seen = spark.createDataFrame([(i, i // 6, i % 6, 100.0 * (i // 6), 100.0 * (i % 6)) for i in range(36)], "obs_id long, gy long, gx long, y double, x double")
+    options = {"tile_cells": 12, "reach": 300.0, "azimuths": 4, "eyes": (1.7,), "vegetation": ("bare",), "version": "v1"}
+    out = str(tmp_path / "region")
+    builds.build_region(ground, seen.where("gy < 3"), out, **options)
+    builds.build_region(ground, seen, out, **options)
+    from overlook.sources import ledger
+
+    book = {x["key"]: (x["rows"], x["run"]) for x in ledger.entries(spark, f"{out}/ledger").collect()}
+    assert set(book) == {"0_0", "0_1", "1_0", "1_1"} and len({v[1] for v in book.values()}) == 2 and all(v[0] == 9 for v in book.values())
+    assert builds.read_region(spark, out, "bare", 170).count() == 36
