@@ -94,6 +94,20 @@ def with_sun_tangent(df: DataFrame, ts: str = "ts", lat: str = "lat", lon: str =
     return df.withColumn(name, tan_upper_limb(s)).drop("declination", "equation_minutes", "utc_minutes")
 
 
+def with_separable_tangent(cells: DataFrame, when: str, lat0: float, dlat: float, lon0: float, dlon: float, edges: tuple[int, int, int, int], name: str = "sun_tangent") -> DataFrame:
+    """Adds the same tangent to cells ``iy, ix`` of a latitude-longitude grid at one instant (UTC).
+
+    A row's latitude and a column's hour angle are worked out once each, in two tables of a raster's rows and columns
+    (``edges``: first and last of both), and meet in the cell: no trigonometry of place is left there.
+    """
+    spark = cells.sparkSession
+    line = lambda first, last, key, lat, lon: with_instant(spark.range(first, last + 1).select(F.col("id").alias(key), F.lit(when).cast("timestamp").alias("ts"), lat.alias("_lat"), lon.alias("_lon")))
+    by_row = line(edges[0], edges[1], "iy", lat0 + F.col("id") * dlat, F.lit(lon0))
+    by_row = by_row.select("iy", (F.sin(F.radians("_lat")) * F.sin(F.radians("declination"))).alias("_up"), (F.cos(F.radians("_lat")) * F.cos(F.radians("declination"))).alias("_level"))
+    by_col = line(edges[2], edges[3], "ix", F.lit(lat0), lon0 + F.col("id") * dlon).select("ix", F.cos(F.radians(hour_angle(F.col("_lon")))).alias("_turn"))
+    return cells.join(by_row, "iy").join(by_col, "ix").withColumn(name, tan_upper_limb(F.col("_up") + F.col("_level") * F.col("_turn"))).drop("_up", "_level", "_turn")
+
+
 def horizon_crossing(places: DataFrame, day: str = "day", lat: str = "lat", lon: str = "lon", setting: bool = True, key: list[str] | None = None) -> DataFrame:
     """``key`` columns with ``minute`` (of the UTC day) at which the sun first sets or rises; null where it does not.
 

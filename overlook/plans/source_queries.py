@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from overlook.functions import geo
+from overlook.functions import geo, sun
 from overlook.plans import fixtures as fx
-from overlook.plans.catalog import query
+from overlook.plans.catalog import SQL, query
 from overlook.plans.fixtures import with_fixtures
-from overlook.plans.queries import D
+from overlook.plans.queries import _DRIFT, D, _sun_ctes
 from overlook.plans.shared import fresh_path
 from overlook.sources import ledger, ranged, rasters
 
@@ -95,3 +97,25 @@ def ledgered_tiles(spark, sf_dir):
     ledger.build(events, make, out, f"{out}-ledger", run="second")
     built = spark.read.parquet(out).groupBy(F.col("key").cast("string").alias("key")).agg(F.sum("user_id").alias("users"))
     return ledger.entries(spark, f"{out}-ledger").join(built, "key").select("key", "rows", "run", "users")
+
+
+# the sun over a whole raster: heights unknown here and there, canopy over the eye, a tangent of its own in each cell
+
+_AT, _PLACE = "2026-12-21 11:40:00", (57.0, 0.0002, 12.0, 0.0004)
+_SOLAR = SQL["limb_tangents"]
+_SOLAR = _SOLAR[_SOLAR.index(", q AS ("):_SOLAR.index(" SELECT event_id, CASE WHEN tangent")].replace("round(CASE", "(CASE").replace("END, 4) AS tangent", "END) AS tangent")
+
+@query(with_fixtures(f""", places AS (SELECT iy * 64 + ix AS event_id, TIMESTAMP '{_AT}' AS ts, {_PLACE[0]} + iy * {D(_PLACE[1])} AS lat, {_PLACE[2]} + ix * {D(_PLACE[3])} AS lon FROM dem_smooth)""" + _sun_ctes("places") + _SOLAR + f""",
+  g AS (SELECT iy, ix, CASE WHEN (iy * 7 + ix * 3) % 23 = 0 THEN NULL ELSE CAST(z AS DOUBLE) END AS z, z % 4 * 3 AS canopy, tangent FROM dem_smooth JOIN w ON event_id = iy * 64 + ix),
+  r AS MATERIALIZED (SELECT iy, list(coalesce(z + canopy, {D(-1e9)}) ORDER BY ix) AS b, list(CASE WHEN canopy <= {D(1.7)} THEN z END ORDER BY ix) AS own, list(tangent ORDER BY ix) AS t FROM g GROUP BY iy),
+  s AS (SELECT iy, b, own, t, list_transform(b, lambda x: {D(-1e9)}) AS sh FROM r WHERE iy = 0
+    UNION ALL SELECT r.iy, r.b, r.own, r.t, list_transform(range(1, 65), lambda j: CASE WHEN j = 1 OR k.top[j] + (k.top[j - 1] - k.top[j]) * {D(-_DRIFT)} <= {D(-1e9)} THEN {D(-1e9)} ELSE k.top[j] + (k.top[j - 1] - k.top[j]) * {D(-_DRIFT)} - r.t[j] * {D(25 * math.hypot(1, _DRIFT))} END)
+      FROM (SELECT iy, list_transform(range(1, 65), lambda j: greatest(b[j], sh[j])) AS top FROM s) k JOIN r ON r.iy = k.iy + 1)
+  SELECT iy, CAST(generate_subscripts(b, 1) - 1 AS BIGINT) AS ix, unnest(list_transform(range(1, 65), lambda j: coalesce(t[j] > {D(math.tan(math.radians(sun.LOWEST)))} AND own[j] + {D(1.7)} >= sh[j], false))) AS lit FROM s""", "dem_smooth", recursive=True))
+def sun_view_waves(spark, sf_dir):
+    """Cells that see the sun at an instant, swept over the whole raster in tiles that hand their shadows on."""
+    from overlook.operators.sunlight import sunlit_waves
+
+    cells = fx.dem_smooth(spark, sf_dir).select("iy", "ix", F.when((F.col("iy") * 7 + F.col("ix") * 3) % 23 != 0, F.col("z").cast("double")).alias("z"), (F.col("z") % 4 * 3).alias("canopy"), F.lit(1.7).alias("eye_m"))
+    edges = cells.agg(F.min("iy"), F.max("iy"), F.min("ix"), F.max("ix")).first()
+    return sunlit_waves(sun.with_separable_tangent(cells, _AT, *_PLACE, tuple(edges)), 190.0, 25.0, 256)

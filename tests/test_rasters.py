@@ -305,3 +305,32 @@ def test_a_region_is_resumed_from_its_ledger(spark, tmp_path):
     book = {x["key"]: (x["rows"], x["run"]) for x in ledger.entries(spark, f"{out}/ledger").collect()}
     assert set(book) == {"0_0", "0_1", "1_0", "1_1"} and len({v[1] for v in book.values()}) == 2 and all(v[0] == 9 for v in book.values())
     assert builds.read_region(spark, out, "bare", 170).count() == 36
+
+
+# shadows
+
+
+@pytest.mark.parametrize("azimuth,side", [(190.0, 7), (10.0, 5), (100.0, 6), (260.0, 64), (225.0, 4), (180.0, 9), (330.0, 8)])
+def test_waves_equal_one_sweep(spark, azimuth, side):
+    from overlook.operators import sunlight
+
+    r = np.random.default_rng(int(azimuth))
+    z, canopy = r.integers(0, 60, (23, 19)) * 1.0, r.integers(0, 3, (23, 19)) * 1.0
+    tangent = 0.05 + 0.1 * r.random((23, 19))
+    gone = r.random((23, 19)) < 0.1
+    rows = [(i, j, None if gone[i, j] else float(z[i, j]), float(canopy[i, j]), 1.7, float(tangent[i, j])) for i in range(23) for j in range(19)]
+    cells = spark.createDataFrame(rows, "iy long, ix long, z double, canopy double, eye_m double, sun_tangent double")
+    block, eye = np.where(gone, sunlight.NONE, z + canopy), np.where(gone, 2 * sunlight.NONE, z + 1.7)
+    want = sunlight.sweep(block, eye, tangent, azimuth, 25.0) & ~gone & ~(canopy > 1.7)
+    got = {(x["iy"], x["ix"]): x["lit"] for x in sunlight.sunlit_waves(cells, azimuth, 25.0, side).collect()}
+    assert got == {(i, j): bool(want[i, j]) for i in range(23) for j in range(19)} and 0 < want.sum() < want.size
+
+
+def test_tangents_once_a_row_and_a_column(spark):
+    from overlook.functions import sun
+
+    cells = spark.range(6).select((F.col("id") % 3).alias("iy"), F.expr("id div 3").alias("ix"))
+    got = sun.with_separable_tangent(cells, "2026-06-21 10:00:00", 57.0, 0.5, 12.0, 0.7, (0, 2, 0, 1))
+    placed = cells.select("iy", "ix", F.lit("2026-06-21 10:00:00").cast("timestamp").alias("ts"), (57.0 + F.col("iy") * 0.5).alias("lat"), (12.0 + F.col("ix") * 0.7).alias("lon"))
+    want = {(x["iy"], x["ix"]): x["sun_tangent"] for x in sun.with_sun_tangent(placed).collect()}
+    assert all(abs(x["sun_tangent"] - want[x["iy"], x["ix"]]) < 1e-12 for x in got.collect()) and len(want) == 6
