@@ -46,8 +46,11 @@ class Tree:
     first: np.ndarray
     count: np.ndarray
     longest: float
+    #: Vectors are taken times 2 to the power of ``-scale``, so that squares neither overflow nor vanish.
+    scale: int = 0
 
     def lift(self, x: np.ndarray) -> np.ndarray:
+        x = np.ldexp(x, -self.scale)
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(axis=1), 0.0))
         return np.hstack([x, rest[:, None]])
 
@@ -66,7 +69,7 @@ class Tree:
 
     def best_first(self, q: np.ndarray, most: int) -> list[int]:
         """Leaves in order of the distance of the branches that lead to them, ``most`` at most."""
-        heap, out = [(0.0, 0)], []
+        q, heap, out = np.ldexp(q, -self.scale), [(0.0, 0)], []
         while heap and len(out) < most:
             _, node = heapq.heappop(heap)
             if not self.count[node]:
@@ -88,10 +91,10 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 10) -> np.ndarray:
     return centers
 
 
-def fit_tree(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf_rows: int = LEAF_SAMPLE, seed: int = 7) -> Tree:
+def fit_tree(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf_rows: int = LEAF_SAMPLE, seed: int = 7, scale: int = 0) -> Tree:
     """Split by k-means until a node has ``leaf_rows`` sample rows at most, or rows that no split parts."""
     rng = np.random.default_rng(seed)
-    tree = Tree(np.zeros((1, sample.shape[1] + 1)), np.zeros(1, np.int64), np.zeros(1, np.int64), longest)
+    tree = Tree(np.zeros((1, sample.shape[1] + 1)), np.zeros(1, np.int64), np.zeros(1, np.int64), longest, scale)
     x = tree.lift(sample)
     centers, first, count, todo = [np.zeros(x.shape[1])], [0], [0], [(0, np.arange(len(x)))]
     while todo:
@@ -109,7 +112,7 @@ def fit_tree(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf_rows
             first.append(0)
             count.append(0)
             todo.append((len(centers) - 1, rows[near == j]))
-    return Tree(np.array(centers), np.array(first), np.array(count), longest)
+    return Tree(np.array(centers), np.array(first), np.array(count), longest, scale)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -131,22 +134,36 @@ def _compare(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows for each query (``qid, qh, q`` and, if present, ``least``, a score that they must reach).
 
     One product of matrices picks candidates; scores are then summed the same way wherever the rows stand, so that equal
-    vectors tie. A row of the query's own id and vector is the query itself.
+    vectors tie. A sum that is too large for a double is infinite, and such rows tie. A row of the query's own id and vector
+    is the query itself.
     """
     if not len(queries) or not len(rows):
         return pd.DataFrame({"qid": pd.Series(dtype="int64"), "qh": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     ids, v, q, qids = rows["id"].to_numpy(), _matrix(rows["v"]), _matrix(queries["q"]), queries["qid"].to_numpy()
-    rough = q @ v.T
+    # powers of two keep the products in range whatever the components; what overflows or vanishes then does so once, at the end
+    eq, ev = (np.clip(np.frexp(np.abs(m).max(axis=1))[1], -1000, 1020) for m in (q, v))
+    far = max(abs(eq).max() + abs(ev).max(), 0) > 900
+    qs, vs = (np.ldexp(q, -eq[:, None]), np.ldexp(v, -ev[:, None])) if far else (q, v)
+    norm = np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(vs, axis=1).max(initial=0.0)
+    rough, margin = qs @ vs.T, 1e-12 * norm
+    if far:
+        with np.errstate(over="ignore", under="ignore"):
+            rough, margin = np.ldexp(rough, eq[:, None] + ev[None, :]), np.ldexp(margin, eq[:, None] + ev.max())
     least = np.full(len(q), -np.inf)
     if len(ids) > k + 1:
         least = np.partition(rough, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
     if "least" in queries:
         least = np.maximum(least, queries["least"].to_numpy(dtype=np.float64))
-    with np.errstate(invalid="ignore"):
-        at, pick = np.nonzero(rough >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
+    with np.errstate(invalid="ignore", over="ignore"):
+        # where the least is infinite, so may be the sum of a product that is nearly so
+        at, pick = np.nonzero(rough >= np.minimum(least, np.finfo(np.float64).max)[:, None] - margin - 1e-300)
     other = (ids[pick] != qids[at]) | (v[pick] != q[at]).any(axis=1)
     at, pick = at[other], pick[other]
-    exact = (v[pick] * q[at]).sum(axis=1)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        exact = (v[pick] * q[at]).sum(axis=1)
+        lost = np.isnan(exact)  # infinite terms of both signs: the sum of the terms in range says which side is larger
+        if lost.any():
+            exact[lost] = np.ldexp((vs[pick[lost]] * qs[at[lost]]).sum(axis=1), eq[at[lost]] + ev[pick[lost]])
     order = np.lexsort((ids[pick], -exact, at))
     at, pick, exact = at[order], pick[order], exact[order]
     first = np.r_[0, np.flatnonzero(np.diff(at)) + 1] if len(at) else np.zeros(0, np.int64)
@@ -245,15 +262,22 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
     """
     spark = vectors.sparkSession
     part = written(sound(vectors, id_column, column).distinct().withColumn("n", F.size("v")), "ann-rows")
-    lengths = {r[0]: (r[1], r[2]) for r in part.groupBy("n").agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).where(F.col("count(1)") > BRANCH * LEAF_SAMPLE * 4).collect()}
+    norm = lambda by: F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * F.lit(by)) * (x * F.lit(by)))))
+    lengths = {}
+    for n, total, longest, top in part.groupBy("n").agg(F.count("*"), norm(1.0), F.max(F.array_max(F.transform("v", F.abs)))).where(F.col("count(1)") > BRANCH * LEAF_SAMPLE * 4).collect():
+        scale = 0
+        if not 1e-140 < longest < 1e140:  # squares would overflow or vanish: the tree is made of vectors scaled by a power of two
+            scale = int(np.clip(np.frexp(top)[1], -1000, 1000))
+            longest = part.where(F.col("n") == n).agg(norm(2.0**-scale)).first()[0]
+        lengths[n] = (total, longest, scale)
     copies = W.partitionBy("v").orderBy("id")
     kept = part.withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k + 1).drop("c")
     trees: dict[int, Tree] = {}
-    for n, (total, longest) in lengths.items():
+    for n, (total, longest, scale) in lengths.items():
         share = min(1.0, fit_rows / total)
         drawn = F.pmod(F.xxhash64("id", "v", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
         sample = kept.where((F.col("n") == n) & drawn).select("v").limit(2 * fit_rows).toPandas()
-        trees[n] = fit_tree(_matrix(sample["v"]), float(longest), leaf_rows=max(LEAF_SAMPLE, int(leaf_roots * total**0.5 * share)))
+        trees[n] = fit_tree(_matrix(sample["v"]), float(longest), leaf_rows=max(LEAF_SAMPLE, int(leaf_roots * total**0.5 * share)), scale=scale)
     indexed = written(kept.select("id", "v").mapInPandas(_assigned(trees), "id long, v array<double>, leaf long"), "ann-leaves")
     asked = part.where(is_query).select(F.col("id").alias("qid"), F.xxhash64("v").alias("qh"), F.col("v").alias("q"))
     visits: dict[int, int] = {}

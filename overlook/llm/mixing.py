@@ -135,7 +135,10 @@ def mix(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, temperature: dict[str, float] = TEMPERATURE, topic: Column | None = None,
     tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, seed: str = SEED, small_cells: int = SMALL_CELLS,
 ) -> DataFrame:
-    """The sampled rows of ``docs`` with ``topic``, ``tokens``, ``probability`` and ``factor``.
+    """The sampled rows of ``docs`` with ``topic``, ``tokens``, ``probability``, ``factor`` and ``residual``.
+
+    ``residual`` is the same in every row: the largest difference of a marginal from its target. Over ``tolerance``, targets
+    contradict each other or the table, or ``max_rounds`` were too few, and the sample meets them no nearer than that.
 
     ``targets`` gives shares by value for any of source, lang and topic, as ``{"lang": {"en": 0.5, "de": 0.5}}``; a value
     left out gets none. Dimensions without targets keep their tempered shares. ``topic`` is a column of the caller's; without one
@@ -144,7 +147,7 @@ def mix(
     language is a value of its own (``''``). Documents without a word weigh nothing and go by their cell's probability; a
     cell without words has none and goes. Columns of ``docs`` with the added names are replaced; all others stay. An empty table gives no rows.
     """
-    base = docs.drop("tokens", "probability", "factor") if topic is not None else docs.drop("topic", "tokens", "probability", "factor")
+    base = docs.drop("tokens", "probability", "factor", "residual") if topic is not None else docs.drop("topic", "tokens", "probability", "factor", "residual")
     keys = dict(zip(DIMENSIONS, free_names(base, "mx_source", "mx_lang", "mx_topic")))
     keyed = base.withColumns({keys["source"]: F.coalesce(F.col("source").cast("string"), F.lit("")), keys["lang"]: F.coalesce(F.col("lang").cast("string"), F.lit("")), keys["topic"]: F.coalesce(topic.cast("string"), F.lit("")) if topic is not None else topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
     cells = cut(keyed.groupBy(*(F.col(k).alias(d) for d, k in keys.items())).agg(F.sum("tokens").alias("tokens")))
@@ -152,7 +155,7 @@ def mix(
     for d, shares in (targets or {}).items():
         goals[d] = docs.sparkSession.createDataFrame([(v, float(t)) for v, t in shares.items()], f"{d} string, target double")
     side = cut(calibrated(cells, goals, rate, tolerance=tolerance, max_rounds=max_rounds, small_cells=small_cells))
-    side = side.where("probability > 0").select(*(F.col(d).alias(k) for d, k in keys.items()), "probability", "factor")
+    side = side.where("probability > 0").select(*(F.col(d).alias(k) for d, k in keys.items()), "probability", "factor", "residual")
     if side.count() <= small_cells:
         met = keyed.join(F.broadcast(side), list(keys.values()))
     else:  # a cell with a third of all documents is spread over as many parts as there are partitions
@@ -161,7 +164,7 @@ def mix(
         side = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = keyed.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int")).join(side, [*keys.values(), salt]).drop(salt)
     met = met.where(uniform(seed, F.col("doc_id"), F.col("text")) < F.col("probability"))
-    return met.withColumn("topic", F.col(keys["topic"])).select(*(c for c in base.columns if c != "topic"), "topic", "tokens", "probability", "factor")
+    return met.withColumn("topic", F.col(keys["topic"])).select(*(c for c in base.columns if c != "topic"), "topic", "tokens", "probability", "factor", "residual")
 
 
 def op7_mixing(spark, sf_dir):

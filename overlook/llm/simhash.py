@@ -135,7 +135,9 @@ def fine_keys(fp: Column, tau: int = TAU) -> Column:
 
 def _shared(keyed: DataFrame, name: str) -> DataFrame:
     """``keyed`` (fp, k) with ``n``, the fingerprints of each key, where it is over 1."""
-    return written(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"), name)
+    # written first, so that adaptive execution may split the join of a key that very many share
+    shared = written(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+    return written(keyed.join(shared, "k"), name)
 
 
 def _signed(x: int) -> int:
@@ -178,7 +180,8 @@ def components(prints: DataFrame, tau: int = TAU) -> DataFrame:
     by_fp = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     joined = connected_components(links(by_fp.select("fp"), tau))
     named = by_fp.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(named, "simhash-named")
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
     return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 

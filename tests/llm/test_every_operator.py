@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from overlook.llm import ann, chat, decontaminate, langid, licenses, line_dedup, mixing, near_copies, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = "a b e i k n p u v at by bad id fp th ts z0 rank node hub cluster component lead gone_id gone_th once_th ld_host ld_keys lk_id dc_id dc_hash dc_text bm_item item_id kind slots windows lang_pred score tx_id tx_toxic tx_doc toxic f turns qid qh leaf mx_source mx_lang mx_topic mx_salt topic_ weight residual ratio digest record block header license verdict formatted".split()
+CLASH = "a b e i k n p u v at by bad id fp th ts z0 rank node hub cluster component lead gone_id gone_th once_th ld_host ld_keys lk_id dc_id dc_hash dc_text bm_item item_id kind slots windows lang_pred score tx_id tx_toxic tx_doc toxic f turns qid qh leaf mx_source mx_lang mx_topic mx_salt topic_ weight ratio digest record block header license verdict formatted".split()
 LONG = "some very long text with words of its own " * 20_000
 ROWS = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (None, "a text without an id", "en", "a", 20), (4, LONG, "en", "b", len(LONG)),
@@ -29,7 +29,7 @@ def stages(side):
         "near_copies": near_copies.keep_one,
         "decontaminate": lambda d: decontaminate.drop_leaks(d, side["benchmark"]),
         "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, side["labels"]), "own_score").drop("own_score"),
-        "mixing": lambda d: mixing.mix(d, rate=1.0).drop("topic", "tokens", "probability", "factor"),
+        "mixing": lambda d: mixing.mix(d, rate=1.0).drop("topic", "tokens", "probability", "factor", "residual"),
     }
 
 

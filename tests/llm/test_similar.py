@@ -265,3 +265,26 @@ def test_many_copies_of_a_vector(spark):
     score = (v * v[0]).sum(1)
     score[0] = -np.inf
     assert own.vec_id.tolist() == np.lexsort((np.arange(len(v)), -score))[:5].tolist()
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e153, 1.0])
+def test_neighbours_of_any_magnitude(spark, size):
+    """Products that overflow are infinite and tie, those that vanish are zero and tie: no row is lost."""
+    r = np.random.default_rng(11)
+    for rows in (60, 400):
+        v = np.abs(r.normal(size=(rows, 6))) * size
+        got = ann.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5, recall=1.0).collect()
+        with np.errstate(over="ignore", under="ignore"):
+            for q in range(0, rows, 20):
+                mine = sorted((x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == q)
+                scores = {i: float((v[i] * v[q]).sum()) for i in range(rows) if i != q}
+                want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+                assert len(mine) == 5
+                if rows == 60:  # few rows are compared in full
+                    assert [(i, s) for _, i, s in mine] == [(i, scores[i]) for i in want]
+
+
+def test_neighbours_of_infinite_terms_of_both_signs(spark):
+    v = [[1e200, -1e200, 1.0], [1e200, 1e200, 2.0], [-1e200, 1e200, 3.0], [1.0, 1.0, 1.0]]
+    got = ann.search(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>"), F.col("id") == 1, k=5).collect()
+    assert len(got) == 3 and not any(x["score"] != x["score"] for x in got) and sorted(x["rank"] for x in got) == [1, 2, 3]

@@ -416,3 +416,10 @@ def test_leaks_by_definition(spark):
     want = {(1, 1): "exact", (2, 1): "exact", (3, 1): "reparameterised", (4, 1): "exact", (5, 1): "exact", (6, 2): "reparameterised", (7, 2): "exact", (9, 3): "reparameterised"}
     assert leaks(spark, rows, items) == want
     assert leaks(spark, rows, items, min_words=1) == want | {(10, 4): "exact"}
+
+
+def test_contradictory_targets_say_so(spark):
+    rows = [(i, "some words here", "de" if i < 150 else "en", "t" if i < 150 else "s") for i in range(300)]
+    got = mixing.mix(docs(spark, rows), targets={"source": {"s": 0.9, "t": 0.1}, "lang": {"de": 0.9, "en": 0.1}}, rate=0.5).select("residual").distinct().collect()
+    assert len(got) == 1 and got[0][0] > 0.5
+    assert mixing.mix(docs(spark, rows), rate=0.5).agg(F.max("residual")).first()[0] <= mixing.TOLERANCE
