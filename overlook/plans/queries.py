@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from overlook.functions import colour, geo, sun, wedge
+from overlook.functions import colour, geo, sun, tables, wedge
 from overlook.functions.spots import decode_share, encode_share, route_url, search_url
 from overlook.operators import lattice, neighbourhood, pyramid, relief, reports, scoring, tiles, viewshed, water
 from overlook.operators import spots as spot_lists
@@ -213,10 +213,13 @@ STEPS_SQL = "(SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()
 BEARINGS_SQL = "(VALUES " + ", ".join(f"({a}, {D(e)}, {D(n)})" for a in range(32) for e, n in [geo.bearing(a, 32)]) + ") v(a, east, north)"
 
 
-@query("SELECT CAST(i AS INT) AS step, d FROM (SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()) + "]) AS d, generate_subscripts([" + ", ".join("0" for _ in viewshed.radial_steps()) + "], 1) - 1 AS i)")
+@query("WITH l AS (SELECT unnest([" + ", ".join(D(d) for d in viewshed.radial_steps()) + "]) AS d, generate_subscripts([" + ", ".join("0" for _ in viewshed.radial_steps()) + """], 1) - 1 AS i),
+    s AS (SELECT s_suppkey, CAST(1000 + s_suppkey % 20 * 1000 AS DOUBLE) AS reach FROM supplier)
+    SELECT s_suppkey, CAST(i AS INT) AS step, d FROM s JOIN l ON d < reach - 1e-6 UNION ALL SELECT s_suppkey, CAST((SELECT count(*) FROM l WHERE d < reach - 1e-6) AS INT), reach FROM s""")
 def ray_schedule(spark, sf_dir):
-    """The 257 sample distances of a ray."""
-    return viewshed.rays(spark, azimuths=1).select("step", "d")
+    """The sample distances of rays of many lengths, by a table function of SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT s_suppkey, r.step, r.d FROM {supplier}, LATERAL rays(CAST(1000 + s_suppkey % 20 * 1000 AS DOUBLE)) AS r", supplier=fx.table(spark, sf_dir, "supplier"))
 
 
 def _seen_sql(last: str, eyes: list[float], bearings: str = "range(32)", tops: str = "SELECT 'top' AS surface, iy, ix, CAST(z AS DOUBLE) AS z FROM dem_smooth", every: int = 4, wet: bool = False) -> str:

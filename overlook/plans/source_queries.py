@@ -7,12 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from overlook.functions import geo, sun
+from overlook.operators import shapes
 from overlook.plans import fixtures as fx
 from overlook.plans.catalog import SQL, query
 from overlook.plans.fixtures import with_fixtures
 from overlook.plans.queries import _DRIFT, D, _sun_ctes
 from overlook.plans.shared import fresh_path
-from overlook.sources import ledger, ranged, rasters
+from overlook.sources import ledger, ranged, rasters, stores
 
 # raw tiles of 100 x 32 cells: one of them is missing, and so are some cells
 
@@ -119,3 +120,22 @@ def sun_view_waves(spark, sf_dir):
     cells = fx.dem_smooth(spark, sf_dir).select("iy", "ix", F.when((F.col("iy") * 7 + F.col("ix") * 3) % 23 != 0, F.col("z").cast("double")).alias("z"), (F.col("z") % 4 * 3).alias("canopy"), F.lit(1.7).alias("eye_m"))
     edges = cells.agg(F.min("iy"), F.max("iy"), F.min("ix"), F.max("ix")).first()
     return sunlit_waves(sun.with_separable_tangent(cells, _AT, *_PLACE, tuple(edges)), 190.0, 25.0, 256)
+
+
+# markers and an outline over an image of 256 pixels that shows 10 km
+
+_FONT = "[" + ", ".join(str(d) for d in shapes.DIGITS) + "]"
+
+@query(f"""WITH s AS (SELECT s_suppkey AS rank, CAST(round_even((s_suppkey % 23 * {D(431.0)} - 5000 + 5000) / 10000 * 256, 0) AS BIGINT) AS cx, CAST(round_even(256 - (s_suppkey % 19 * {D(523.0)} - 5000 + 5000) / 10000 * 256, 0) AS BIGINT) AS cy FROM supplier),
+  o AS (SELECT a.v AS dy, b.v AS dx FROM range(-7, 8) a(v), range(-7, 8) b(v) WHERE a.v * a.v + b.v * b.v <= 4 OR (a.v * a.v + b.v * b.v <= 49 AND a.v * a.v + b.v * b.v > 25)),
+  t AS (SELECT cx, cy, CAST(rank AS VARCHAR) AS w, generate_series(1, len(CAST(rank AS VARCHAR))) AS n FROM s), u AS (SELECT cx, cy, w, unnest(n) AS n FROM t),
+  f AS (SELECT cx + 9 + 4 * (n - 1) + c.v AS px, cy - 7 + l.v AS py FROM u, range(5) l(v), range(3) c(v) WHERE ({_FONT}[CAST(substr(w, n, 1) AS INT) + 1][l.v + 1] >> CAST(2 - c.v AS INT)) & 1 = 1),
+  b AS (SELECT x.v AS px, y.v AS py FROM range(51, 206) x(v), range(51, 206) y(v) WHERE x.v < 53 OR x.v > 203 OR y.v < 53 OR y.v > 203),
+  k AS (SELECT cx + dx AS px, cy + dy AS py FROM s, o UNION SELECT px, py FROM f UNION SELECT px, py FROM b)
+  SELECT DISTINCT py, px FROM k WHERE py BETWEEN 0 AND 255 AND px BETWEEN 0 AND 255""")
+def marked_map(spark, sf_dir):
+    """Numbered markers at places and the outline of a box, as the pixels of PNG tiles of 64 pixels, drawn and read back."""
+    key = F.col("s_suppkey")
+    spots = fx.table(spark, sf_dir, "supplier").select(key.alias("rank"), (key % 23 * 431.0 - 5000).alias("x"), (key % 19 * 523.0 - 5000).alias("y"))
+    drawn = stores.png_tiles(shapes.marked(spots, 3000.0, 10000.0, 256, -5000.0, -5000.0), 64)
+    return stores.png_pixels(drawn, 64).where("a > 0").select("py", "px")

@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlook.functions.geo import NODATA
@@ -36,6 +36,7 @@ def check_free_space(path: str, need_gb: float = 0.0, reserve_gb: float = 100.0)
 
 def write_tiles(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace the partitions that ``df`` holds and leave the others: a tile's rows come from one task, once."""
+    claim(df.sparkSession, path)
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
@@ -46,6 +47,7 @@ def write_pyramid(cells: DataFrame, path: str) -> None:
 
 def write_region(meta: DataFrame, path: str) -> None:
     """Metadata as JSON, before any tile, so that a part-built region can be read."""
+    claim(meta.sparkSession, path)
     meta.coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -64,6 +66,7 @@ def byte_tiles(cells: DataFrame, value: str, width: int = 1, name: str | None =
 
 def write_contours(lines: DataFrame, path: str, lat0: float, lon0: float) -> None:
     """One GeoJSON feature a line, written in parallel."""
+    claim(lines.sparkSession, path)
     features(lines, lat0, lon0).write.mode("overwrite").text(path)
 
 
@@ -85,3 +88,42 @@ def png_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
 
     at = pixels.withColumns({"tile_y": F.floor(F.col("py") / tile).cast("long"), "tile_x": F.floor(F.col("px") / tile).cast("long")})
     return at.groupBy("tile_y", "tile_x").applyInPandas(run, "tile_y long, tile_x long, png binary")
+
+
+def png_pixels(tiles: DataFrame, tile: int = 256) -> DataFrame:
+    """``(py, px, r, g, b, a)`` back from the tiles of ``png_tiles``."""
+
+    def run(frames):
+        for frame in frames:
+            for ty, tx, png in frame[["tile_y", "tile_x", "png"]].itertuples(index=False):
+                at, data = 8, b""
+                while at < len(png):
+                    (n,) = struct.unpack(">I", png[at : at + 4])
+                    if png[at + 4 : at + 8] == b"IDAT":
+                        data += png[at + 8 : at + 8 + n]
+                    at += n + 12
+                image = np.frombuffer(zlib.decompress(data), np.uint8).reshape(tile, tile * 4 + 1)[:, 1:].reshape(-1, 4)
+                row, col = np.divmod(np.arange(tile * tile), tile)
+                yield pd.DataFrame({"py": row + ty * tile, "px": col + tx * tile, **{c: image[:, i].astype(np.int32) for i, c in enumerate("rgba")}})
+
+    return tiles.mapInPandas(run, "py long, px long, r int, g int, b int, a int")
+
+
+def free_space(spark: SparkSession, path: str) -> float:
+    """Free GB of the file system that ``path`` is on, whatever its kind, as that file system says."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    while not files.exists(at) and at.getParent() is not None:
+        at = at.getParent()
+    return files.getStatus(at).getRemaining() / 1e9
+
+
+def claim(spark: SparkSession, path: str, need_gb: float = 0.0) -> str:
+    """``path`` if a writer may use it: below ``spark.overlook.roots`` (comma-separated), with ``spark.overlook.reserve_gb`` free beside what it needs; either is asked only where it is set."""
+    roots, reserve = spark.conf.get("spark.overlook.roots", None), spark.conf.get("spark.overlook.reserve_gb", None)
+    if roots:
+        guard(path, roots.split(","))
+    if reserve is not None and (free := free_space(spark, path)) < need_gb + float(reserve):
+        raise OSError(f"{free:.0f} GB free, {need_gb + float(reserve):.0f} needed")
+    return path

@@ -334,3 +334,27 @@ def test_tangents_once_a_row_and_a_column(spark):
     placed = cells.select("iy", "ix", F.lit("2026-06-21 10:00:00").cast("timestamp").alias("ts"), (57.0 + F.col("iy") * 0.5).alias("lat"), (12.0 + F.col("ix") * 0.7).alias("lon"))
     want = {(x["iy"], x["ix"]): x["sun_tangent"] for x in sun.with_sun_tangent(placed).collect()}
     assert all(abs(x["sun_tangent"] - want[x["iy"], x["ix"]]) < 1e-12 for x in got.collect()) and len(want) == 6
+
+
+# where writers may write
+
+
+def test_writers_ask_for_root_and_room(spark, tmp_path):
+    from overlook.sources import stores
+
+    cells = spark.createDataFrame([(1, 2)], "k int, v int")
+    root = f"file://{tmp_path}"
+    assert 0 < stores.free_space(spark, f"{root}/not/yet/there") < 1e6
+    assert stores.free_space(spark, "file:/") > 0
+    try:
+        spark.conf.set("spark.overlook.roots", f"{root}/ours,{root}/too")
+        stores.write_tiles(cells, f"{root}/ours/a", ["k"])
+        with pytest.raises(PermissionError):
+            stores.write_tiles(cells, f"{root}/theirs", ["k"])
+        spark.conf.set("spark.overlook.reserve_gb", "1e9")
+        with pytest.raises(OSError, match="needed"):
+            stores.write_tiles(cells, f"{root}/ours/b", ["k"])
+    finally:
+        spark.conf.unset("spark.overlook.roots")
+        spark.conf.unset("spark.overlook.reserve_gb")
+    assert spark.read.parquet(f"{root}/ours/a").count() == 1
