@@ -38,8 +38,8 @@ def raw_mosaic(spark, sf_dir):
 @query(with_fixtures(f", c AS (SELECT z, {_TILE} FROM dem_cells WHERE NOT {_LACKS}) SELECT CAST(lat_i AS INT) AS lat_i, CAST(lon_i AS INT) AS lon_i, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(z AS SMALLINT) AS z FROM c WHERE (lat_i <> 58 OR lon_i <> 12) AND lat_i BETWEEN 56 AND 58 AND row BETWEEN 20 AND 61 AND col > 3 AND col <= 17", "dem_cells"))
 def raw_window(spark, sf_dir):
     """A window of raw tiles: only the files, rows and columns that it meets are read."""
-    every = ranged.read_raw(spark, _raw(spark, sf_dir), 100, 2048)
-    return every.where("lat_i BETWEEN 56 AND 58 AND row BETWEEN 20 AND 61 AND col > 3 AND col <= 17 AND z IS NOT NULL").drop("ncols")
+    window = {"lat_i": (56, 58), "row": (20, 61), "col": (4, 17)}
+    return ranged.read_raw(spark, _raw(spark, sf_dir), 100, 2048, window).where("z IS NOT NULL").drop("ncols")
 
 
 # land cover: files of 64 x 64 pixels that stand for three degrees, eight to a column of the map
@@ -60,7 +60,7 @@ def _land_cover(spark, sf_dir) -> str:
 @query(with_fixtures(f"""SELECT {_FILE} || '.tif' AS file, CAST(iy % 64 AS INT) AS row, CAST(ix AS INT) AS col, CAST({_CLASS} AS DOUBLE) AS value FROM dem_cells WHERE iy % 64 BETWEEN 10 AND 33 AND ix BETWEEN 5 AND 20""".replace("SELECT", " SELECT", 1), "dem_cells"))
 def land_cover_window(spark, sf_dir):
     """A window of tiled land-cover rasters: only the tiles that it meets are read and inflated."""
-    return ranged.read_tiff(spark, _land_cover(spark, sf_dir)).where("row BETWEEN 10 AND 33 AND col BETWEEN 5 AND 20 AND value IS NOT NULL")
+    return ranged.read_tiff(spark, _land_cover(spark, sf_dir), window={"row": (10, 33), "col": (5, 20)}).where("value IS NOT NULL")
 
 
 @query(with_fixtures(f""", t AS (SELECT c_custkey, 36 + c_custkey % 2100 / CAST(100 AS DOUBLE) AS lat, 12 + c_custkey % 607 / CAST(100 AS DOUBLE) AS lon FROM customer),

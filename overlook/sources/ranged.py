@@ -1,12 +1,14 @@
 """Data sources that read parts of files by byte range: raw elevation tiles and GeoTIFF rasters.
 
-Both plan their tasks from what a file says of itself (its size, or its table of offsets), after conditions on place have
-been pushed to them, so that a window reads the rows or tiles that it touches and nothing else. Any store that Arrow's file
-systems open will do. Conditions are pushed where ``spark.sql.python.filterPushdown.enabled`` is on, which ``register`` sees to.
+Both plan their tasks from what a file says of itself (its size, or its table of offsets) and from a window on place, so that
+a read touches the rows or tiles that the window meets and nothing else. Any store that Arrow's file systems open will do. The
+window is an option of the read, not a pushed condition: Spark 4.1 keeps what was pushed to a Python source for every later
+query of the same DataFrame, which then misses rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from overlook.functions.geo import NODATA
 
@@ -56,7 +58,7 @@ def put(path: str, name: str, data: bytes) -> None:
 
 @dataclass
 class Box:
-    """Bounds of whole-number columns, ends included, gathered from pushed conditions."""
+    """Bounds of whole-number columns, ends included."""
 
     low: dict[str, int] = field(default_factory=dict)
     high: dict[str, int] = field(default_factory=dict)
@@ -74,48 +76,13 @@ class Box:
     def holds(self, name: str, value: int) -> bool:
         return self.clip(name, value, value) == (value, value)
 
-    def take(self, f: Filter, names: Sequence[str]) -> bool:
-        """Whether the condition is one of these bounds exactly, and so need not be asked again."""
-        column = getattr(f, "attribute", ())
-        if len(column) != 1 or column[0] not in names:
-            return False
-        name, value = column[0], getattr(f, "value", None)
-        if isinstance(f, IsNotNull):
-            return True
-        if isinstance(f, In):
-            whole = [v for v in f.value if isinstance(v, int)]
-            if whole:
-                self.narrow(name, min(whole), max(whole))
-            return False
-        if not isinstance(value, int):
-            return False
-        if isinstance(f, EqualTo):
-            self.narrow(name, value, value)
-        elif isinstance(f, GreaterThan):
-            self.narrow(name, low=value + 1)
-        elif isinstance(f, GreaterThanOrEqual):
-            self.narrow(name, low=value)
-        elif isinstance(f, LessThan):
-            self.narrow(name, high=value - 1)
-        elif isinstance(f, LessThanOrEqual):
-            self.narrow(name, high=value)
-        else:
-            return False
-        return True
-
-
-class _Pushed(DataSourceReader):
-    """A reader that takes bounds of its ``places`` and leaves other conditions to Spark."""
-
-    places: tuple[str, ...] = ()
-
-    def __init__(self) -> None:
-        self.box = Box()
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if not self.box.take(f, self.places):
-                yield f
+    @classmethod
+    def of(cls, text: str | None) -> Box:
+        """Bounds from an option: ``{"row": [first, last], ...}`` as JSON, null for an open end."""
+        box = cls()
+        for name, (low, high) in json.loads(text or "{}").items():
+            box.narrow(name, low, high)
+        return box
 
 
 # raw elevation tiles
@@ -150,7 +117,8 @@ def tile_list(path: str, rows: int) -> list[tuple[str, int, int, int]]:
 class RawTiles(DataSource):
     """``raw_tiles``: little-endian int16 tiles called ``<lat>_<lon>`` after their south-west corner, row 0 in the north.
 
-    Options: ``path``; ``rows`` of a tile (3600, the columns follow from the file's size); ``bytes`` of a task (8 MB).
+    Options: ``path``; ``rows`` of a tile (3600, the columns follow from the file's size); ``bytes`` of a task (8 MB);
+    ``window`` (see ``Box.of``) on ``lat_i, lon_i, row, col``.
     """
 
     @classmethod
@@ -161,15 +129,12 @@ class RawTiles(DataSource):
         return "lat_i int, lon_i int, row int, col int, ncols int, z short"
 
     def reader(self, schema):
-        return _RawReader(self.options["path"], int(self.options.get("rows", 3600)), int(self.options.get("bytes", 8 << 20)))
-
+        return _RawReader(self.options["path"], int(self.options.get("rows", 3600)), int(self.options.get("bytes", 8 << 20)), Box.of(self.options.get("window")))
 
-class _RawReader(_Pushed):
-    places = ("lat_i", "lon_i", "row", "col")
 
-    def __init__(self, path: str, rows: int, nbytes: int) -> None:
-        super().__init__()
-        self.path, self.rows, self.nbytes = path, rows, nbytes
+class _RawReader(DataSourceReader):
+    def __init__(self, path: str, rows: int, nbytes: int, box: Box | None = None) -> None:
+        self.path, self.rows, self.nbytes, self.box = path, rows, nbytes, box or Box()
 
     def partitions(self) -> list[Rows]:
         first, last = self.box.clip("row", 0, self.rows - 1)
@@ -314,7 +279,7 @@ class TiffCells(DataSource):
 
     Options: ``path`` of a file or folder; ``reduce``, if over 1, gives blocks of so many pixels a side in place of pixels
     (``h_max, h_sum, n``, in parts where a block lies in several tiles or strips: add them up by ``file, r, c``); ``pixels``
-    of a task (2 million). Tasks are made of whole tiles or strips, planned from the files' own tables of offsets. Pixels of
+    of a task (2 million); ``window`` (see ``Box.of``) on ``row, col`` or, reduced, ``r, c``. Tasks are made of whole tiles or strips, planned from the files' own tables of offsets. Pixels of
     the file's nodata number are null, and are left out of reductions.
     """
 
@@ -326,13 +291,12 @@ class TiffCells(DataSource):
         return "file string, r int, c int, h_max double, h_sum double, n long" if int(self.options.get("reduce", 1)) > 1 else "file string, row int, col int, value double"
 
     def reader(self, schema):
-        return _TiffReader(self.options["path"], int(self.options.get("reduce", 1)), int(self.options.get("pixels", 2_000_000)))
+        return _TiffReader(self.options["path"], int(self.options.get("reduce", 1)), int(self.options.get("pixels", 2_000_000)), Box.of(self.options.get("window")))
 
 
-class _TiffReader(_Pushed):
-    def __init__(self, path: str, factor: int, pixels: int) -> None:
-        super().__init__()
-        self.path, self.factor, self.pixels = path, factor, pixels
+class _TiffReader(DataSourceReader):
+    def __init__(self, path: str, factor: int, pixels: int, box: Box | None = None) -> None:
+        self.path, self.factor, self.pixels, self.box = path, factor, pixels, box or Box()
         self.places = ("r", "c") if factor > 1 else ("row", "col")
 
     def _window(self, t: Tiff) -> tuple[int, int, int, int]:
@@ -457,29 +421,27 @@ def write_tiffs(cells: DataFrame, path: str, rows: int, cols: int, dtype: str =
     return own.groupBy("file").applyInArrow(run, "files long").agg({"files": "sum"}).first()[0] or 0
 
 
-def register(spark: SparkSession) -> None:
-    """Make ``raw_tiles`` and ``tiff_cells`` known to the session, with conditions pushed to them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (RawTiles, TiffCells):
-        spark.dataSource.register(source)
+Window = dict[str, tuple[int | None, int | None]]
+
+
+def _read(spark: SparkSession, source: type[DataSource], window: Window | None, **options) -> DataFrame:
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).options(window=json.dumps(window or {}), **options).load()
 
 
-def read_raw(spark: SparkSession, path: str, rows: int = 3600, nbytes: int = 8 << 20) -> DataFrame:
-    """``(lat_i, lon_i, row, col, ncols, z)``; conditions on place choose files, byte ranges and columns."""
-    register(spark)
-    return spark.read.format("raw_tiles").options(path=path, rows=rows, bytes=nbytes).load()
+def read_raw(spark: SparkSession, path: str, rows: int = 3600, nbytes: int = 8 << 20, window: Window | None = None) -> DataFrame:
+    """``(lat_i, lon_i, row, col, ncols, z)``; ``window`` (first and last of any of the places) chooses files, byte ranges and columns."""
+    return _read(spark, RawTiles, window, path=path, rows=rows, bytes=nbytes)
 
 
-def read_tiff(spark: SparkSession, path: str, pixels: int = 2_000_000) -> DataFrame:
-    """``(file, row, col, value)``; conditions on ``row`` and ``col`` choose the tiles or strips that are read."""
-    register(spark)
-    return spark.read.format("tiff_cells").options(path=path, pixels=pixels).load()
+def read_tiff(spark: SparkSession, path: str, pixels: int = 2_000_000, window: Window | None = None) -> DataFrame:
+    """``(file, row, col, value)``; ``window`` on ``row`` and ``col`` chooses the tiles or strips that are read."""
+    return _read(spark, TiffCells, window, path=path, pixels=pixels)
 
 
-def read_reduced(spark: SparkSession, path: str, factor: int = 32, pixels: int = 2_000_000) -> DataFrame:
+def read_reduced(spark: SparkSession, path: str, factor: int = 32, pixels: int = 2_000_000, window: Window | None = None) -> DataFrame:
     """``(file, r, c, h_max, h_mean)`` of blocks of ``factor`` pixels a side, means rounded half to even: reduced where they are read, added up where a block lies in several strips."""
     from pyspark.sql import functions as F
 
-    register(spark)
-    parts = spark.read.format("tiff_cells").options(path=path, reduce=factor, pixels=pixels).load()
+    parts = _read(spark, TiffCells, window, path=path, reduce=factor, pixels=pixels)
     return parts.groupBy("file", "r", "c").agg(F.max("h_max").cast("long").alias("h_max"), F.rint(F.sum("h_sum") / F.sum("n")).cast("long").alias("h_mean"))

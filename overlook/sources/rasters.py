@@ -20,7 +20,7 @@ def read_mosaic(spark: SparkSession, path: str, lat_high: int, lon_low: int, row
     """``(iy, ix, z)`` of a folder of tiles set side by side, row 0 in the north; what must hold is asked of the files' names and sizes alone.
 
     Tiles of several latitude bands are an error, as is a mosaic whose first tile, in the north-west, is missing; other
-    missing tiles are missing rows. Conditions on ``iy`` and ``ix`` are not pushed: put them on the tiles.
+    missing tiles are missing rows.
     """
     found = ranged.tile_list(path, rows)
     if not any((lat, lon) == (lat_high, lon_low) for _, lat, lon, _ in found):
