@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +122,26 @@ def horizon_crossing(places: DataFrame, day: str = "day", lat: str = "lat", lon:
     both = with_position(both.drop("declination", "geometric", "azimuth", "elevation"), "_tb", lat, lon).withColumn("was", F.col("geometric") > HORIZON)
     cross = (F.col("minute") > 0) & (F.col("up") != F.col("was")) & (F.col("up") != F.lit(setting))
     return both.groupBy(*key).agg(F.min(F.when(cross, F.col("minute"))).alias("minute"))
+
+
+def arc(day: int, minutes: np.ndarray, lat: float, lon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(geometric elevation, refracted elevation, azimuth) at minutes of a UTC day (days since 1970), by the same equations on arrays."""
+    t = (day + minutes / 1440 + 2440587.5 - 2451545.0) / 36525.0
+    long, anomaly = np.radians((280.46646 + t * (36000.76983 + t * 0.0003032)) % 360), np.radians(357.52911 + t * (35999.05029 - 0.0001537 * t))
+    eccentric, node = 0.016708634 - t * (0.000042037 + 0.0000001267 * t), np.radians(125.04 - 1934.136 * t)
+    centre = np.sin(anomaly) * (1.914602 - t * (0.004817 + 0.000014 * t)) + np.sin(2 * anomaly) * (0.019993 - 0.000101 * t) + np.sin(3 * anomaly) * 0.000289
+    apparent = np.radians(np.degrees(long) + centre - 0.00569 - 0.00478 * np.sin(node))
+    tilt = np.radians(23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60) / 60 + 0.00256 * np.cos(node))
+    declination, y = np.arcsin(np.sin(tilt) * np.sin(apparent)), np.tan(tilt / 2) ** 2
+    equation = 4 * np.degrees(y * np.sin(2 * long) - 2 * eccentric * np.sin(anomaly) + 4 * eccentric * y * np.sin(anomaly) * np.cos(2 * long) - 0.5 * y * y * np.sin(4 * long) - 1.25 * eccentric**2 * np.sin(2 * anomaly))
+    hour = ((minutes % 1440 + equation + 4 * lon) % 1440) / 4 - 180
+    la = math.radians(lat)
+    zenith = np.arccos(np.clip(math.sin(la) * np.sin(declination) + math.cos(la) * np.cos(declination) * np.cos(np.radians(hour)), -1, 1))
+    geometric, level = 90 - np.degrees(zenith), np.abs(np.sin(zenith)) <= 1e-9
+    north = np.degrees(np.arccos(np.clip((math.sin(la) * np.cos(zenith) - np.sin(declination)) / np.where(level, 1.0, math.cos(la) * np.sin(zenith)), -1, 1)))
+    azimuth = np.where(level, 180.0, np.where(hour > 0, north + 180, 540 - north) % 360)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tan = np.tan(np.radians(geometric))
+        low = 1735 + geometric * (-518.2 + geometric * (103.4 + geometric * (-12.79 + geometric * 0.711)))
+        lift = np.select([geometric > 85, geometric > 5, geometric > -0.575], [0.0, 58.1 / tan - 0.07 / tan**3 + 0.000086 / tan**5, low], -20.772 / tan)
+    return geometric, geometric + lift / 3600, azimuth

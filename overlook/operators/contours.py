@@ -49,8 +49,11 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
 
     All open spans are treated together, a level at a time: each point knows its span, distances are taken for all at
     once, and a grouped maximum splits the spans that need it. Where both ends are one place, distance is from that place.
+    A negative tolerance keeps all points.
     """
     n = len(points)
+    if tolerance < 0 or n < 3:
+        return np.ones(n, dtype=bool)
     keep = np.zeros(n, dtype=bool)
     keep[[0, n - 1]] = True
     while True:

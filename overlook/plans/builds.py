@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlook.functions import geo
+from overlook.functions import colour, geo
 from overlook.functions.spots import search_url
 from overlook.operators import contours, lattice, neighbourhood, pyramid, relief, reports, scoring, tiles, viewshed, water
 from overlook.sources import ledger, stores
@@ -132,23 +132,54 @@ def read_viewports(spark: SparkSession, out: str, views: DataFrame, budget: int
     return pyramid.scan_viewports(spark.read.parquet(f"{out}/tiles"), pyramid.viewports(views, levels, zoom, budget))
 
 
-def export_box(region: DataFrame, level: pyramid.Level, out: str, name: str) -> None:
-    """A single box of one signature set as byte tiles: land, water bits and each bearing's distance, one row a tile and layer."""
+#: What clients call the eye heights. Fixed values.
+LABELS = {0.0: "Ground", 1.7: "Standing", 5.0: "Second floor"}
+BOX = "centre array<double>, bounds array<double>, n int, azimuths int, states array<string>, ramp array<string>, eyes array<struct<cm:int,m:double,label:string>>, max_dist_km double, obs_step_m double, scale_km array<double>, canopy_m double"
+
+
+def box_meta(spark: SparkSession, lat0: float, lon0: float, core_km: float = 50.0, step: float = OBSERVER, azimuths: int = 32, max_dist_km: float = geo.MAX_DISTANCE / 1000, eyes: Sequence[float] = EYES, vegetation: Sequence[str] = VEGETATION, canopy_m: float = 2.0) -> DataFrame:
+    """What a client must know of a single box around a centre, one row: bounds are west, south, east, north."""
+    north, east = geo.metres_per_degree_at(lat0)
+    half = core_km * 500
+    bounds = [lon0 - half / east, lat0 - half / north, lon0 + half / east, lat0 + half / north]
+    ramp = ["#" + "".join(f"{round(c * 255):02X}" for c in rgb) for rgb in colour.SINGLE_HUE]
+    return spark.createDataFrame([([float(lat0), float(lon0)], bounds, round(2 * half / step) + 1, azimuths, list(vegetation), ramp, [(round(e * 100), float(e), LABELS.get(e)) for e in eyes], float(max_dist_km), float(step), [0.0, 8.0], float(canopy_m))], BOX)
+
+
+def read_box(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(byte tiles, metadata) of an exported box."""
+    return spark.read.parquet(f"{out}/layers"), spark.read.schema(BOX).json(f"{out}/data.json")
+
+
+def export_box(region: DataFrame, level: pyramid.Level, out: str, name: str, meta: DataFrame | None = None) -> None:
+    """A single box of one signature set as byte tiles: land, water bits and each bearing's distance, one row a tile and layer.
+
+    Layers go below ``out/layers``, each set beside those of others; ``meta`` (of ``box_meta``) to ``out/data.json``, first.
+    """
+    if meta is not None:
+        stores.write_region(meta, f"{out}/data.json")
     placed = pyramid.tiled(region, level)
     layers = [stores.byte_tiles(placed, "valid", 1, "valid"), stores.byte_tiles(placed, "water", 4, f"water_{name}")]
     by_bearing = placed.select("level", "tile_y", "tile_x", "row", "col", F.posexplode("dist").alias("az", "q"))
     # bearings of a cell stand side by side
     layers.append(stores.byte_tiles(by_bearing.withColumn("col", F.col("col") * F.lit(1000) + F.col("az")), "q", 1, f"dist_{name}"))
     every = layers[0].unionByName(layers[1]).unionByName(layers[2])
-    every.write.mode("overwrite").partitionBy("name").parquet(out)
+    # tiles stay where they were grouped: a layer's name alone would bring it to one task
+    every.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").parquet(stores.claim(region.sparkSession, f"{out}/layers"))
 
 
 def write_pilot(seen: DataFrame, meta: DataFrame, out: str) -> None:
     """The pilot's signatures and what they were made with: two tables of one archive."""
     stores.write_region(meta, f"{out}/meta.json")
+    stores.claim(seen.sparkSession, out)
     seen.write.mode("overwrite").parquet(f"{out}/signatures")
 
 
+def read_pilot(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(signatures, metadata) of a pilot's archive; columns that are not asked for are not read."""
+    return spark.read.parquet(f"{out}/signatures"), spark.read.json(f"{out}/meta.json")
+
+
 def spots_over(spots: DataFrame, wide: DataFrame, step: float, lat0: float, lon0: float, score: str = "score") -> DataFrame:
     """Fine ``spots`` (``rank, y, x``, metres from the centre) over a wide map (``y, x`` on a lattice of ``step``): distance, bearing, link and the map's own score.
 

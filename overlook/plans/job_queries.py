@@ -250,9 +250,9 @@ def byte_layers(spark, sf_dir):
     out = fresh_path(spark, "box")
     wide = fx.sig_wide(spark, sf_dir)
     level = pyramid.Level(1, 100.0, 1000, fx.COLS, 8, 55.3, 0.01, 11.1, 0.01)
-    builds.export_box(wide, level, out, "bare")
+    builds.export_box(wide, level, out, "bare", builds.box_meta(spark, 57.0, 12.0))
     elev = stores.byte_tiles(pyramid.tiled(wide, level), "elev_m", 2, "elev")
-    both = spark.read.parquet(out).select("name", "tile_y", "tile_x", "data").unionByName(elev.select("name", "tile_y", "tile_x", "data"))
+    both = builds.read_box(spark, out)[0].select("name", "tile_y", "tile_x", "data").unionByName(elev.select("name", "tile_y", "tile_x", "data"))
     return both.withColumn("data", F.hex("data"))
 
 @query(with_fixtures(CROSSINGS + f" SELECT DISTINCT e, major, round({D(LON0)} + x / {D(EAST_M)}, 5) AS lon, round({D(LAT0)} + y / {D(NORTH)}, 5) AS lat FROM x", "dem_smooth"))
@@ -266,6 +266,11 @@ def contour_features(spark, sf_dir):
     lines = spark.read.text(out).select(F.from_json("value", kind).alias("f"))
     return lines.select("f.properties.e", "f.properties.major", F.explode("f.geometry.coordinates").alias("p")).select("e", "major", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat")).distinct()
 
+@query()
+def contour_totals(spark, sf_dir):
+    """Lines of the smoothed raster with the production settings, simplified to 18 m: how many, and their points before and after."""
+    return builds.export_contours(fx.dem_smooth(spark, sf_dir), fx.raster_rows(spark, sf_dir), 64, fresh_path(spark, "contours"), LAT0, LON0)
+
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS tile, CAST(s_suppkey % 11 AS DOUBLE) AS west, CAST(s_suppkey % 11 + 1 AS DOUBLE) AS east, CAST(s_suppkey % 7 + 50 AS DOUBLE) AS south, CAST(s_suppkey % 7 + 51 AS DOUBLE) AS north FROM supplier")
 def tile_index(spark, sf_dir):
     """A GeoJSON index of tiles, written and read as one document."""

@@ -458,10 +458,13 @@ def _sun_ctes(source: str) -> str:
     sp AS (SELECT *, 90 - degrees(ze) AS geometric, degrees(acos(greatest(least((sin(radians(lat)) * cos(ze) - sin(de)) / (cos(radians(lat)) * sin(ze)), 1), -1))) AS fn FROM o)"""
 
 
+ELEVATION_SQL = f"""geometric + CASE WHEN geometric > 85 THEN 0 WHEN geometric > 5 THEN {D(58.1)} / tg - {D(0.07)} / pow(tg, 3) + {D(0.000086)} / pow(tg, 5)
+        WHEN geometric > {D(-0.575)} THEN 1735 + geometric * ({D(-518.2)} + geometric * ({D(103.4)} + geometric * ({D(-12.79)} + geometric * {D(0.711)}))) ELSE {D(-20.772)} / tg END / 3600"""
+
+
 @query(with_fixtures(_sun_ctes("sun_instants") + f""", q AS (SELECT *, tan(radians(geometric)) AS tg FROM sp)
     SELECT event_id, round(degrees(de), 5) AS declination, round(CASE WHEN ha > 0 THEN (fn + 180) % 360 ELSE (540 - fn) % 360 END, 4) AS azimuth,
-      round(geometric + CASE WHEN geometric > 85 THEN 0 WHEN geometric > 5 THEN {D(58.1)} / tg - {D(0.07)} / pow(tg, 3) + {D(0.000086)} / pow(tg, 5)
-        WHEN geometric > {D(-0.575)} THEN 1735 + geometric * ({D(-518.2)} + geometric * ({D(103.4)} + geometric * ({D(-12.79)} + geometric * {D(0.711)}))) ELSE {D(-20.772)} / tg END / 3600, 5) AS elevation FROM q""", "sun_instants"))
+      round({ELEVATION_SQL}, 5) AS elevation FROM q""", "sun_instants"))
 def sun_position(spark, sf_dir):
     """Declination, azimuth and refracted elevation at each event."""
     out = sun.with_position(fx.sun_instants(spark, sf_dir))
@@ -477,6 +480,18 @@ def sunset_minute(spark, sf_dir):
     return sun.horizon_crossing(places).withColumn("day", F.col("day").cast("string"))
 
 
+@query(with_fixtures(", x AS (SELECT s_suppkey, CAST(5530 + s_suppkey % 390 AS DOUBLE) / 100 AS lat, CAST(1110 + s_suppkey % 350 AS DOUBLE) / 100 AS lon, minute, DATE '2026-01-01' + CAST(s_suppkey * 7 % 365 AS INT) + to_minutes(CAST(minute AS BIGINT)) AS ts FROM supplier, range(0, 1441) r(minute))" + _sun_ctes("x") + f""", q AS (SELECT *, tan(radians(geometric)) AS tg, CASE WHEN ha > 0 THEN (fn + 180) % 360 ELSE (540 - fn) % 360 END AS azimuth FROM sp)
+    SELECT s_suppkey, count(*) FILTER (WHERE geometric > {D(-0.833)}) AS minutes_up, round(max({ELEVATION_SQL}), 5) AS highest, round(max_by(azimuth, minute) FILTER (WHERE geometric > {D(-0.833)}), 3) AS last_azimuth FROM q GROUP BY s_suppkey""", "spots"))
+def sun_days(spark, sf_dir):
+    """How long the sun is up at places on days of their own, how high it gets and where it is seen last, by a table function of SQL."""
+    tables.register(spark)
+    return spark.sql(
+        """WITH p AS (SELECT s_suppkey, CAST(5530 + s_suppkey % 390 AS DOUBLE) / 100 AS lat, CAST(1110 + s_suppkey % 350 AS DOUBLE) / 100 AS lon, date_add(DATE '2026-01-01', CAST(s_suppkey * 7 % 365 AS INT)) AS day FROM {supplier})
+        SELECT s_suppkey, count_if(geometric > -0.833D) AS minutes_up, round(max(elevation), 5) AS highest, round(max_by(azimuth, minute) FILTER (WHERE geometric > -0.833D), 3) AS last_azimuth FROM p, LATERAL sun_day(day, lat, lon) GROUP BY s_suppkey""",
+        supplier=fx.table(spark, sf_dir, "supplier"),
+    )
+
+
 _DRIFT = math.sin(math.radians(190)) / abs(math.cos(math.radians(190)))
 
 
@@ -510,6 +525,26 @@ def contour_lines(spark, sf_dir):
     return points.select("e", "major", R6("p.ys").alias("y"), R6("p.xs").alias("x")).distinct()
 
 
+_SEGMENTS = """, sq AS (SELECT a.iy, a.ix, a.z AS z00, b.z AS z01, d.z AS z10, e.z AS z11 FROM dem_smooth a JOIN dem_smooth b ON b.iy = a.iy AND b.ix = a.ix + 1 JOIN dem_smooth d ON d.iy = a.iy + 1 AND d.ix = a.ix JOIN dem_smooth e ON e.iy = a.iy + 1 AND e.ix = a.ix + 1),
+    k AS (SELECT *, (z00 > l) = ((z00 + z01 + z10 + z11) / CAST(4 AS DOUBLE) > l) AS apart, CASE WHEN (z00 > l) <> (z01 > l) THEN [CAST(iy AS DOUBLE), ix + (l - z00) / CAST(z01 - z00 AS DOUBLE)] END AS s, CASE WHEN (z10 > l) <> (z11 > l) THEN [CAST(iy + 1 AS DOUBLE), ix + (l - z10) / CAST(z11 - z10 AS DOUBLE)] END AS n,
+      CASE WHEN (z00 > l) <> (z10 > l) THEN [iy + (l - z00) / CAST(z10 - z00 AS DOUBLE), CAST(ix AS DOUBLE)] END AS w, CASE WHEN (z01 > l) <> (z11 > l) THEN [iy + (l - z01) / CAST(z11 - z01 AS DOUBLE), CAST(ix + 1 AS DOUBLE)] END AS e
+      FROM sq, range(0, 1000, 10) r(l) WHERE least(z00, z01, z10, z11) <= l AND greatest(z00, z01, z10, z11) > l),
+    m AS (SELECT *, list_filter([s, n, w, e], lambda p: p IS NOT NULL) AS met FROM k),
+    t AS (SELECT l, met[1] AS a, met[2] AS b FROM m WHERE len(met) = 2 UNION ALL SELECT l, s, CASE WHEN apart THEN e ELSE w END FROM m WHERE len(met) = 4 UNION ALL SELECT l, n, CASE WHEN apart THEN w ELSE e END FROM m WHERE len(met) = 4),
+    u AS (SELECT l, round(a[1] * 25, 6) AS ay, round(a[2] * 25, 6) AS ax, round(b[1] * 25, 6) AS "by", round(b[2] * 25, 6) AS bx FROM t), v AS (SELECT *, ay < "by" OR ay = "by" AND ax <= bx AS onward FROM u)"""
+
+
+@query(with_fixtures(_SEGMENTS + """ SELECT CAST(l AS BIGINT) AS e, l % 50 = 0 AS major, CASE WHEN onward THEN ay ELSE "by" END AS y1, CASE WHEN onward THEN ax ELSE bx END AS x1, CASE WHEN onward THEN "by" ELSE ay END AS y2, CASE WHEN onward THEN bx ELSE ax END AS x2 FROM v""", "dem_smooth"))
+def contour_steps(spark, sf_dir):
+    """From each point of a contour line to the next, not simplified: lines go through every square once, in order, and nowhere else."""
+    from overlook.operators.contours import contours
+
+    lines = contours(fx.dem_smooth(spark, sf_dir), 10.0, 5, 25.0, -1.0, 128)
+    points = F.zip_with("ys", "xs", lambda y, x: F.struct(F.round(y, 6).alias("y"), F.round(x, 6).alias("x")))
+    steps = lines.withColumn("p", points).select("e", "major", F.explode(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))).alias("s"))
+    return steps.select("e", "major", F.col("s.a.y").alias("y1"), F.col("s.a.x").alias("x1"), F.col("s.b.y").alias("y2"), F.col("s.b.x").alias("x2"))
+
+
 @query(with_fixtures(""", c AS (SELECT a.iy, a.ix, least(a.z, b.z, d.z, e.z) AS low, greatest(a.z, b.z, d.z, e.z) AS high FROM dem_smooth a JOIN dem_smooth b ON b.iy = a.iy AND b.ix = a.ix + 1 JOIN dem_smooth d ON d.iy = a.iy + 1 AND d.ix = a.ix JOIN dem_smooth e ON e.iy = a.iy + 1 AND e.ix = a.ix + 1)
     SELECT CAST(l AS DOUBLE) AS level, count(*) AS squares FROM c, range(0, 1000, 10) r(l) WHERE low <= l AND high > l GROUP BY l""", "dem_smooth"))
 def contour_squares(spark, sf_dir):

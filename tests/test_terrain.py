@@ -211,6 +211,22 @@ def test_lines_do_not_hang_on_tiles(spark):
                     left.remove(k)
                     todo.append(k)
     assert lines == len(want)
+    told = contours.totals(contours.contours(cells, 10.0, 5, 25.0, 12.0, 16)).first()
+    kept = sum(len(ys) for _, ys, _ in want.values())
+    # every line has a point more than it has segments
+    assert (told["lines"], told["points_in"], told["points_kept"]) == (lines, len(parts) + lines, kept) and kept < len(parts)
+    assert told["major_lines"] == sum(e % 50 == 0 for e, _ in want)
+
+
+def test_table_functions_of_sql(spark):
+    from overlook.functions import tables
+
+    tables.register(spark)
+    rows = "VALUES (1, DATE '2026-06-21', 57.0D, 12.0D), (2, NULL, 57.0D, 12.0D), (3, DATE '2026-06-21', 90.0D, 0.0D), (4, DATE '2026-12-21', -90.0D, 0.0D)"
+    got = spark.sql(f"WITH p AS (SELECT * FROM ({rows}) AS t(k, day, lat, lon)) SELECT k, count(*) AS n, max(elevation) AS high, count_if(isnan(azimuth)) AS bad FROM p, LATERAL sun_day(day, lat, lon) GROUP BY k").collect()
+    assert {r["k"]: (r["n"], r["bad"]) for r in got} == {1: (1441, 0), 3: (1441, 0), 4: (1441, 0)}
+    assert {r["k"]: round(r["high"]) for r in got} == {1: 56, 3: 23, 4: 23}
+    assert spark.sql("SELECT * FROM (VALUES (CAST(NULL AS DOUBLE)), (-1.0D)) AS t(reach), LATERAL rays(reach)").isEmpty()
 
 
 def test_simplify_by_the_recursive_rule():
