@@ -69,7 +69,8 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: i
     """
     named = _named(pages)
     ids = page_digests(pages) if digests is None else digests
-    last = ids.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
+    # cut off from its aggregate, so that the rows of one payload, however many, may be split where they meet it
+    last = cut(ids.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL"))
     revisits = (
         ids.join(last, ["digest", "size"]).where(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))).select(F.col("page_id").alias("rv_id"), F.col("digest").alias("rv_digest"), "keeper").distinct()
     )
@@ -274,7 +275,7 @@ def rebuild(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     Two payloads with one SHA-1 but different SHA-256 would be told apart for responses by SHA-256; a revisit takes the
     smaller SHA-256 then.
     """
-    by_sha1 = payloads.groupBy("digest").agg(F.min("sha256").alias("rb_sha256"))
+    by_sha1 = cut(payloads.groupBy("digest").agg(F.min("sha256").alias("rb_sha256")))  # as above: revisits of one payload may be many
     pointed = headers.join(by_sha1, "digest", "left").withColumn("rb_key", F.coalesce("sha256", "rb_sha256"))
     met = pointed.drop("sha256", "rb_sha256").join(payloads.drop("digest").withColumnRenamed("sha256", "rb_key"), "rb_key", "left").withColumnRenamed("rb_key", "sha256")
     names = [c for c in met.columns if c != "block"]

@@ -29,6 +29,15 @@ def test_pages_round_trip(spark, tmp_path, limit):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_records_of_one_payload_may_be_split(spark, tmp_path):
+    rows = [(i, "u", "hot" if i % 10 else f"own {i}") for i in range(400)]
+    out = round_trip(spark, tmp_path, rows, 0)
+    # joined with written tables: an aggregate on the digest would hold all rows of one digest in its partition
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.select("type", F.decode("payload", "UTF-8").alias("p")).groupBy("type", "p").count().collect()
+    assert {(r["type"], r["p"]): r["count"] for r in got} == {("revisit", "hot"): 359, ("response", "hot"): 1, **{("response", f"own {i}"): 1 for i in range(0, 400, 10)}}
+
+
 def test_empty_table(spark, tmp_path):
     assert round_trip(spark, tmp_path, []).count() == 0
 
