@@ -62,6 +62,13 @@ TEMPLATES = (
     ("AGPL-3.0", ("gnu", "affero", "general", "public", "3"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", ("apache", "2.0"), "Apache License, Version 2.0"),
     ("MPL-2.0", ("mozilla", "2.0"), "Mozilla Public License 2.0"),
+    ("Apache-2.0", ("apache", "2.0"), "Licensed under Apache 2.0."),
+    ("GPL-3.0", ("gpl", "v3"), "License: GPL v3 or later."),
+    ("GPL-2.0", ("gpl", "v2"), "License: GPL v2 or later."),
+    ("MIT", ("mit",), "License: MIT"),
+    ("MIT", ("mit",), "Distributed under the terms of the MIT licence."),
+    ("BSL-1.0", ("boost", "1.0"), "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", ("eclipse", "2.0"), "Made available under the terms of the Eclipse Public License 2.0."),
 )
 #: Names of the four-point-nought Creative Commons licenses, by their elements. Fixed values.
 _ELEMENTS = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
@@ -77,8 +84,16 @@ def _by_rule():
         if end == "nd":
             yield name, ("cc", "-".join(parts), "4.0"), f"Licensed under CC {'-'.join(parts).upper()} 4.0."
         yield name, ("spdx-license-identifier", name.lower()), f"SPDX-License-Identifier: {name}"
-    for name in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "ISC", "Unlicense"):
+        for version in ("2.0", "2.5", "3.0"):
+            older = name.replace("4.0", version)
+            yield older, ("cc", "-".join(parts), version), f"Licensed under CC {'-'.join(parts).upper()} {version}."
+            yield older, ("creative", "commons", title.lower(), version), f"This work is licensed under a Creative Commons {title} {version} Unported License."
+            yield older, ("spdx-license-identifier", older.lower()), f"SPDX-License-Identifier: {older}"
+    for name in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "ISC", "Unlicense", "BSL-1.0", "Zlib", "EPL-2.0", "0BSD", "MIT-0"):
         yield name, ("spdx-license-identifier", name.lower()), f"SPDX-License-Identifier: {name}"
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+        for end in ("-only", "-or-later"):
+            yield name, ("spdx-license-identifier", f"{name}{end}".lower()), f"SPDX-License-Identifier: {name}{end}"
 
 
 #: Words that a full license text is named by; the texts stand in ``wording``. Fixed values.

@@ -111,6 +111,26 @@ def test_license_scan_equals_plain_loop(spark, small):
     assert planted == len({i for i, _, name in got if name == "Apache-2.0"})
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("License: MIT", "MIT"), ("This is distributed under the terms of the MIT licence.", "MIT"), ("License: GPL v3 or later", "GPL-3.0"), ("It is Licensed under Apache 2.0", "Apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("# SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("SPDX-License-Identifier: Zlib", "Zlib"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"), ("Licensed under CC BY 2.5.", "CC-BY-2.5"), ("SPDX-License-Identifier: CC-BY-NC-ND-3.0", "CC-BY-NC-ND-3.0"),
+    ],
+)
+def test_common_license_wordings(text, name):
+    s = licenses.Scanner()
+    for before, after in (("", ""), ("Some words of prose come first. ", "\nAnd more of them follow here, at length.\n")):
+        assert {r[1] for r in s.scan(before + text + after)} == {name}
+
+
+def test_versions_and_names_are_not_mixed_up():
+    s = licenses.Scanner()
+    for text in ("SPDX-License-Identifier: GPL-3.0-or-never", "Licensed under CC BY-SA 1.7.", "License: MID", "License: GPL v9 or later"):
+        assert {r[5] for r in s.scan(text)} <= {"unknown"}, text
+
+
 def test_license_edges(spark):
     d = docs(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (None, "Released under the MIT License.", "en", None), (3, "Released under the MIT License.", "en", "a"), (3, "Released under the MIT License.", "en", "a")])
     got = licenses.scan(d.withColumn("license", F.lit("mine"))).collect()
