@@ -1,7 +1,8 @@
 """Toxicity: noisy-channel deobfuscation, then a scored text.
 
-Words that look obfuscated (digits or signs among letters, letters set apart, letters repeated) become a lattice of what
-each character may stand for. A character trigram model, counted over the corpus, finds the likeliest path by Viterbi.
+Texts are read in compatibility form (full-width and styled letters as plain ones), without stray accents and invisible
+characters. Words that look obfuscated (digits, signs, masks or letters of another script among letters, letters set apart,
+letters repeated) become a lattice of what each character may stand for. A character trigram model, counted over the corpus, finds the likeliest path by Viterbi.
 The restored words, beside the words as they stand, are evidence: whole words, and how many different words with one
 beginning stand in a text. Evidence that labels bear out is weighed by logistic regression, and its log-odds add up.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -38,10 +40,23 @@ COUNTED = 4
 STRETCH, OVERLAP = 80, 24
 #: What a sign may stand for, fixed.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+#: Letters of other scripts by the Latin ones that they look like, fixed.
+ALIKE = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "п": "n", "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    "α": "a", "β": "b", "ϲ": "c", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i",
+}
+#: Invisible characters (ignorable by default) and accents that compose with no letter.
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
+ACCENTS = re.compile("[\u0300-\u036f\u20d0-\u20f0]+")
+#: What stands for a letter that is not shown.
+MASKS = re.compile("[*•●█]")
 GAPS = ".-_*~'·,:;/\\ #"
-SIGN_COST, SAME_COST, GAP_COST, DROP_COST, BREAK_COST = 0.7, 6.0, 0.1, 0.5, 0.4
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|])){2,}(?![^\W_])")
-TRIPLE = re.compile(r"(.)\1\1")
+SIGN_COST, SAME_COST, GAP_COST, DROP_COST, BREAK_COST, ALIKE_COST, MASK_COST = 0.7, 6.0, 0.1, 0.5, 0.4, 0.5, 2.0
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[\s.\-_*~·]++(?:[^\W_]|[@$!|])){2,}(?![^\W_])")
+SPACE, WIDE = re.compile(r"\s"), re.compile(r"([ .\-_*~·]{2})[ .\-_*~·]+")
+TWICE, TRIPLE, SIGN_TWICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1"), re.compile(r"([^\w\s]|\d)\1+")
+#: Share of a word's letters that stand twice from which the word is read with each of them once.
+DOUBLED = 0.75
 LETTERS, SAME = re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"(.)\1{3,}")
 #: Characters of a word up to which its reading is remembered.
 LONG = 80
@@ -56,12 +71,11 @@ SURE = 5
 def _codes() -> np.ndarray:
     """Symbol of each code point: 0 for what is no letter, 1 to 26 for a to z, others share the rest."""
     out = np.zeros(0x110000, dtype=np.int32)
-    for i in range(0x3000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = ord(c.lower()[0])
             out[i] = low - 96 if 97 <= low <= 122 else 27 + low % 36
-    out[0x3000:0x30000] = 27 + np.arange(0x3000, 0x30000) % 36
     out[48:58] = 63
     return out
 
@@ -101,17 +115,18 @@ def character_model(texts: DataFrame) -> np.ndarray:
 def options(word: str, i: int, spaced: bool = False) -> list[tuple[str, float]]:
     """What character ``i`` may stand for, with costs; the empty string drops it. Among spaced letters a gap may end a word."""
     c = word[i]
+    run = i and word[i - 1] == c and (word[i + 1 : i + 2] == c or word[i - 2 : i - 1] == c)  # of three at least
     if c.isalpha():
-        out = [(c, 0.0)]
-        if i and word[i - 1] == c and (word[i + 1 : i + 2] == c or word[i - 2 : i - 1] == c):  # a run of three at least
-            out.append(("", DROP_COST))
-        return out
+        out = [(c, 0.0)] + [(x, ALIKE_COST) for x in ALIKE.get(c, "")]
+        return [*out, ("", DROP_COST)] if run else out
     out = [(x, SIGN_COST) for x in SIGNS.get(c, "")]
+    if MASKS.match(c) and not spaced and 0 < i < len(word) - 1:
+        out += [(x, MASK_COST) for x in "abcdefghijklmnopqrstuvwxyz"]
     if c in GAPS or c in ENDS:
         out.append(("", GAP_COST))
         if spaced:
             out.append((" ", BREAK_COST))
-    elif i and word[i - 1] == c:
+    elif run:
         out.append(("", DROP_COST))
     return out or [(c, SAME_COST)]
 
@@ -139,6 +154,39 @@ def _spelled(path: tuple | None) -> str:
     return "".join(reversed(out))
 
 
+def plain(text: str) -> str:
+    """A text in lower case and compatibility form, without accents that compose with no letter."""
+    return text.lower() if text.isascii() else ACCENTS.sub("", unicodedata.normalize("NFKC", text).lower())
+
+
+def alike(word: str) -> bool:
+    """Whether a word mixes Latin letters with ones that look like them, or has only such letters."""
+    return not word.isascii() and any(c in ALIKE for c in word) and all(c in ALIKE or c.isascii() for c in word)
+
+
+def doubled(word: str) -> bool:
+    """Whether most letters of a word stand twice, as no word is spelled."""
+    return 2 * len(TWICE.findall(word)) >= DOUBLED * len(word)
+
+
+@functools.lru_cache(maxsize=10_000)
+def mask(word: str) -> re.Pattern | None:
+    """Pattern of the words that a word with masked letters may stand for; at least half of its letters must be shown."""
+    hidden = len(MASKS.findall(word))
+    if not hidden or len(word) < 4 or 2 * hidden > len(word):
+        return None
+    return re.compile("".join(r"[^\W\d_]" if MASKS.match(c) else f"[{re.escape(c + SIGNS.get(c, '') + ALIKE.get(c, ''))}]" for c in word))
+
+
+def hinted(clues: set[str], known: tuple[str, ...]) -> set[str]:
+    """The ``known`` words that clues hold: masked words that they fit, or letters set apart in which those of SURE letters stand."""
+    out: set[str] = set()
+    for c in clues:
+        fits = mask(c)
+        out.update(w for w in known if (len(w) == len(c) and fits.fullmatch(w) if fits else len(w) >= SURE and w in c))
+    return out
+
+
 class Restorer:
     """All words of a text: as they stand and, where they look obfuscated, restored. Remembers some words."""
 
@@ -152,28 +200,50 @@ class Restorer:
         word = (LETTERS if len(word) <= LONG else SAME).sub(r"\1\1\1", word)
         return self.short(word) if len(word) <= LONG else self.long(word)
 
-    def words(self, text: str | None, known: tuple[str, ...] = ()) -> set[str]:
-        """The words of a text; of ``known`` ones also those inside letters set apart, wherever they begin and end."""
-        low = (text or "").lower()
+    def read(self, text: str | None) -> tuple[set[str], set[str]]:
+        """The words of a text, and clues to others: masked words and letters set apart (see ``hinted``)."""
+        low = plain(text or "")
         out: set[str] = set()
+        clues: set[str] = set()
+        if INVISIBLE.search(low):  # such characters may part words or stand inside them
+            out.update(w for t in low.split() if INVISIBLE.search(t) for w in WORD.findall(t))
+            low = INVISIBLE.sub("", low)
         for token in set(low.split()):
             core = token.strip(ENDS)
             if core.isalpha():
                 out.add(core)
-                if TRIPLE.search(core):
+                if TWICE.search(core):
+                    if TRIPLE.search(core):
+                        out.add(self.one(core))
+                    elif doubled(core):
+                        out.add(self.one(TWICE.sub(r"\1\1\1", core)))  # in runs of three each letter may go
+                if alike(core):
                     out.add(self.one(core))
             elif core:
                 out.update(WORD.findall(core))
             bare = token.strip(".,;:?\"'()[]{}<>*#%&-_~/")  # signs that stand for letters may open or close a word
             if not bare.isalpha() and len(bare) > 2 and sum(c.isalpha() or c in SIGNS for c in bare) > 2 and any(c.isalpha() for c in bare):
                 out.add(self.one(bare))
+                if SIGN_TWICE.search(bare):
+                    out.add(self.one(SIGN_TWICE.sub(r"\1", bare)))
+            if mask(bare := token.strip(ENDS.replace("@", "").replace("$", "").replace("!", "").replace("|", ""))):
+                out.add(self.one(bare))
+                clues.add(bare)
         for m in SPACED.finditer(low):
-            for at in range(0, max(1, len(m[0]) - OVERLAP), STRETCH - OVERLAP):
-                joined = self.one(m[0][at : at + STRETCH])
+            if not any(c.isalpha() for c in m[0]):
+                continue
+            apart = WIDE.sub(r"\1", SPACE.sub(" ", m[0]))
+            for at in range(0, max(1, len(apart) - OVERLAP), STRETCH - OVERLAP):
+                joined = self.one(apart[at : at + STRETCH])
                 out.update(joined[i:] for i in range(len(joined)))  # read as one word, its beginning unknown
-                out.update(w for w in known if w in joined)
-                out.update(w for w in self.spaced(m[0][at : at + STRETCH]).split() if w.isalpha())  # and as a sentence
-        return out
+                clues.add(joined)
+                out.update(w for w in self.spaced(apart[at : at + STRETCH]).split() if w.isalpha())  # and as a sentence
+        return out, clues
+
+    def words(self, text: str | None, known: tuple[str, ...] = ()) -> set[str]:
+        """The words of a text, and those of ``known`` that its clues hold."""
+        out, clues = self.read(text)
+        return out | hinted(clues, known)
 
 
 def features(words: set[str]) -> set[str]:
@@ -220,13 +290,18 @@ def weigh(found: list[tuple[int, int, list[str]]], names: list[str], ridge: floa
     return dict(zip(names, w)), b
 
 
+def known_words(names) -> tuple[str, ...]:
+    """The words among the names of features."""
+    return tuple(sorted(f[:-1] for f in names if f.endswith("$")))
+
+
 class Scorer:
     """Log-odds of features and of a text without any; the words' restorer is made anew in each worker."""
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], base: float):
         self.model, self.weights, self.base, self.restorer = model.astype(np.float32), {f: w for f, w in weights.items() if w > 0}, base, None
         self.begins = {f.rpartition("@")[0] for f in self.weights if "@" in f}
-        self.known = tuple(w for f in self.weights if f.endswith("$") and len(w := f[:-1]) >= SURE)
+        self.known = known_words(self.weights)
 
     def __getstate__(self):
         return {**self.__dict__, "restorer": None}
@@ -245,8 +320,24 @@ def _features_of(restorer_model):
     def run(batches):
         restorer = Restorer(restorer_model.value)
         for b in batches:
-            found = [sorted(features(restorer.words(t.as_py()))) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "f"])
+            read = [restorer.read(t.as_py()) for t in b.column("text")]
+            lists = [pa.array([sorted(x) for x in part], pa.list_(pa.string())) for part in ([features(w) for w, _ in read], [w if c else () for w, c in read], [c for _, c in read])]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *lists], ["toxic", "f", "w", "c"])
+
+    return run
+
+
+def _held(names: list[str]):
+    """Rows (toxic, f) with those of their features that are among ``names``; clues count as they do in a score."""
+    known, wanted = known_words(names), set(names)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for f, w, c in zip(*(b.column(x).to_pylist() for x in ("f", "w", "c"))):
+                more = hinted(set(c), known) - set(w) if c else ()
+                out.append(sorted(wanted & (features(set(w) | more) if more else set(f))))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.string()))], ["toxic", "f"])
 
     return run
 
@@ -265,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     model = character_model(texts)
     rows = texts.join(F.broadcast(drawn), F.col("tx_doc") == F.col("tx_id")).select(F.col("text"), F.when(F.col("tx_toxic") > 0, 1).otherwise(0).alias("toxic"))
     with bounded(docs.sparkSession):
-        read = written(rows.mapInArrow(sliced(_features_of(context.broadcast(model)), 200), "toxic int, f array<string>"), "toxicity-features")
+        read = written(rows.mapInArrow(sliced(_features_of(context.broadcast(model)), 200), "toxic int, f array<string>, w array<string>, c array<string>"), "toxicity-features")
     tally = {r[0]: r[1] for r in read.groupBy("toxic").count().collect()}
     share = tally.get(1, 0) / max(1, sum(tally.values()))
     counts = cut(read.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")))
@@ -273,8 +364,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     # features that stand in MIN_TOXIC toxic texts of the drawn ones, mostly in toxic ones
     strong = counts.where((F.col("k") >= MIN_TOXIC) & (F.col("k") >= PURITY * F.col("n"))).collect()
     names = sorted(borne_out([(r["f"], r["k"], r["n"] - r["k"]) for r in strong], as_frequent, share))
-    held = F.array_intersect("f", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))
-    found = read.select("toxic", held.alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()  # at most a row for each drawn text
+    with bounded(docs.sparkSession):
+        held = read.mapInArrow(sliced(_held(names), 200), "toxic int, f array<string>")
+        found = held.groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()  # at most a row for each drawn text
     weights, base = weigh([(r["n"], r["k"], r["f"]) for r in found], names)
     return Scorer(model, weights, base)
 
@@ -283,6 +375,7 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     """``docs`` with ``column`` added (replaced, if it is there): the toxicity of each whole text, 0 to 1.
 
     Null and empty texts get the chance of texts without evidence; rows that repeat get equal scores; an empty table stays empty.
+    A text of any length is read in one piece, letters set apart in it in stretches that overlap.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     plain = docs.drop(column)

@@ -133,6 +133,40 @@ def test_a_sentence_of_spaced_letters(spark):
     assert scorer.score(" ".join("xqzidiotvvk")) > 0.7 > scorer.score(" ".join("xqzidoitvvk"))
 
 
+DISGUISES = {
+    "three spaces": "s   t   u   p   i   d", "one a line": "s\nt\nu\np\ni\nd", "tabs and lines": "s\t\tt \n u\r\n p\n\n\n\n\n\n\n\n\ni d", "all doubled": "sttuuppiidd", "every one doubled": "ssttuuppiidd",
+    "Cyrillic": "ѕtuріd", "Cyrillic throughout": "ѕтцріԁ", "Greek": "sτυριd", "full width": "ｓｔｕｐｉｄ", "mathematical": "𝐬𝐭𝐮𝐩𝐢𝐝", "zero width": "st​up⁠id", "soft hyphen": "stu­pid", "struck through": "s̶t̶u̶p̶i̶d",
+    "masked": "st*pid", "masked twice": "$t*p•d",
+}
+
+
+@pytest.mark.parametrize("name", DISGUISES)
+def test_disguises(spark, name):
+    texts = spark.createDataFrame([("the stupid idiot was here and the garden was green and a fool said so at school " * 20,)], "text string")
+    restorer = toxicity.Restorer(toxicity.character_model(texts))
+    assert "stupid" in restorer.words(f"you are {DISGUISES[name]} indeed", ("stupid",))
+    if "masked" not in name:
+        assert "stupid" in restorer.words(f"you are {DISGUISES[name]} indeed")
+
+
+def test_what_is_no_disguise(spark):
+    texts = spark.createDataFrame([("the stupid idiot was here and the committee keeps a bookkeeper in tennessee, а сахар у нас " * 20,)], "text string")
+    restorer = toxicity.Restorer(toxicity.character_model(texts))
+    plain = "The committee, a bookkeeper: 2*3 **bold** сахар u.s. café"
+    assert restorer.words(plain, ("stupid", "idiot", "gold")) == {"the", "committee", "a", "bookkeeper", "bold", "сахар", "u", "s", "café"} | restorer.words("u.s.") | restorer.words("2*3")
+    assert {"left", "right"} <= restorer.words("left​right") and "fool" in restorer.words("f00l") and toxicity.mask("s*") is None
+    assert toxicity.code("\U00031350") > 26 and toxicity.code("\U0001f600") == 0
+
+
+def test_weights_learn_from_what_scores_read(spark):
+    """Masked and spaced words that only known words explain are evidence while weights are fitted, too."""
+    rows = [(i, "you zorgle today") for i in range(0, 60, 2)] + [(i, "you z*rgle today") for i in range(1000, 1040)] + [(i, f"calm words to you about {i} today") for i in range(1, 400, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (~F.col("text").startswith("calm")).cast("int").alias("toxic"))
+    scorer = toxicity.fit(docs, labels)
+    assert scorer.score("you z*rgle today") > 0.7 and scorer.score("z   o   r   g   l   e") > 0.7 > scorer.score("you z*zzle today, you zirkle")
+
+
 def test_evidence_adds_up():
     found = [(40, 0, []), (10, 6, ["a$"]), (10, 6, ["b$"]), (5, 5, ["a$", "b$"])]
     weights, base = toxicity.weigh(found, ["a$", "b$"])
