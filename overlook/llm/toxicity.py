@@ -54,7 +54,7 @@ GAPS = ".-_*~'·,:;/\\ #"
 SIGN_COST, SAME_COST, GAP_COST, DROP_COST, BREAK_COST, ALIKE_COST, MASK_COST = 0.7, 6.0, 0.1, 0.5, 0.4, 0.5, 2.0
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[\s.\-_*~·]++(?:[^\W_]|[@$!|])){2,}(?![^\W_])")
 SPACE, WIDE = re.compile(r"\s"), re.compile(r"([ .\-_*~·]{2})[ .\-_*~·]+")
-TWICE, TRIPLE, SIGN_TWICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1"), re.compile(r"([^\w\s]|\d)\1+")
+TWICE, TRIPLE, SIGN_TWICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1"), re.compile(r"([0-9@$!|+(€£¡])\1+")
 #: Share of a word's letters that stand twice from which the word is read with each of them once.
 DOUBLED = 0.75
 LETTERS, SAME = re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"(.)\1{3,}")
@@ -62,6 +62,8 @@ LETTERS, SAME = re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"(.)\1{3,}")
 LONG = 80
 WORD = re.compile(r"[^\W\d_]+")
 ENDS = ".,;:!?\"'()[]{}<>*#%&$-_~|/\\"
+#: Signs that stand for letters may open or close a word.
+BARE, MASKED = ".,;:?\"'()[]{}<>*#%&-_~/", ".,;:?\"'()[]{}<>*#%&-_~/\\"
 SYMBOLS = 64
 #: Letters of a word that is looked for inside letters set apart, where words have no ends.
 SURE = 5
@@ -161,7 +163,7 @@ def plain(text: str) -> str:
 
 def alike(word: str) -> bool:
     """Whether a word mixes Latin letters with ones that look like them, or has only such letters."""
-    return not word.isascii() and any(c in ALIKE for c in word) and all(c in ALIKE or c.isascii() for c in word)
+    return any(c in ALIKE for c in word) and all(c in ALIKE or c.isascii() for c in word)
 
 
 def doubled(word: str) -> bool:
@@ -217,16 +219,20 @@ class Restorer:
                         out.add(self.one(core))
                     elif doubled(core):
                         out.add(self.one(TWICE.sub(r"\1\1\1", core)))  # in runs of three each letter may go
-                if alike(core):
+                if not core.isascii() and alike(core):
                     out.add(self.one(core))
+                if core == token:
+                    continue
             elif core:
                 out.update(WORD.findall(core))
-            bare = token.strip(".,;:?\"'()[]{}<>*#%&-_~/")  # signs that stand for letters may open or close a word
-            if not bare.isalpha() and len(bare) > 2 and sum(c.isalpha() or c in SIGNS for c in bare) > 2 and any(c.isalpha() for c in bare):
+            bare = token.strip(BARE)
+            if bare.isalpha():
+                continue
+            if len(bare) > 2 and sum(c.isalpha() or c in SIGNS for c in bare) > 2 and any(c.isalpha() for c in bare):
                 out.add(self.one(bare))
                 if SIGN_TWICE.search(bare):
                     out.add(self.one(SIGN_TWICE.sub(r"\1", bare)))
-            if mask(bare := token.strip(ENDS.replace("@", "").replace("$", "").replace("!", "").replace("|", ""))):
+            if MASKS.search(bare) and mask(bare := token.strip(MASKED)):
                 out.add(self.one(bare))
                 clues.add(bare)
         for m in SPACED.finditer(low):
