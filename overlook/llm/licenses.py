@@ -127,6 +127,14 @@ TAKEN = ""
 DIFFERENT = 0.15
 LEVEL = 9
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-'][A-Za-z0-9]+)*")
+#: What denies a license, within NEAR words in front of it, and what ends a denial. Fixed words.
+DENIED = frozenset("not never no nor neither isn't aren't wasn't weren't don't doesn't cannot can't".split())
+TURN = frozenset("but only rather instead just merely".split())
+NEAR = 5
+STOP = re.compile(r"[.,;:!?]|\n[ \t]*\n")
+#: The beginning and the further parts of an SPDX expression.
+SPDX = re.compile(r"(SPDX-License-Identifier:)[ \t(]*[A-Za-z0-9][A-Za-z0-9.\-]*\+?", re.I)
+NEXT = re.compile(r"[ \t()]+(OR|AND|WITH)[ \t(]+([A-Za-z0-9][A-Za-z0-9.\-]*\+?)", re.I)
 #: Words of a template beyond which its place is found by runs of SHINGLE words before words are compared.
 SHORT, SHINGLE = 40, 4
 
@@ -226,6 +234,39 @@ def matching(a: list[str], b: list[str], small: int = 60_000) -> list[tuple[int,
     return []
 
 
+def spread(text: str):
+    """A text with an SPDX line of its own for each license of an expression, and a function from its places to those of ``text``."""
+    out, new, old, last = [], [0], [(0, True)], 0
+    for m in SPDX.finditer(text):
+        at = m.end()
+        while n := NEXT.match(text, at):
+            at = n.end()
+            if n[1].upper() != "WITH":
+                for piece, place, moves in ((text[last : n.start()], last, True), (f"\n{m[1]} {n[2]}", n.start(2), False)):
+                    old[-1] = (place, moves)
+                    out.append(piece)
+                    new.append(new[-1] + len(piece))
+                    old.append((at, True))
+                last = at
+    out.append(text[last:])
+
+    def back(place: int) -> int:
+        i = bisect_right(new, place) - 1
+        return old[i][0] + (place - new[i]) * old[i][1]
+
+    return "".join(out), back
+
+
+def denied(text: str, places: list[tuple[int, int]], words: list[str], first: int) -> bool:
+    """Whether a negation stands closely in front of a word, with no stop and no turn between."""
+    for j in range(first - 1, max(-1, first - 1 - NEAR), -1):
+        if words[j] in TURN or STOP.search(text, places[j][1], places[j + 1][0]):
+            return False
+        if words[j] in DENIED:
+            return True
+    return False
+
+
 class Scanner:
     """Compressors for each template; made anew in each worker."""
 
@@ -334,9 +375,18 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[int, str | None, int, str | None, str | None, str]]:
         """(first character, license, bytes saved, missing words, inserted words, verdict) of each license found.
 
-        Every occurrence is a row. ``verdict`` is ``exact``, ``changed`` (small differences) or ``unknown``: a run of
-        lines with license wording in which nothing is found; its license is null.
+        Every occurrence is a row. ``verdict`` is ``exact``, ``changed`` (small differences), ``denied`` (a short wording
+        behind a negation: not released under ...) or ``unknown``: a run of lines with license wording in which nothing is
+        found; its license is null. Each license of an SPDX expression is a row, where it stands; exceptions (``WITH``) are
+        passed over. Of templates that save equally, the one listed first is tried first.
         """
+        if text and SPDX.search(text):
+            text, back = spread(text)
+            return sorted({(back(at), name, *rest) for at, name, *rest in self.found(text)}, key=lambda r: (r[0], r[1] or ""))
+        return self.found(text)
+
+    def found(self, text: str | None) -> list[tuple[int, str | None, int, str | None, str | None, str]]:
+        """``scan`` of a text in which an SPDX line names one license."""
         hints = [m.span() for m in _HINT.finditer(text or "")]
         if not hints:
             return []
@@ -364,7 +414,10 @@ class Scanner:
                         if any(start < y and end > x for x, y in taken):
                             continue  # words that another template explains more of
                         taken.append((start, end))
-                        out.append((places[lo + start][0], name, -gain, " ".join(missing), " ".join(inserted), "changed" if missing or inserted else "exact", places[lo + end - 1][1]))
+                        verdict = "changed" if missing or inserted else "exact"
+                        if end - start <= SHORT and denied(text, places, words, lo + start):
+                            verdict = "denied"
+                        out.append((places[lo + start][0], name, -gain, " ".join(missing), " ".join(inserted), verdict, places[lo + end - 1][1]))
                         words[lo + start : lo + end] = [TAKEN] * (end - start)
                     if not taken:
                         break

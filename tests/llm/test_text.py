@@ -131,6 +131,28 @@ def test_versions_and_names_are_not_mixed_up():
         assert {r[5] for r in s.scan(text)} <= {"unknown"}, text
 
 
+@pytest.mark.parametrize(
+    "text,verdict",
+    [
+        ("This code is not released under the MIT License.", "denied"), ("It was never\n# released under the MIT License.", "denied"), ("This isn't licensed under CC BY 4.0.", "denied"),
+        ("No warranty. Released under the MIT License.", "exact"), ("It is not sold but released under the MIT License.", "exact"), ("Not free of bugs, released under the MIT License.", "exact"), ("Released under the MIT License.", "exact"),
+    ],
+)
+def test_denied_licenses(text, verdict):
+    assert [r[5] for r in licenses.Scanner().scan(text)] == [verdict]
+
+
+def test_spdx_expressions():
+    text = "int a;\n// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nint b; # SPDX-License-Identifier: ISC\nMIT License"
+    got = licenses.Scanner().scan(text)
+    assert [(r[1], r[5]) for r in got] == [("MIT", "exact"), ("Apache-2.0", "exact"), ("GPL-2.0", "exact"), ("ISC", "exact"), ("MIT", "exact")]
+    assert [text[r[0] :].split()[0].strip("()") for r in got] == ["SPDX-License-Identifier:", "Apache-2.0", "GPL-2.0-only", "SPDX-License-Identifier:", "MIT"]
+    assert licenses.spread(text)[0].count("SPDX-License-Identifier:") == 4
+    for one in ("SPDX-License-Identifier: MIT", "SPDX-License-Identifier: MIT\nOR not", "x SPDX-License-Identifier: "):
+        moved, back = licenses.spread(one)
+        assert moved == one and all(back(i) == i for i in range(len(one)))
+
+
 def test_license_edges(spark):
     d = docs(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (None, "Released under the MIT License.", "en", None), (3, "Released under the MIT License.", "en", "a"), (3, "Released under the MIT License.", "en", "a")])
     got = licenses.scan(d.withColumn("license", F.lit("mine"))).collect()
