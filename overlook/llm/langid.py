@@ -8,6 +8,7 @@ Popcounts by language over a whole text, corrected for each filter's false posit
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,12 @@ from overlook.plans.shared import cut
 N = 3
 HASHES = 4
 #: An n-gram is in a language's filter if seen MIN_COUNT times there, makes at least MIN_SHARE of the language's n-grams, and
-#: has at least SHARE of its highest relative frequency in any language. So a filter holds 1 / MIN_SHARE n-grams at most.
+#: has at least SHARE of its highest relative frequency in any language. So a filter holds 1 / MIN_SHARE n-grams at most;
+#: ``learn`` takes another share, and 0 keeps all that are seen MIN_COUNT times.
 MIN_COUNT, MIN_SHARE = 5, 2e-6
 SHARE = 0.3
-#: Positions for each n-gram of the largest filter: with four hashes a false positive has a chance of 0.0024 at most. The
-#: table has 2 ** 23 positions at most, 64 MB for each word of languages, whatever the corpus.
+#: Positions for each n-gram of the largest filter: with four hashes a false positive has a chance of 0.0024 at most. With
+#: MIN_SHARE the table has 2 ** 23 positions at most, 64 MB for each word of languages, whatever the corpus.
 ROWS_PER_GRAM = 16
 #: Code points taken at once, with an overlap of N - 1.
 PIECE = 1 << 20
@@ -36,18 +38,20 @@ BITS = 62
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or a space if it is no letter."""
+    """For each code point its lower-case letter, a mark (vowel signs and accents belong to words) as it is, or a space."""
     out = np.full(0x110000, 32, dtype=np.uint32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
             out[i] = ord(low[0]) if len(low) == 1 else i
+        elif unicodedata.category(c)[0] == "M":
+            out[i] = i
     return out
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool((_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] != 32).any())
+    return any(map(str.isalpha, text or ""))
 
 
 def grams(text: str | None):
@@ -139,9 +143,10 @@ class Filters:
         return (self.langs[best], float(min(1.0, true[best]))) if true[best] > 0 else (self.prior, 0.0)
 
 
-def learn(rows: DataFrame) -> Filters:
-    """Filters from all ``rows`` (lang, text). Only the filter's positions come to the driver, whose number MIN_SHARE bounds.
+def learn(rows: DataFrame, min_share: float = MIN_SHARE) -> Filters:
+    """Filters from all ``rows`` (lang, text). Only the filter's positions come to the driver, whose number ``min_share`` bounds.
 
+    At 0 no n-gram goes for being rare in a large corpus, and the table grows with the number of different n-grams instead.
     The table is as large as the largest filter needs. Rows that repeat count each; rows without language or text teach nothing.
     """
     counts = cut(gram_counts(rows))
@@ -151,7 +156,7 @@ def learn(rows: DataFrame) -> Filters:
     if not langs:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), "und")
     freq = counts.join(F.broadcast(by_lang), "lang").withColumn("p", F.col("n") / F.col("total"))
-    kept = freq.withColumn("top", F.max("p").over(W.partitionBy("gram"))).where((F.col("n") >= MIN_COUNT) & (F.col("p") >= MIN_SHARE) & (F.col("p") >= F.col("top") * SHARE))
+    kept = freq.withColumn("top", F.max("p").over(W.partitionBy("gram"))).where((F.col("n") >= MIN_COUNT) & (F.col("p") >= min_share) & (F.col("p") >= F.col("top") * SHARE))
     kept = cut(kept.select("lang", "gram", "p"))
     index = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
     coded = kept.select("gram", "p", index.cast("int").alias("i"))

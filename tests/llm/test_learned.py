@@ -84,6 +84,17 @@ def test_all_letters_count(spark):
     assert [(r["lang_pred"], r["score"] > 0) for r in langid.predict(d, filters).collect()] == [("en", True)]
 
 
+def test_marks_belong_to_words_and_rare_grams_can_stay(spark):
+    hindi, thai = "हिन्दी में लिखा हुआ वाक्य", "ที่นี่มีน้ำอยู่"
+    (keys,) = langid.grams("हिन्दी")
+    assert len(keys) == 6 and not langid.has_letter("1 \u0301\u093f") and langid.has_letter("न")
+    filters = langid.learn(spark.createDataFrame([("hi", hindi + " ") for _ in range(6)] + [("th", thai) for _ in range(6)], "lang string, text string"))
+    assert filters.decide("हिन्दी वाक्य")[0] == "hi" and filters.decide("มีน้ำ")[0] == "th"
+    rows = spark.createDataFrame([("en", "abcdefg " * 20_000)] + [("en", "qzx")] * 5 + [("fr", "mnopq " * 20)], "lang string, text string")
+    rare = [langid.learn(rows, share).counts("qzx")[1][0] for share in (1e-3, 0)]
+    assert rare[1] == 3 and rare[0] == 0
+
+
 # toxicity
 
 
