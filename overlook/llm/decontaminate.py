@@ -38,8 +38,9 @@ PLAIN = (
 )
 _EDGE = r"(?![\p{L}\p{N}])"
 _ONE = rf"(?!(?:{PLAIN.replace(' ', '|')}){_EDGE})\p{{Lu}}\p{{Ll}}++{_EDGE}"
-NAMES = rf"(?<![\p{{L}}\p{{N}}]){_ONE}(?: {_ONE})*"
-NUMBERS = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+# possessive: a repeated group that may give back recurses once a repeat, so long runs would overflow the stack of a task
+NAMES = rf"(?<![\p{{L}}\p{{N}}]){_ONE}(?: {_ONE})*+"
+NUMBERS = r"\p{Nd}++(?:[.,:/]\p{Nd}++)*+"
 UNITS = rf"{NUMBER} {{1,2}}(km|kg|cm|mm|ml|mi|ft|m|g|l|lbs?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|met(?:er|re)s?|grams?|lit(?:er|re)s?|dollars?|euros?|percent|%|€|°C|°F){_EDGE}"
 BREAKS = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"
 

@@ -252,6 +252,12 @@ def test_leak_edges(spark):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(long, spark.createDataFrame([(1, QUESTION)], ITEMS)).collect()] == [2]
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    runs = ["Von " * 30_000, "7." * 30_000, "1:2,3/" * 10_000]
+    rows = [(i, f"{a} and so on. {QUESTION} Then {b}") for i, (a, b) in enumerate(zip(runs, runs[1:] + runs[:1]))] + [(9, " ".join(runs))]
+    assert leaks(spark, rows) == {(i, 1): "exact" for i in range(3)}
+
+
 def test_benchmark_passages_in_documents_are_found(spark, small):
     """Every document that holds a whole item word for word is found."""
     items = spark.read.parquet(f"{small}/benchmark.parquet").collect()
