@@ -254,6 +254,14 @@ def test_pipeline_stages(spark, small):
     assert {r["doc_id"]: round(r["probability"], 6) for r in five.collect()} == naive_mix([r for r in rows if r["doc_id"] not in leaks])
 
 
+def test_pipeline_drops_leaks_beside_long_runs(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = max((r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if r["text"]), key=len)
+    rows = [(1, "Von " * 30_000 + "and so on. " + item), (2, "Von " * 30_000 + "1." * 30_000), (3, item + " and 1" + ":2" * 30_000), (4, None)]
+    left = pipeline.drop_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), small)
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 4]
+
+
 def naive_mix(rows):
     """Raking and sampling of few rows, by loops: the probability of each that stays."""
     import hashlib
