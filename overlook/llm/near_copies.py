@@ -1,8 +1,8 @@
 """Near copies by five-word shingles: SimHash, pigeonring filtering, and the exact similarity of what is left.
 
 At a similarity of 0.8, 64-bit fingerprints of distinct shingles differ in ten bits on average, twelve in the shortest
-texts, and in up to 28: too many for any segment to agree by force, so no key of segments is selective. Candidates therefore come from MinHash bands; the chain of segments
-prunes them before the full Hamming check, and the Jaccard similarity of whole shingle sets decides.
+texts, and in up to 28: too many for any segment to agree by force, so no key of segments is selective. Candidates therefore come from MinHash bands, not
+from the ring: at 28 bits its chains pass what the full Hamming check passes (README). The Jaccard similarity of whole shingle sets decides.
 
 Texts of equal words collapse first. Texts that share a band are linked to one hub each, and the components of those
 links are clusters that hold every candidate pair. A cluster's texts move once, if it is small; a large one is cut in blocks of
