@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from overlook.functions.geo import NODATA
@@ -154,6 +155,52 @@ def scan_viewports(pyramid: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(cy.between(F.col("y0"), F.col("y1")) & cx.between(F.col("x0"), F.col("x1")))
 
 
+def _running(df: DataFrame, keys: list[str], along: str, values: list[str], block: int = 4096) -> DataFrame:
+    """``values`` added up along a line of each of ``keys``, rows at one place together.
+
+    Lines are cut in blocks, whose totals run on their own, so a task holds no more than a block or the blocks of a line.
+    """
+    cut = df.withColumn("_block", F.floor(F.col(along) / block).cast("long"))
+    within, before = W.partitionBy(*keys, "_block").orderBy(along), W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_block").agg(*[F.sum(v).alias(v) for v in values])
+    totals = totals.select(*keys, "_block", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before{v}") for v in values])
+    own = cut.withColumns({v: F.sum(v).over(within) for v in values}).join(totals, [*keys, "_block"])
+    return own.withColumns({v: F.col(v) + F.col(f"_before{v}") for v in values}).drop("_block", *[f"_before{v}" for v in values])
+
+
+def view_totals(pyramid: DataFrame, wanted: DataFrame, all_levels: list[Level], values: dict[str, Column]) -> DataFrame:
+    """``wanted`` (of ``viewports``) with ``cells`` and the sums of ``values`` (whole numbers) over what each view shows; views that show no cell go.
+
+    The sums of ``scan_viewports`` without its rows: cells are added up along rows and then along columns once, and a view
+    takes the four corners of its window. So work grows with the cells and the views, not with what all views show.
+    """
+    window = ["level", "x0", "x1", "y0", "y1"]
+    by_level = lambda of: F.coalesce(*[F.when(F.col("level") == g.id, F.lit(of(g))) for g in all_levels])
+    sums = ["_cells", *[f"_{kind}_{v}" for v in values for kind in ("sum", "known")]]
+    told = [F.lit(1).cast("long"), *[c for v in values.values() for c in (F.coalesce(v.cast("long"), F.lit(0).cast("long")), v.isNotNull().cast("long"))]]
+    tile = by_level(lambda g: g.tile)
+    at = [F.col("level").cast("int").alias("level"), (F.col("tile_y") * tile + F.col("row")).cast("long").alias("y"), (F.col("tile_x") * tile + F.col("col")).cast("long").alias("x")]
+    cells = pyramid.select(*at, *[c.alias(n) for c, n in zip(told, sums)]).groupBy("level", "y", "x").agg(*[F.sum(n).alias(n) for n in sums])
+    nothing = [F.lit(0).cast("long").alias(n) for n in sums]
+    # rows that hold cells have all their places, so that each corner meets its column
+    places = cells.select("level", "y").distinct().select("level", "y", F.explode(F.sequence(F.lit(0).cast("long"), by_level(lambda g: g.cols - 1).cast("long"))).alias("x"))
+    along = W.partitionBy("level", "y").orderBy("x")
+    rows = cells.unionByName(places.select("level", "y", "x", *nothing)).groupBy("level", "y", "x").agg(*[F.sum(n).alias(n) for n in sums])
+    rows = rows.select("level", "y", "x", *[F.sum(n).over(along).alias(n) for n in sums], F.lit(False).alias("asked"))
+
+    # views of one window are answered once
+    windows = wanted.select(F.col("level").cast("int").alias("level"), *window[1:]).distinct()
+    corner = lambda x, y, sign: F.struct(x.alias("x"), y.alias("y"), F.lit(sign).alias("sign"))
+    x0, x1, y0, y1 = (F.col(c) for c in window[1:])
+    corners = windows.withColumn("_c", F.explode(F.array(corner(x1, y1, 1), corner(x0 - 1, y1, -1), corner(x1, y0 - 1, -1), corner(x0 - 1, y0 - 1, 1))))
+    corners = corners.select(*window, "_c.*").where("x >= 0 AND y >= 0")
+    asked = corners.select("level", "y", "x").distinct().select("level", "y", "x", *nothing, F.lit(True).alias("asked"))
+    held = _running(rows.unionByName(asked), ["level", "x"], "y", sums).where("asked").drop("asked")
+    got = corners.join(held, ["level", "y", "x"]).groupBy(*window).agg(*[F.sum(F.col(n) * F.col("sign")).alias(n) for n in sums]).where("_cells > 0")
+    got = got.select(*window, F.col("_cells").alias("cells"), *[F.when(F.col(f"_known_{v}") > 0, F.col(f"_sum_{v}")).alias(v) for v in values])
+    return wanted.withColumn("level", F.col("level").cast("int")).join(got, window)
+
+
 def canopy_blocks(pixels: DataFrame, factor: int = 32, y: str = "r", x: str = "c", value: str = "h") -> DataFrame:
     """``(r, c, h_max, h_mean)`` of factor x factor source pixels, the mean rounded half to even."""
     return pixels.groupBy(F.floor(F.col(y) / factor).cast("long").alias("r"), F.floor(F.col(x) / factor).cast("long").alias("c")).agg(F.max(value).cast("long").alias("h_max"), F.rint(F.avg(value)).cast("long").alias("h_mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlook.functions import colour, geo
@@ -109,9 +109,10 @@ def pack_region(region: DataFrame, rows: int, cols: int, bounds: tuple[float, fl
     dist = pyramid.overview_distances(cells, factor, rows, cols, azimuths[0][0] if azimuths else 0)
     over = pyramid.overview_terrain(cells, factor, rows, cols).join(pyramid.overview_water(cells, factor, rows, cols), ["by", "bx"]).join(dist, ["by", "bx"])
     over = over.select(F.col("by").alias("gy"), F.col("bx").alias("gx"), "valid", F.col("canopy").alias("canopy_m"), F.col("elev").alias("elev_m"), "water", "dist")
-    stores.write_pyramid(pyramid.tiled(over, over_level), f"{out}/tiles")
+    packed = pyramid.tiled(over, over_level)
     if not overview_only:
-        stores.write_pyramid(pyramid.tiled(cells.withColumn("dist", F.transform("dist", lambda d: d.cast("long"))), native), f"{out}/tiles")
+        packed = packed.unionByName(pyramid.tiled(cells.withColumn("dist", F.transform("dist", lambda d: d.cast("long"))), native))
+    stores.write_pyramid(packed, f"{out}/tiles")
     return chosen
 
 
@@ -132,6 +133,15 @@ def read_viewports(spark: SparkSession, out: str, views: DataFrame, budget: int
     return pyramid.scan_viewports(spark.read.parquet(f"{out}/tiles"), pyramid.viewports(views, levels, zoom, budget))
 
 
+def viewport_totals(spark: SparkSession, out: str, views: DataFrame, values: dict[str, Column], budget: int = 700 * 700) -> DataFrame:
+    """Each of ``views`` with its level and window, the ``cells`` it shows of a packed region and their ``values`` added up.
+
+    For many views: the region is read as a whole, once, whatever the views show together.
+    """
+    levels, zoom = read_pyramid(spark, out)
+    return pyramid.view_totals(spark.read.parquet(f"{out}/tiles"), pyramid.viewports(views, levels, zoom, budget), levels, values)
+
+
 #: What clients call the eye heights. Fixed values.
 LABELS = {0.0: "Ground", 1.7: "Standing", 5.0: "Second floor"}
 BOX = "centre array<double>, bounds array<double>, n int, azimuths int, states array<string>, ramp array<string>, eyes array<struct<cm:int,m:double,label:string>>, max_dist_km double, obs_step_m double, scale_km array<double>, canopy_m double"

@@ -34,15 +34,18 @@ def check_free_space(path: str, need_gb: float = 0.0, reserve_gb: float = 100.0)
     return free
 
 
-def write_tiles(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace the partitions that ``df`` holds and leave the others: a tile's rows come from one task, once."""
+def write_tiles(df: DataFrame, path: str, by: list[str], tasks: int | None = None) -> None:
+    """Replace the partitions that ``df`` holds and leave the others: a tile's rows come from one task, once.
+
+    Tasks with few bytes are merged, unless their number is given.
+    """
     claim(df.sparkSession, path)
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    (df.repartition(*by) if tasks is None else df.repartition(tasks, *by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_pyramid(cells: DataFrame, path: str) -> None:
-    """A pyramid by level and tile, so that a viewport reads its own tiles alone."""
-    write_tiles(cells, path, ["level", "tile_y", "tile_x"])
+    """A pyramid by level and tile, so that a viewport reads its own tiles alone. Its many files cost more than their bytes, so tasks are not merged."""
+    write_tiles(cells, path, ["level", "tile_y", "tile_x"], int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def write_region(meta: DataFrame, path: str) -> None:

@@ -250,6 +250,61 @@ def test_viewports_prune_the_store(spark, small, tmp_path):
     assert builds.read_pyramid(spark, out)[1] == 10.5
 
 
+def rows_made(df) -> int:
+    """The most rows that any step of an executed plan gave out."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_view_totals_equal_the_cells_shown(spark, tmp_path):
+    r = np.random.default_rng(7)
+    # rows and cells are missing, others come twice, heights are unknown
+    cells = [(i, j, None if r.random() < 0.3 else int(r.integers(-50, 50)), int(r.integers(0, 9))) for i in range(41) for j in range(25) for _ in range(int(r.integers(0, 3))) if i not in (3, 17, 18, 40)]
+    both = pyramid.levels(41, 25, 100.0, 55.3, 59.2, 11.1, 14.6, tile=8)
+    both[0].tile = 8
+    given = spark.createDataFrame(cells, "gy long, gx long, z long, v long")
+    store = pyramid.tiled(given, both[1]).unionByName(pyramid.tiled(given.where("gy < 10 AND gx < 6"), both[0]))
+    rows = [(i, float(w), float(w + a), float(s), float(s + b), float(z)) for i, (w, a, s, b, z) in enumerate(zip(r.uniform(10, 15, 90), r.uniform(0, 4, 90), r.uniform(54, 60, 90), r.uniform(0, 4, 90), r.choice([9.0, 12.0], 90)))]
+    wanted = pyramid.viewports(spark.createDataFrame(rows + [(99, *rows[5][1:])], "view long, west double, east double, south double, north double, zoom double"), both, budget=300)
+    got = pyramid.view_totals(store, wanted, both, {"z": F.col("z"), "v": F.col("v")}).select("view", "level", "cells", "z", "v")
+    want = pyramid.scan_viewports(store, wanted).groupBy("view", "level").agg(F.count("*").alias("cells"), F.sum("z").alias("z"), F.sum("v").alias("v"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 40
+
+
+def test_running_sums_over_blocks(spark):
+    rows = [(k, i, i * i % 7) for k in range(2) for i in range(-9, 30) if i % 4] + [(0, 5, 100)]
+    got = pyramid._running(spark.createDataFrame(rows, "k int, i long, v long"), ["k"], "i", ["v"], 5)
+    assert {tuple(x) for x in got.select("k", "i", "v").collect()} == {(k, i, sum(v for a, b, v in rows if a == k and b <= i)) for k, i, _ in rows}
+
+
+def test_many_viewports_make_few_rows(spark, small, same, tmp_path):
+    import duckdb
+
+    from overlook.plans import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
+    con.execute("create table customer as select range as c_custkey from range(8000)")
+    for name in ("customer", "embeddings"):
+        con.execute(f"copy {name} to '{tmp_path}/{name}.parquet' (format parquet)")
+    df = queries.QUERIES["viewport_cells"](spark, str(tmp_path))
+    got = df.toPandas()
+    same(got, con.execute(queries.SQL["viewport_cells"]).df())
+    # what all views show together is not made as rows
+    df.collect()
+    assert 8000 <= rows_made(df) < got["cells"].sum() / 3
+
+
 # the ledger
 
 
