@@ -119,7 +119,7 @@ def sun_view_waves(spark, sf_dir):
 
     cells = fx.dem_smooth(spark, sf_dir).select("iy", "ix", F.when((F.col("iy") * 7 + F.col("ix") * 3) % 23 != 0, F.col("z").cast("double")).alias("z"), (F.col("z") % 4 * 3).alias("canopy"), F.lit(1.7).alias("eye_m"))
     edges = cells.agg(F.min("iy"), F.max("iy"), F.min("ix"), F.max("ix")).first()
-    return sunlit_waves(sun.with_separable_tangent(cells, _AT, *_PLACE, tuple(edges)), 190.0, 25.0, 256)
+    return sunlit_waves(sun.with_separable_tangent(cells, _AT, *_PLACE, tuple(edges)), 190.0, 25.0, 256, tuple(edges))
 
 
 # markers and an outline over an image of 256 pixels that shows 10 km

@@ -1,5 +1,7 @@
 """Stencils, labels, viewports and sources on small rasters, against plain loops."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -381,6 +383,43 @@ def test_waves_equal_one_sweep(spark, azimuth, side):
     assert got == {(i, j): bool(want[i, j]) for i in range(23) for j in range(19)} and 0 < want.sum() < want.size
 
 
+def long_raster(spark, azimuth, tangent, wall=0.0, holes=True):
+    """Cells and plain light of 900 cells along the light by 9 across: a wall towards the sun, unknown heights, and places without cells (which shadows cross)."""
+    from overlook.operators import sunlight
+
+    r = np.random.default_rng(3)
+    z, canopy = r.integers(0, 60, (900, 9)) * 1.0, r.integers(0, 3, (900, 9)) * 1.0
+    z[0] += wall
+    gone, absent = r.random((900, 9)) < 0.1, np.zeros((900, 9), bool)
+    absent[300:340, 2:], absent[400:600] = holes, holes
+    grid = lambda v: (lambda g: g[::-1] if math.cos(math.radians(azimuth % 90)) * (1 if azimuth in (350.0, 80.0) else -1) > 0 else g)(v)
+    flip = lambda v: grid(v).T if azimuth in (80.0, 260.0) else grid(v)
+    z, canopy, tangent, gone, absent = (flip(v) for v in (z, canopy, np.broadcast_to(tangent[:, None], (900, 9)), gone, absent))
+    rows = [(i, j, None if gone[i, j] else float(z[i, j]), float(canopy[i, j]), 1.7, float(tangent[i, j])) for i, j in np.ndindex(z.shape) if not absent[i, j]]
+    cells = spark.createDataFrame(rows, "iy long, ix long, z double, canopy double, eye_m double, sun_tangent double")
+    unknown = gone | absent
+    want = sunlight.sweep(np.where(unknown, sunlight.NONE, z + canopy), np.where(unknown, 2 * sunlight.NONE, z + 1.7), np.where(absent, -1.0, tangent), azimuth, 25.0) & ~unknown & ~(canopy > 1.7)
+    return cells, {(i, j): bool(want[i, j]) for i, j in np.ndindex(z.shape) if not absent[i, j]}
+
+
+#: Tangents along the light: a sun that stands well, one at the horizon, night in the middle, night at the end.
+SUNS = {"high": np.full(900, 0.15), "low": np.full(900, 0.002), "night between": np.where(abs(np.arange(900) - 250) < 100, -0.2, 0.1), "night": np.where(np.arange(900) < 200, 0.1, -0.2)}
+
+
+@pytest.mark.parametrize("azimuth,kind,most,swept", [(190.0, "high", 5, 2.5), (350.0, "low", 25, 3.5), (80.0, "night between", 25, 3.5), (260.0, "night", 4, 0.7)])
+def test_rounds_go_by_how_far_shadows_reach(spark, monkeypatch, tmp_path, azimuth, kind, most, swept):
+    from overlook.operators import sunlight
+
+    monkeypatch.setattr(sunlight, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(sunlight, "EAGER", 2, raising=False)
+    cells, want = long_raster(spark, azimuth, SUNS[kind], 500.0 if kind == "low" else 0.0, kind != "high")
+    got = {(x["iy"], x["ix"]): x["lit"] for x in sunlight.sunlit_waves(cells, azimuth, 25.0, 18).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    # 25 tiles of 36 x 9 cells, one behind the other
+    assert len(list(tmp_path.glob("sun-state/*=*"))) <= most
+    assert spark.read.parquet(f"{tmp_path}/sun-state").count() <= swept * 25
+
+
 def test_tangents_once_a_row_and_a_column(spark):
     from overlook.functions import sun
 
