@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from overlook.functions.geo import NODATA
+from overlook.plans.shared import written
 
 
 def _blocks(df: DataFrame, factor: int, rows: int, cols: int, y: str, x: str) -> DataFrame:
@@ -180,13 +181,14 @@ def view_totals(pyramid: DataFrame, wanted: DataFrame, all_levels: list[Level],
     told = [F.lit(1).cast("long"), *[c for v in values.values() for c in (F.coalesce(v.cast("long"), F.lit(0).cast("long")), v.isNotNull().cast("long"))]]
     tile = by_level(lambda g: g.tile)
     at = [F.col("level").cast("int").alias("level"), (F.col("tile_y") * tile + F.col("row")).cast("long").alias("y"), (F.col("tile_x") * tile + F.col("col")).cast("long").alias("x")]
-    cells = pyramid.select(*at, *[c.alias(n) for c, n in zip(told, sums)]).groupBy("level", "y", "x").agg(*[F.sum(n).alias(n) for n in sums])
+    cells = pyramid.select(*at, *[c.alias(n) for c, n in zip(told, sums)]).groupBy("level", "y").agg(F.collect_list(F.struct("x", *sums)).alias("_c"))
     nothing = [F.lit(0).cast("long").alias(n) for n in sums]
     # rows that hold cells have all their places, so that each corner meets its column
-    places = cells.select("level", "y").distinct().select("level", "y", F.explode(F.sequence(F.lit(0).cast("long"), by_level(lambda g: g.cols - 1).cast("long"))).alias("x"))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), by_level(lambda g: g.cols - 1).cast("long")), lambda x: F.struct(x.alias("x"), *nothing))
+    rows = cells.select("level", "y", F.explode(F.concat("_c", places)).alias("_c")).select("level", "y", "_c.*").groupBy("level", "y", "x").agg(*[F.sum(n).alias(n) for n in sums])
     along = W.partitionBy("level", "y").orderBy("x")
-    rows = cells.unionByName(places.select("level", "y", "x", *nothing)).groupBy("level", "y", "x").agg(*[F.sum(n).alias(n) for n in sums])
-    rows = rows.select("level", "y", "x", *[F.sum(n).over(along).alias(n) for n in sums], F.lit(False).alias("asked"))
+    # written, since both blocks and their totals read it, and a store has many files
+    rows = written(rows.select("level", "y", "x", *[F.sum(n).over(along).alias(n) for n in sums]), "view-rows").withColumn("asked", F.lit(False))
 
     # views of one window are answered once
     windows = wanted.select(F.col("level").cast("int").alias("level"), *window[1:]).distinct()
